@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -69,3 +70,22 @@ def bucket(column: Column, cuts: list[int]) -> Column:
         return F.lit(0)
     array = F.expr("array(" + ",".join(f"{c}L" for c in cuts) + ")")
     return F.coalesce(F.size(F.filter(array, lambda c: c <= column)), F.lit(0))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of jobs whose results are already written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def ordered(docs: DataFrame, scratch: Scratch, name: str = "okey") -> DataFrame:
+    """Adds a unique integer column that ascends with doc_id.
+
+    It is doc_id itself where that is unique and never null. Otherwise rows are numbered by
+    (doc_id, text), nulls first, and the numbered table is written, so that later reads agree.
+    """
+    worst = docs.groupBy("doc_id").count().agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("count")))).first()[0]
+    if worst is None or worst == 1:
+        return docs.withColumn(name, F.col("doc_id"))
+    dealt = docs.repartitionByRange(parallelism(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    return scratch.write(dealt.withColumn(name, F.monotonically_increasing_id()), name)

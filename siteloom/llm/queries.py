@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.llm import simhash, token_file
+from siteloom.llm import license_scan, sharding, simhash, sketch, suffix_dedup, token_file
 from siteloom.llm.common import documents
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(documents(spark, sf_dir))
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_table(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -19,8 +23,20 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.neighbours(documents(spark, sf_dir))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), 8)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).drop("detections")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_file, op4_simhash_components)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op3_token_file, op4_simhash_components, op6_sketch, op8_sharding, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
