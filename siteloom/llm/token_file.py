@@ -14,8 +14,11 @@ lengths), written by Spark's commit protocol, so that a lost executor leaves no
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,28 +35,29 @@ BLOCK_IDS = 65_536
 SEGMENT_IDS = 1 << 20
 HEADER = struct.Struct("<4sIQI")
 COUNTS = np.array([1, *(c for c, _ in PACKS), 0], dtype=np.int64)
-#: Distinct chunks a Python worker remembers at most.
-CACHE_CHUNKS = 300_000
+#: Distinct chunks and pieces a Python worker remembers at most.
+CACHE_CHUNKS, CACHE_PIECES = 250_000, 600_000
 FILE_SCHEMA = "shard int, segment int, first_id long, n_ids long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
 
 def _pack_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """uint64 values -> (words, escapes), taking the densest selector that fits at each place."""
     n = len(values)
-    top = int(values.max()).bit_length() if n else 0
-    least = int(values.min()).bit_length() if n else 0
+    padded = np.concatenate((values, np.zeros(60, dtype=np.uint64)))
+    small = padded.astype(np.uint32) if n and int(values.max()) < 1 << 32 else padded
     best = np.zeros(n, dtype=np.int8)
-    room = np.arange(n, 0, -1)
     for selector in range(14, 0, -1):
         count, bits = PACKS[selector - 1]
-        if bits < least:
+        fits = small < (1 << bits) if bits < 32 or small is padded else np.ones(n + 60, dtype=bool)
+        size = 1
+        while 2 * size <= count:
+            fits = fits[:-size] & fits[size:]
+            size *= 2
+        if size < count:
+            fits = fits[: len(fits) - (count - size)] & fits[count - size :]
+        if not fits[:n].any():
             break
-        if bits >= top:
-            best[:] = selector
-            continue
-        misfit = np.flatnonzero(values >> np.uint64(bits))
-        free = np.concatenate((misfit, [n + 60]))[np.searchsorted(misfit, np.arange(n))] - np.arange(n)
-        best[(free >= count) | (free > room)] = selector
+        np.copyto(best, selector, where=fits[:n])
     hop = COUNTS[best].tolist()
     at, starts = 0, []
     while at < n:
@@ -62,7 +66,6 @@ def _pack_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.array(starts, dtype=np.int64)
     chosen = best[starts]
     words = np.zeros(len(starts), dtype=np.uint64)
-    padded = np.concatenate((values, np.zeros(60, dtype=np.uint64)))
     for selector in np.unique(chosen):
         rows = np.flatnonzero(chosen == selector)
         if selector == 0:
@@ -122,48 +125,81 @@ def unpack(payload: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-_encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
+#: Texts of printable Latin characters and plain blanks: unchanged by NFC, lower-cased character by character.
+_PLAIN = re.compile("[ \\n!-~\u00a1-\u024f]*")
+_MARKS = frozenset(".,;:!?")
+_encoders: dict[str, Callable[[str], bytes]] = {}
+
+
+class _Pieces(dict):
+    """Pre-token -> its ids by the library's model, remembered."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > CACHE_PIECES:
+            self.clear()
+        # Fixed rule: the byte-level alphabet keeps printable bytes and moves the others, in order, to U+0100 on.
+        text = piece if piece.isascii() else "".join([_BYTE_CHARS[c] for c in piece.encode()])
+        out = self[piece] = array("I", [t.id for t in self.tokenize(text)]).tobytes()
+        return out
+
+
+class _Chunks(dict):
+    """Lower-cased plain chunk between blanks -> its ids, remembered."""
+
+    def __init__(self, tokenizer, pattern: str):
+        import regex
 
+        self.pieces = _Pieces(tokenizer.model)
+        self.split = regex.compile(pattern).findall
 
-def chunk_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """texts -> their ids as little-endian uint32 bytes.
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > CACHE_CHUNKS:
+            self.clear()
+        if chunk.isalpha():
+            out = self.pieces[chunk]
+        elif chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+            out = self.pieces[chunk[:-1]] + self.pieces[chunk[-1]]
+        else:
+            out = b"".join([self.pieces[p] for p in self.split(chunk)])
+        self[chunk] = out
+        return out
 
-    The tokenizer drops white space and never joins characters across it, so texts are cut at blanks
-    and line ends and each distinct chunk is encoded once by the library and remembered.
+
+def _byte_chars() -> list[str]:
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    moved = (chr(256 + i) for i in range(256))
+    return [chr(b) if b in kept else next(moved) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+def text_encoder(path: str) -> Callable[[str], bytes]:
+    """text -> its ids as little-endian uint32 bytes, equal to the library's on the whole text.
+
+    The tokenizer drops white space and joins nothing across it. Plain Latin texts are lower-cased and
+    cut here, at blanks and by the pre-tokenizer's own pattern, and each distinct piece goes to the
+    library's model once and is remembered; other texts go to the library whole.
     """
     if path not in _encoders:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
-
-        def encode(texts: list[str]) -> list[bytes]:
-            if len(known) > CACHE_CHUNKS:
-                known.clear()
-            cut = [t.replace("\n", " ").split(" ") for t in texts]
-            new = list(set().union(*cut).difference(known)) if cut else []
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                known.update(zip(some, (np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(some, add_special_tokens=False))))
-            get = known.__getitem__
-            return [b"".join(map(get, chunks)) for chunks in cut]
+        pattern = json.loads(tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        get = _Chunks(tokenizer, pattern).__getitem__
+
+        def encode(text: str) -> bytes:
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                return b"".join(map(get, text.lower().replace("\n", " ").split(" ")))
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
         _encoders[path] = encode
     return _encoders[path]
 
 
-def _few(texts: list, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose texts have about so many characters together."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size > limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shards: int | None = None) -> None:
     """Encodes whole texts (null: empty), adds end_id to each and writes segments in ascending (doc_id, text).
 
@@ -172,27 +208,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_encoder(tokenizer_path)
+        encode = text_encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        shard, segment, first, held, ids = TaskContext.get().partitionId(), 0, 0, [], []
+        shard, segment, first, held, ids, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal segment, first
+            nonlocal segment, first, size
             values = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.uint64)
             row = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([first], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([held.copy()], pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in ids]], pa.list_(pa.int64())), pa.array([pack(values)], pa.binary())], names=["shard", "segment", "first_id", "n_ids", "doc_ids", "doc_tokens", "payload"])
-            segment, first = segment + 1, first + len(values)
+            segment, first, size = segment + 1, first + len(values), 0
             held.clear(), ids.clear()
             return row
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in _few(texts.to_pylist()):
-                for key, got in zip(keys[a:b], encode([t or "" for t in texts[a:b].to_pylist()])):
-                    held.append(key)
-                    ids.append(got + end)
-                    if len(held) >= 4096 or sum(map(len, ids[-1:])) > 4 * SEGMENT_IDS:
-                        yield flush()
-                if sum(map(len, ids)) > 4 * SEGMENT_IDS:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append(key)
+                ids.append(encode(text or "") + end)
+                size += len(ids[-1])
+                if size > 4 * SEGMENT_IDS:
                     yield flush()
         if held:
             yield flush()
