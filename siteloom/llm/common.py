@@ -78,7 +78,7 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def ordered(docs: DataFrame, scratch: Scratch, name: str = "okey") -> DataFrame:
+def ordered(docs: DataFrame, scratch: Scratch, name: str = "__order__") -> DataFrame:
     """Adds a unique integer column that ascends with doc_id.
 
     It is doc_id itself where that is unique and never null. Otherwise rows are numbered by
@@ -87,5 +87,5 @@ def ordered(docs: DataFrame, scratch: Scratch, name: str = "okey") -> DataFrame:
     worst = docs.groupBy("doc_id").count().agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("count")))).first()[0]
     if worst is None or worst == 1:
         return docs.withColumn(name, F.col("doc_id"))
-    dealt = docs.repartitionByRange(parallelism(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = docs.repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return scratch.write(dealt.withColumn(name, F.monotonically_increasing_id()), name)

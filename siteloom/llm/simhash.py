@@ -10,16 +10,18 @@ within the threshold is missed, and each is found exactly once, at the home of i
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Scratch
+from siteloom.llm.common import Scratch, ordered
 from siteloom.llm.components import connected_components
 
 # Fixed value: generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -121,3 +123,81 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
     named = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = scratch.write(named, "named")
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+# Whole-document similarity. At a similarity of 0.8 about 15 of 100 fingerprint bits differ, which no
+# covering code of useful size reaches: the Golay anchors would need over 10^5 copies of a fingerprint.
+# Anchors are then the points of k sampled coordinates, in VIEWS samples: a pair at d of 64 bits shares
+# an anchor in one view with chance (1 - d/64)^k. Within an anchor each fingerprint meets the anchor's
+# first and its predecessor, so that a group of thousands costs rows in proportion; what meets is
+# judged by all 256 bits.
+VIEWS, BITS = 64, 256
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """BITS-bit SimHash of the word shingles as four signed integers; zeros for a text without words."""
+    import xxhash
+
+    found = (text or "").encode().translate(LOWER).split()
+    if not found:
+        return np.zeros(4, dtype=np.int64)
+    joined, size = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found)) + 1
+    ends = np.cumsum(size) - 1
+    starts = ends - size + 1
+    k = min(words, len(found))
+    digest = xxhash.xxh3_128_digest
+    pieces = [joined[a:b] for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())]
+    counts = [np.unpackbits(np.frombuffer(b"".join([digest(p, seed) for p in pieces]), np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64) for seed in (1, 2)]
+    return np.packbits(2 * np.concatenate(counts) > len(pieces)).view(">i8").astype(np.int64)
+
+
+def most_differing(similarity: float, slack: float = 0.05) -> int:
+    """Differing bits of BITS at which the estimated shingle similarity is still about the given one."""
+    s = similarity - slack
+    return int(BITS * math.acos(2 * s / (1 + s)) / math.pi)
+
+
+def similar_pairs(reps: DataFrame, n: int, least: float = 0.8, views: int = VIEWS) -> DataFrame:
+    """reps (f0..f3, rep), distinct prints -> links (u, v) of reps; n: about how many rows there are."""
+    k = min(40, max(8, math.ceil(math.log2(max(2, n))) + 1))
+    draw = random.Random(11)
+    masks = [sum(1 << b for b in draw.sample(range(64), k)) for _ in range(views)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    table = "array(" + ",".join(f"cast({m} as bigint)" for m in signed) + ")"
+    prints = ["f0", "f1", "f2", "f3"]
+    sent = reps.select(*prints, "rep", F.explode(F.expr(f"transform({table}, (m, i) -> xxhash64(i, f0 & m))")).alias("anchor"))
+    own = F.struct(*prints, "rep")
+    order = Window.partitionBy("anchor").orderBy("f0", "f1", "f2", "f3")
+    met = sent.select("anchor", *prints, "rep", F.first(own).over(order).alias("head"), F.lag(own).over(order).alias("last"))
+
+    def bits(other: str, columns: list[str]):
+        return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}.{c}"))) for c in columns), F.lit(0))
+
+    near = [F.when((bits(o, prints) <= most_differing(least)) & (F.col(f"{o}.rep") != F.col("rep")), F.col(f"{o}.rep")) for o in ("head", "last")]
+    pairs = met.select("rep", F.explode(F.array_distinct(F.array_compact(F.array(*near)))).alias("other"))
+    return pairs.select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v")).distinct()
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The document of least doc_id of each group of near copies, with all columns.
+
+    Near copies are linked where the similarity of their five-word shingles, estimated from 256 bits, is
+    about ``least`` or more; groups are closed over links. Texts without words (null, empty, blank) are
+    copies of each other. Rows with equal or null doc_ids are told apart by (doc_id, text), nulls first.
+    """
+    scratch = Scratch(docs.sparkSession, "distinct")
+    keyed = ordered(docs, scratch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(x.as_py(), words) for x in batch.column(1)]).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(4))], names=["__order__", "f0", "f1", "f2", "f3"])
+
+    prints = ["f0", "f1", "f2", "f3"]
+    fps = scratch.write(keyed.select("__order__", "text").mapInArrow(run, "__order__ long, f0 long, f1 long, f2 long, f3 long"), "fps")
+    reps = scratch.write(fps.groupBy(*prints).agg(F.min("__order__").alias("rep")), "reps")
+    pairs = scratch.write(similar_pairs(reps, reps.count(), least), "pairs")
+    found = connected_components(pairs, scratch)
+    named = scratch.write(reps.join(found, reps.rep == found.node, "left").select(*prints, F.coalesce("component", "rep").alias("stays")), "named")
+    gone = scratch.write(fps.join(named, prints).where("__order__ <> stays").select("__order__"), "gone")
+    return keyed.join(gone, "__order__", "left_anti").select(*docs.columns)

@@ -181,11 +181,11 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _with_runs(docs: DataFrame, runs: DataFrame, fields: str, how: str) -> DataFrame:
-    return docs.join(runs.groupBy("doc").agg(F.collect_list(F.struct(*fields.split())).alias("runs_")), docs.okey == F.col("doc"), how)
+    return docs.join(runs.groupBy(F.col("doc").alias("__doc__")).agg(F.collect_list(F.struct(*fields.split())).alias("__runs__")), F.col("__order__") == F.col("__doc__"), how)
 
 
 def mark_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, trigger: int = TRIGGER) -> DataFrame:
-    """docs (okey, text) -> (doc, pos, n): the n strings from byte pos on each also start earlier."""
+    """docs (__order__, text) -> (doc, pos, n): the n strings from byte pos on each also start earlier."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +197,7 @@ def mark_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, trigge
             for columns in suffixes(list(zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist())), window):
                 yield _batch(columns, ["trig", "suffix", "doc", "pos", "dup"])
 
-    texts = docs.select("okey", "text")
+    texts = docs.select("__order__", "text")
     parsed = texts.mapInArrow(parse, "trig long, phrase long, doc long, pos int, n int, dup boolean")
     # rows that are known to repeat need no company: they are dealt by their own place
     dealt = parsed.withColumn("g", F.when(F.col("dup"), F.xxhash64("doc", "pos")).otherwise(F.col("trig"))).withColumn("p", F.when(F.col("dup"), F.xxhash64("pos", "doc")).otherwise(F.col("phrase")))
@@ -209,7 +209,7 @@ def mark_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, trigge
     entries = scratch.write(known.where("again or unsure"), "entries")
     release(docs.sparkSession)
     unsure = entries.where("not again").select("doc", F.col("g").alias("trig"), "pos", "n")
-    strings = _with_runs(texts, unsure, "trig pos n", "inner").select("okey", "text", "runs_").mapInArrow(rank, "trig long, suffix long, doc long, pos int, dup boolean")
+    strings = _with_runs(texts, unsure, "trig pos n", "inner").select("__order__", "text", "__runs__").mapInArrow(rank, "trig long, suffix long, doc long, pos int, dup boolean")
     key: list[Column] = [F.when(F.col("dup"), F.xxhash64("doc", "pos")).otherwise(F.col("trig")).alias("g"), F.when(F.col("dup"), F.xxhash64("pos", "doc")).otherwise(F.col("suffix")).alias("p")]
     placed = strings.select(*key, "doc", "pos", "dup").withColumn("row", F.row_number().over(Window.partitionBy("g", "p").orderBy("doc", "pos")))
     more = scratch.write(placed.where("dup or row > 1").select("doc", "pos", F.lit(1).alias("n")), "strings")
@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, apply: Callable, schema: str, columns: list[
         for batch in batches:
             yield apply(batch.select(columns), [spans(m, window) for m in batch.column(len(columns)).to_pylist()])
 
-    return _with_runs(keyed, marks, "pos n", "left").select(*columns, "runs_").mapInArrow(run, schema)
+    return _with_runs(keyed, marks, "pos n", "left").select(*columns, "__runs__").mapInArrow(run, schema)
 
 
 def _digest(batch: pa.RecordBatch, found: list[list[tuple[int, int]]]) -> pa.RecordBatch:

@@ -231,7 +231,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield flush()
 
     n = shards or parallelism(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(write, FILE_SCHEMA).write.mode("overwrite").parquet(path)
 
 
