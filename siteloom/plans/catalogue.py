@@ -1,9 +1,674 @@
-"""Queries of the engine's own operators over the driver's tables."""
+"""Queries of the engine's own operators over the driver's tables, named by operator, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from siteloom.functions import exprs as x
+from siteloom.operators import evidence as ev
+from siteloom.operators import graph
+from siteloom.operators import inference as inf
+from siteloom.operators import matching as ma
+from siteloom.operators import scoring as sc
+from siteloom.operators import sites as st
+from siteloom.operators import structures as sr
+from siteloom.plans import analogues as an
+from siteloom.sources import readers as rd
+from siteloom.sources import sinks as sk
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def r6(c: str) -> F.Column:
+    return F.round(c, 6).alias(c)
+
+
+def _links(s: SparkSession, d: str) -> DataFrame:
+    return st.associations(an.pairs(s, d), an.homology(s, d), ["line_no", "homology_qc_bucket"])
+
+
+# -- scans, filters, universe ---------------------------------------------------------------------
+
+
+@_add("SRC1", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
+def _(s, d):
+    return rd.normalised(an.table(s, d, "lineitem")).select("l_orderkey", "l_partkey", "l_quantity")
+
+
+@_add("SRC2", "SELECT CAST(p_partkey AS VARCHAR) accession, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def _(s, d):
+    part = an.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("Entry"), "p_name")
+    wanted = an.table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("accession"))
+    return rd.annotation_features(part, wanted)[0].select("accession", "p_name")
+
+
+@_add("SRC3", "SELECT DISTINCT CAST(p_partkey AS VARCHAR) accession FROM part WHERE p_type = 'PROMO' AND p_partkey IN (SELECT l_partkey FROM lineitem)")
+def _(s, d):
+    part = an.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("Entry"), F.when(F.col("p_type") == "PROMO", F.col("p_type")).otherwise(" ").alias("xref"))
+    return rd.with_reference(part, an.table(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("accession")), "xref")
+
+
+@_add("SRC4", "SELECT CAST(o_custkey AS VARCHAR) accession, arg_max(o_orderpriority, o_orderkey) AS sequence FROM orders GROUP BY 1")
+def _(s, d):
+    rows = an.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("Entry"), F.col("o_orderpriority").alias("Sequence"), "o_orderkey")
+    return rd.sequences(rows, rows.select(F.col("Entry").alias("accession")), "o_orderkey")
+
+
+@_add("SRC5", "SELECT CAST(user_id AS VARCHAR) accession, CAST(arg_max(json_extract_string(props, '$.k'), event_id) AS INTEGER) k FROM events GROUP BY 1")
+def _(s, d):
+    rows = an.table(s, d, "events").select(F.col("user_id").cast("string").alias("accession"), F.from_json("props", "k int").alias("detail"), "event_id")
+    return rows.where("detail is not null").groupBy("accession").agg(F.max_by("detail.k", "event_id").alias("k"))
+
+
+@_add("SRC17", "SELECT CAST(doc_id AS VARCHAR) accession, unnest(list_sort([upper(v) FOR v IN [lang, source] IF upper(v) <> 'EN'])) pdb_id FROM documents")
+def _(s, d):
+    return rd.wanted_structures(an.proteins(s, d).select("accession", F.lit("en").alias("pdb_id"), F.col("pdb_ids").alias("all_pdb_ids")))
+
+
+@_add("FLT1", f"WITH {an.PAIRS} SELECT pair_id, pos_accession FROM pairs WHERE coalesce(analysis_ready, false)")
+def _(s, d):
+    return st.ready(an.pairs(s, d)).select("pair_id", "pos_accession")
+
+
+@_add("FLT2", f"WITH {an.PAIRS} SELECT count(*) FILTER (best_loss_positive_position IS NULL) n_missing FROM pairs WHERE analysis_ready")
+def _(s, d):
+    return st.missing_positions(st.ready(an.pairs(s, d)))
+
+
+@_add("FLT3", f"WITH {an.PAIRS} SELECT pos_accession accession, CAST(best_loss_positive_position AS INTEGER) AS position FROM pairs WHERE best_loss_positive_position IS NOT NULL")
+def _(s, d):
+    return st.positioned(an.pairs(s, d)).select("accession", "position")
+
+
+@_add("FLT4", "SELECT CAST(r_regionkey AS VARCHAR) accession, CAST(NULL AS VARCHAR) cluster_id FROM region")
+def _(s, d):
+    return st.with_missing(an.table(s, d, "region").select(F.col("r_regionkey").cast("string").alias("accession")), ("accession", "cluster_id"))
+
+
+@_add("FLT5", f"WITH {an.FEATURES} SELECT accession, position FROM features WHERE parse_status = 'ok' AND position IS NOT NULL AND glyco_type = 'N-linked'")
+def _(s, d):
+    return ev.usable_features(x.parse_features(an.annotations(s, d))).select("accession", "position")
+
+
+@_add("FLT10", "SELECT CAST(p_partkey AS VARCHAR) accession FROM part WHERE p_type = 'PROMO' AND p_size IS NOT NULL AND p_retailprice IS NOT NULL AND p_brand IS NOT NULL")
+def _(s, d):
+    return ma.usable(an.side(s, d, "PROMO"), ["size", "price"], ["brand"]).select("accession")
+
+
+@_add("FLT12", "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O')")
+def _(s, d):
+    keys = an.table(s, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_partkey").alias("p_partkey"))
+    return st.in_keys(an.table(s, d, "part").select("p_partkey", "p_brand"), keys, ["p_partkey"])
+
+
+@_add("FLT13", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(s, d):
+    return st.not_in_keys(an.table(s, d, "customer").select("c_custkey"), an.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@_add("FLT14", "SELECT p_partkey, p_brand FROM (SELECT *, dense_rank() OVER (ORDER BY p_brand, p_type) - 1 g FROM part) WHERE g % 4 = 1")
+def _(s, d):
+    return st.shard(an.table(s, d, "part"), ["p_brand", "p_type"], "1/4").select("p_partkey", "p_brand")
+
+
+@_add("FLT15", f"WITH {an.VECTORS} SELECT vec_id FROM vectors WHERE abs(list_sum(p) - 1) <= 1e-3 AND list_min(p) >= 0 AND list_max(p) <= 1.001")
+def _(s, d):
+    return an.vectors(s, d).where(x.is_distribution(F.col("p"))).select("vec_id")
+
+
+@_add("FLT17", "SELECT CAST(p_partkey AS VARCHAR) Entry FROM part WHERE p_size > 10 AND p_type <> 'PROMO' AND p_brand <> 'Brand#1' AND p_brand <> 'Brand#2'")
+def _(s, d):
+    part = an.table(s, d, "part")
+    key = F.when(F.col("p_brand") == "Brand#1", "KW-0732").when(F.col("p_brand") == "Brand#2", "KW-0812").otherwise("none")
+    rows = part.select(F.col("p_partkey").cast("string").alias("Entry"), (F.col("p_size") > 10).alias("reviewed"), F.lit(True).alias("has_structure"), F.array(F.lit(2759)).alias("taxonomy_ids"), F.array(key, F.when(F.col("p_type") == "PROMO", "KW-0325").otherwise("x")).alias("keywords"), F.array(F.lit("0005829")).alias("go_ids"))
+    return rd.control_set(rows, "cytosolic_eukaryotic").select("Entry")
+
+
+@_add("AGG1", f"WITH {an.SITES} SELECT DISTINCT accession, position FROM links")
+def _(s, d):
+    return st.candidate_sites(an.pairs(s, d))
+
+
+@_add("DDP1", "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) o_orderkey FROM orders GROUP BY 1")
+def _(s, d):
+    return st.keep_first(an.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@_add("DDP6", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
+def _(s, d):
+    return an.table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+
+
+@_add("JN1", f"WITH {an.ASSOCIATED} SELECT accession, position, pair_id, cluster_id, neg_accession, source, homology_qc_bucket FROM associated")
+def _(s, d):
+    return _links(s, d)
+
+
+@_add("AGG2", f"WITH {an.ASSOCIATED} SELECT accession, position, bool_or(homology_qc_bucket = 'strict') in_strict, bool_or(homology_qc_bucket IN ('strict','plausible')) in_strict_plus_plausible, count(pair_id) n_associations FROM associated GROUP BY 1, 2")
+def _(s, d):
+    return st.subsets(_links(s, d))
+
+
+@_add("AGG4", f"WITH {an.SITES} SELECT count(*) n_sites, count(DISTINCT accession) n_proteins FROM (SELECT DISTINCT accession, position FROM links)")
+def _(s, d):
+    return st.counts(st.candidate_sites(an.pairs(s, d)))
+
+
+@_add("AGG8", f"WITH {an.SITES}, c AS (SELECT accession, position, list_sort(list(DISTINCT cluster_id))[1:3] ids FROM links GROUP BY 1, 2) SELECT accession, position, array_to_string(ids, ';') ortholog_clusters FROM c")
+def _(s, d):
+    return st.clusters(_links(s, d))
+
+
+@_add("AGG11", "SELECT l_returnflag, l_linestatus, count(*) AS count FROM lineitem GROUP BY 1, 2")
+def _(s, d):
+    return an.table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").count()
+
+
+@_add("SRT1", f"WITH {an.SITES} SELECT DISTINCT accession, position FROM links ORDER BY 1, 2")
+def _(s, d):
+    return st.candidate_sites(an.pairs(s, d)).orderBy(F.asc_nulls_last("accession"), F.asc_nulls_last("position"))
+
+
+@_add("SET1", "SELECT CAST(c_custkey AS BIGINT) AS key, c_acctbal balance, c_mktsegment segment FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier")
+def _(s, d):
+    a = an.table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    return a.unionByName(an.table(s, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance")), allowMissingColumns=True)
+
+
+@_add("SNK8", "SELECT o_orderkey, o_custkey FROM orders")
+def _(s, d):
+    rows = an.table(s, d, "orders").select("o_orderkey", "o_custkey")
+    return st.merged_shards([rows.where("o_custkey < 500"), rows.where("o_custkey >= 400")], ["o_orderkey"], ["o_custkey"])
+
+
+@_add("AGG32", "SELECT count(*) FILTER (p_partkey IN (SELECT l_partkey FROM lineitem)) merged, count(*) expected, round(100.0 * count(*) FILTER (p_partkey IN (SELECT l_partkey FROM lineitem)) / count(*), 6) coverage FROM part")
+def _(s, d):
+    return sk.merge_report(an.table(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), an.table(s, d, "part"), ["p_partkey"]).withColumn("coverage", F.round("coverage", 6))
+
+
+# -- evidence -------------------------------------------------------------------------------------
+
+
+@_add("FN6", f"WITH {an.FEATURES} SELECT accession, coalesce(position, -1) AS position, glyco_type, coalesce(code, '') codes, parse_status FROM features")
+def _(s, d):
+    return x.parse_features(an.annotations(s, d)).select("accession", F.coalesce("position", F.lit(-1)).alias("position"), "glyco_type", F.array_join("evidence_codes", "|").alias("codes"), "parse_status")
+
+
+@_add("AGG3", f"WITH {an.FEATURES} SELECT accession, position, string_agg(DISTINCT code, '|' ORDER BY code) codes FROM features WHERE parse_status = 'ok' GROUP BY 1, 2")
+def _(s, d):
+    return ev.code_union(x.parse_features(an.annotations(s, d)).where("parse_status = 'ok'")).select("accession", "position", F.array_join("codes", "|").alias("codes"))
+
+
+@_add("CMP3", f"WITH {an.FEATURES} SELECT accession, coalesce(position, -1) AS position, glyco_type, parse_status, {an.TIER} tier FROM features")
+def _(s, d):
+    return ev.feature_inventory(x.parse_features(an.annotations(s, d))).select("accession", F.coalesce("position", F.lit(-1)).alias("position"), "glyco_type", "parse_status", "tier")
+
+
+_LAYER = f"""{an.FEATURES}, {an.FEATURE_SITES}, layer AS (SELECT s.accession, s.position, CASE WHEN s.accession LIKE 'x%' THEN '' WHEN f.code IS NULL THEN 'exact_feature_absent' ELSE {an.TIER} END uniprot_tier,
+  coalesce(f.code, '') uniprot_evidence_codes, s.accession LIKE 'x%' gone FROM sites s LEFT JOIN (SELECT * FROM features WHERE parse_status = 'ok' AND glyco_type = 'N-linked') f ON s.accession = f.accession AND s.position = f.position),
+annotated AS (SELECT accession, position, uniprot_tier, uniprot_evidence_codes, uniprot_tier IN ('manual_experimental','manual_combinatorial') uniprot_qualifies,
+  CASE WHEN gone THEN 'accession_absent_from_snapshot' WHEN uniprot_tier IN ('manual_experimental','manual_combinatorial') THEN '' WHEN uniprot_tier = 'manual_curator_inference' THEN 'curator_inference_only'
+  WHEN uniprot_tier IN ('manual_sequence_model','automatic_sequence_model') THEN 'sequence_model_only' WHEN uniprot_tier = 'sequence_similarity' THEN 'sequence_similarity_only' ELSE uniprot_tier END exclusion_reason FROM layer)"""
+
+
+def _annotated(s: SparkSession, d: str) -> DataFrame:
+    sites = an.feature_sites(s, d)
+    absent = sites.select("accession").join(an.annotations(s, d), "accession", "left_anti")
+    return ev.annotation_layer(sites, x.parse_features(an.annotations(s, d)), absent, ev.Policy())
+
+
+@_add("JN2", f"WITH {_LAYER} SELECT accession, position, uniprot_tier, uniprot_evidence_codes, uniprot_qualifies, exclusion_reason FROM annotated")
+def _(s, d):
+    return _annotated(s, d)
+
+
+_GLYCAN = f"""{an.ENTRIES}, glycan AS (SELECT accession, position, {an.GLYCAN_TIERS}[min(rank) + 1] glygen_tier, string_agg(DISTINCT category, '|' ORDER BY category) glygen_categories, string_agg(DISTINCT db, '|' ORDER BY db) glygen_evidence_databases,
+  coalesce(string_agg(DISTINCT CAST(event_id AS VARCHAR), '|' ORDER BY CAST(event_id AS VARCHAR)) FILTER (db = 'PubMed'), '') glygen_pubmed_ids, string_agg(DISTINCT 'G' || event_id % 5, '|' ORDER BY 'G' || event_id % 5) glygen_glytoucan_ids FROM entries GROUP BY 1, 2)"""
+
+
+@_add("AGG6", f"WITH {_GLYCAN} SELECT * FROM glycan")
+def _(s, d):
+    return ev.glycan_sites(an.glycan_entries(s, d))
+
+
+@_add("AGG7", "SELECT CAST(user_id AS VARCHAR) accession, CAST(json_extract_string(props, '$.k') AS INTEGER) AS position, count(*) glyconnect_glycan_count, string_agg(DISTINCT event_type, '|' ORDER BY event_type) glyconnect_compositions FROM events GROUP BY 1, 2")
+def _(s, d):
+    rows = an.table(s, d, "events").select(F.col("user_id").cast("string").alias("accession"), F.col("event_type").alias("composition_string"), F.array(F.struct(F.concat(F.lit(" asn-"), F.get_json_object("props", "$.k"), F.lit(" ")).alias("site"))).alias("sites"))
+    return ev.composition_sites(rows)
+
+
+_USERS = "users AS (SELECT DISTINCT CAST(user_id AS VARCHAR) accession, p AS position FROM events, (SELECT unnest([1, 2, 3, 50]) p))"
+
+
+def _user_sites(s: SparkSession, d: str) -> DataFrame:
+    return an.table(s, d, "events").select(F.col("user_id").cast("string").alias("accession")).distinct().withColumn("position", F.explode(F.array(*map(F.lit, (1, 2, 3, 50)))))
+
+
+@_add("JN5", f"WITH {_GLYCAN}, {_USERS} SELECT accession, position, coalesce(glygen_tier, '') glygen_tier, coalesce(glygen_categories, '') glygen_categories FROM users LEFT JOIN glycan USING (accession, position)")
+def _(s, d):
+    return ev.layer_on_sites(_user_sites(s, d), ev.glycan_sites(an.glycan_entries(s, d))).select("accession", "position", "glygen_tier", "glygen_categories")
+
+
+_COMBINED = f"""{_LAYER}, {_GLYCAN}, joined AS (SELECT a.*, coalesce(g.glygen_tier, '') glygen_tier, coalesce(g.glygen_tier, '') IN ('glygen_reported_with_glycan','glygen_reported_independent') g FROM annotated a LEFT JOIN glycan g USING (accession, position)),
+combined AS (SELECT accession, position, concat_ws('|', CASE WHEN uniprot_qualifies THEN 'uniprot' END, CASE WHEN g THEN 'glygen' END) support_sources, CAST(uniprot_qualifies AS INTEGER) + CAST(g AS INTEGER) support_count,
+  uniprot_qualifies OR g experimental_positive, CASE WHEN uniprot_qualifies OR g THEN 'occupied_supported' ELSE 'unknown' END occupancy_status, CASE WHEN uniprot_qualifies OR g THEN '' ELSE exclusion_reason END exclusion_reason FROM joined)"""
+
+
+def _combined(s: SparkSession, d: str) -> DataFrame:
+    return ev.combine(_annotated(s, d), [ev.layer_on_sites(an.feature_sites(s, d), ev.glycan_sites(an.glycan_entries(s, d)))], ev.Policy())
+
+
+@_add("CMP2", f"WITH {_COMBINED} SELECT * FROM combined")
+def _(s, d):
+    return _combined(s, d).select("accession", "position", "support_sources", "support_count", "experimental_positive", "occupancy_status", "exclusion_reason")
+
+
+@_add("AGG5", f"WITH {_COMBINED} SELECT count(*) FILTER (support_sources LIKE '%uniprot%') n_uniprot, count(*) FILTER (support_sources LIKE '%glygen%') n_glygen, CAST(0 AS BIGINT) n_glyconnect, CAST(0 AS BIGINT) n_structure FROM combined")
+def _(s, d):
+    return ev.layer_support(_combined(s, d))
+
+
+@_add("AGG28", f"WITH {_COMBINED} SELECT count(*) n_all, count(*) FILTER (experimental_positive) n_positive, count(*) FILTER (support_count = 2) n_both FROM combined")
+def _(s, d):
+    return _combined(s, d).agg(F.count("*").alias("n_all"), F.count_if("experimental_positive").alias("n_positive"), F.count_if(F.col("support_count") == 2).alias("n_both"))
+
+
+# -- sequences ------------------------------------------------------------------------------------
+
+_MOTIFS = f"{an.PROTEINS}, motifs AS (SELECT accession, control_set, pdb_ids, sequence, CAST(i AS INTEGER) AS position FROM (SELECT *, unnest(range(1, greatest(length(sequence) - 1, 1))) i FROM proteins) WHERE sequence[i] = 'N' AND sequence[i + 1] <> 'P' AND sequence[i + 2] IN ('S', 'T'))"
+
+
+@_add("FN15", f"WITH {_MOTIFS} SELECT accession, position FROM motifs")
+def _(s, d):
+    return an.proteins(s, d).select("accession", F.explode(x.sequon_positions(F.col("sequence"))).alias("position"))
+
+
+@_add("FN16", f"WITH {_MOTIFS} SELECT accession, control_set, position, sequence[position:position + 2] sequon, CAST(length(sequence) AS INTEGER) protein_length, CAST(2 AS INTEGER) n_pdb_entries, replace(pdb_ids, '; ', ';') pdb_ids FROM motifs")
+def _(s, d):
+    return x.sequon_sites(an.proteins(s, d))
+
+
+@_add("AGG9", f"WITH {an.PROTEINS}, letters AS (SELECT unnest(string_split(sequence, '')) letter FROM proteins WHERE sequence <> '') SELECT letter, round(count(*) / sum(count(*)) OVER (), 5) AS share FROM letters GROUP BY 1")
+def _(s, d):
+    each = F.array(*(F.struct(F.lit(c).alias("letter"), (F.length("sequence") - F.length(F.replace("sequence", F.lit(c)))).alias("k")) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    sums = an.proteins(s, d).select(F.explode(each).alias("e")).groupBy("e.letter").agg(F.sum("e.k").alias("k")).where("k > 0")
+    return sums.select("letter", F.round(F.col("k") / F.sum("k").over(Window.partitionBy()), 5).alias("share"))  # 26 rows
+
+
+@_add("AGG10", f"WITH {_MOTIFS}, n AS (SELECT control_set, count(*) proteins, sum(length(sequence)) residues FROM proteins GROUP BY 1), m AS (SELECT control_set, count(*) sequons FROM motifs GROUP BY 1) SELECT control_set, proteins, coalesce(sequons, 0) sequons, round(coalesce(sequons, 0) / proteins, 3) per_protein FROM n LEFT JOIN m USING (control_set)")
+def _(s, d):
+    rows = an.proteins(s, d).withColumn("k", F.size(x.sequon_positions(F.col("sequence"))))
+    return rows.groupBy("control_set").agg(F.count("*").alias("proteins"), F.sum("k").alias("sequons")).withColumn("per_protein", F.round(F.col("sequons") / F.col("proteins"), 3))
+
+
+@_add("FN31", "SELECT p_partkey, list_sort(list_distinct(string_split(upper(p_name), ' '))) tokens FROM part")
+def _(s, d):
+    return an.table(s, d, "part").select("p_partkey", F.array_sort(x.gene_tokens(F.col("p_name"))).alias("tokens"))
+
+
+@_add("FN32", "SELECT doc_id, regexp_matches(text, '(?i)\\b(immunoglobulin|antibody|Fc receptor|mucin|collagen|integrin|cadherin|complement C[0-9]|coagulation factor|fibrinogen|von Willebrand|histocompatibility|growth factor receptor)\\b') suspect FROM documents")
+def _(s, d):
+    return an.table(s, d, "documents").select("doc_id", x.suspect_family(F.col("text")).alias("suspect"))
+
+
+@_add("JN21", "SELECT p_partkey, len(list_intersect(string_split(upper(p_name), ' '), (SELECT list(DISTINCT t) FROM (SELECT unnest(string_split(upper(p_name), ' ')) t FROM part WHERE p_type = 'PROMO')))) > 0 shared FROM part")
+def _(s, d):
+    part = an.table(s, d, "part")
+    genes = part.where("p_type = 'PROMO'").select(F.explode(x.gene_tokens(F.col("p_name"))).alias("g")).distinct()
+    hit = part.select("p_partkey", F.explode(x.gene_tokens(F.col("p_name"))).alias("g")).join(genes, "g", "left_semi").select("p_partkey", F.lit(True).alias("hit")).distinct()
+    return part.select("p_partkey").join(hit, "p_partkey", "left").select("p_partkey", F.coalesce("hit", F.lit(False)).alias("shared"))
+
+
+@_add("AGG29", "SELECT n_name, count(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4")
+def _(s, d):
+    rows = an.table(s, d, "customer").join(an.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy(F.split("n_name", r" \(")[0].alias("n_name")).count().orderBy(F.desc("count"), "n_name").limit(4)
+
+
+@_add("AGG33", "SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) first_priority FROM orders GROUP BY 1")
+def _(s, d):
+    return an.table(s, d, "orders").where("o_orderpriority is not null").groupBy("o_custkey").agg(F.min_by("o_orderpriority", "o_orderkey").alias("first_priority"))
+
+
+# -- matching -------------------------------------------------------------------------------------
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return ma.caliper_edges(an.side(s, d, "PROMO"), an.side(s, d, "ECONOMY"), ["size", "price"], 0.25, ("brand",))
+
+
+@_add("JN12", f"WITH {an.NEAR} SELECT case_accession, control_accession, brand, round(distance, 6) distance FROM near")
+def _(s, d):
+    return _edges(s, d).select("case_accession", "control_accession", "brand", r6("distance"))
+
+
+@_add("SRT3", f"WITH {an.NEAREST} SELECT case_accession, control_accession, round(distance, 6) distance, CAST(match_rank AS INTEGER) match_rank FROM nearest WHERE match_rank <= 3")
+def _(s, d):
+    return ma.nearest(_edges(s, d), 3).select("case_accession", "control_accession", r6("distance"), "match_rank")
+
+
+@_add("FN37", "SELECT round(stddev_samp(p_size), 6) AS size, round(stddev_samp(p_retailprice), 6) price FROM part WHERE p_type IN ('PROMO','ECONOMY')")
+def _(s, d):
+    scale = ma.scales(an.side(s, d, "PROMO"), an.side(s, d, "ECONOMY"), ["size", "price"])
+    return s.createDataFrame([(round(scale["size"], 6), round(scale["price"], 6))], "size double, price double")
+
+
+@_add("STAT13")
+def _(s, d):
+    return ma.greedy_pairs(_edges(s, d), an.side(s, d, "PROMO"))
+
+
+@_add("STAT14")
+def _(s, d):
+    return ma.optimal_pairs(_edges(s, d))
+
+
+@_add("STAT15")
+def _(s, d):
+    return ma.seed_sweep(_edges(s, d), an.side(s, d, "PROMO"), [0, 1, 2], 1).groupBy("seed").agg(F.count("*").alias("n_pairs"), F.avg("distance").alias("mean_distance"))
+
+
+_BALANCE = """SELECT feature, round(cm, 6) case_mean, round(tm, 6) control_mean, round((cm - tm) / sqrt((cv + tv) / 2), 6) smd FROM (
+  SELECT 'size' feature, avg(p_size) FILTER (p_type = 'PROMO') cm, avg(p_size) FILTER (p_type <> 'PROMO') tm, var_samp(p_size) FILTER (p_type = 'PROMO') cv, var_samp(p_size) FILTER (p_type <> 'PROMO') tv FROM part
+  UNION ALL SELECT 'price', avg(p_retailprice) FILTER (p_type = 'PROMO'), avg(p_retailprice) FILTER (p_type <> 'PROMO'), var_samp(p_retailprice) FILTER (p_type = 'PROMO'), var_samp(p_retailprice) FILTER (p_type <> 'PROMO') FROM part)"""
+
+
+@_add("AGG14", _BALANCE)
+def _(s, d):
+    part = an.table(s, d, "part").select((F.col("p_type") == "PROMO").alias("is_case"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    return ma.balance(part, ["size", "price"]).select("feature", r6("case_mean"), r6("control_mean"), r6("smd"))
+
+
+_WEIGHTED = f"""WITH {an.NEAREST}, w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY case_accession) w FROM nearest WHERE match_rank <= 3),
+g AS (SELECT true is_case, w, p_size x FROM w JOIN part ON case_accession = CAST(p_partkey AS VARCHAR) UNION ALL SELECT false, w, p_size FROM w JOIN part ON control_accession = CAST(p_partkey AS VARCHAR)),
+m AS (SELECT is_case, sum(w * x) / sum(w) m FROM g GROUP BY 1), v AS (SELECT is_case, any_value(m) m, sum(w * (x - m) ** 2) / sum(w) v FROM g JOIN m USING (is_case) GROUP BY 1)
+SELECT round(max(m) FILTER (is_case), 6) case_mean, round(max(m) FILTER (NOT is_case), 6) control_mean, round((max(m) FILTER (is_case) - max(m) FILTER (NOT is_case)) / sqrt(sum(v) / 2), 6) smd FROM v"""
+
+
+@_add("AGG16", _WEIGHTED)
+def _(s, d):
+    pairs = ma.case_weights(ma.nearest(_edges(s, d), 3))
+    size = an.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("a"), F.col("p_size").alias("size"))
+    rows = [pairs.join(size, pairs[f"{k}_accession"] == size.a).select(F.lit(k == "case").alias("is_case"), "weight", "size") for k in ("case", "control")]
+    return ma.balance(rows[0].unionAll(rows[1]), ["size"], weight="weight").select(r6("case_mean"), r6("control_mean"), r6("smd"))
+
+
+@_add("DQ6", f"WITH {an.NEAREST}, w AS (SELECT 1.0 / count(*) OVER (PARTITION BY case_accession) w, case_accession FROM nearest WHERE match_rank <= 3) SELECT round(sum(w), 6) total_weight, count(DISTINCT case_accession) n_cases FROM w")
+def _(s, d):
+    return ma.case_weights(ma.nearest(_edges(s, d), 3)).agg(F.round(F.sum("weight"), 6).alias("total_weight"), F.countDistinct("case_accession").alias("n_cases"))
+
+
+@_add("DQ9", f"WITH {an.NEAR} SELECT CAST(count(*) FILTER (a.p_brand <> b.p_brand) AS BIGINT) n_unequal FROM near JOIN part a ON case_accession = CAST(a.p_partkey AS VARCHAR) JOIN part b ON control_accession = CAST(b.p_partkey AS VARCHAR)")
+def _(s, d):
+    brand = an.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("k"), F.col("p_brand").alias("b"))
+    rows = _edges(s, d).join(brand.toDF("case_accession", "b1"), "case_accession").join(brand.toDF("control_accession", "b2"), "control_accession")
+    return rows.agg(F.count_if(F.col("b1") != F.col("b2")).alias("n_unequal"))
+
+
+@_add("DQ4", "SELECT p_name FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
+def _(s, d):
+    return an.table(s, d, "part").groupBy("p_name").agg(F.countDistinct("p_type").alias("n")).where("n > 1").select("p_name")
+
+
+@_add("DQ1", "SELECT count(*) n_rows, count(*) FILTER (n_chars <> length(text)) n_disagree FROM documents JOIN labels USING (doc_id)")
+def _(s, d):
+    return an.table(s, d, "documents").join(an.table(s, d, "labels"), "doc_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("n_chars") != F.length("text")).alias("n_disagree"))
+
+
+@_add("DQ7", "SELECT CAST(count(*) AS BIGINT) n_groups, CAST(count(*) AS BIGINT) n_in_one_shard FROM (SELECT DISTINCT p_brand, p_type FROM part)")
+def _(s, d):
+    part = an.table(s, d, "part")
+    parts = [st.shard(part, ["p_brand", "p_type"], f"{k}/3").select("p_brand", "p_type", F.lit(k).alias("k")).distinct() for k in range(3)]
+    found = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("p_brand", "p_type").count()
+    return found.agg(F.count("*").alias("n_groups"), F.count_if(F.col("count") == 1).alias("n_in_one_shard"))
+
+
+# -- contrasts and inference ----------------------------------------------------------------------
+
+_CONTRASTS = f"""{an.NEAREST}, {an.SCORES}, contrasts AS (SELECT case_accession, any_value(a.score) case_score, avg(b.score) control_mean_score, count(*) n_controls, string_agg(DISTINCT control_accession, ';' ORDER BY control_accession) control_proteins
+  FROM nearest JOIN scores a ON case_accession = a.accession JOIN scores b ON control_accession = b.accession WHERE match_rank <= 3 GROUP BY 1)"""
+
+
+def _contrasts(s: SparkSession, d: str) -> DataFrame:
+    return inf.contrasts(ma.nearest(_edges(s, d), 3), an.scores(s, d))
+
+
+@_add("AGG17", f"WITH {_CONTRASTS} SELECT case_accession, round(case_score - control_mean_score, 4) contrast, n_controls, control_proteins, 'solo:' || case_accession ortholog_cluster FROM contrasts")
+def _(s, d):
+    return _contrasts(s, d).select("case_accession", F.round("contrast", 4).alias("contrast"), "n_controls", "control_proteins", "ortholog_cluster")
+
+
+@_add("AGG18", f"WITH {_CONTRASTS} SELECT control, count(*) AS count FROM (SELECT unnest(string_split(control_proteins, ';')) control FROM contrasts) GROUP BY 1")
+def _(s, d):
+    return _contrasts(s, d).select(F.explode(F.split("control_proteins", ";")).alias("control")).groupBy("control").count()
+
+
+@_add("STAT6", "SELECT 'c:' || o_custkey node, 'c:' || o_custkey component FROM orders UNION SELECT 'o:' || o_orderkey, 'c:' || o_custkey FROM orders")
+def _(s, d):
+    edges = an.table(s, d, "orders").select(F.concat(F.lit("c:"), "o_custkey").alias("a"), F.concat(F.lit("o:"), "o_orderkey").alias("b"))
+    return graph.components(edges)
+
+
+@_add("AGG12", "SELECT round(stddev_samp(l_extendedprice), 4) reference_sd FROM lineitem")
+def _(s, d):
+    return inf.reference_sd(an.table(s, d, "lineitem"), "l_extendedprice").select(F.round("reference_sd", 4).alias("reference_sd"))
+
+
+_LOCATION = """WITH r AS (SELECT c_acctbal v, row_number() OVER (ORDER BY c_acctbal) i, count(*) OVER () n, sum(c_acctbal) OVER () t FROM customer)
+SELECT CAST(max(n) AS BIGINT) n, round(avg(v), 4) mean, round(median(v), 4) median, round(avg(v) FILTER (i > floor(n * 0.1) AND i <= n - floor(n * 0.1)), 4) trimmed_mean, count(*) FILTER (v > 0) n_positive,
+round((max(t) - max(v)) / (max(n) - 1), 4) loo_min, round((max(t) - min(v)) / (max(n) - 1), 4) loo_max FROM r"""
+
+
+@_add("AGG20", _LOCATION)
+def _(s, d):
+    rows = inf.robust_location(an.table(s, d, "customer"), "c_acctbal")
+    return rows.select("n", *(F.round(c, 4).alias(c) for c in ("mean", "median", "trimmed_mean")), "n_positive", F.round("loo_min", 4).alias("loo_min"), F.round("loo_max", 4).alias("loo_max"))
+
+
+@_add("AGG19", "SELECT c_mktsegment, count(*) n, round(avg(c_acctbal), 4) mean, round(avg(c_acctbal) / stddev_samp(c_acctbal), 6) in_sd FROM customer GROUP BY 1")
+def _(s, d):
+    return an.table(s, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.round(F.avg("c_acctbal") / F.stddev_samp("c_acctbal"), 6).alias("in_sd"))
+
+
+_CLASSES = "SELECT coalesce(CAST(quality AS VARCHAR), '') || coalesce(CAST(toxic AS VARCHAR), '') AS class, n_chars, source FROM documents LEFT JOIN labels USING (doc_id)"
+
+
+def _classes(s: SparkSession, d: str) -> DataFrame:
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return an.table(s, d, "documents").join(an.table(s, d, "labels"), "doc_id", "left").select(F.concat(text("quality"), text("toxic")).alias("class"), "n_chars", "source")
+
+
+@_add("AGG21", f"SELECT class, count(*) n_sites, count(DISTINCT source) n_proteins, round(avg(n_chars), 4) mean, round(avg(CAST(n_chars = 0 AS INTEGER)), 6) share_zero FROM ({_CLASSES}) GROUP BY 1")
+def _(s, d):
+    return inf.class_summary(_classes(s, d), ["class"], "n_chars", "source").select("class", "n_sites", "n_proteins", F.round("mean", 4).alias("mean"), r6("share_zero"))
+
+
+@_add("AGG22", f"WITH c AS (SELECT class, avg(n_chars) m FROM ({_CLASSES}) GROUP BY 1) SELECT c.class, round(b.m - c.m, 4) difference FROM c, (SELECT m FROM c WHERE class = '10') b")
+def _(s, d):
+    summary = inf.class_summary(_classes(s, d), ["class"], "n_chars", "source")
+    return inf.against_baseline(summary, "class", "10").select("class", F.round("difference", 4).alias("difference"))
+
+
+@_add("JN9", "SELECT doc_id, coalesce(quality, -1) quality, coalesce(toxic, -1) toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def _(s, d):
+    return an.table(s, d, "documents").select("doc_id").join(an.table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+
+
+@_add("AGG23", "SELECT count(*) n, count(*) FILTER (l_discount <> l_tax) n_informative, count(*) FILTER (l_discount = l_tax) n_tied, round(avg(l_discount), 6) mean_case, round(avg(l_tax), 6) mean_control, round(avg(l_discount - l_tax), 6) mean_difference FROM lineitem")
+def _(s, d):
+    return inf.paired_summary(an.table(s, d, "lineitem"), "l_discount", "l_tax").select("n", "n_informative", "n_tied", r6("mean_case"), r6("mean_control"), r6("mean_difference"))
+
+
+_NATIONS = "n AS (SELECT c_nationkey k, count(*) n_pairs, avg(c_acctbal) mean, avg(c_acctbal) - 2 * stddev_samp(c_acctbal) / sqrt(count(*)) ci_low, avg(c_acctbal) + 2 * stddev_samp(c_acctbal) / sqrt(count(*)) ci_high FROM customer GROUP BY 1)"
+
+
+def _nations(s: SparkSession, d: str) -> DataFrame:
+    se = 2 * F.stddev_samp("c_acctbal") / F.sqrt(F.count("*"))
+    return an.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_pairs"), F.avg("c_acctbal").alias("mean"), (F.avg("c_acctbal") - se).alias("ci_low"), (F.avg("c_acctbal") + se).alias("ci_high"))
+
+
+@_add("STAT5", f"WITH {_NATIONS} SELECT k, CASE WHEN ci_low >= -4500 AND ci_high <= 4500 THEN 'equivalent' WHEN ci_low > 4500 OR ci_high < -4500 THEN 'beyond_margin' WHEN ci_low > 0 OR ci_high < 0 THEN 'directional' ELSE 'inconclusive' END verdict FROM n")
+def _(s, d):
+    return _nations(s, d).select("k", x.verdict(F.col("ci_low"), F.col("ci_high"), F.lit(4500)).alias("verdict"))
+
+
+@_add("AGG24", f"WITH {_NATIONS} SELECT count(*) n_seeds, min(n_pairs) min_pairs, max(n_pairs) max_pairs, round(min(mean), 4) min_mean, round(median(mean), 4) median_mean, round(max(mean), 4) max_mean, bool_and(mean > 0) all_positive, round(avg(CAST(ci_low > 0 OR ci_high < 0 AS INTEGER)), 6) share_excluding_zero FROM n")
+def _(s, d):
+    return inf.sweep_summary(_nations(s, d)).select("n_seeds", "min_pairs", "max_pairs", *(F.round(c, 4).alias(c) for c in ("min_mean", "median_mean", "max_mean")), "all_positive", r6("share_excluding_zero"))
+
+
+@_add("AGG25", "SELECT round(median(g), 6) median_gap, round(quantile_cont(g, 0.95), 6) p95_gap, round(corr(l_discount, l_tax), 6) correlation FROM (SELECT abs(l_discount - l_tax) / 0.02 g, l_discount, l_tax FROM lineitem)")
+def _(s, d):
+    return inf.convergence(an.table(s, d, "lineitem"), "l_discount", "l_tax", F.lit(0.02)).select(r6("median_gap"), r6("p95_gap"), r6("correlation"))
+
+
+@_add("AGG27", """WITH q AS (SELECT quantile_cont(c_acctbal, [0, 0.2, 0.4, 0.6, 0.8, 1]) q FROM customer), b AS (SELECT greatest(len(list_filter(list_distinct(q), lambda e: e < c_acctbal)), 1) - 1 bin, c_acctbal, c_custkey FROM customer, q)
+SELECT CAST(bin AS INTEGER) bin, count(*) n, round(avg(c_acctbal), 4) mean_c_acctbal, round(avg(c_custkey), 4) mean_c_custkey FROM b GROUP BY 1""")
+def _(s, d):
+    return inf.quintiles(an.table(s, d, "customer"), "c_acctbal", "c_custkey").select("bin", "n", F.round("mean_c_acctbal", 4).alias("mean_c_acctbal"), F.round("mean_c_custkey", 4).alias("mean_c_custkey"))
+
+
+@_add("AGG30", "SELECT p_type, quantile_cont(p_retailprice, 0.25) q1, median(p_retailprice) q2, quantile_cont(p_retailprice, 0.75) q3 FROM part GROUP BY 1")
+def _(s, d):
+    return an.table(s, d, "part").groupBy("p_type").agg(*(F.percentile("p_retailprice", F.lit(q)).alias(f"q{i + 1}") for i, q in enumerate((0.25, 0.5, 0.75))))
+
+
+_PICK = "CAST(('0x' || substr(md5('{salt}-' || {draw} || '-' || {slot}), 1, 8)) AS BIGINT) % {n}"
+_UNITS = "units AS (SELECT row_number() OVER (ORDER BY c_nationkey) - 1 unit_at, sum(c_acctbal) s, count(*) n FROM customer GROUP BY c_nationkey)"
+_DRAWS = f"{_UNITS}, draws AS (SELECT draw, sum(s) / sum(n) mean FROM (SELECT draw, {_PICK.format(salt='b', draw='draw', slot='slot', n='(SELECT count(*) FROM units)')} unit_at FROM (SELECT unnest(range(300)) draw), (SELECT unit_at slot FROM units)) JOIN units USING (unit_at) GROUP BY 1)"
+
+
+@_add("STAT1", f"WITH {_DRAWS} SELECT draw, round(mean, 6) mean FROM draws")
+def _(s, d):
+    return inf.bootstrap_draws(an.table(s, d, "customer"), "c_nationkey", "c_acctbal", 300).select("draw", r6("mean"))
+
+
+@_add("STAT4", f"WITH {_DRAWS} SELECT round(quantile_cont(mean, 0.025), 4) ci_low, round(quantile_cont(mean, 0.975), 4) ci_high FROM draws")
+def _(s, d):
+    return inf.interval(inf.bootstrap_draws(an.table(s, d, "customer"), "c_nationkey", "c_acctbal", 300)).select(F.round("ci_low", 4).alias("ci_low"), F.round("ci_high", 4).alias("ci_high"))
+
+
+@_add("STAT2")
+def _(s, d):
+    return inf.seeded_bootstrap(an.table(s, d, "customer"), "c_nationkey", "c_acctbal", 200, 7)
+
+
+@_add("STAT7", f"""WITH {_UNITS.replace('c_acctbal', '(c_acctbal - 4500)')}, d AS (SELECT draw, sum(s * CASE WHEN {_PICK.format(salt='p', draw='draw', slot='unit_at', n='2')} = 1 THEN 1 ELSE -1 END) / sum(n) m FROM (SELECT unnest(range(500)) draw), units GROUP BY 1),
+o AS (SELECT count(*) n_units, sum(s) / sum(n) observed FROM units) SELECT n_units, round(observed, 4) observed, round((count(*) FILTER (abs(m) >= abs(observed) - 1e-15) + 1) / 501.0, 6) p FROM d, o GROUP BY 1, observed""")
+def _(s, d):
+    rows = an.table(s, d, "customer").select("c_nationkey", (F.col("c_acctbal") - 4500).alias("v"))
+    return inf.sign_flips(rows, "c_nationkey", "v", 500).select("n_units", F.round("observed", 4).alias("observed"), r6("p"))
+
+
+_TESTS = "t AS (SELECT CAST(n_nationkey AS VARCHAR) test, (n_nationkey * 7 % 25 + 1) / 200.0 p FROM nation), k AS (SELECT *, row_number() OVER (ORDER BY p, test) i, count(*) OVER () m FROM t)"
+
+
+@_add("STAT8", f"WITH {_TESTS} SELECT test, round(least(1.0, max((m - i + 1) * p) OVER (ORDER BY p, test)), 6) p_holm, round(least(1.0, min(m * p / i) OVER (ORDER BY p DESC, test DESC)), 6) p_bh FROM k")
+def _(s, d):
+    tests = an.table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("test"), ((F.col("n_nationkey") * 7 % 25 + 1) / 200.0).alias("p"))
+    return inf.adjusted(tests).select("test", r6("p_holm"), r6("p_bh"))
+
+
+@_add("STAT12", "SELECT count(*) n, round(corr(a, b), 6) rho FROM (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 a, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0 b FROM customer)")
+def _(s, d):
+    return inf.spearman(an.table(s, d, "customer").select("c_acctbal", "c_nationkey"), "c_acctbal", "c_nationkey").select("n", r6("rho"))
+
+
+@_add("STAT18")
+def _(s, d):
+    rows = an.table(s, d, "customer")
+    return inf.sensitivity({"all": rows, "unflagged": rows.where("c_mktsegment <> 'BUILDING'")}, "c_nationkey", "c_acctbal", 100, 4500.0)
+
+
+@_add("STAT16")
+def _(s, d):
+    return inf.seeded_sample(an.table(s, d, "part"), ["p_partkey"], 50, 3).select("p_partkey")
+
+
+# -- structures and scores ------------------------------------------------------------------------
+
+
+@_add("JN16", """SELECT DISTINCT CAST(a.p_partkey AS VARCHAR) || '|' || b.p_partkey group_id, CAST(a.p_partkey AS VARCHAR) accession_occ, CAST(b.p_partkey AS VARCHAR) accession_unm, true same_structure
+FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand WHERE a.p_type = 'PROMO' AND b.p_type = 'ECONOMY'""")
+def _(s, d):
+    status = F.when(F.col("p_type") == "PROMO", "occupied_supported").when(F.col("p_type") == "ECONOMY", "observed_unmodified").otherwise("unknown")
+    rows = an.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("accession"), F.lit(1).alias("position"), F.concat_ws("-", "p_size", "p_brand").alias("structure_pdb_id"), status.alias("occupancy_status"))
+    return sr.within_structure_pairs(rows).select("group_id", "accession_occ", "accession_unm", "same_structure")
+
+
+@_add("JN22")
+def _(s, d):
+    rows = an.table(s, d, "part").select("p_partkey", F.upper("p_name").alias("a"), F.upper(F.concat("p_brand", "p_name", "p_type")).alias("b")).withColumn("al", sr.aligned("a", "b"))
+    return rows.select("p_partkey", "al.identity", "al.n_aligned", F.size("al.pairs").alias("n_pairs"))
+
+
+@_add("FN28", f"WITH {an.VECTORS}, q AS (SELECT vec_id, least(greatest(p[12], 1e-6), 1 - 1e-6) n, least(greatest(p[16] + p[17], 1e-6), 1 - 1e-6) st FROM vectors) SELECT vec_id, round((ln(n / (1 - n)) + ln(st / (1 - st))) / 2, 6) score FROM q")
+def _(s, d):
+    return an.vectors(s, d).select("vec_id", F.round(x.sequon_score(F.col("p"), F.col("p")), 6).alias("score"))
+
+
+@_add("FN29", "SELECT vec_id, embedding[1] > 0 AND embedding[2] > 0 AND embedding[3] > 0 scoreable FROM embeddings")
+def _(s, d):
+    mask = F.transform("embedding", lambda e: e > 0)
+    return an.table(s, d, "embeddings").select("vec_id", x.scoreable(mask, F.array(F.lit(0), F.lit(1), F.lit(2))).alias("scoreable"))
+
+
+@_add("AGG31", f"WITH {an.VECTORS}, q AS (SELECT label, least(greatest(p[12], 1e-6), 1 - 1e-6) n, least(greatest(p[16] + p[17], 1e-6), 1 - 1e-6) st FROM vectors) SELECT label AS key, round(avg((ln(n / (1 - n)) + ln(st / (1 - st))) / 2), 6) score, round(coalesce(stddev_samp((ln(n / (1 - n)) + ln(st / (1 - st))) / 2), 0), 6) score_sd, count(*) n_orders FROM q GROUP BY 1")
+def _(s, d):
+    rows = an.vectors(s, d).select(F.col("label").alias("key"), F.lit(0).alias("order"), F.col("p").alias("at_n"), F.col("p").alias("at_plus2"))
+    return sc.order_scores(rows, 1).select("key", r6("score"), r6("score_sd"), "n_orders")
+
+
+@_add("AGG26", """WITH w AS (SELECT doc_id, list_filter(string_split(upper(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' '), lambda t: length(t) > 2) w FROM documents)
+SELECT doc_id, CAST(len(w) AS INTEGER) n_designs_scored, CAST(len(list_filter(w, lambda t: t[1] = 'N' AND t[3] IN ('S','T') AND t[2] <> 'P')) AS INTEGER) n_full, CAST(len(list_filter(w, lambda t: t[1] <> 'N' AND t[3] NOT IN ('S','T'))) AS INTEGER) n_lost FROM w""")
+def _(s, d):
+    words = F.split(F.upper(F.regexp_replace("text", "[^A-Za-z ]", "")), " ")
+    rows = an.table(s, d, "documents").select("doc_id", words.alias("w"))
+    out = rows.select("doc_id", x.retention(F.col("w"), F.lit(0), F.lit(1), F.lit(2)).alias("r"))
+    return out.select("doc_id", "r.n_designs_scored", F.col("r.n_full_sequon_retained").alias("n_full"), F.col("r.n_complete_motif_loss").alias("n_lost"))
+
+
+@_add("FN33", "SELECT p_partkey, CAST(greatest(1, least(32, 6000 // greatest(p_size, 1))) AS BIGINT) batch FROM part")
+def _(s, d):
+    return an.table(s, d, "part").select("p_partkey", x.batch_size(F.col("p_size"), F.lit(32)).cast("long").alias("batch"))
+
+
+@_add("FN30", "SELECT p_partkey, left(p_name, 70) reason FROM part")
+def _(s, d):
+    return an.table(s, d, "part").select("p_partkey", x.normal_reason(F.concat("p_name", F.lit("_["), F.col("p_size").cast("string"), F.lit("]"))).alias("reason"))
+
+
+@_add("UDF9", "SELECT i AS index, coalesce(sum(l_quantity), 0) AS sum, round(coalesce(avg(l_quantity), 0), 6) mean, coalesce(min(l_quantity), 0) AS min, coalesce(max(l_quantity), 0) AS max FROM (SELECT unnest(range(10)) i) LEFT JOIN lineitem ON l_linenumber = i GROUP BY 1")
+def _(s, d):
+    rows = an.table(s, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("index"), F.col("l_quantity").alias("src"))
+    return sc.segment_reduce(rows, 10).select("index", "sum", r6("mean"), "min", "max")
+
+
+@_add("UDF1")
+def _(s, d):
+    seqs = an.proteins(s, d).where(F.length("sequence") >= 3).select(F.col("accession").alias("structure_pdb_id"), F.lit("A").alias("structure_chain_id"), "sequence")
+    hits = x.sequon_sites(an.proteins(s, d)).select("accession", "position", F.col("accession").alias("structure_pdb_id"), F.lit("A").alias("structure_chain_id"), *((F.col("position") - 1 + i).alias(f"{n}_model_index") for i, n in enumerate(("n", "plus1", "plus2"))))
+    return sc.score_chains(hits, seqs, "hash", n_orders=2).select("accession", "position", F.round("conditional_sequon_score", 6).alias("score"), "error", "model", "n_orders")
