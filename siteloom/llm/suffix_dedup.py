@@ -8,9 +8,11 @@ strings lie at equal offsets from equal triggers.
 Dictionary and parse. Equal phrases are one dictionary entry. An occurrence that isn't the entry's first
 in corpus order repeats as a whole. Strings of an entry's first occurrence can repeat only in other
 entries with the same trigger; only for such entries are the suffixes of at least ``window`` bytes
-ranked against each other, as far as ``window`` bytes (a class of equal suffixes, keyed by 128 bits: the
-trigger's and the string's 64-bit hashes, takes the place of the full lexicographic rank). In each class
-all but the first in corpus order repeat. Long repeats thus cost a row a phrase, not a row a byte.
+compared with each other, as far as ``window`` bytes (classes of equal prefixes of that length take the
+place of the full lexicographic rank). In each class all but the first in corpus order repeat. Long
+repeats thus cost a row a phrase, not a row a byte. The entries of one trigger are compared in one task,
+as bytes, while they are few; where over CROWD rows share a trigger, each string is dealt on its own by
+128 bits of hash, so that no task gets them all.
 
 Rows of one key are reduced to their first within each slice of input before any shuffle, so that a
 passage in a third of all documents reaches a task once a slice.
@@ -23,16 +25,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Scratch, ordered, release
+from siteloom.llm.common import Scratch, ordered, parallelism, release
 
 WINDOW = 100
 TRIGGER = 24
 #: Bytes parsed at a time; longer texts are cut with an overlap, which changes phrases but not results.
 SLICE = 1 << 21
 POSITION_BITS = 27
+#: Rows of one trigger beyond which its strings are dealt one by one.
+CROWD = 4000
 _MASK = np.uint64((1 << POSITION_BITS) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, 256, dtype=np.uint64)
@@ -127,37 +131,85 @@ def phrases(keys: list[int], texts: list[bytes], window: int, trigger: int) -> I
         doc = np.array([h[0] for h in held], dtype=np.int64)[owner]
         pos = lo - starts[owner] + np.array([h[2] for h in held], dtype=np.int64)[owner]
         trig = rolled[place[lo]].view(np.int64)
-        yield {"trig": trig, "phrase": names, "doc": doc, "pos": pos.astype(np.int32), "n": (hi - lo).astype(np.int32), "dup": ~_first_rows(trig, names, doc, pos)}
+        yield {"trig": trig, "phrase": names, "doc": doc, "pos": pos, "n": hi - lo, "dup": ~_first_rows(trig, names, doc, pos)}
 
 
-def suffixes(runs: list[tuple[int, bytes, list[dict]]], window: int) -> Iterator[dict[str, np.ndarray]]:
-    """Columns trig, suffix, doc, pos, dup for every string of the given runs (doc, text, [{trig, pos, n}])."""
+def pieces(runs: list[tuple[int, bytes, list[dict]]], window: int) -> Iterator[dict[str, list]]:
+    """Columns g, p, doc, pos, n, piece for the given runs (doc, text, [{trig, pos, n, crowd}]).
+
+    A run of a rare trigger is one row with its bytes; of a common one, a row for each string, with the
+    string's hash as p, no bytes, and only the first of each kind in a batch of rows (n: 1; the others
+    n: -1, dealt apart).
+    """
     import xxhash
 
-    digest = xxhash.xxh3_64_digest
-    held: dict[str, list] = {"trig": [], "doc": [], "pos": []}
-    names: list[bytes] = []
+    digest = xxhash.xxh3_64_intdigest
+    names = ("g", "p", "doc", "pos", "n", "piece")
+    out: dict[str, list] = {c: [] for c in names}
+    first: dict[tuple[int, int], tuple[int, int]] = {}
 
-    def flush() -> dict[str, np.ndarray]:
-        out = {k: np.concatenate(v) for k, v in held.items()}
-        out["suffix"] = np.frombuffer(b"".join(names), ">i8").astype(np.int64)
-        out["dup"] = ~_first_rows(out["trig"], out["suffix"], out["doc"], out["pos"])
-        names.clear()
-        for v in held.values():
-            v.clear()
-        return out
+    def put(*values) -> None:
+        for c, v in zip(names, values):
+            out[c].append(v)
 
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
     for doc, text, own in runs:
         for run in own:
-            at, n = run["pos"], run["n"]
-            names += [digest(text[i : i + window]) for i in range(at, at + n)]
-            held["trig"].append(np.full(n, run["trig"], dtype=np.int64))
-            held["doc"].append(np.full(n, doc, dtype=np.int64))
-            held["pos"].append(np.arange(at, at + n, dtype=np.int32))
-        if len(names) > 200_000:
-            yield flush()
-    if names:
-        yield flush()
+            at, n, trig = run["pos"], run["n"], run["trig"]
+            if run["crowd"] <= CROWD:
+                put(trig, 0, doc, at, n, text[at : at + n + window - 1])
+                continue
+            for i in range(at, at + n):
+                key = trig, signed(digest(text[i : i + window]))
+                place = doc, i
+                if key not in first:
+                    first[key] = place
+                    continue
+                if place < first[key]:
+                    first[key], place = place, first[key]
+                put(signed(digest(b"%d %d" % place)), 0, *place, -1, None)
+        if len(out["g"]) + len(first) > 50_000:
+            for key, place in first.items():
+                put(*key, *place, 1, None)
+            yield out
+            out = {c: [] for c in names}
+            first = {}
+    for key, place in first.items():
+        put(*key, *place, 1, None)
+    if out["g"]:
+        yield out
+
+
+class Repeats:
+    """Rows of pieces() in order of (g, p, doc, pos) -> runs of strings that occurred before."""
+
+    def __init__(self, window: int):
+        self.window, self.key, self.seen = window, None, set()
+
+    def feed(self, rows: Iterator[tuple]) -> tuple[list[int], list[int], list[int]]:
+        docs, places, sizes = [], [], []
+        for g, p, doc, pos, n, piece in rows:
+            if n < 0:
+                docs.append(doc), places.append(pos), sizes.append(1)
+                continue
+            fresh = (g, p) != self.key
+            if fresh:
+                self.key, self.seen = (g, p), set()
+            if piece is None:
+                if not fresh:
+                    docs.append(doc), places.append(pos), sizes.append(1)
+                continue
+            strings = [piece[i : i + self.window] for i in range(n)]
+            if not fresh:
+                start = None
+                for i, known in enumerate([*map(self.seen.__contains__, strings), False]):
+                    if known and start is None:
+                        start = i
+                    elif not known and start is not None:
+                        docs.append(doc), places.append(pos + start), sizes.append(i - start)
+                        start = None
+            self.seen.update(strings)
+        return docs, places, sizes
 
 
 def spans(marks: list[dict] | None, window: int) -> list[tuple[int, int]]:
@@ -172,10 +224,6 @@ def spans(marks: list[dict] | None, window: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _batch(columns: dict[str, np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in names], names=names)
-
-
 def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).fill_null(b"").to_pylist()
 
@@ -190,29 +238,36 @@ def mark_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, trigge
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for columns in phrases(batch.column(0).to_pylist(), _bytes(batch.column(1)), window, trigger):
-                yield _batch(columns, ["trig", "phrase", "doc", "pos", "n", "dup"])
+                at = (columns["pos"] << 17) | (columns["n"] << 1) | columns["dup"]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (columns["trig"], columns["phrase"], columns["doc"], at)], names=["trig", "phrase", "doc", "at"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        for batch in batches:
+            for columns in pieces(list(zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist())), window):
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns.values(), kinds)], names=list(columns))
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = Repeats(window)
         for batch in batches:
-            for columns in suffixes(list(zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist())), window):
-                yield _batch(columns, ["trig", "suffix", "doc", "pos", "dup"])
+            docs, places, sizes = state.feed(zip(*(c.to_pylist() for c in batch.columns)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int32())], names=["doc", "pos", "n"])
 
     texts = docs.select("__order__", "text")
-    parsed = texts.mapInArrow(parse, "trig long, phrase long, doc long, pos int, n int, dup boolean")
-    # rows that are known to repeat need no company: they are dealt by their own place
-    dealt = parsed.withColumn("g", F.when(F.col("dup"), F.xxhash64("doc", "pos")).otherwise(F.col("trig"))).withColumn("p", F.when(F.col("dup"), F.xxhash64("pos", "doc")).otherwise(F.col("phrase")))
-    dealt = dealt.select("g", "p", "doc", "pos", "n", "dup")
+    parsed = texts.mapInArrow(parse, "trig long, phrase long, doc long, at long")
+    # at: pos, n and dup in one number. Rows that are known to repeat need no company: they are dealt by their own place
+    dup = F.expr("(at & 1) = 1")
+    dealt = parsed.select(F.when(dup, F.xxhash64("doc", "at")).otherwise(F.col("trig")).alias("g"), F.when(dup, F.xxhash64("at", "doc")).otherwise(F.col("phrase")).alias("p"), "doc", "at")
     group = Window.partitionBy("g")
-    ranked = dealt.withColumn("before", F.lag("p").over(group.orderBy("p", "doc", "pos"))).withColumn("least", F.min("p").over(group)).withColumn("most", F.max("p").over(group))
-    again = F.col("dup") | (F.col("before") == F.col("p"))
-    known = ranked.select("g", "doc", "pos", "n", F.coalesce(again, F.lit(False)).alias("again"), (F.col("least") < F.col("most")).alias("unsure"))
+    ranked = dealt.withColumn("before", F.lag("p").over(group.orderBy("p", "doc", "at"))).withColumn("least", F.min("p").over(group)).withColumn("most", F.max("p").over(group)).withColumn("crowd", F.count("*").over(group))
+    again = F.coalesce(dup | (F.col("before") == F.col("p")), F.lit(False))
+    known = ranked.select("g", "doc", F.expr("at >> 17").alias("pos"), F.expr("cast((at >> 1) & 65535 as int)").alias("n"), "crowd", again.alias("again"), (F.col("least") < F.col("most")).alias("unsure"))
     entries = scratch.write(known.where("again or unsure"), "entries")
     release(docs.sparkSession)
-    unsure = entries.where("not again").select("doc", F.col("g").alias("trig"), "pos", "n")
-    strings = _with_runs(texts, unsure, "trig pos n", "inner").select("__order__", "text", "__runs__").mapInArrow(rank, "trig long, suffix long, doc long, pos int, dup boolean")
-    key: list[Column] = [F.when(F.col("dup"), F.xxhash64("doc", "pos")).otherwise(F.col("trig")).alias("g"), F.when(F.col("dup"), F.xxhash64("pos", "doc")).otherwise(F.col("suffix")).alias("p")]
-    placed = strings.select(*key, "doc", "pos", "dup").withColumn("row", F.row_number().over(Window.partitionBy("g", "p").orderBy("doc", "pos")))
-    more = scratch.write(placed.where("dup or row > 1").select("doc", "pos", F.lit(1).alias("n")), "strings")
+    unsure = entries.where("not again").select("doc", F.col("g").alias("trig"), "pos", "n", "crowd")
+    rows = _with_runs(texts, unsure, "trig pos n crowd", "inner").select("__order__", "text", "__runs__").mapInArrow(cut, "g long, p long, doc long, pos long, n int, piece binary")
+    more = rows.repartition(parallelism(docs.sparkSession), "g", "p").sortWithinPartitions("g", "p", "doc", "pos").mapInArrow(compare, "doc long, pos long, n int")
+    more = scratch.write(more, "strings")
     release(docs.sparkSession)
     return entries.where("again").select("doc", "pos", "n").unionAll(more)
 

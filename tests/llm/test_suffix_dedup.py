@@ -60,6 +60,21 @@ def test_cut_slices_and_other_windows(spark, monkeypatch):
     check(spark, corpus(3, 40), 31, 7)
 
 
+def test_crowded_triggers(spark, monkeypatch):
+    monkeypatch.setattr(s, "CROWD", 3)
+    texts = [(i, (t or "").encode()) for i, (_, t) in enumerate(corpus(5, 20))]
+    runs = [(i, t, [{"trig": 5, "pos": 0, "n": len(t) - 99, "crowd": 9}]) for i, t in texts if len(t) > 99]
+    rows = sorted((tuple(x) for c in s.pieces(runs, 100) for x in zip(*c.values())), key=lambda r: r[:4])
+    docs, places, _ = s.Repeats(100).feed(iter(rows))
+    seen, want = set(), []
+    for i, t, own in runs:
+        for a in range(own[0]["n"]):
+            if t[a : a + 100] in seen:
+                want.append((i, a))
+            seen.add(t[a : a + 100])
+    assert sorted(zip(docs, places)) == want and want
+
+
 def test_repeated_and_null_ids(spark):
     long = "".join(chr(97 + i * i % 23) for i in range(300))
     check(spark, [(1, long), (1, long), (None, long + "x"), (None, None), (2, "y" + long), (2, "z" + long[:150])])
