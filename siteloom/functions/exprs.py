@@ -39,7 +39,7 @@ def glyco_type(note: Column) -> Column:
 
 def parse_status(piece: Column) -> Column:
     """FN3: ok for one exact position, else why not."""
-    return F.when(piece.rlike(r"^CARBOHYD\s+\d+\s*;"), "ok").when(piece.rlike(r"^CARBOHYD\s+[^\s;]+"), "uncertain_or_range_position").otherwise("malformed_feature")
+    return F.when(piece.rlike(r"^CARBOHYD\s+\d+\s*;"), "ok").when(piece.rlike(r"^CARBOHYD\s+\S+"), "uncertain_or_range_position").otherwise("malformed_feature")
 
 
 def parsed_feature(piece: Column) -> Column:
