@@ -62,15 +62,17 @@ def _blocks(edges: DataFrame) -> DataFrame:
     return edges.withColumn("node", name("case")).join(found, "node").drop("node")
 
 
-def greedy_pairs(edges: DataFrame, cases: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+def greedy_pairs(edges: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """STAT13: cases in a seeded order each take their k nearest controls still free.
 
     The order is a seeded hash of the case's key, the same for any partitioning. Components of the edge
     graph are walked apart, which changes nothing, as a control is admissible in its own component only.
     """
     order = F.xxhash64("case_accession", "case_position", F.lit(seed))
-    rows = _blocks(edges).withColumn("turn", order)
+    return _greedy(_blocks(edges).withColumn("turn", order), k)
 
+
+def _greedy(rows: DataFrame, k: int) -> DataFrame:
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
         pdf = pdf.sort_values(["turn", "case_accession", "case_position", "distance", "control_accession", "control_position"])
@@ -168,6 +170,8 @@ def case_weights(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("case_accession", "case_position")))
 
 
-def seed_sweep(edges: DataFrame, cases: DataFrame, seeds: list[int], k: int = 5) -> DataFrame:
-    """STAT15: greedy pairs under each seed, tagged."""
-    return reduce(DataFrame.unionAll, [greedy_pairs(edges, cases, k, s).withColumn("seed", F.lit(s)) for s in seeds])
+def seed_sweep(edges: DataFrame, seeds: list[int], k: int = 5) -> DataFrame:
+    """STAT15: greedy pairs under each seed, tagged. Components are found once for all seeds."""
+    blocks = _blocks(edges).persist()
+    turn = lambda s: F.xxhash64("case_accession", "case_position", F.lit(s))
+    return reduce(DataFrame.unionAll, [_greedy(blocks.withColumn("turn", turn(s)), k).withColumn("seed", F.lit(s)) for s in seeds])

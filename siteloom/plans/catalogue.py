@@ -378,7 +378,7 @@ def _(s, d):
 
 @_add("STAT13")
 def _(s, d):
-    return ma.greedy_pairs(_edges(s, d), an.side(s, d, "PROMO"))
+    return ma.greedy_pairs(_edges(s, d))
 
 
 @_add("STAT14")
@@ -388,7 +388,7 @@ def _(s, d):
 
 @_add("STAT15")
 def _(s, d):
-    return ma.seed_sweep(_edges(s, d), an.side(s, d, "PROMO"), [0, 1, 2], 1).groupBy("seed").agg(F.count("*").alias("n_pairs"), F.avg("distance").alias("mean_distance"))
+    return ma.seed_sweep(_edges(s, d), [0, 1, 2], 1).groupBy("seed").agg(F.count("*").alias("n_pairs"), F.avg("distance").alias("mean_distance"))
 
 
 _BALANCE = """SELECT feature, round(cm, 6) case_mean, round(tm, 6) control_mean, round((cm - tm) / sqrt((cv + tv) / 2), 6) smd FROM (
@@ -672,3 +672,264 @@ def _(s, d):
     seqs = an.proteins(s, d).where(F.length("sequence") >= 3).select(F.col("accession").alias("structure_pdb_id"), F.lit("A").alias("structure_chain_id"), "sequence")
     hits = x.sequon_sites(an.proteins(s, d)).select("accession", "position", F.col("accession").alias("structure_pdb_id"), F.lit("A").alias("structure_chain_id"), *((F.col("position") - 1 + i).alias(f"{n}_model_index") for i, n in enumerate(("n", "plus1", "plus2"))))
     return sc.score_chains(hits, seqs, "hash", n_orders=2).select("accession", "position", F.round("conditional_sequon_score", 6).alias("score"), "error", "model", "n_orders")
+
+
+# -- single functions and further joins -----------------------------------------------------------
+
+_TEXT = "f AS (SELECT accession, position, glyco_type, code, parse_status FROM features)"
+
+
+def _parsed(s: SparkSession, d: str) -> DataFrame:
+    return x.parse_features(an.annotations(s, d))
+
+
+@_add("FN1", f"WITH {an.FEATURES} SELECT accession, list_distinct(list(code)) codes FROM features WHERE code IS NOT NULL GROUP BY 1")
+def _(s, d):
+    return an.annotations(s, d).select("accession", x.eco_codes(F.col("Glycosylation")).alias("codes"))
+
+
+@_add("FN2", f"WITH {an.FEATURES} SELECT accession, CAST(count(*) AS INTEGER) n_pieces FROM features GROUP BY 1")
+def _(s, d):
+    return an.annotations(s, d).select("accession", F.size(x.feature_pieces(F.col("Glycosylation"))).alias("n_pieces"))
+
+
+@_add("FN3", f"WITH {an.FEATURES} SELECT parse_status, count(*) n, count(position) n_positions FROM features GROUP BY 1")
+def _(s, d):
+    return _parsed(s, d).groupBy("parse_status").agg(F.count("*").alias("n"), F.count("position").alias("n_positions"))
+
+
+@_add("FN4", "SELECT CASE p_type WHEN 'ECONOMY' THEN 'O-linked (GalNAc...) serine' WHEN 'LARGE' THEN 'N-linked (Glc) (glycation) lysine' ELSE 'N-linked (GlcNAc...) asparagine' END note, count(*) n FROM part GROUP BY 1")
+def _(s, d):
+    return _parsed(s, d).where("parse_status = 'ok'").groupBy(F.col("raw_note").alias("note")).agg(F.count("*").alias("n"))
+
+
+@_add("FN5", f"WITH {an.FEATURES} SELECT glyco_type, count(*) n FROM features GROUP BY 1")
+def _(s, d):
+    return _parsed(s, d).groupBy("glyco_type").agg(F.count("*").alias("n"))
+
+
+@_add("FN7", f"WITH {an.FEATURES} SELECT {an.TIER} tier, count(*) n FROM features GROUP BY 1")
+def _(s, d):
+    return _parsed(s, d).groupBy(x.annotation_tier(F.col("evidence_codes")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@_add("FN8", f"WITH {_LAYER} SELECT exclusion_reason, count(*) n FROM annotated GROUP BY 1")
+def _(s, d):
+    return _annotated(s, d).groupBy("exclusion_reason").agg(F.count("*").alias("n"))
+
+
+@_add("FN9", f"WITH {an.ENTRIES} SELECT {an.GLYCAN_TIERS}[rank + 1] tier, count(*) n FROM entries GROUP BY 1, rank")
+def _(s, d):
+    return an.glycan_entries(s, d).groupBy(x.glycan_entry_tier(F.col("categories"), F.transform("evidence", lambda e: e["database"])).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@_add("FN10", "SELECT event_type, count(*) FILTER (event_type <> 'error') n_usable FROM events GROUP BY 1")
+def _(s, d):
+    rows = an.table(s, d, "events").select("event_type", F.when(F.col("event_type") == "error", "O-linked").otherwise("N-Linked").alias("kind"), F.lit(3).alias("a"))
+    return rows.groupBy("event_type").agg(F.count_if(x.glycan_entry_usable(F.col("kind"), F.col("a"), F.col("a"))).alias("n_usable"))
+
+
+@_add("FN11", f"WITH {an.ENTRIES} SELECT count(*) FILTER (db = 'PubMed') n_ids FROM entries")
+def _(s, d):
+    return an.glycan_entries(s, d).agg(F.sum(F.size(x.ids_by_database(F.col("evidence"), "PubMed"))).alias("n_ids"))
+
+
+@_add("FN12", "SELECT event_id, CASE WHEN event_type <> 'view' THEN CAST(json_extract_string(props, '$.k') AS INTEGER) ELSE -1 END AS position FROM events")
+def _(s, d):
+    label = F.concat(F.when(F.col("event_type") == "view", "Ser-").otherwise(" ASN-"), F.get_json_object("props", "$.k"))
+    return an.table(s, d, "events").select("event_id", F.coalesce(x.site_label_position(label), F.lit(-1)).alias("position"))
+
+
+@_add("FN13", f"WITH {_COMBINED} SELECT support_sources, support_count, count(*) n FROM combined GROUP BY 1, 2")
+def _(s, d):
+    return _combined(s, d).groupBy("support_sources", "support_count").agg(F.count("*").alias("n"))
+
+
+@_add("FN14", f"WITH {_COMBINED} SELECT occupancy_status, count(*) n FROM combined GROUP BY 1")
+def _(s, d):
+    return _combined(s, d).groupBy("occupancy_status").agg(F.count("*").alias("n"))
+
+
+@_add("FN17", "SELECT doc_id, [lang, source] ids FROM documents")
+def _(s, d):
+    return an.table(s, d, "documents").select("doc_id", x.clean_ids(F.concat(F.lit(" "), F.col("lang"), F.lit(" ;; "), F.col("source"), F.lit(";"))).alias("ids"))
+
+
+@_add("FN18", "SELECT c_custkey, c_mktsegment = 'MACHINERY' competent FROM customer")
+def _(s, d):
+    host = F.when(F.col("c_mktsegment") == "MACHINERY", "Homo sapiens (hek293)").otherwise("Escherichia coli")
+    return an.table(s, d, "customer").select("c_custkey", x.competent_host(host).alias("competent"))
+
+
+@_add("FN19", "SELECT l_orderkey, l_partkey, round(least(l_quantity / 187, 1.5), 6) rsa, CASE WHEN least(l_quantity / 187, 1.5) < 0.09 THEN 'buried' WHEN least(l_quantity / 187, 1.5) < 0.36 THEN 'intermediate' ELSE 'exposed' END bin FROM lineitem")
+def _(s, d):
+    value = x.rsa(F.col("l_quantity"), F.lit("N"))
+    return an.table(s, d, "lineitem").select("l_orderkey", "l_partkey", F.round(value, 6).alias("rsa"), x.rsa_bin(value).alias("bin"))
+
+
+@_add("FN22", "SELECT l_returnflag, CASE l_returnflag WHEN 'N' THEN '' ELSE l_returnflag END code, count(*) n FROM lineitem GROUP BY 1, 2")
+def _(s, d):
+    raw = F.when(F.col("l_returnflag") == "N", "None").otherwise(F.concat(F.lit(" "), F.col("l_returnflag")))
+    return an.table(s, d, "lineitem").groupBy("l_returnflag", x.clean_icode(raw).alias("code")).agg(F.count("*").alias("n"))
+
+
+@_add("FN26", "SELECT l_discount, round(ln(greatest(least(l_discount, 1 - 1e-6), 1e-6) / (1 - greatest(least(l_discount, 1 - 1e-6), 1e-6))), 6) odds, count(*) n FROM lineitem GROUP BY 1")
+def _(s, d):
+    return an.table(s, d, "lineitem").groupBy("l_discount").agg(F.count("*").alias("n")).select("l_discount", F.round(x.logit(F.col("l_discount")), 6).alias("odds"), "n")
+
+
+@_add("FN27", f"WITH {an.VECTORS}, v AS (SELECT vec_id, CASE WHEN label = 0 THEN list_transform(p, lambda q: q * 2) ELSE p END p FROM vectors) SELECT vec_id, abs(list_sum(p) - 1) <= 1e-3 AND list_min(p) >= 0 AND list_max(p) <= 1.001 valid FROM v")
+def _(s, d):
+    rows = an.vectors(s, d).withColumn("p", F.when(F.col("label") == 0, F.transform("p", lambda q: q * 2)).otherwise(F.col("p")))
+    return rows.select("vec_id", x.is_distribution(F.col("p")).alias("valid"))
+
+
+@_add("FN36", f"WITH {_MOTIFS} SELECT sequence[position:position + 2] triplet, true is_sequon, count(*) n FROM motifs GROUP BY 1")
+def _(s, d):
+    return x.sequon_sites(an.proteins(s, d)).groupBy(F.col("sequon").alias("triplet"), x.is_sequon(F.col("sequon")).alias("is_sequon")).agg(F.count("*").alias("n"))
+
+
+@_add("JN3", f"WITH {an.ASSOCIATED}, s AS (SELECT accession, position, bool_or(homology_qc_bucket = 'strict') in_strict FROM associated GROUP BY 1, 2), p AS (SELECT CAST(p_partkey AS VARCHAR) accession, 1 AS position FROM part) SELECT accession, position, coalesce(in_strict, false) in_strict FROM p LEFT JOIN s USING (accession, position)")
+def _(s, d):
+    base = an.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("accession"), F.lit(1).alias("position"))
+    return st.joined_layers(base, [st.subsets(_links(s, d))]).select("accession", "position", F.coalesce("in_strict", F.lit(False)).alias("in_strict"))
+
+
+@_add("JN8", "SELECT p_partkey, round(score, 4) score FROM part JOIN (SELECT l_partkey, avg(l_extendedprice) score FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")
+def _(s, d):
+    return an.table(s, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("accession")).join(an.scores(s, d), "accession").select("p_partkey", F.round("score", 4).alias("score"))
+
+
+@_add("JN10", f"WITH {an.NEAREST}, k AS (SELECT DISTINCT case_accession FROM nearest) SELECT CAST(p_partkey AS VARCHAR) accession, p_brand brand FROM part JOIN k ON case_accession = CAST(p_partkey AS VARCHAR)")
+def _(s, d):
+    keys = _edges(s, d).select(F.col("case_accession").alias("accession")).distinct()
+    return an.side(s, d, "PROMO").join(keys, "accession").select("accession", "brand")
+
+
+@_add("JN15", "SELECT DISTINCT a.p_name group_id, CAST(a.p_partkey AS INTEGER) position_occ, CAST(b.p_partkey AS INTEGER) position_unm, a.p_size = b.p_size same_structure FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand WHERE a.p_type = 'PROMO' AND b.p_type = 'ECONOMY'")
+def _(s, d):
+    status = F.when(F.col("p_type") == "PROMO", "occupied_supported").when(F.col("p_type") == "ECONOMY", "observed_unmodified").otherwise("unknown")
+    rows = an.table(s, d, "part").select(F.concat_ws("|", "p_name", "p_brand").alias("accession"), F.col("p_partkey").cast("int").alias("position"), F.col("p_size").cast("string").alias("structure_pdb_id"), status.alias("occupancy_status"))
+    own = sr.within_structure_pairs(rows).where("accession_occ = accession_unm")
+    return own.select(F.split("group_id", r"\|")[0].alias("group_id"), "position_occ", "position_unm", "same_structure").distinct()
+
+
+@_add("JN18", "SELECT count(*) n, CAST(count(DISTINCT doc_id) AS BIGINT) n_ids FROM labels JOIN documents USING (doc_id)")
+def _(s, d):
+    return an.table(s, d, "labels").join(an.table(s, d, "documents"), "doc_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids"))
+
+
+@_add("JN19", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def _(s, d):
+    return st.not_in_keys(an.table(s, d, "customer").select("c_custkey"), an.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@_add("JN20", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
+def _(s, d):
+    keys = an.table(s, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("s_nationkey"))
+    return st.in_keys(an.table(s, d, "supplier").select("s_suppkey", "s_nationkey"), keys, ["s_nationkey"]).select("s_suppkey")
+
+
+@_add("AGG13", "SELECT round((avg(l_quantity) FILTER (l_returnflag = 'A') - avg(l_quantity) FILTER (l_returnflag <> 'A')) / sqrt((var_samp(l_quantity) FILTER (l_returnflag = 'A') + var_samp(l_quantity) FILTER (l_returnflag <> 'A')) / 2), 6) smd FROM lineitem")
+def _(s, d):
+    rows = an.table(s, d, "lineitem").select((F.col("l_returnflag") == "A").alias("is_case"), "l_quantity")
+    return ma.balance(rows, ["l_quantity"]).select(r6("smd"))
+
+
+@_add("AGG15", "WITH m AS (SELECT l_linestatus = 'O' c, sum(l_quantity * l_discount) / sum(l_quantity) m FROM lineitem GROUP BY 1) SELECT round(max(m) FILTER (c), 6) case_mean, round(max(m) FILTER (NOT c), 6) control_mean FROM m")
+def _(s, d):
+    rows = an.table(s, d, "lineitem").select((F.col("l_linestatus") == "O").alias("is_case"), "l_quantity", "l_discount")
+    return ma.balance(rows, ["l_discount"], weight="l_quantity").select(r6("case_mean"), r6("control_mean"))
+
+
+@_add("SRT2", f"WITH {an.SITES} SELECT accession, position, pair_id FROM links ORDER BY 1, 2, 3")
+def _(s, d):
+    return st.positioned(st.ready(an.pairs(s, d))).select("accession", "position", "pair_id").orderBy("accession", "position", "pair_id")
+
+
+@_add("SRT4", "SELECT reason, count(*) AS count FROM (SELECT p_type reason FROM part) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def _(s, d):
+    return sk.top_reasons(an.table(s, d, "part").select(F.concat("p_type", F.lit("_[1, 2]")).alias("reason")))
+
+
+@_add("SRT5", "SELECT o_custkey, arg_max(o_orderkey, (CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END, -o_orderkey)) best FROM orders GROUP BY 1")
+def _(s, d):
+    rank = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
+    return an.table(s, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct(rank, -F.col("o_orderkey"))).alias("best"))
+
+
+@_add("SET2", "SELECT doc_id, len(list_intersect(string_split(lang || ';' || source, ';'), ['en', 'src0'])) > 0 AS shared FROM documents")
+def _(s, d):
+    return an.table(s, d, "documents").select("doc_id", F.arrays_overlap(x.clean_ids(F.concat_ws(";", "lang", "source")), F.array(F.lit("en"), F.lit("src0"))).alias("shared"))
+
+
+@_add("STAT3", f"WITH units AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 unit_at, s_acctbal s, 1 n FROM supplier), draws AS (SELECT draw, sum(s) / sum(n) mean FROM (SELECT draw, {_PICK.format(salt='r', draw='draw', slot='slot', n='(SELECT count(*) FROM units)')} unit_at FROM (SELECT unnest(range(50)) draw), (SELECT unit_at slot FROM units)) JOIN units USING (unit_at) GROUP BY 1) SELECT draw, round(mean, 6) mean FROM draws")
+def _(s, d):
+    return inf.bootstrap_draws(an.table(s, d, "supplier"), "s_suppkey", "s_acctbal", 50, "r").select("draw", r6("mean"))
+
+
+@_add("STAT9", f"WITH {_TESTS} SELECT test, round(least(1.0, min(m * p / i) OVER (ORDER BY p DESC, test DESC)), 6) p_bh FROM k")
+def _(s, d):
+    tests = an.table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("test"), ((F.col("n_nationkey") * 7 % 25 + 1) / 200.0).alias("p"))
+    return inf.adjusted(tests).select("test", r6("p_bh"))
+
+
+@_add("STAT17", "SELECT abs(median(l_discount - l_tax)) < 5 AND false adopt FROM lineitem")
+def _(s, d):
+    return inf.convergence(an.table(s, d, "lineitem"), "l_discount", "l_tax", F.lit(0.02)).select("adopt")
+
+
+@_add("DDP2", "SELECT p_name, min(p_partkey) p_partkey FROM part GROUP BY 1")
+def _(s, d):
+    return st.keep_first(an.table(s, d, "part").select("p_name", "p_partkey"), ["p_name"], ["p_partkey"])
+
+
+@_add("DDP4", "SELECT l_partkey, l_suppkey, l_linenumber, l_returnflag, max(l_extendedprice) price FROM lineitem GROUP BY 1, 2, 3, 4")
+def _(s, d):
+    rows = an.table(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", F.col("l_extendedprice").alias("price"))
+    return st.keep_first(rows, ["l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"], [-F.col("price")])
+
+
+@_add("DQ2", "SELECT count(*) FILTER (o_orderstatus <> 'F') n_disagree FROM orders")
+def _(s, d):
+    return an.table(s, d, "orders").agg(F.count_if(F.concat(F.lit("control_"), "o_orderstatus") != F.lit("control_F")).alias("n_disagree"))
+
+
+@_add("DQ3", f"WITH {an.NEAR} SELECT count(*) n_foreign FROM near WHERE control_accession NOT IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_type = 'ECONOMY')")
+def _(s, d):
+    pool = an.side(s, d, "ECONOMY").select(F.col("accession").alias("control_accession"))
+    return _edges(s, d).join(pool, "control_accession", "left_anti").agg(F.count("*").alias("n_foreign"))
+
+
+@_add("DQ5", f"WITH {_COMBINED} SELECT count(*) n_positive_controls FROM combined WHERE experimental_positive AND accession IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_type = 'ECONOMY')")
+def _(s, d):
+    return _combined(s, d).where("experimental_positive").join(an.side(s, d, "ECONOMY").select("accession"), "accession", "left_semi").agg(F.count("*").alias("n_positive_controls"))
+
+
+@_add("DQ8", f"WITH {_COMBINED} SELECT count(*) n_input, count(*) FILTER (experimental_positive) + count(*) FILTER (NOT experimental_positive) n_parts FROM combined")
+def _(s, d):
+    return _combined(s, d).agg(F.count("*").alias("n_input"), (F.count_if("experimental_positive") + F.count_if(~F.col("experimental_positive"))).alias("n_parts"))
+
+
+@_add("SNK6", "SELECT count(*) n_files FROM (SELECT 1)")
+def _(s, d):
+    return sk.file_digests(s, f"{d}/region.parquet").agg(F.countDistinct("sha256").alias("n_files"))
+
+
+@_add("SNK7", "SELECT DISTINCT upper(p_brand) pdb_id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
+def _(s, d):
+    key = lambda c: F.col(c).cast("string").alias("accession")
+    need = an.table(s, d, "lineitem").select(key("l_partkey"), F.lit(1).alias("position")).distinct()
+    return sk.bundle_ids([need, need], an.table(s, d, "part").select(key("p_partkey"), F.lit(1).alias("position"), F.col("p_brand").alias("structure_pdb_id")))
+
+
+@_add("CMP7", "SELECT doc_id, lang pdb_id FROM documents")
+def _(s, d):
+    return an.proteins(s, d).select(F.col("accession").cast("long").alias("doc_id"), x.clean_ids(F.col("pdb_ids"))[0].alias("pdb_id"))
+
+
+@_add("CMP10")
+def _(s, d):
+    from siteloom.plans.runs import primary
+
+    return primary(ma.nearest(_edges(s, d), 3), an.scores(s, d), None, 200)["verdict"]

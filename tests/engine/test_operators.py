@@ -98,7 +98,7 @@ def test_matching_equals_brute_force():
 
 def test_greedy_and_optimal(spark):
     edges = ma.caliper_edges(side(spark, 0, 30), side(spark, 1, 30), ["f", "g"], 0.5, ("kind",)).cache()
-    greedy, optimal = ma.greedy_pairs(edges, None, 1, 3).collect(), ma.optimal_pairs(edges).collect()
+    greedy, optimal = ma.greedy_pairs(edges, 1, 3).collect(), ma.optimal_pairs(edges).collect()
     for rows in (greedy, optimal):
         assert len({r.case_accession for r in rows}) == len({r.control_accession for r in rows}) == len(rows)
     assert len(optimal) >= len(greedy) > 3
