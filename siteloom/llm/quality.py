@@ -30,7 +30,7 @@ SIGNIFICANT = 4.0
 #: Chance of low quality, or of toxicity, above which a document goes.
 REJECT = 0.6
 TARGETS = ("low", "toxic")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _SHAPE = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1"))
 
 
@@ -83,9 +83,9 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((FEATURES + 1, 4), dtype=np.int64)
         for batch in batches:
-            for text, low, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, low, toxic in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 kind = low + 2 * toxic
-                seen[features(text), kind] += 1
+                seen[features(text.as_py()), kind] += 1
                 seen[FEATURES, kind] += 1
         rows = np.flatnonzero(seen.sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(seen[rows, i]) for i in range(4))], names=["slot", "c0", "c1", "c2", "c3"])
@@ -128,9 +128,10 @@ def _evidence(rows: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
-            own = [table[features(t)] for t in batch.column(len(keep)).to_pylist()]
-            pos = np.array([np.maximum(w, 0).sum(axis=0) for w in own]).reshape(-1, 2)
-            neg = np.array([np.maximum(-w, 0).sum(axis=0) for w in own]).reshape(-1, 2)
+            pos, neg = np.zeros((batch.num_rows, 2)), np.zeros((batch.num_rows, 2))
+            for i, text in enumerate(batch.column(len(keep))):
+                own = table[features(text.as_py())]
+                pos[i], neg[i] = np.maximum(own, 0).sum(axis=0), np.maximum(-own, 0).sum(axis=0)
             columns = [x[:, i] for i in range(2) for x in (pos, neg, np.sqrt(pos), np.sqrt(neg))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=[*keep, *names])
 
