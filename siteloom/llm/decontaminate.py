@@ -25,10 +25,12 @@ from siteloom.llm.simhash import LOWER
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 15, 4
 #: Words of text in one slice.
-SLICE = 100_000
+SLICE = 40000
+#: Rows whose words are held at a time.
+ROWS = 300
 #: Items, and bytes of items, that one index may hold; larger benchmarks are searched in blocks of items.
 INDEX_ITEMS, INDEX_BYTES = 4096, 8 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 # Odd multipliers of the places in a shingle.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -47,6 +49,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    _hashes.clear()
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of digits, letters and non-ASCII characters; A-Z lower-cased."""
     return _WORD((text or "").encode().translate(LOWER))
@@ -83,10 +89,10 @@ def _window_prints(sums: np.ndarray, wide: np.ndarray | None, shingles: int, str
 
 
 def grid(n: int) -> int:
-    """The window size for an item of n words: n itself up to 33, then steps of at most 6 %."""
-    at = min(n, 16)
+    """The window size for an item of n words: n itself up to 20, then steps of at most a tenth."""
+    at = min(n, 8)
     while True:
-        step = max(at + 1, int(at * 1.06))
+        step = max(at + 1, int(at * 1.1))
         if step > n:
             return at
         at = step
@@ -119,10 +125,8 @@ class Index:
                 part = (marks >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
                 values = (part[:, None] ^ masks[None, :]).ravel().astype(np.int64)
                 owner = np.repeat(np.arange(len(own)), len(masks))
-                order = np.argsort(values, kind="stable")
-                listed = np.zeros(1 << width, dtype=bool)
-                listed[values] = True
-                tables.append((listed, values[order], owner[order]))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(values, minlength=1 << width)))).astype(np.int32)
+                tables.append((ends[1:] > ends[:-1], ends, owner[np.argsort(values, kind="stable")]))
             self.sizes[key] = (ids, marks, tables)
 
     def near(self, key: tuple[int, int], prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,11 +134,12 @@ class Index:
         ids, marks, tables = self.sizes[key]
         parts = prints.astype("<u8").view("<u2").reshape(-1, BLOCKS)
         out = []
-        for b, (listed, values, owner) in enumerate(tables):
-            hit = np.flatnonzero(listed[parts[:, b]])
-            value = parts[hit, b].astype(np.int64)
-            lo, hi = np.searchsorted(values, value, "left"), np.searchsorted(values, value, "right")
-            n = hi - lo
+        for b, (listed, ends, owner) in enumerate(tables):
+            part = np.ascontiguousarray(parts[:, b])
+            hit = np.flatnonzero(listed[part])
+            value = part[hit].astype(np.int64)
+            lo = ends[value]
+            n = ends[value + 1] - lo
             window = np.repeat(hit, n)
             which = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
             apart = np.bitwise_count(prints[window] ^ marks[which])
@@ -157,21 +162,25 @@ def similarity(a: dict[int, tuple[int, int]], b: dict[int, tuple[int, int]]) ->
     return both / (sum(n * size for n, size in a.values()) + sum(n * size for n, size in b.values()) - both)
 
 
-def _verify(index: Index, item: int, found: list[bytes], hashes: np.ndarray, starts: np.ndarray, slack: int, least: float) -> tuple[float, int, int] | None:
+def _verify(index: Index, item: int, found: list[bytes], hashes: np.ndarray, starts: list[int], slack: int, least: float) -> tuple[float, int, int] | None:
     """Best (similarity, start, words) of the item over alignments within ``slack`` words of the windows."""
     _, n, k, bag = index.items[item]
-    own = shingle_hashes(hashes, k)
-    shared = np.isin(own, np.fromiter(bag, np.uint64, len(bag)))
-    ahead = np.concatenate(([0], np.cumsum(shared)))
-    best = None
-    tried = sorted({s for at in starts.tolist() for s in range(max(0, at - slack), min(at + slack, max(0, len(found) - n)) + 1)})
-    for s in tried:
-        end = min(len(found), s + n)
-        if end - s < k or ahead[end - k + 1] == ahead[s]:
-            continue  # it shares no shingle with the item
-        value = similarity(_bag(own[s : end - k + 1], found[s:end], k), bag)
-        if value >= least and (best is None or value > best[0]):
-            best = (value, s, end - s)
+    keys, best, done = np.fromiter(bag, np.uint64, len(bag)), None, -1
+    last = max(0, len(found) - n)
+    for at in sorted(set(starts)):
+        lo, hi = max(done + 1, at - slack, 0), min(at + slack, last)
+        if lo > hi:
+            continue
+        done = hi
+        own = shingle_hashes(hashes[lo : hi + n], k)
+        ahead = np.concatenate(([0], np.cumsum(np.isin(own, keys))))
+        for s in range(lo, hi + 1):
+            end = min(len(found), s + n)
+            if end - s < k or ahead[end - k + 1 - lo] == ahead[s - lo]:
+                continue  # it shares no shingle with the item
+            value = similarity(_bag(own[s - lo : end - k + 1 - lo], found[s:end], k), bag)
+            if value >= least and (best is None or value > best[0]):
+                best = (value, s, end - s)
     return best
 
 
@@ -219,7 +228,7 @@ def search(index: Index, texts: list[str | None], least: float) -> Iterator[tupl
         for (t, i), own in sorted(pairs.items()):
             f = found[a + t]
             lo = int(ends[t] - lengths[t])
-            best = _verify(index, i, f, flat[lo : lo + len(f)], np.array([w for w, _ in own]), slack[i], least)
+            best = _verify(index, i, f, flat[lo : lo + len(f)], [w for w, _ in own], slack[i], least)
             if best:
                 yield (a + t, index.items[i][0], best[0], best[1], best[2], min(d for _, d in own))
 
@@ -244,11 +253,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(*sent.value)
-            for batch in batches:
+            for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
                 keys = batch.column(0)
                 got = list(search(index, batch.column(1).to_pylist(), least)) if index.sizes else []
                 columns = [keys.take(pa.array([g[0] for g in got], pa.int64())), *(pa.array([g[i] for g in got], kind) for i, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()), (5, pa.int64())))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "similarity", "start_word", "n_words", "hamming"])
+            forget()  # an idle worker holds no memory that other stages need
 
         part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming long")
         out = part if out is None else out.unionAll(part)
