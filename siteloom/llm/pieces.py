@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Distinct chunks a Python worker remembers at most.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 # Fixed values of the public model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -116,7 +116,7 @@ def rebuild(model: Model):
 
 
 class Codec:
-    """Whole texts to ids and back. ``agreed`` tells of each chunk whether SentencePiece gives the same ids."""
+    """Whole texts to ids and back. ``odd`` holds the chunks to which SentencePiece gives other ids."""
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -129,7 +129,7 @@ class Codec:
         # what the normaliser does by plain replacement, it needn't be called for
         self.simple = not self.model.charsmap and not self.model.strip_spaces and self.model.escape_spaces
         self.known: dict[str, bytes] = {}
-        self.agreed: dict[str, bool] = {}
+        self.odd: set[str] = set()
         self.table = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in self.model.pieces]
 
     def normal(self, text: str) -> str:
@@ -147,16 +147,20 @@ class Codec:
                 led = [c for c in some if c.startswith(SPACE)]
                 for chunk, ids in zip(led, self.peer.encode([c[1:].replace(SPACE, " ") for c in led], num_threads=1)):
                     # SentencePiece gives no ids for an empty text, whose marker alone is the text " " after a prefix
-                    self.agreed[chunk] = len(chunk) == 1 or np.array(ids, dtype="<u4").tobytes() == self.known[chunk]
+                    if len(chunk) > 1 and np.array(ids, dtype="<u4").tobytes() != self.known[chunk]:
+                        self.odd.add(chunk)
 
     def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """ids of each text as little-endian uint32 bytes; whether all its chunks agree."""
         if len(self.known) > CACHE_CHUNKS:
-            self.known.clear(), self.agreed.clear()
+            self.forget()
         cut = [self.cut(self.normal(t)) for t in texts]
         self._learn(list(set().union(*cut).difference(self.known)) if cut else [])
-        get, same = self.known.__getitem__, self.agreed
-        return [b"".join(map(get, c)) for c in cut], [all(map(lambda x: same.get(x, True), c)) for c in cut]
+        get = self.known.__getitem__
+        return [b"".join(map(get, c)) for c in cut], [self.odd.isdisjoint(c) for c in cut]
+
+    def forget(self) -> None:
+        self.known.clear(), self.odd.clear()
 
     def decode(self, ids: bytes) -> str:
         out = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -196,5 +200,6 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"] + ["ids"] * with_ids)
+        codec.forget()  # an idle worker holds no memory that other stages need
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<int>" * with_ids)

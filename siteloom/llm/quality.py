@@ -30,7 +30,7 @@ SIGNIFICANT = 4.0
 #: Chance of low quality, or of toxicity, above which a document goes.
 REJECT = 0.6
 TARGETS = ("low", "toxic")
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 _SHAPE = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1"))
 
 
@@ -54,6 +54,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def features(text: str | None) -> np.ndarray:
     """Slots of the features that the whole text has, each once."""
     text = text or ""
@@ -134,6 +138,7 @@ def _evidence(rows: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
                 pos[i], neg[i] = np.maximum(own, 0).sum(axis=0), np.maximum(-own, 0).sum(axis=0)
             columns = [x[:, i] for i in range(2) for x in (pos, neg, np.sqrt(pos), np.sqrt(neg))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=[*keep, *names])
+        forget()  # an idle worker holds no memory that other stages need
 
     return rows.select(*keep, "text").mapInArrow(run, schema)
 

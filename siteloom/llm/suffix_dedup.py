@@ -33,7 +33,7 @@ from siteloom.llm.common import Scratch, ordered, parallelism, release
 WINDOW = 100
 TRIGGER = 24
 #: Bytes parsed at a time; longer texts are cut with an overlap, which changes phrases but not results.
-SLICE = 1 << 21
+SLICE = 1 << 20
 POSITION_BITS = 27
 #: Rows of one trigger beyond which its strings are dealt one by one.
 CROWD = 4000
