@@ -795,9 +795,9 @@ def _(s, d):
     return st.joined_layers(base, [st.subsets(_links(s, d))]).select("accession", "position", F.coalesce("in_strict", F.lit(False)).alias("in_strict"))
 
 
-@_add("JN8", "SELECT p_partkey, round(score, 4) score FROM part JOIN (SELECT l_partkey, avg(l_extendedprice) score FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")
+@_add("JN8", "SELECT p_partkey, round(score, 7) score FROM part JOIN (SELECT l_partkey, avg(l_extendedprice) score FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")
 def _(s, d):
-    return an.table(s, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("accession")).join(an.scores(s, d), "accession").select("p_partkey", F.round("score", 4).alias("score"))
+    return an.table(s, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("accession")).join(an.scores(s, d), "accession").select("p_partkey", F.round("score", 7).alias("score"))
 
 
 @_add("JN10", f"WITH {an.NEAREST}, k AS (SELECT DISTINCT case_accession FROM nearest) SELECT CAST(p_partkey AS VARCHAR) accession, p_brand brand FROM part JOIN k ON case_accession = CAST(p_partkey AS VARCHAR)")
