@@ -53,6 +53,16 @@ def test_strangers_with_shared_passages_hide_no_copies(spark):
     assert got(spark, rows) == set(range(2500))
 
 
+def test_verdict_is_by_exact_shingles(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(150):  # 40 shingles; 32 of 40, or 32 of 41
+        text = ["w%d" % r.randrange(10**9) for _ in range(44)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:36] + ["x"] * (i % 2)))]
+    want = kept(rows)
+    assert got(spark, rows) == want and len(want) == 225
+
+
 def test_crossing_pairs_of_any_batching():
     import pyarrow as pa
 
