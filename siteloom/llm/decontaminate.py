@@ -1,11 +1,13 @@
-"""Benchmark leaks: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
-
-For each size among the items, windows of about that many words slide over every whole text and get a
-64-bit SimHash of their word shingles, from running sums of hash bits. An index over the items' own
-fingerprints cuts the 64 bits into four blocks: a fingerprint within ``radius`` bits of an item's agrees
-with it in some block but for radius // 4 bits, so every such block value is listed and no window within
-the radius is missed. Candidates are then compared exactly, at each alignment near the window: shared
-shingles with their repeats, each weighted by its length in bytes.
+"""Benchmark leaks: rare shared shingles, SimHash of item-sized windows, Hamming blocks, exact verification.
+
+A text at a similarity of ``least`` or more to an item shares that part of the item's shingles by weight.
+So of each item only the rarest shingles that weigh over 1 - ``least`` of it are listed: a window without
+one of them can't be a leak. Every window of the item's own number of words that holds one, at every start
+and within its text, gets a 64-bit SimHash of its word shingles. An index over the items' own fingerprints
+cuts the 64 bits into four blocks: a fingerprint within ``radius`` bits of an item's agrees with it in some
+block but for radius // 4 bits, so every such block value is listed and no such window is missed. As no
+radius holds for every text at ``least``, texts that share a listed shingle are compared exactly even
+beyond it: shared shingles with their repeats, each weighted by its length in bytes, at each alignment.
 """
 
 from __future__ import annotations
@@ -73,35 +75,18 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _sums(shingles: np.ndarray) -> np.ndarray:
-    """Running counts of each hash bit, from a row of zeros on; they wrap, differences don't."""
+def _window_prints(shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of the run of ``size`` shingles at each start: a bit is set if it is in over half of them."""
     bits = np.unpackbits(shingles.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    out = np.zeros((len(bits) + 1, 64), dtype=np.uint8)
-    np.cumsum(bits, axis=0, dtype=np.uint8, out=out[1:])
-    return out
-
-
-def _window_prints(sums: np.ndarray, wide: np.ndarray | None, shingles: int, stride: int) -> np.ndarray:
-    """SimHash of every stride-th run of so many shingles: a bit is set if it is in over half of them."""
-    source = sums if shingles < 256 else wide
-    counts = source[shingles::stride] - source[: len(source) - shingles : stride]
-    return np.packbits(counts > shingles // 2, axis=1).view(">u8").ravel().astype(np.uint64)
-
-
-def grid(n: int) -> int:
-    """The window size for an item of n words: n itself up to 20, then steps of at most a tenth."""
-    at = min(n, 8)
-    while True:
-        step = max(at + 1, int(at * 1.1))
-        if step > n:
-            return at
-        at = step
+    sums = np.zeros((len(bits) + 1, 64), dtype=np.int32)
+    np.cumsum(bits, axis=0, out=sums[1:])
+    return np.packbits(2 * (sums[starts + size] - sums[starts]) > size, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 class Index:
-    """Items by window size, with the block tables of their fingerprints."""
+    """Items by number of words, with the block tables of their fingerprints, and by their listed shingles."""
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int, radius: int):
+    def __init__(self, items: list[tuple[int, str]], shingle: int, radius: int, least: float = SIMILARITY):
         self.radius, width = radius, 64 // BLOCKS
         reach = radius // BLOCKS
         masks = np.array([sum(1 << b for b in c) for r in range(reach + 1) for c in combinations(range(width), r)], dtype=np.uint64)
@@ -115,7 +100,7 @@ class Index:
             own = shingle_hashes(word_hashes(found), k)
             bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             mark = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(own)).view(">u8")[0]
-            groups[k, grid(len(found))].append((len(self.items), int(mark)))
+            groups[k, len(found)].append((len(self.items), int(mark)))
             self.items.append((item_id, len(found), k, _bag(own, found, k)))
         self.sizes = {}
         for key, own in groups.items():
@@ -128,6 +113,28 @@ class Index:
                 ends = np.concatenate(([0], np.cumsum(np.bincount(values, minlength=1 << width)))).astype(np.int32)
                 tables.append((ends[1:] > ends[:-1], ends, owner[np.argsort(values, kind="stable")]))
             self.sizes[key] = (ids, marks, tables)
+        self.marks = {i: m for own in groups.values() for i, m in own}
+        self.listed = self._listed(least)
+
+    def _listed(self, least: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """k -> (shingles, ascending; where the items of each begin; those items)."""
+        held = Counter((k, h) for _, _, k, bag in self.items for h in bag)
+        owners: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, (_, _, k, bag) in enumerate(self.items):
+            weight = {h: n * size for h, (n, size) in bag.items()}
+            rest = sum(weight.values())
+            enough = least * rest * (1 - 1e-9)
+            for h in sorted(bag, key=lambda h: (held[k, h], -weight[h], h)):
+                if rest < enough:
+                    break
+                owners[k].append((h, i))
+                rest -= weight[h]
+        out = {}
+        for k, own in owners.items():
+            own.sort()
+            keys, at = np.unique(np.array([h for h, _ in own], dtype=np.uint64), return_index=True)
+            out[k] = keys, np.append(at, len(own)), np.array([i for _, i in own])
+        return out
 
     def near(self, key: tuple[int, int], prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, distance) of all pairs within the radius; a pair may come more than once."""
@@ -200,44 +207,38 @@ def search(index: Index, texts: list[str | None], least: float) -> Iterator[tupl
             continue
         ends = np.cumsum(lengths)
         flat = word_hashes([w for f in found[a:b] for w in f])
-        pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        slack: dict[int, int] = {}
-        sums: dict[int, np.ndarray] = {}
-        for (k, n) in index.sizes:
-            if n > len(flat):
-                n_now = len(flat)
-                if n_now < k:
-                    continue
-            else:
-                n_now = n
-            if k not in sums:
-                sums[k] = _sums(shingle_hashes(flat, k))
-            wide = None
-            if n_now - k + 1 >= 256:
-                bits = np.unpackbits(shingle_hashes(flat, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                wide = np.zeros((len(bits) + 1, 64), dtype=np.int32)
-                np.cumsum(bits, axis=0, out=wide[1:])
-            stride = max(1, n_now // 20)
-            prints = _window_prints(sums[k], wide, n_now - k + 1, stride)
-            window, item, apart = index.near((k, n), prints)
-            window = window * stride
-            text = np.searchsorted(ends, window, side="right")
-            for w, t, i, d in zip(window.tolist(), text.tolist(), item.tolist(), apart.tolist()):
-                pairs[t, i].append((w - int(ends[t] - lengths[t]), d))
-                slack[i] = stride + index.items[i][1] - n_now
-        for (t, i), own in sorted(pairs.items()):
-            f = found[a + t]
+        shared: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for k, (keys, begins, owner) in index.listed.items():
+            own = shingle_hashes(flat, k)
+            place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hit = np.flatnonzero(keys[place] == own)
+            text = np.searchsorted(ends, hit, side="right")
+            inside = hit + k <= ends[text]
+            for p, t, x in zip(hit[inside].tolist(), text[inside].tolist(), place[hit[inside]].tolist()):
+                for i in owner[begins[x] : begins[x + 1]].tolist():
+                    shared[t, i].append(p - int(ends[t] - lengths[t]))
+        hashed: dict[tuple[int, int], np.ndarray] = {}
+        for (t, i), places in sorted(shared.items()):
+            f, (item_id, n, k, _) = found[a + t], index.items[i]
             lo = int(ends[t] - lengths[t])
-            best = _verify(index, i, f, flat[lo : lo + len(f)], [w for w, _ in own], slack[i], least)
+            n_now = min(n, len(f))
+            last = len(f) - n_now
+            starts = np.unique(np.clip(np.concatenate([np.arange(p - (n_now - k), p + 1) for p in places]), 0, last))
+            best = _verify(index, i, f, flat[lo : lo + len(f)], starts.tolist(), 0, least)
             if best:
-                yield (a + t, index.items[i][0], best[0], best[1], best[2], min(d for _, d in own))
+                if (t, k) not in hashed:
+                    hashed[t, k] = shingle_hashes(flat[lo : lo + len(f)], k)
+                prints = _window_prints(hashed[t, k], starts, n_now - k + 1)
+                _, item, apart = index.near((k, n), prints)
+                within = apart[item == i]
+                yield (a + t, item_id, best[0], best[1], best[2], int(within.min() if len(within) else np.bitwise_count(prints ^ np.uint64(index.marks[i])).min()))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words, hamming: one row for each document row and item in it.
 
-    benchmark: (item_id, text). Windows near an item's size whose SimHash lies within ``radius`` bits of
-    the item's are compared exactly, and kept from a similarity of ``least`` on, with the best alignment.
+    benchmark: (item_id, text). Every window of an item's size is kept from a similarity of ``least`` on,
+    with the best alignment; ``hamming`` is the least distance of such a window's SimHash to the item's.
     Null and empty texts, and items without words, have no leaks. Items of fewer words than a shingle
     have one shingle, all their words. Repeated items and rows are all reported; null ids stay null.
     Empty tables give an empty table. A benchmark beyond the bounds of one index is searched in blocks of
@@ -249,7 +250,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least:
     out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about INDEX_ITEMS rows
-        sent = docs.sparkSession.sparkContext.broadcast(([(r.item_id, r.text) for r in rows], shingle, radius))
+        sent = docs.sparkSession.sparkContext.broadcast(([(r.item_id, r.text) for r in rows], shingle, radius, least))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(*sent.value)
