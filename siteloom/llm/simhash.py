@@ -273,6 +273,7 @@ def _similar(pairs: DataFrame, keyed: DataFrame, words: int, least: float, scrat
 
     nodes = pairs.select(F.col("u").alias("__order__")).unionAll(pairs.select(F.col("v").alias("__order__"))).distinct()
     sets = scratch.write(keyed.select("__order__", "text").join(nodes, "__order__", "left_semi").mapInArrow(run, "node long, own array<long>"), f"{name}-sets")
+    release(keyed.sparkSession)  # the texts' shuffle files, before the sets take their place
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
     both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
     out = scratch.write(both.where(F.col("both") >= (F.col("sum") - F.col("both")) * least - 1e-9).select("u", "v"), name)
@@ -282,7 +283,7 @@ def _similar(pairs: DataFrame, keyed: DataFrame, words: int, least: float, scrat
 
 
 def similar_components(keyed: DataFrame, sets: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
-    """sets (rep, n, prefix), distinct sets -> (node, component) of the graph that links all similar sets.
+    """sets (rep, n, prefix), distinct sets -> (node, component) of the graph that links all similar sets. The scratch table sets goes.
 
     First each set is compared with the least of each shingle of its prefix, which joins most copies. Then
     every pair that shares a shingle and is not yet in one component is compared: pairs within a
@@ -292,6 +293,7 @@ def similar_components(keyed: DataFrame, sets: DataFrame, words: int, least: flo
     dealt = sent.repartition("token").sortWithinPartitions("token", "rep")
     kinds = "token long, rep long, n long, pos long"
     met = scratch.write(dealt.mapInArrow(_shared, kinds + ", first_rep long, first_n long, first_pos long"), "met")
+    scratch.drop("sets")
     release(keyed.sparkSession)
     reach = _may_reach(F.col("n"), F.col("pos"), F.col("first_n"), F.col("first_pos"), least, F.ceil, F.least)
     pairs = scratch.write(met.where(F.col("rep") != F.col("first_rep")).where(reach).select(F.greatest("rep", "first_rep").alias("u"), F.least("rep", "first_rep").alias("v")).distinct(), "pairs")
@@ -332,7 +334,8 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
     sets = scratch.write(keyed.select("__order__", "text").mapInArrow(run, "__order__ long, key binary, n long, prefix array<long>"), "sets")
     reps = scratch.write(sets.groupBy("key").agg(F.min("__order__").alias("rep")), "reps")
     own = sets.join(reps.select(F.col("rep").alias("__order__")), "__order__", "left_semi").withColumnRenamed("__order__", "rep")
+    keys = scratch.write(sets.select("__order__", "key"), "keys")
     found = similar_components(keyed, own, words, least, scratch)
     named = scratch.write(reps.join(found, reps.rep == found.node, "left").select("key", F.coalesce("component", "rep").alias("stays")), "named")
-    gone = scratch.write(sets.select("__order__", "key").join(named, "key").where("__order__ <> stays").select("__order__"), "gone")
+    gone = scratch.write(keys.join(named, "key").where("__order__ <> stays").select("__order__"), "gone")
     return keyed.join(gone, "__order__", "left_anti").select(*docs.columns)
