@@ -19,15 +19,18 @@ def no_nan(c: Column) -> Column:
 
 # -- annotation text ------------------------------------------------------------------------------
 
+# How the annotation format writes an evidence code, a feature, its exact place, any place, and its note.
+CODE, FEATURE, EXACT, PLACED, NOTE = r"ECO:\d{7}", r"CARBOHYD\s", r"^CARBOHYD\s+(\d+)\s*;", r"^CARBOHYD\s+\S+", r'/note="([^"]*)"'
+
 
 def eco_codes(text: Column) -> Column:
     """FN1: the distinct evidence codes in a text, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"ECO:\d{7}"), F.lit(0))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(CODE), F.lit(0))))
 
 
 def feature_pieces(text: Column) -> Column:
     """FN2: one string for each glycosylation feature of a column."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?=CARBOHYD\s)"), lambda p: p.rlike(r"^CARBOHYD\s"))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"(?={FEATURE})"), lambda p: p.rlike("^" + FEATURE))
 
 
 def glyco_type(note: Column) -> Column:
@@ -39,13 +42,13 @@ def glyco_type(note: Column) -> Column:
 
 def parse_status(piece: Column) -> Column:
     """FN3: ok for one exact position, else why not."""
-    return F.when(piece.rlike(r"^CARBOHYD\s+\d+\s*;"), "ok").when(piece.rlike(r"^CARBOHYD\s+\S+"), "uncertain_or_range_position").otherwise("malformed_feature")
+    return F.when(piece.rlike(EXACT), "ok").when(piece.rlike(PLACED), "uncertain_or_range_position").otherwise("malformed_feature")
 
 
 def parsed_feature(piece: Column) -> Column:
     """FN3-FN5 of one piece as a struct."""
-    note = F.regexp_extract(piece, r'/note="([^"]*)"', 1)  # FN4
-    at = F.regexp_extract(piece, r"^CARBOHYD\s+(\d+)\s*;", 1)
+    note = F.regexp_extract(piece, NOTE, 1)  # FN4
+    at = F.regexp_extract(piece, EXACT, 1)
     return F.struct(F.when(at != "", at.try_cast("int")).alias("position"), glyco_type(note).alias("glyco_type"), eco_codes(piece).alias("evidence_codes"), note.alias("raw_note"), parse_status(piece).alias("parse_status"))
 
 
@@ -97,8 +100,9 @@ def ids_by_database(evidence: Column, database: str) -> Column:
 
 
 def site_label_position(label: Column) -> Column:
-    """FN12: 80 for "Asn-80"."""
-    return F.regexp_extract(F.trim(label), r"(?i)^Asn-(\d+)$", 1).try_cast("int")
+    """FN12: 80 for "Asn-80", in any case; null for another residue or form."""
+    parts = F.split(F.lower(F.trim(label)), "-")
+    return F.when((F.size(parts) == 2) & (parts[0] == "asn") & ~parts[1].rlike("[^0-9]"), F.get(parts, F.lit(1)).try_cast("int"))
 
 
 def support(flags: dict[str, Column]) -> tuple[Column, Column, Column]:
@@ -115,13 +119,30 @@ def occupancy(positive: Column, bare_control: Column) -> Column:
 
 # -- sequences ------------------------------------------------------------------------------------
 
+# Fixed value: the motif, looked ahead at so that overlapping ones are found.
+SEQUON = "(?=N[^P][ST])"
+
+
+def sequon_count(sequence: Column) -> Column:
+    """FN15: how many motifs there are; one regular expression, no array."""
+    return F.regexp_count(sequence, F.lit(SEQUON))
+
+
+def sequons(sequence: Column) -> Column:
+    """FN15: (position, sequon) of every motif, N, not P, S or T; positions from 1, overlaps count.
+
+    The sequence is cut into letters once, so that a long one costs its length, and only if it has a motif.
+    """
+    letters = F.array(F.split(sequence, ""))  # an array of one, so that the letters are bound once, not once a place
+    hit = lambda s, i: (s[i - 1] == "N") & (F.get(s, i) != "P") & F.get(s, i + 1).isin("S", "T")
+    found = lambda s: F.filter(F.sequence(F.lit(1), F.greatest(F.size(s) - 2, F.lit(1))), lambda i: hit(s, i))
+    three = lambda s: F.transform(found(s), lambda i: F.struct(i.alias("position"), F.concat(s[i - 1], s[i], s[i + 1]).alias("sequon")))
+    return F.when(sequence.rlike(SEQUON), F.transform(letters, three)[0]).otherwise(F.array().cast("array<struct<position:int,sequon:string>>"))
+
 
 def sequon_positions(sequence: Column) -> Column:
-    """FN15: 1-based starts of N, not P, S or T; overlaps count."""
-    at = lambda i, k: F.substring(sequence, i + k, F.lit(1))
-    last = F.greatest(F.length(sequence) - 2, F.lit(1))
-    hits = F.filter(F.sequence(F.lit(1), last), lambda i: (at(i, 0) == "N") & (at(i, 1) != "P") & at(i, 2).isin("S", "T"))
-    return F.when(F.length(sequence) >= 3, hits).otherwise(F.array().cast("array<int>"))
+    """FN15: the positions alone."""
+    return F.transform(sequons(sequence), lambda m: m["position"])
 
 
 def clean_ids(text: Column) -> Column:
@@ -132,8 +153,10 @@ def clean_ids(text: Column) -> Column:
 def sequon_sites(proteins: DataFrame, id_limit: int = 20) -> DataFrame:
     """FN16: proteins (accession, sequence, pdb_ids, ...) -> a row for each sequon."""
     ids = clean_ids(F.col("pdb_ids"))
-    rows = proteins.select("*", F.explode(sequon_positions(F.col("sequence"))).alias("position"))
-    return rows.withColumns({"sequon": F.substring("sequence", F.col("position"), F.lit(3)), "protein_length": F.length("sequence"), "n_pdb_entries": F.size(ids), "pdb_ids": F.array_join(F.slice(ids, 1, id_limit), ";")}).drop("sequence")
+    # what is said of the protein is said before its motifs become rows, and its sequence stays behind
+    rows = proteins.withColumns({"motifs": sequons(F.col("sequence")), "protein_length": F.length("sequence"), "n_pdb_entries": F.size(ids), "pdb_ids": F.array_join(F.slice(ids, 1, id_limit), ";")}).drop("sequence")
+    # explode() would have the motifs found twice, once for a filter that the optimizer adds before it
+    return rows.withColumn("m", F.explode_outer("motifs")).where("m is not null").select(*(c for c in rows.columns if c != "motifs"), "m.position", "m.sequon")
 
 
 def residue_code(three: Column) -> Column:
@@ -148,9 +171,13 @@ def is_sequon(triplet: Column) -> Column:
 # -- structures -----------------------------------------------------------------------------------
 
 
+# How a structure's head names its host, and how far the head goes.
+HOST, HEAD = r"EXPRESSION_SYSTEM:\s*([^;]+);", 40_000
+
+
 def expression_system(head: Column) -> Column:
-    """SRC12: host named in the first 40,000 characters."""
-    return F.trim(F.regexp_extract(F.substring(head, 1, 40_000), r"EXPRESSION_SYSTEM:\s*([^;]+);", 1))
+    """SRC12: the host named in the head of a structure."""
+    return F.trim(F.regexp_extract(F.substring(head, 1, HEAD), HOST, 1))
 
 
 def competent_host(host: Column) -> Column:
@@ -182,6 +209,24 @@ def internal_control(tier: Column, detail: Column, observed: Column, links_elsew
 # -- scores ---------------------------------------------------------------------------------------
 
 
+def half_even(value: Column, places: int) -> Column:
+    """FN35: a double rounded to decimal places as its exact binary value demands, ties to even.
+
+    The product with a power of ten is taken with its error (Veltkamp split, Dekker product), so that 2.675,
+    which lies below the tie, goes down, and 0.125, which lies on it, to 0.12. For products up to 2^52;
+    greater ones have no decimals to round and come back as they are.
+    """
+    k, split = float(10**places), 134217729.0
+    k_high = split * k - (split * k - k)
+    product = value * k
+    high = value * split - (value * split - value)
+    error = ((high * k_high - product) + high * (k - k_high) + (value - high) * k_high) + (value - high) * (k - k_high)
+    low = F.floor(product).cast("double")
+    over = product - low
+    up = (over > 0.5) | ((over == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(low, F.lit(2.0)) == 1))))
+    return F.when(F.abs(product) < 2.0**52, (low + F.when(up, 1.0).otherwise(0.0)) / k).otherwise(value)
+
+
 def logit(p: Column) -> Column:
     """FN26: log-odds of p held within 1e-6 of 0 and 1."""
     p = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))

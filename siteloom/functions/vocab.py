@@ -30,14 +30,21 @@ ABSENT_ACCESSION, ABSENT_FEATURE = "accession_absent_from_snapshot", "exact_feat
 GLYCAN_TIERS = ("glygen_reported_with_glycan", "glygen_reported_independent", "glygen_reported_uniprot_derived", "glygen_predicted", "glygen_unclassified")
 CIRCULAR_DATABASES = ("UniProtKB", "UniProtKB/Swiss-Prot", "UniProtKB/TrEMBL")
 
-# Structure tiers and their rank, host markers, residue constants (Tien et al. 2013).
+# Structure tiers and their rank.
 STRUCTURE_RANK = {"structure_linked_glycan": 3, "structure_residue_resolved": 2, "structure_residue_unresolved": 1, "structure_not_assessed": 0}
+# Words that mark hosts able to glycosylate.
 COMPETENT_HOSTS = ("HOMO SAPIENS", "HEK", "CRICETULUS", "CHO", "MUS MUSCULUS", "SPODOPTERA", "TRICHOPLUSIA", "DROSOPHILA", "INSECT", "PICHIA", "KOMAGATAELLA", "SACCHAROMYCES", "YEAST")
+# Greatest accessible area of a residue in square angstrom (Tien et al. 2013).
 MAX_ASA = {"A": 121.0, "C": 148.0, "D": 187.0, "E": 214.0, "F": 228.0, "G": 97.0, "H": 216.0, "I": 195.0, "K": 230.0, "L": 191.0, "M": 203.0, "N": 187.0, "P": 154.0, "Q": 214.0, "R": 265.0, "S": 143.0, "T": 163.0, "V": 165.0, "W": 264.0, "Y": 255.0}
+# Residue classes, and the radius of a residue's neighbourhood in angstrom.
 HYDROPHOBIC, CHARGED = "ACFILMVWY", "DEKR"
 NEIGHBOUR_RADIUS = 8.0
+# One-letter codes of residue names.
 THREE_TO_ONE = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "MSE": "M", "PHE": "F", "PRO": "P", "PYL": "O", "SEC": "U", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V"}
+# Fixed value: files above this size aren't read.
 MAX_STRUCTURE_BYTES = 20_000_000
+# Residue names that count as a glycan bound to an asparagine.
+GLYCANS = ("NAG", "NDG", "BGC", "GLC", "MAN", "BMA", "FUC", "GAL", "XYS")
 
 # Support layers in order, occupancy states.
 LAYERS = ("uniprot", "glygen", "glyconnect", "structure")

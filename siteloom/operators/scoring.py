@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import exprs as x
 from siteloom.functions import vocab as v
+from siteloom.operators.adapters import MODELS, WeightedModel
+from siteloom.operators.structures import aligned
 
 
 class SequonScorer(Protocol):
@@ -67,7 +70,7 @@ class HashModel:
         return out
 
 
-_MODELS: dict[str, Callable[..., object]] = {"hash": HashModel}
+_MODELS: dict[str, Callable[..., object]] = {"hash": HashModel, **{name: partial(WeightedModel, name) for name in MODELS}}
 
 
 def register(name: str, factory: Callable[..., object]) -> None:
@@ -75,6 +78,10 @@ def register(name: str, factory: Callable[..., object]) -> None:
     _MODELS[name] = factory
 
 
+def unregister(name: str) -> None:
+    _MODELS.pop(name, None)
+
+
 def available() -> list[str]:
     return sorted(_MODELS)
 
@@ -86,6 +93,7 @@ def load(name: str, **options):
     return _MODELS[name](**{k: o for k, o in options.items() if o is not None})
 
 
+CHAIN = ("structure_pdb_id", "structure_chain_id")
 SCORED = "n_decoding_orders int, conditional_sequon_score double, conditional_sequon_score_sd double, probs_n array<double>, probs_plus1 array<double>, probs_plus2 array<double>, error string"
 
 
@@ -99,38 +107,82 @@ def score_chains(manifest: DataFrame, sequences: DataFrame, model: str, **option
     factory = _MODELS[model] if model in _MODELS else load(model)
     chosen = {k: o for k, o in options.items() if o is not None}
     index = ["n_model_index", "plus1_model_index", "plus2_model_index"]
-    keys = ["accession", "position", "structure_pdb_id", "structure_chain_id"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, out = factory(**chosen), []
-        for row in pdf.itertuples(index=False):
-            places = [getattr(row, c) for c in index]
-            base = [getattr(row, c) for c in keys]
-            try:
-                if pd.isna(row.sequence):
-                    raise ValueError("chain_not_found")
-                p = own.probabilities(row.sequence, [int(i) for i in places])
-                total = p.sum(axis=2)
-                if (np.abs(total - 1) > 1e-3).any() or p.min() < 0 or p.max() > 1 + 1e-3:
-                    raise ValueError("not_a_distribution")
-                odds = lambda q: np.log(np.clip(q, 1e-6, 1 - 1e-6) / (1 - np.clip(q, 1e-6, 1 - 1e-6)))
-                at = v.ALPHABET.index
-                each = (odds(p[:, 0, at("N")]) + odds(p[:, 2, at("S")] + p[:, 2, at("T")])) / 2
-                mean = p.mean(axis=0)
-                out.append([*base, len(p), each.mean(), each.std(ddof=1) if len(each) > 1 else 0.0, *(m.tolist() for m in mean), None])
-            except Exception as e:  # a failure is a row of its own
-                out.append([*base, None, None, None, None, None, None, f"{type(e).__name__}: {str(e)[:120]}"])
-        return pd.DataFrame(out, columns=[*keys, *(c.split()[0] for c in SCORED.split(", "))])
+    site = ["accession", "position"]
+    names = [*site, *CHAIN, *(c.split()[0] for c in SCORED.split(", "))]
+    at = v.ALPHABET.index
+
+    def odds(p: np.ndarray) -> np.ndarray:
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        return np.log(p / (1 - p))
+
+    def one(own, sequence: str | None, places: list) -> list:
+        if sequence is None:
+            raise ValueError("chain_not_found")
+        p = own.probabilities(sequence, [int(i) for i in places])
+        if (np.abs(p.sum(axis=2) - 1) > 1e-3).any() or p.min() < 0 or p.max() > 1 + 1e-3:
+            raise ValueError("not_a_distribution")
+        each = (odds(p[:, 0, at("N")]) + odds(p[:, 2, at("S")] + p[:, 2, at("T")])) / 2
+        return [len(p), each.mean(), each.std(ddof=1) if len(each) > 1 else 0.0, *(m.tolist() for m in p.mean(axis=0)), None]
 
-    chain = ["structure_pdb_id", "structure_chain_id"]
-    rows = manifest.select(*keys, *index).join(sequences, chain, "left")
-    out = rows.groupBy(*chain).applyInPandas(run, "accession string, position int, structure_pdb_id string, structure_chain_id string, " + SCORED)
+    def run(batches):
+        own = factory(**chosen)
+        for pdf in batches:
+            out = []
+            for pdb_id, chain_id, sequence, sites in zip(pdf["structure_pdb_id"], pdf["structure_chain_id"], pdf["sequence"], pdf["sites"]):
+                for s in sites:
+                    base = [s["accession"], s["position"], pdb_id, chain_id]
+                    try:
+                        out.append([*base, *one(own, sequence, [s[c] for c in index])])
+                    except Exception as e:  # a failure is a row of its own
+                        out.append([*base, *[None] * 6, f"{type(e).__name__}: {str(e)[:120]}"])
+            yield pd.DataFrame(out, columns=names)
+
+    # a chain's sequence goes out once, with all its places
+    rows = manifest.groupBy(*CHAIN).agg(F.collect_list(F.struct(*site, *index)).alias("sites")).join(sequences.select(*CHAIN, "sequence"), list(CHAIN), "left")
+    out = rows.mapInPandas(run, "accession string, position int, structure_pdb_id string, structure_chain_id string, " + SCORED)
     described = factory(**chosen).describe()  # UDF8
     n, plus2 = F.col("probs_n"), F.col("probs_plus2")
     p_n, p_s, p_t = x.letter(n, "N"), x.letter(plus2, "S"), x.letter(plus2, "T")
     return out.withColumns({"p_asn_at_n": p_n, "p_ser_at_plus2": p_s, "p_thr_at_plus2": p_t, "p_ser_or_thr_at_plus2": p_s + p_t, "p_pro_at_plus1": x.letter(F.col("probs_plus1"), "P"), "logit_p_asn": x.logit(p_n), "logit_p_ser_or_thr": x.logit(p_s + p_t), **{k: F.lit(o) for k, o in described.items()}})
 
 
+def index_maps(native: DataFrame, model: DataFrame) -> DataFrame:
+    """JN23: for chains as the manifest reads them (.., sequence) and as a model does (.., model_sequence, finite), the map from places of one to places of the other.
+
+    Equal sequences map place by place; others are aligned, and only these leave the JVM.
+    """
+    both = native.select(*CHAIN, "sequence").join(model.select(*CHAIN, "model_sequence", "finite"), list(CHAIN))
+    places = F.when(F.length("sequence") > 0, F.sequence(F.lit(0), F.length("sequence") - 1)).otherwise(F.array().cast("array<int>"))
+    equal = both.where("sequence = model_sequence").withColumn("to_model", F.map_from_arrays(places, places))
+    pairs = F.map_entries(aligned("sequence", "model_sequence")["pairs"])
+    other = both.where("sequence <> model_sequence").withColumn("to_model", F.map_from_entries(F.transform(pairs, lambda e: F.struct((e["key"] - 1).alias("key"), (e["value"] - 1).alias("value")))))
+    return equal.unionByName(other).drop("sequence")
+
+
+def guarded_indices(manifest: DataFrame, maps: DataFrame) -> DataFrame:
+    """FN38: manifest rows with the model's own places, or the reason why there are none.
+
+    manifest has the three model indices and the triplet; maps comes from index_maps(). A place must have a
+    counterpart with a finite backbone, and the three must spell the recorded triplet: a shifted index would
+    score the wrong residue and still look plausible.
+    """
+    rows = manifest.join(maps, list(CHAIN), "left")
+    asked = F.array("n_model_index", "plus1_model_index", "plus2_model_index")
+    rows = rows.withColumn("places", F.transform(asked, lambda i: F.try_element_at("to_model", i.cast("int"))))
+    lost = F.filter(asked, lambda i: F.try_element_at("to_model", i.cast("int")).isNull())
+    broken = F.filter("places", lambda i: ~F.coalesce(F.get("finite", i), F.lit(False)))
+    seen = F.array_join(F.transform("places", lambda i: F.substring("model_sequence", i + 1, F.lit(1))), "")
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c.cast("array<string>"), ", "), F.lit("]"))
+    reason = (
+        F.when(F.col("to_model").isNull(), "ChainUnreadableError: chain_not_found")
+        .when(F.size(lost) > 0, F.concat(F.lit("IncompleteBackboneError: no counterpart of "), listed(lost)))
+        .when(F.size(broken) > 0, F.concat(F.lit("IncompleteBackboneError: incomplete at "), listed(broken)))
+        .when(seen != F.col("triplet"), F.concat(F.lit("SequonMismatchError: "), seen, F.lit(" for "), F.col("triplet")))
+    )
+    rows = rows.withColumn("error", reason)
+    return rows.select(*manifest.columns, F.when(F.col("error").isNull(), F.col("places")).alias("places"), "error")
+
+
 def failures(scored: DataFrame) -> DataFrame:
     """SNK3: the rows that raised, and why."""
     return scored.where("error is not null").select("accession", "position", "structure_pdb_id", "structure_chain_id", F.col("error").alias("reason"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,36 +13,53 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import exprs as x
 from siteloom.functions import vocab as v
+from siteloom.operators.ranks import seeded
 
 CHAIN = "path string, pdb_id string, chain_id string, sequence string, residue_ids array<struct<resseq:int,icode:string>>"
-LINK = "path string, chain_id string, resseq int, icode string, glycan_resname string"
 ATOM = "path string, model int, chain_id string, resseq int, icode string, resname string, atom string, element string, hetero boolean, x double, y double, z double"
 MIN_COVERAGE, MIN_ALIGNED, IDENTITY_SLACK = 0.5, 30, 0.02
-#: Greatest product of two sequence lengths that one alignment may take.
-ALIGN_CELLS = 100_000_000
+
+
+def named(listing: DataFrame) -> DataFrame:
+    """FLT16: files (path, length, ...) that aren't oversized or empty, with their stem and kind."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return listing.where((F.col("length") <= v.MAX_STRUCTURE_BYTES) & (F.col("length") > 0)).withColumns({"stem": F.upper(F.regexp_replace(name, r"\.[^.]*$", "")), "kind": F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))})
 
 
 def structure_files(spark, path: str, glob: str = "*.{pdb,cif,mmcif}") -> DataFrame:
-    """FLT16: path, length, content, stem and kind of the files that aren't oversized or empty."""
+    """path, length, content, stem and kind of the files to read; the size is known before any content is."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.where((F.col("length") <= v.MAX_STRUCTURE_BYTES) & (F.col("length") > 0)).select("path", "length", "content", F.upper(F.regexp_replace(name, r"\.[^.]*$", "")).alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("kind"))
+    return named(files).select("path", "length", "content", "stem", "kind")
 
 
 def indexed(files: DataFrame, dirs: list[str]) -> DataFrame:
     """SRC7: one path a stem: earlier folders first, .pdb before the others."""
-    rank = sum((F.when(F.col("path").contains(d), F.lit(i)).otherwise(F.lit(0)) for i, d in enumerate(dirs)), F.lit(0))
+    rank = F.coalesce(*(F.when(F.col("path").contains(d), F.lit(i)) for i, d in enumerate(dirs)), F.lit(len(dirs)))
     order = F.struct(rank, (F.col("kind") != "pdb").cast("int"), "path")
     return files.groupBy("stem").agg(F.min_by("path", order).alias("path"))
 
 
+SIDE = "struct<name:string,chain:string,seq:string,icode:string>"
+
+
 def link_records(lines: DataFrame) -> DataFrame:
-    """SRC9: lines (path, value) -> glycan links of asparagines, either order, from fixed columns."""
-    cut = lambda a, n: F.trim(F.substring("value", a, n))
-    side = lambda r, c, s, i: F.struct(cut(r, 3).alias("name"), cut(c, 1).alias("chain"), cut(s, 4).try_cast("int").alias("seq"), cut(i, 1).alias("icode"))
-    rows = lines.where(F.col("value").startswith("LINK")).select("path", side(18, 22, 23, 27).alias("a"), side(48, 52, 53, 57).alias("b"))
-    site = F.when(F.col("a.name") == "ASN", F.struct("a", "b")).when(F.col("b.name") == "ASN", F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    return rows.select("path", site.alias("s")).where("s.a.seq is not null").select("path", F.col("s.a.chain").alias("chain_id"), F.col("s.a.seq").alias("resseq"), F.col("s.a.icode").alias("icode"), F.col("s.b.name").alias("glycan_resname"))
+    """The bonds (path, a, b) of the LINK lines of (path, value); fields stand in fixed columns."""
+    # Where the record's two residues have their name, chain, number and insertion code.
+    first, second = ((18, 3), (22, 1), (23, 4), (27, 1)), ((48, 3), (52, 1), (53, 4), (57, 1))
+    side = lambda columns: F.struct(*(F.trim(F.substring("value", *at)).alias(c) for c, at in zip(("name", "chain", "seq", "icode"), columns)))
+    return lines.where(F.col("value").startswith("LINK")).select("path", side(first).alias("a"), side(second).alias("b"))
+
+
+def glycan_links(bonds: DataFrame) -> DataFrame:
+    """SRC9, SRC10: bonds (path, a, b) -> one row for each whose one side is an asparagine and the other a glycan.
+
+    A bond to a metal, or to another amino acid, says nothing of glycosylation. Where both readings hold,
+    the first side is the site.
+    """
+    read = F.array(F.struct(F.col("a").alias("site"), F.col("b").alias("sugar")), F.struct(F.col("b").alias("site"), F.col("a").alias("sugar")))
+    good = F.filter(read, lambda r: (r["site"]["name"] == "ASN") & r["sugar"]["name"].isin(*v.GLYCANS) & r["site"]["seq"].rlike("^-?[0-9]+$"))
+    rows = bonds.select("path", F.get(good, F.lit(0)).alias("r")).where("r is not null")
+    return rows.select("path", F.col("r.site.chain").alias("chain_id"), F.col("r.site.seq").try_cast("int").alias("resseq"), x.clean_icode(F.col("r.site.icode")).alias("icode"), F.col("r.sugar.name").alias("glycan_resname")).where("resseq is not null")
 
 
 def cif_loops(text: str) -> Iterator[tuple[list[str], list[list[str]]]]:
@@ -93,33 +111,42 @@ def cif_table(text: str, prefix: str) -> dict[str, list[str]]:
     return out
 
 
-def cif_links(text: str) -> list[tuple[str, int, str, str]]:
-    """SRC10: (chain, number, insertion code, glycan) of covalent ASN links, author numbering."""
-    t = cif_table(text, "_struct_conn")
-    n = len(t.get("conn_type_id", []))
-    column = lambda c: t[c] if len(t.get(c, [])) == n else [""] * n
-    blank = lambda c: "" if c in ("?", ".", "None") else c
-    side = lambda k: list(zip(column(f"ptnr{k}_auth_comp_id"), column(f"ptnr{k}_auth_asym_id"), column(f"ptnr{k}_auth_seq_id"), map(blank, column(f"pdbx_ptnr{k}_PDB_ins_code"))))
-    out = []
-    for kind, a, b in zip(column("conn_type_id"), side(1), side(2)):
-        if kind.lower() == "covale":
-            for p, q in ((a, b), (b, a)):
-                if p[0] == "ASN" and p[2].lstrip("-").isdigit():
-                    out.append((p[1], int(p[2]), p[3], q[0]))
-                    break
-    return out
+def cif_bonds(text: str) -> pd.DataFrame:
+    """The covalent bonds of an mmCIF text: a and b as dicts of strings, in the author's numbering.
 
+    Names of residues are the label's where it has them, else the author's; a column that isn't there is blank.
+    """
+    table = pd.DataFrame(cif_table(text, "_struct_conn"), dtype=str)
+    blank = pd.Series("", table.index, dtype=str)
+    covalent = table[table.get("conn_type_id", blank).str.lower() == "covale"]
 
-def file_links(files: DataFrame) -> DataFrame:
-    """SRC9, SRC10: links of all files, by kind."""
+    def side(k: int) -> list[dict]:
+        names = {"name": (f"ptnr{k}_label_comp_id", f"ptnr{k}_auth_comp_id"), "chain": (f"ptnr{k}_auth_asym_id",), "seq": (f"ptnr{k}_auth_seq_id",), "icode": (f"pdbx_ptnr{k}_PDB_ins_code",)}
+        return pd.DataFrame({c: next((covalent[n] for n in those if n in covalent), blank[covalent.index]).str.strip() for c, those in names.items()}).to_dict("records")
+
+    return pd.DataFrame({"a": side(1), "b": side(2)}, dtype=object)
+
+
+def file_bonds(files: DataFrame) -> DataFrame:
+    """Bonds of all files, whatever their kind."""
     lines = files.where("kind = 'pdb'").select("path", F.explode(F.split(F.decode("content", "utf-8"), "\r?\n")).alias("value"))
 
     def run(batches):
         for pdf in batches:
-            rows = [(p, *link) for p, c in zip(pdf["path"], pdf["content"]) for link in cif_links(bytes(c).decode("utf-8", "ignore"))]
-            yield pd.DataFrame(rows, columns=["path", "chain_id", "resseq", "icode", "glycan_resname"])
+            for path, content in zip(pdf["path"], pdf["content"]):
+                yield cif_bonds(bytes(content).decode("utf-8", "ignore")).assign(path=path)[["path", "a", "b"]]
 
-    return link_records(lines).unionByName(files.where("kind <> 'pdb'").select("path", "content").mapInPandas(run, LINK))
+    return link_records(lines).unionByName(files.where("kind <> 'pdb'").select("path", "content").mapInPandas(run, f"path string, a {SIDE}, b {SIDE}"))
+
+
+def file_links(files: DataFrame) -> DataFrame:
+    """SRC9, SRC10: glycan links of all files."""
+    return glycan_links(file_bonds(files))
+
+
+def file_hosts(files: DataFrame) -> DataFrame:
+    """SRC12: (path, host), blank where none is stated."""
+    return files.select("path", x.expression_system(F.decode("content", "utf-8")).alias("host"))
 
 
 def atoms(files: DataFrame) -> DataFrame:
@@ -149,7 +176,7 @@ def atoms(files: DataFrame) -> DataFrame:
 def residues(atom_rows: DataFrame) -> DataFrame:
     """Amino acids with an alpha carbon: its place, one-letter code."""
     known = F.col("resname").isin(list(v.THREE_TO_ONE)) | ~F.col("hetero")
-    return atom_rows.where((F.col("atom") == "CA") & known & F.col("resseq").isNotNull()).select("path", "chain_id", "resseq", "icode", x.residue_code(F.col("resname")).alias("aa"), "x", "y", "z").dropDuplicates(["path", "chain_id", "resseq", "icode"])
+    return atom_rows.where((F.col("atom") == "CA") & known & F.col("resseq").isNotNull()).select("path", "chain_id", "resseq", "icode", x.residue_code(F.col("resname")).alias("aa"), "x", "y", "z").groupBy("path", "chain_id", "resseq", "icode").agg(F.min(F.struct("aa", "x", "y", "z")).alias("r")).select("path", "chain_id", "resseq", "icode", "r.*")
 
 
 def chains(residue_rows: DataFrame) -> DataFrame:
@@ -159,46 +186,73 @@ def chains(residue_rows: DataFrame) -> DataFrame:
     return rows.select("path", "chain_id", F.array_join(F.transform("r", lambda r: r["aa"]), "").alias("sequence"), F.transform("r", lambda r: F.struct(r["resseq"].alias("resseq"), r["icode"].alias("icode"))).alias("residue_ids"))
 
 
-def align(a: str, b: str, match: int = 2, mismatch: int = -1, opening: int = -10, extend: int = -1) -> list[tuple[int, int]]:
+@dataclass(frozen=True)
+class Costs:
+    match: int = 2
+    mismatch: int = -1
+    opening: int = -10
+    extend: int = -1
+
+    def row(self, above: tuple[np.ndarray, np.ndarray], same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best scores that end at each place of a row: any way, with a gap along the row, with one down to it."""
+        h, f = above
+        down = np.maximum(h + self.opening, f + self.extend)
+        pair = h[:-1] + np.where(same, self.match, self.mismatch)
+        closed = np.concatenate(([0], np.maximum(np.maximum(0, down[1:]), pair)))
+        # gaps along the row: best over earlier starts, as a running maximum
+        steps = np.arange(len(closed))
+        along = np.full(len(closed), -(10**9))
+        along[1:] = np.maximum.accumulate(closed - self.extend * steps)[:-1] + self.opening + self.extend * (steps[1:] - 1)
+        return np.maximum(closed, along), along, down
+
+
+def align(a: str, b: str, costs: Costs = Costs()) -> list[tuple[int, int]]:
     """JN22: 1-based aligned pairs of the best local alignment with affine gaps.
 
     A gap of length n costs opening + (n - 1) x extend. Among equal scores the end of least a, then least
-    b, is taken, and a pair is preferred to a gap on the way back.
+    b, is taken, and a pair is preferred to a gap on the way back. One row in each square root of their
+    number is kept on the way there and the rows between two of them are found again on the way back, so
+    memory grows by the power 1.5 of the length and no pair is too long.
     """
     n, m = len(a), len(b)
-    if not n or not m or n * m > ALIGN_CELLS:
+    if not n or not m:
         return []
-    ca, cb = np.frombuffer(a.encode("latin-1", "replace"), np.uint8), np.frombuffer(b.encode("latin-1", "replace"), np.uint8)
-    low = np.float32(-1e9)
-    h = np.zeros((n + 1, m + 1), np.float32)
-    e = np.full((n + 1, m + 1), low, np.float32)
-    f = np.full((n + 1, m + 1), low, np.float32)
-    steps = np.arange(m + 1, dtype=np.float32)
+    ca, cb = np.array(list(a)), np.array(list(b))
+    every = max(16, math.isqrt(n))
+    rows = np.zeros(m + 1, np.int64), np.full(m + 1, -(10**9))
+    kept, best = [rows], (0, 0, 0)
     for i in range(1, n + 1):
-        pair = h[i - 1, :-1] + np.where(cb == ca[i - 1], match, mismatch)
-        f[i] = np.maximum(h[i - 1] + opening, f[i - 1] + extend)
-        base = np.maximum(np.maximum(0, f[i, 1:]), pair)
-        row = np.concatenate(([0], base)).astype(np.float32)
-        # gaps along the row: best over earlier starts, as a running maximum
-        run = np.maximum.accumulate(row - extend * steps)
-        e[i, 1:] = run[:-1] + opening + extend * (steps[1:] - 1)
-        h[i] = np.maximum(row, e[i])
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    out, state = [], "h"
-    while h[i, j] > 0 or state != "h":
-        if state == "h":
-            if i and j and h[i, j] == h[i - 1, j - 1] + (match if ca[i - 1] == cb[j - 1] else mismatch):
-                out.append((int(i), int(j)))
+        h, _, f = costs.row(rows, cb == ca[i - 1])
+        rows = h, f
+        j = int(h.argmax())
+        if h[j] > best[0]:
+            best = int(h[j]), i, j
+        if i % every == 0:
+            kept.append(rows)
+    _, i, j = best
+    out, state, block, low = [], "any", [], n + 1
+    while i and (state != "any" or block == [] or block[i - low][0][j] > 0):
+        if i <= low:
+            low = (i - 1) // every * every
+            rows = kept[low // every]
+            block = [(rows[0], None, rows[1])]
+            for r in range(low, min(low + every, n)):
+                h, along, down = costs.row(rows, cb == ca[r])
+                rows = h, down
+                block.append((h, along, down))
+            continue
+        (h, along, down), above = block[i - low], block[i - low - 1][0]
+        if state == "any":
+            if j and h[j] == above[j - 1] + (costs.match if ca[i - 1] == cb[j - 1] else costs.mismatch):
+                out.append((i, j))
                 i, j = i - 1, j - 1
-            elif h[i, j] == f[i, j]:
-                state = "f"
             else:
-                state = "e"
-        elif state == "f":
-            state = "h" if f[i, j] == h[i - 1, j] + opening else "f"
+                state = "down" if h[j] == down[j] else "along"
+        elif state == "down":
+            state = "any" if down[j] == above[j] + costs.opening else "down"
             i -= 1
         else:
-            state = "h" if e[i, j] == h[i, j - 1] + opening else "e"
+            state = "any" if along[j] == h[j - 1] + costs.opening else "along"
             j -= 1
     return out[::-1]
 
@@ -245,20 +299,62 @@ def assess(sites: DataFrame, chain_rows: DataFrame, links: DataFrame, hosts: Dat
     tier = F.when(found & F.col("link"), "structure_linked_glycan").otherwise("structure_residue_resolved")
     detail = F.when(~found, "low_confidence_chain_match").when(F.col("observed") == "N", "").otherwise(F.concat(F.lit("residue_mismatch:"), "observed"))
     n_links = links.groupBy("path").agg(F.count("*").alias("n_links"))
-    at_site = F.count_if("link").over(here)
-    best = scored.withColumn("own_links", at_site).select(*key, "path", "own_links").distinct().join(best, [*key, "path"]).join(n_links, "path", "left").join(hosts, "path", "left")
-    record = best.select(*key, "path", "pdb_id", tier.alias("tier"), "chain_id", F.col("residue.resseq").alias("resseq"), F.col("residue.icode").alias("icode"), F.col("observed").alias("observed_residue"), detail.alias("detail"), (F.coalesce("n_links", F.lit(0)) - F.col("own_links")).alias("elsewhere"), F.coalesce("host", F.lit("")).alias("expression_system"))
-    empty = chain_rows.select("path", F.lit(True).alias("has_chain")).distinct()
-    every = sites.select(*key, "path", "pdb_id").distinct().join(record.drop("pdb_id"), [*key, "path"], "left").join(empty, "path", "left")
+    own_links = links.groupBy("path", "chain_id", F.struct("resseq", "icode").alias("residue")).agg(F.count("*").alias("own_links"))
+    best = best.join(n_links, "path", "left").join(own_links, ["path", "chain_id", "residue"], "left").join(hosts, "path", "left")
+    elsewhere = F.coalesce("n_links", F.lit(0)) - F.coalesce("own_links", F.lit(0))
+    record = best.select(*key, "path", tier.alias("tier"), "chain_id", F.col("residue.resseq").alias("resseq"), F.col("residue.icode").alias("icode"), F.col("observed").alias("observed_residue"), detail.alias("detail"), elsewhere.alias("elsewhere"), F.coalesce("host", F.lit("")).alias("expression_system"))
+    with_chain = chain_rows.select("path", F.lit(True).alias("has_chain")).distinct()
+    every = sites.select(*key, "path", "pdb_id", *(c for c in ("turn",) if c in sites.columns)).distinct().join(record, [*key, "path"], "left").join(with_chain, "path", "left")
     every = every.withColumn("tier", F.coalesce("tier", F.when(F.col("has_chain"), "structure_residue_unresolved").otherwise("structure_not_assessed"))).withColumn("detail", F.coalesce("detail", F.when(F.col("has_chain"), "position_not_in_model").otherwise("no_protein_chain")))
     every = every.withColumn("internal_control", F.coalesce(x.internal_control(F.col("tier"), F.col("detail"), F.col("observed_residue"), F.col("elsewhere"), F.col("expression_system")), F.lit(False)))
-    ranks = F.create_map(*(F.lit(a) for t, r in v.STRUCTURE_RANK.items() for a in (t, r)))
+    ranks = F.create_map(*(F.lit(a) for t, r in v.STRUCTURE_RANK.items() for a in (t, -r)))
     names = ("pdb_id", "chain_id", "resseq", "icode", "observed_residue", "internal_control", "expression_system", "detail")
     row = F.struct("tier", *names, F.col("elsewhere").alias("glycans_elsewhere"))
-    top = every.groupBy(*key).agg(F.max_by(row, F.struct(F.element_at(ranks, F.col("tier")), F.negative(F.hash("path")))).alias("r"), F.count("*").alias("structure_n_available"))
+    turn = F.col("turn") if "turn" in sites.columns else F.lit(0)
+    top = every.groupBy(*key).agg(F.min_by(row, F.struct(F.element_at(ranks, F.col("tier")), turn, F.col("path"))).alias("r"), F.count("*").alias("structure_n_available"))
     return top.select(*key, *(F.col(f"r.{c}").alias(f"structure_{c}") for c in ("tier", *names, "glycans_elsewhere")), "structure_n_available")
 
 
+def structure_layer(sites: DataFrame, sequences: DataFrame, manifest: DataFrame, extras: DataFrame, files: DataFrame) -> DataFrame:
+    """CMP4: sites (accession, position) -> one row each: the best record over all their structures, or why there is none.
+
+    sequences (accession, sequence); manifest (accession, pdb_id, path), the recorded structure of each
+    protein; extras (accession, pdb_id, path), the other cached ones, which come after it in order of id.
+    """
+    key = ["accession", "position"]
+    own = manifest.select("accession", "pdb_id", "path", F.lit(0).alias("turn"))
+    more = extras.select("accession", "pdb_id", "path", F.lit(1).alias("turn")).join(manifest.select("accession"), "accession", "left_semi")
+    known = sequences.where("sequence <> ''").select("accession", "sequence")
+    rows = sites.select(*key).join(known, "accession").join(own.unionByName(more), "accession")
+    wanted = files.join(rows.select("path").distinct(), "path", "left_semi")
+    found = assess(rows, chains(residues(atoms(wanted))), file_links(wanted), file_hosts(wanted))
+    rest = sites.select(*key).join(manifest.select("accession", F.col("pdb_id").alias("own_id")), "accession", "left").join(found, key, "left")
+    reason = F.when(F.col("own_id").isNull(), "no_cached_structure").otherwise("no_uniprot_sequence")
+    none = F.col("structure_tier").isNull()
+    rest = rest.withColumns({"structure_detail": F.when(none, reason).otherwise(F.col("structure_detail")), "structure_pdb_id": F.when(none, F.coalesce("own_id", F.lit(""))).otherwise(F.col("structure_pdb_id")), "structure_tier": F.coalesce("structure_tier", F.lit("structure_not_assessed")), "structure_internal_control": F.coalesce("structure_internal_control", F.lit(False))})
+    return rest.drop("own_id").na.fill("").na.fill(0, ["structure_glycans_elsewhere", "structure_n_available"])
+
+
+def first_usable(proteins: DataFrame, index: DataFrame, ids: str = "pdb_ids") -> DataFrame:
+    """FLT18: the first of a protein's structures, in the order listed, that is cached; proteins without a sequence have none."""
+    listed = proteins.where("sequence <> ''").select("accession", F.posexplode(x.clean_ids(F.col(ids))).alias("at", "id"))
+    found = listed.withColumn("stem", F.upper("id")).join(index.select("stem", "path"), "stem")
+    return found.groupBy("accession").agg(F.min_by(F.struct(F.col("stem").alias("pdb_id"), "path"), "at").alias("r")).select("accession", "r.*")
+
+
+def control_targets(proteins: DataFrame, most: dict[str, int] | None = None, seed: int = 0, ids: str = "pdb_ids") -> DataFrame:
+    """CMP7: the first listed structure of each control protein; sets with a cap keep a seeded sample of so many proteins.
+
+    The sample is by md5 of seed and accession, whatever sites a protein has.
+    """
+    first = F.get(x.clean_ids(F.col(ids)), F.lit(0))
+    rows = proteins.select("control_set", "accession", first.alias("pdb_id")).where("pdb_id is not null").groupBy("control_set", "accession").agg(F.min("pdb_id").alias("pdb_id"))
+    for name, cap in sorted((most or {}).items()):
+        mine = F.col("control_set") == name
+        rows = rows.where(~mine).unionByName(rows.where(mine).orderBy(seeded(seed, "accession"), "accession").limit(cap))
+    return rows
+
+
 def environment(residue_rows: DataFrame, radius: float = v.NEIGHBOUR_RADIUS) -> DataFrame:
     """FN21: neighbours within the radius over all chains, their make-up, place in the chain.
 

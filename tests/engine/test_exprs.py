@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -65,3 +67,20 @@ def test_retention(spark):
     r = rows[0].r
     assert (r.n_designs_scored, r.n_full_sequon_retained, r.n_asn_retained_motif_lost, r.n_ser_thr_retained_motif_lost, r.n_proline_introduced_at_x, r.n_complete_motif_loss) == (5, 1, 2, 2, 1, 1)
     assert rows[1].r.n_designs_scored == 0 and rows[1].r.frac_complete_motif_loss is None
+
+
+def test_motifs_overlap(spark):
+    r = random.Random(1)
+    texts = ["", "N", "NN", "NAS", "NNSS", "NPT", "NPS", "NATNAS", "NNNSSS", "ANGT", None] + ["".join(r.choice("NPSTA") for _ in range(r.randrange(60))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in rows.select("t", x.sequons(F.col("t")).alias("m"), x.sequon_count(F.col("t")).alias("n")).collect():
+        want = [(m.start() + 1, row.t[m.start() : m.start() + 3]) for m in re.finditer("(?=N[^P][ST])", row.t or "")]
+        assert [tuple(m) for m in row.m] == want and (row.n or 0) == len(want)
+
+
+def test_half_even_is_that_of_the_binary_value(spark):
+    r = random.Random(2)
+    values = [2.675, 0.125, 0.375, -0.125, -2.675, 1.005, 0.5, 1e15 + 0.3, 1e300, 5e-324, 0.0] + [r.uniform(-1e3, 1e3) for _ in range(500)] + [r.randrange(-999, 999) / 2 ** r.randrange(1, 12) for _ in range(500)] + [round(r.uniform(-9, 9), 3) for _ in range(500)]
+    for places in (2, 4, 5, 6):
+        for row in spark.createDataFrame([(v,) for v in values], "v double").select("v", x.half_even(F.col("v"), places).alias("h")).collect():
+            assert row.h == round(row.v, places), (row.v, places)

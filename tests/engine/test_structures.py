@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ def atom(i, aa, chain="A", x=0.0, y=0.0, z=0.0, name="CA"):
     return f"ATOM  {i:5d}  {name:<3s} {THREE[aa]:3s} {chain}{i:4d}    {x:8.3f}{y:8.3f}{z:8.3f}  1.00  0.00           {name[0]:>2s}"
 
 
-def link(chain="A", seq=2):
-    return f"LINK         ND2 ASN {chain}{seq:4d}                 C1  NAG {chain} 101     1555   1555  1.45"
+def link(chain="A", seq=2, other="NAG", icode=" "):
+    return f"LINK         ND2 ASN {chain}{seq:4d}{icode}                C1  {other} {chain} 101     1555   1555  1.45"
 
 
 CIF = """data_x
@@ -33,12 +34,15 @@ c1 covale ASN A 61 ? NAG A 401 ?
 c2 covale NAG B 402 ? ASN B 74 A
 c3 disulf CYS A 5 ? CYS A 9 ?
 c4 covale SER A 8 ? MAN A 403 ?
+c5 covale ASN A 90 ? GLY A 91 ?
+c6 metalc ASN A 92 ? CA A 404 ?
+c7 covale ASN A x ? NAG A 405 ?
 #
 """
 
 
 def write(tmp_path):
-    lines = ["SOURCE   2 EXPRESSION_SYSTEM: HOMO SAPIENS;", link(seq=37)] + [atom(i + 1, a, x=3.8 * i) for i, a in enumerate(SEQ)] + ["ENDMDL", atom(1, "G", "B"), "END"]
+    lines = ["SOURCE   2 EXPRESSION_SYSTEM: HOMO SAPIENS;", link(seq=37), link(seq=20, other=" CA"), link(seq=21, other="GLY"), link(seq=-4, icode="B")] + [atom(i + 1, a, x=3.8 * i) for i, a in enumerate(SEQ)] + ["ENDMDL", atom(1, "G", "B"), "END"]
     (tmp_path / "1abc.pdb").write_text("\n".join(lines))
     (tmp_path / "1abc.cif").write_text(CIF)
     (tmp_path / "empty.pdb").write_text("")
@@ -49,7 +53,7 @@ def test_files_links_chains(spark, tmp_path):
     files = sr.structure_files(spark, write(tmp_path))
     assert files.count() == 2 and sr.indexed(files, [str(tmp_path)]).first().path.endswith(".pdb")
     links = {(r.chain_id, r.resseq, r.icode, r.glycan_resname) for r in sr.file_links(files).collect()}
-    assert links == {("A", 37, "", "NAG"), ("A", 61, "", "NAG"), ("B", 74, "A", "NAG")}
+    assert links == {("A", 37, "", "NAG"), ("A", -4, "B", "NAG"), ("A", 61, "", "NAG"), ("B", 74, "A", "NAG")}
     (chain,) = sr.chains(sr.residues(sr.atoms(files))).collect()
     assert chain.chain_id == "A" and chain.sequence == SEQ and chain.residue_ids[1].resseq == 2
 
@@ -64,6 +68,28 @@ def test_alignment():
     assert sr.align("", "A") == [] and sr.align("AAA", "CCC") == []
 
 
+def test_alignment_is_the_best():
+    """Against all cells of the plain recursion, over strings long enough for many kept rows."""
+    r = random.Random(1)
+    for _ in range(40):
+        a = "".join(r.choice("ACDE") for _ in range(r.randrange(1, 90)))
+        b = list(a)
+        del b[(k := r.randrange(len(b))) : k + r.randrange(0, 9)]
+        for _ in range(r.randrange(0, 6)):
+            b.insert(r.randrange(len(b) + 1), r.choice("ACDE"))
+        b = "".join(b) or "A"
+        h, e, f = ({} for _ in range(3))
+        get = lambda t, *at: t.get(at, 0 if t is h else -(10**9))
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                f[i, j] = max(get(h, i - 1, j) - 10, get(f, i - 1, j) - 1)
+                e[i, j] = max(get(h, i, j - 1) - 10, get(e, i, j - 1) - 1)
+                h[i, j] = max(0, get(h, i - 1, j - 1) + (2 if a[i - 1] == b[j - 1] else -1), e[i, j], f[i, j])
+        pairs = sr.align(a, b)
+        gaps = [d for p, q in zip(pairs, pairs[1:]) for d in (q[0] - p[0] - 1, q[1] - p[1] - 1) if d]
+        assert sum(2 if a[i - 1] == b[j - 1] else -1 for i, j in pairs) - sum(9 + d for d in gaps) == max(h.values())
+
+
 def test_assessment_and_mapping(spark, tmp_path):
     files = sr.structure_files(spark, write(tmp_path)).where("kind = 'pdb'")
     path = files.first().path
