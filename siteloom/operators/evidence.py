@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import exprs as x
@@ -14,12 +14,27 @@ from siteloom.operators.sites import KEY, joined_layers
 
 @dataclass(frozen=True)
 class Policy:
+    """What counts as support; the names are those of the configuration."""
+
     qualifying_uniprot_tiers: tuple[str, ...] = ("manual_experimental", "manual_combinatorial")
     qualifying_glygen_tiers: tuple[str, ...] = ("glygen_reported_with_glycan", "glygen_reported_independent")
     qualifying_structure_tiers: tuple[str, ...] = ("structure_linked_glycan",)
     glyconnect_qualifies: bool = False
-    unmodified_from_internal_control: bool = True
-    extra: dict = field(default_factory=dict)
+    observed_unmodified_from_internal_control: bool = True
+    require_analysis_ready: bool = True
+    strict_buckets: tuple[str, ...] = ("strict",)
+    plausible_buckets: tuple[str, ...] = ("plausible",)
+
+    @classmethod
+    def of(cls, section: dict) -> Policy:
+        """The policy of a configuration's section; a key that only reports read is left out."""
+        own = {f.name for f in fields(cls)}
+        return cls(**{k: tuple(x) if isinstance(x, list) else x for k, x in section.items() if k in own})
+
+
+def chosen(tier: str, tiers: tuple[str, ...]) -> Column:
+    """FLT6: whether a column's tier is one of the given; a missing one isn't."""
+    return F.coalesce(tier, F.lit("")).isin(list(tiers))
 
 
 def usable_features(features: DataFrame) -> DataFrame:
@@ -76,15 +91,15 @@ def combine(annotation: DataFrame, layers: list[DataFrame], policy: Policy) -> D
     """CMP2's core: support, occupancy and exclusion of every site over the layers that are there."""
     rows = joined_layers(annotation, layers)
     has = set(rows.columns)
-    flags = {"uniprot": F.col("uniprot_qualifies")}
+    flags = {"uniprot": F.col("uniprot_qualifies")} if "uniprot_qualifies" in has else {}
     if "glygen_tier" in has:
-        flags["glygen"] = F.coalesce("glygen_tier", F.lit("")).isin(list(policy.qualifying_glygen_tiers))
+        flags["glygen"] = chosen("glygen_tier", policy.qualifying_glygen_tiers)
     if "glyconnect_supported" in has and policy.glyconnect_qualifies:
         flags["glyconnect"] = F.col("glyconnect_supported")
     if "structure_tier" in has:
-        flags["structure"] = F.coalesce("structure_tier", F.lit("")).isin(list(policy.qualifying_structure_tiers))
+        flags["structure"] = chosen("structure_tier", policy.qualifying_structure_tiers)
     names, count, positive = x.support(flags)
-    bare = F.col("structure_internal_control") if "structure_internal_control" in has and policy.unmodified_from_internal_control else F.lit(False)
+    bare = F.col("structure_internal_control") if "structure_internal_control" in has and policy.observed_unmodified_from_internal_control else F.lit(False)
     rows = rows.withColumns({"support_sources": names, "support_count": count, "experimental_positive": positive})
     return rows.withColumns({"occupancy_status": x.occupancy(F.col("experimental_positive"), bare), "exclusion_reason": F.when(F.col("experimental_positive"), "").otherwise(F.col("exclusion_reason"))})
 

@@ -9,6 +9,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from pyspark.sql import types as T
 
 from siteloom import schemas
 from siteloom.functions.exprs import clean_ids, no_nan
+from siteloom.functions.vocab import TRANSFER_TAXA
+from siteloom.operators.sites import keep_first
+from siteloom.shared import exists
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -53,10 +57,9 @@ def sequences(table: DataFrame, accessions: DataFrame, order: str) -> DataFrame:
 
 def read_cache(spark: SparkSession, path: str, detail: str) -> DataFrame:
     """SRC5: JSON lines {accession, detail, error}; the last line with a detail wins; no file is an empty table."""
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+    if not exists(spark, path):
         return spark.createDataFrame([], f"accession string, detail {detail}")
-    rows = spark.read.text(path).where(F.trim("value") != "").withColumn("line", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    rows = spark.read.text(path).where(F.trim("value") != "").withColumn("line", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     rows = rows.select("line", F.from_json("value", f"accession string, detail {detail}, error string").alias("j")).where("j.detail is not null")
     return rows.groupBy(F.col("j.accession").alias("accession")).agg(F.max_by("j.detail", "line").alias("detail"))
 
@@ -88,7 +91,7 @@ def structure_manifest(manifest: DataFrame, files: DataFrame, order: str) -> Dat
 def extra_structures(manifest: DataFrame, index: DataFrame) -> DataFrame:
     """SRC8, SRC17: cached files of the accession's other structure ids."""
     ids = manifest.select("accession", "pdb_id", F.explode(clean_ids(F.col("all_pdb_ids"))).alias("id")).where(F.upper("id") != F.upper("pdb_id"))
-    return ids.join(index.withColumnRenamed("stem", "upper_id"), F.upper("id") == F.col("upper_id")).select("accession", F.upper("id").alias("pdb_id"), "path")
+    return ids.join(index.withColumnRenamed("stem", "upper_id").drop("pdb_id"), F.upper("id") == F.col("upper_id")).select("accession", F.upper("id").alias("pdb_id"), F.col("path")).distinct()
 
 
 def wanted_structures(manifest: DataFrame, cap: int = 20) -> DataFrame:
@@ -97,6 +100,28 @@ def wanted_structures(manifest: DataFrame, cap: int = 20) -> DataFrame:
     return manifest.select("accession", F.explode(F.slice(others, 1, cap)).alias("pdb_id"))
 
 
+def fetch_structures(ids: list[str], folder: Path, get: Callable[[str, str], bytes], delay: float = 0.0) -> dict[str, int]:
+    """SRC16: one file a structure id, .pdb or else .cif; what is there already isn't asked for."""
+    counts = dict.fromkeys(("requested", "downloaded", "downloaded_mmcif", "cached", "failed"), 0)
+    for code in sorted({i.upper() for i in ids}):
+        counts["requested"] += 1
+        if any(f.is_file() and f.stat().st_size for f in (folder / f"{code}.pdb", folder / f"{code}.cif")):
+            counts["cached"] += 1
+            continue
+        result = "failed"
+        for kind, name in (("pdb", "downloaded"), ("cif", "downloaded_mmcif")):
+            try:
+                content = get(code, kind)
+            except OSError:
+                continue
+            (folder / f"{code}.{kind}").write_bytes(content)
+            result = name
+            break
+        counts[result] += 1
+        time.sleep(delay)
+    return counts
+
+
 def first_row(rows: DataFrame) -> DataFrame:
     """SRC18: what a score table says of its origin."""
     names = [c for c in ("model", "conditioning", "n_orders") if c in rows.columns]
@@ -173,7 +198,7 @@ def two_step(search: Callable[[str], dict], detail: Callable[[str], dict]) -> Ca
 CONTROL_TERMS = {
     "cytosolic_eukaryotic": ("reviewed:true", "taxonomy_id:2759", "go:0005829", "database:pdb", "NOT keyword:KW-0325", "NOT keyword:KW-0732", "NOT keyword:KW-0812"),
     "secretory_eukaryotic_unannotated": ("reviewed:true", "taxonomy_id:2759", "database:pdb", "(keyword:KW-0964 OR keyword:KW-0812 OR keyword:KW-0732)", "NOT keyword:KW-0325"),
-    "bacterial_extracytoplasmic": ("reviewed:true", "taxonomy_id:2", "database:pdb", "(keyword:KW-0574 OR keyword:KW-0998 OR keyword:KW-0964)", "NOT keyword:KW-0325", *(f"NOT taxonomy_id:{t}" for t in (194, 209, 629, 713, 724, 2157, 32257))),
+    "bacterial_extracytoplasmic": ("reviewed:true", "taxonomy_id:2", "database:pdb", "(keyword:KW-0574 OR keyword:KW-0998 OR keyword:KW-0964)", "NOT keyword:KW-0325", *(f"NOT taxonomy_id:{t}" for t in TRANSFER_TAXA)),
 }
 
 
@@ -184,8 +209,6 @@ def control_query(name: str) -> str:
 
 def control_set(proteins: DataFrame, name: str) -> DataFrame:
     """FLT17 on a table (reviewed, has_structure, taxonomy_ids, keywords, go_ids), tagged; DDP2."""
-    from siteloom.functions.vocab import TRANSFER_TAXA
-
     has = lambda c, k: F.array_contains(c, k)
     base = F.col("reviewed") & F.col("has_structure") & ~has("keywords", "KW-0325")
     secreted = lambda *ks: sum((has("keywords", k).cast("int") for k in ks), F.lit(0)) > 0
@@ -194,4 +217,5 @@ def control_set(proteins: DataFrame, name: str) -> DataFrame:
         "secretory_eukaryotic_unannotated": base & has("taxonomy_ids", 2759) & secreted("KW-0964", "KW-0812", "KW-0732"),
         "bacterial_extracytoplasmic": base & has("taxonomy_ids", 2) & secreted("KW-0574", "KW-0998", "KW-0964") & ~F.arrays_overlap("taxonomy_ids", F.array(*map(F.lit, TRANSFER_TAXA))),
     }[name]
-    return proteins.where(test).dropDuplicates(["Entry"]).withColumn("control_set", F.lit(name))
+    rest = [c for c in sorted(proteins.columns) if c != "Entry"]
+    return keep_first(proteins.where(test), ["Entry"], [F.to_json(F.struct(*rest))]).withColumn("control_set", F.lit(name))

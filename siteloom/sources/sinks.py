@@ -9,10 +9,11 @@ import subprocess
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.operators.sites import KEY, MODEL_KEY, keep_first
+from siteloom.operators.sites import KEY, MODEL_KEY, keep_first, most_common
+from siteloom.shared import exists
 
 
 def write_csv(rows: DataFrame, path: str, compression: str | None = None) -> None:
@@ -22,11 +23,6 @@ def write_csv(rows: DataFrame, path: str, compression: str | None = None) -> Non
     out.coalesce(1).write.mode("overwrite").option("header", True).option("compression", compression or "none").csv(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def append_new(rows: DataFrame, path: str, keys: tuple[str, ...] = MODEL_KEY) -> None:
     """SNK2: adds the rows whose key the table lacks; a rerun after a failure adds what is missing."""
     spark = rows.sparkSession
@@ -57,6 +53,11 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
 
 
+def partition_counts(rows: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """DQ8: how many rows there are and how many fall into each part; parts that hold all rows once add up."""
+    return rows.agg(F.count("*").alias("n_input"), sum((F.count_if(test) for test in parts.values()), F.lit(0)).alias("n_parts"))
+
+
 def provenance(inputs: dict[str, str], config_hash: str, counts: dict, extra: dict | None = None) -> dict:
     """SNK6 for driver-local inputs: what was read, by which code and configuration."""
 
@@ -95,4 +96,4 @@ def top_reasons(failures: DataFrame, n: int = 5) -> DataFrame:
     """SNK8: the most frequent normalised reasons."""
     from siteloom.functions.exprs import normal_reason
 
-    return failures.groupBy(normal_reason(F.col("reason")).alias("reason")).count().orderBy(F.desc("count"), "reason").limit(n)
+    return most_common(failures.select(normal_reason(F.col("reason")).alias("reason")), "reason", n)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siteloom.operators.sites import MODEL_KEY
+from siteloom.operators.sites import MODEL_KEY, keep_first
 from siteloom.sources.sinks import append_new
 
 
@@ -18,6 +19,6 @@ def follow(spark: SparkSession, path: str, schema: str, work: Callable[[DataFram
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        append_new(work(rows.dropDuplicates(list(keys))), out, keys)
+        append_new(work(keep_first(rows, list(keys), [F.to_json(F.struct(*rows.columns))])), out, keys)
 
     return spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteloom import schemas
-from siteloom.config import Config, variant_path, variant_suffix
+from siteloom import config
+from siteloom.config import variant_path, variant_suffix
 from siteloom.operators.sites import MODEL_KEY
 from siteloom.sources import readers as rd
 from siteloom.sources import sinks as sk
@@ -75,11 +76,15 @@ def test_csv_sink_reports_and_config(spark, tmp_path):
     sk.write_csv(spark.createDataFrame([("P2", 1), ("P1", 5), ("P1", 2), (None, 1)], "accession string, position int"), str(tmp_path / "o"))
     (f,) = (tmp_path / "o").glob("part*.csv")
     assert f.read_text().split() == ["accession,position", "P1,2", "P1,5", "P2,1", ",1"] or f.read_text().split()[1:4] == ["P1,2", "P1,5", "P2,1"]
-    (tmp_path / "c.toml").write_text('[paths]\npairs = "o"\nlost = "nope"\nresults_dir = "later"\n[policy]\nx = 1\n')
-    c = Config.read(tmp_path / "c.toml")
-    assert c.paths["pairs"] == (tmp_path / "o").resolve() and len(c.problems()) == 1 and c.digest == Config.read(tmp_path / "c.toml").digest
+    (tmp_path / "c.toml").write_text('[paths]\npairs_master = "o"\nuniprot_tsv = "nope"\nresults_dir = "later"\nodd = "o"\n[policy]\nglyconnect_qualifes = true\nstrict_buckets = "a"\nqualifying_structure_tiers = ["no_tier"]\n[more]\nx = 1\n')
+    c = config.read(tmp_path / "c.toml")
+    assert c["paths"]["pairs_master"] == (tmp_path / "o").resolve() and c["policy"]["observed_unmodified_from_internal_control"] is True
+    found = config.problems(c)
+    assert len(found) == 6 and [p.split(" ")[0] for p in found] == ["[more]", "[paths]", "[paths]", "[policy]", "[policy]", "[policy]"] and "nope" in " ".join(found)
+    (tmp_path / "d.toml").write_text('# the same\n[layers]\n\n[more]\nx = 1\n[policy]\nqualifying_structure_tiers = ["no_tier"]\nstrict_buckets = "a"\nglyconnect_qualifes = true\n[paths]\nodd = "o"\nresults_dir = "later"\nuniprot_tsv = "nope"\npairs_master = "o"\n')
+    assert config.read(tmp_path / "d.toml")["digest"] == c["digest"] != config.read_text("")["digest"]
     assert variant_suffix("_a_") == "_a" and variant_suffix(" ") == "" and variant_path("r/", "t", "b") == "r/t_b"
-    p = sk.provenance({"c": str(tmp_path / "c.toml"), "gone": "x"}, c.digest, {"n": 1})
+    p = sk.provenance({"c": str(tmp_path / "c.toml"), "gone": "x"}, c["digest"], {"n": 1})
     assert list(p["inputs"]) == ["c"] and len(p["inputs"]["c"]["sha256"]) == 64
     assert sk.file_digests(spark, str(tmp_path / "c.toml")).first().sha256 == p["inputs"]["c"]["sha256"]
     assert sk.report(spark.range(3).agg(F.count("*").alias("n"))) == {"n": 3}
