@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.shared import shared_folder
+
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage into the shared checkpoint folder; one is made only where none is set."""
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage into the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siteloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -23,13 +23,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     that long chains shorten by about half a round. Isolated names can be given as self edges.
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = _cut(pairs.unionAll(pairs.select("y", "x")).toDF("x", "y").distinct())
-    labels = _cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).withColumnRenamed("x", "node"))
+    both = cut(pairs.unionAll(pairs.select("y", "x")).toDF("x", "y").distinct())
+    labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).withColumnRenamed("x", "node"))
     while True:
         seen = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("l").alias("m"))
         lower = labels.join(seen, labels.node == seen.x, "left").select("node", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         jump = lower.select(F.col("node").alias("via"), F.col("l").alias("far"))
-        after = _cut(lower.join(jump, lower.l == jump.via, "left").select("node", F.least("l", "far").alias("l"), "old"))
+        after = cut(lower.join(jump, lower.l == jump.via, "left").select("node", F.least("l", "far").alias("l"), "old"))
         changed = not after.where("l <> old").isEmpty()
         labels = after.select("node", "l")
         if not changed:

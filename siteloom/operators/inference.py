@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from siteloom.functions.exprs import no_nan
 from siteloom.operators.graph import components
+from siteloom.operators.ranks import numbered, running, seeded
+
+
+#: Units whose sums one task may hold as arrays (16 bytes each); more of them are joined instead.
+HELD_UNITS = 1_000_000
 
 
 def contrasts(pairs: DataFrame, scores: DataFrame, clusters: DataFrame | None = None, value: str = "score") -> DataFrame:
@@ -25,11 +30,53 @@ def contrasts(pairs: DataFrame, scores: DataFrame, clusters: DataFrame | None =
     rows = pairs.join(a, ["case_accession", "case_position"]).join(b, ["control_accession", "control_position"])
     out = rows.groupBy("case_accession", "case_position").agg(F.first("case_score").alias("case_score"), F.avg("control_score").alias("control_mean_score"), F.count("*").alias("n_controls"), F.array_join(F.array_sort(F.collect_set("control_accession")), ";").alias("control_proteins"))
     out = out.withColumn("contrast", F.col("case_score") - F.col("control_mean_score"))
+    return with_cluster(out, clusters)
+
+
+def with_cluster(cases: DataFrame, clusters: DataFrame | None) -> DataFrame:
+    """JN17: each case with the first of its site's clusters, or one of its own."""
     first = F.lit(None).cast("string")
     if clusters is not None:
-        out = out.join(clusters.select(F.col("accession").alias("case_accession"), F.col("position").alias("case_position"), "ortholog_clusters"), ["case_accession", "case_position"], "left")
-        first = F.split("ortholog_clusters", ";")[0]
-    return out.withColumn("ortholog_cluster", F.coalesce(F.when(first != "", first), F.concat(F.lit("solo:"), "case_accession"))).drop("ortholog_clusters")
+        cases = cases.join(clusters.select(F.col("accession").alias("case_accession"), F.col("position").alias("case_position"), "ortholog_clusters"), ["case_accession", "case_position"], "left")
+        first = F.get(F.split("ortholog_clusters", ";"), F.lit(0))
+    return cases.withColumn("ortholog_cluster", F.coalesce(F.when(first != "", first), F.concat(F.lit("solo:"), "case_accession"))).drop("ortholog_clusters")
+
+
+def with_status(rows: DataFrame, manifest: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """JN9: rows with their status, blank if the manifest lacks them, and scoreability, false if unknown."""
+    out = rows.join(manifest, on, "left").join(known, on, "left")
+    return out.withColumns({"status": F.coalesce("status", F.lit("")), "scoreable": F.coalesce("scoreable", F.lit(False))})
+
+
+def with_scores(manifest: DataFrame, scores: DataFrame, on: list[str], value: str = "score") -> DataFrame:
+    """JN8: manifest rows that have a score; a NaN is none."""
+    return manifest.join(scores.select(*on, no_nan(F.col(value).cast("double")).alias(value)).where(F.col(value).isNotNull()), on)
+
+
+def pair_values(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """JN14: pairs with both sides' values; a pair that lacks one is left out."""
+    side = lambda s: values.select(F.col("accession").alias(f"{s}_accession"), F.col("position").alias(f"{s}_position"), F.col(value).alias(f"{s}_{value}"))
+    return pairs.join(side("case"), ["case_accession", "case_position"]).join(side("control"), ["control_accession", "control_position"])
+
+
+def subtypes(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """AGG19: number, mean, and mean in standard deviations of each subtype."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), (F.avg(value) / F.stddev_samp(value)).alias("in_sd"))
+
+
+def box_stats(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """AGG30: exact quartiles of each class."""
+    return rows.groupBy(by).agg(*(F.percentile(value, F.lit(q)).alias(f"q{i + 1}") for i, q in enumerate((0.25, 0.5, 0.75))))
+
+
+def control_reuse(rows: DataFrame) -> DataFrame:
+    """AGG18: how many contrasts each control protein takes part in."""
+    return rows.select(F.explode(F.split("control_proteins", ";")).alias("control")).groupBy("control").count()
+
+
+def ordered_contrasts(rows: DataFrame, value: str = "contrast") -> DataFrame:
+    """SRT7: contrasts from least to greatest, ties by case."""
+    return rows.orderBy(value, "case_accession", "case_position")
 
 
 def resample_units(rows: DataFrame) -> DataFrame:
@@ -48,7 +95,7 @@ def robust_location(rows: DataFrame, value: str = "contrast", cut: float = 0.1)
     """AGG20: mean, median, trimmed mean, share of positives, range of leave-one-out means."""
     x = rows.select(F.col(value).alias("x")).where("x is not null")
     n_sum = x.agg(F.count("*").alias("n"), F.sum("x").alias("t"))
-    ranked = x.groupBy("x").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = running(x.groupBy("x").agg(F.count("*").alias("k")), ["x"], F.col("k"), "upto")
     ranked = ranked.crossJoin(F.broadcast(n_sum)).withColumn("skip", F.floor(F.col("n") * cut))  # one row
     inside = F.greatest(F.least(F.col("upto"), F.col("n") - F.col("skip")) - F.greatest(F.col("upto") - F.col("k"), F.col("skip")), F.lit(0))
     trimmed = ranked.agg((F.sum(F.col("x") * inside) / F.sum(inside)).alias("trimmed_mean"))
@@ -66,19 +113,27 @@ def pick(draw: Column, slot: Column, n: Column | int, salt: str = "") -> Column:
 def numbered_units(rows: DataFrame, unit: str, value: str) -> DataFrame:
     """Units in order of name: (unit_at, s, n)."""
     sums = rows.where(F.col(unit).isNotNull() & F.col(value).isNotNull()).groupBy(unit).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    return sums.select((F.row_number().over(Window.orderBy(unit)) - 1).cast("long").alias("unit_at"), "s", "n")
+    return numbered(sums, [unit], "unit_at").select("unit_at", "s", "n")
 
 
 def bootstrap_draws(rows: DataFrame, unit: str, value: str, n_draws: int, salt: str = "b") -> DataFrame:
     """STAT1-STAT3: means of resampled units, one row a draw.
 
-    Units are reduced to sums first, so the draws cost draws x units rows and no copy of the data.
+    Units are reduced to sums first. Up to HELD_UNITS of them go to the tasks as two arrays and each draw
+    sums its picks there, without a shuffle; beyond, picks are rows that are joined with the units.
     """
-    units = numbered_units(rows, unit, value)
+    units, spark = numbered_units(rows, unit, value), rows.sparkSession
+    draws = spark.range(n_draws).withColumnRenamed("id", "draw")
+    slots = F.sequence(F.lit(0).cast("long"), F.col("u") - 1)
+    if units.count() <= HELD_UNITS:
+        # an aggregate's list has no order of its own: the units' numbers give it
+        listed = units.agg(F.array_sort(F.collect_list(F.struct("unit_at", "s", "n"))).alias("l"), F.count("*").alias("u"))
+        held = listed.select("u", F.transform("l", lambda x: x["s"]).alias("sums"), F.transform("l", lambda x: x["n"]).alias("sizes")).where("u > 0")
+        each = draws.crossJoin(F.broadcast(held)).withColumn("picks", F.transform(slots, lambda slot: pick(F.col("draw"), slot, F.col("u"), salt).cast("int")))
+        both = F.aggregate("picks", F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct((a["s"] + F.get("sums", i)).alias("s"), (a["n"] + F.get("sizes", i)).alias("n")))
+        return each.select("draw", both.alias("t")).select("draw", (F.col("t.s") / F.col("t.n")).alias("mean"))
     size = units.agg(F.count("*").alias("u"))
-    draws = rows.sparkSession.range(n_draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size))  # one row
-    slots = draws.where("u > 0").select("draw", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("u") - 1)).alias("slot"))
-    picked = slots.select("draw", pick(F.col("draw"), F.col("slot"), F.col("u"), salt).alias("unit_at"))
+    picked = draws.crossJoin(F.broadcast(size)).select("draw", "u", F.explode(slots).alias("slot")).select("draw", pick(F.col("draw"), F.col("slot"), F.col("u"), salt).alias("unit_at"))  # size is one row
     return picked.join(units, "unit_at").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
@@ -111,10 +166,13 @@ def seeded_bootstrap(rows: DataFrame, unit: str, value: str, n_draws: int, seed:
 
 
 def sign_flips(rows: DataFrame, unit: str, value: str, n_draws: int, salt: str = "p") -> DataFrame:
-    """STAT7: two-sided sign-flip permutation of unit sums: (n_units, observed, p)."""
+    """STAT7: two-sided sign-flip permutation of unit sums: (n_units, observed, p).
+
+    Each task adds up its own units under every draw, so a row a draw is all that it sends.
+    """
     units = numbered_units(rows, unit, value)
-    flips = rows.sparkSession.range(n_draws).withColumnRenamed("id", "draw")
-    signed = flips.crossJoin(units).select("draw", "n", (F.col("s") * F.when(pick(F.col("draw"), F.col("unit_at"), 2, salt) == 1, 1).otherwise(-1)).alias("v"))
+    flips = units.select("unit_at", "s", "n", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
+    signed = flips.select("draw", "n", (F.col("s") * F.when(pick(F.col("draw"), F.col("unit_at"), 2, salt) == 1, 1).otherwise(-1)).alias("v"))
     draws = signed.groupBy("draw").agg((F.sum("v") / F.sum("n")).alias("m"))
     observed = units.agg(F.count("*").alias("n_units"), (F.sum("s") / F.sum("n")).alias("observed"))
     return draws.crossJoin(F.broadcast(observed)).groupBy("n_units", "observed").agg(((F.count_if(F.abs("m") >= F.abs("observed") - 1e-15) + 1) / (F.lit(n_draws) + 1)).alias("p"))
@@ -122,11 +180,11 @@ def sign_flips(rows: DataFrame, unit: str, value: str, n_draws: int, salt: str =
 
 def adjusted(tests: DataFrame, p: str = "p", name: str = "test") -> DataFrame:
     """STAT8, STAT9: Holm and Benjamini-Hochberg over one family (all rows)."""
-    family = Window.orderBy(p, name)
-    rows = tests.withColumn("rank", F.row_number().over(family)).withColumn("m", F.count("*").over(Window.partitionBy()))
-    holm = F.least(F.lit(1.0), F.max((F.col("m") - F.col("rank") + 1) * F.col(p)).over(family.rowsBetween(Window.unboundedPreceding, 0)))
-    down = Window.orderBy(F.desc(p), F.desc(name)).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("p_holm", holm).withColumn("p_bh", F.least(F.lit(1.0), F.min(F.col("m") * F.col(p) / F.col("rank")).over(down))).drop("rank", "m")
+    m = tests.count()
+    rows = numbered(tests, [p, name], "rank").withColumn("rank", F.col("rank") + 1)
+    rows = running(rows, ["rank"], (F.lit(m) - F.col("rank") + 1) * F.col(p), "p_holm", "max").withColumn("back", -F.col("rank"))
+    rows = running(rows, ["back"], F.lit(m) * F.col(p) / F.col("rank"), "p_bh", "min")
+    return rows.withColumns({c: F.least(F.lit(1.0), F.col(c)) for c in ("p_holm", "p_bh")}).drop("rank", "back")
 
 
 def signed_rank_p(values: np.ndarray) -> float:
@@ -149,12 +207,37 @@ def signed_rank_p(values: np.ndarray) -> float:
     return math.erfc(abs(t - n * (n + 1) / 4) / spread / math.sqrt(2)) if spread else 1.0
 
 
+def sign_tests(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """STAT11: positives, informative values and exact two-sided binomial p of each class.
+
+    The p of a class is a function of two counts, so only these leave the JVM, a row a class.
+    """
+    counts = rows.groupBy(by).agg(F.count_if(F.col(value) > 0).alias("k"), F.count_if(F.col(value) != 0).alias("n"))
+    return counts.withColumn("p", F.pandas_udf(lambda k, n: pd.Series([sign_test_p(int(a), int(b)) for a, b in zip(k, n)]), "double")("k", "n"))
+
+
+def signed_rank_tests(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """STAT10: Wilcoxon signed-rank of each class by the normal approximation, in the JVM.
+
+    Ranks are averaged over ties and found over groups of equal magnitude; zeros are dropped. For few values
+    without ties ``signed_rank_p`` is exact.
+    """
+    mags = rows.where((F.col(value) != 0) & F.col(value).isNotNull()).groupBy(by, F.abs(value).alias("a")).agg(F.count("*").alias("k"), F.count_if(F.col(value) > 0).alias("up"))
+    upto = F.sum("k").over(Window.partitionBy(by).orderBy("a").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = mags.withColumn("rank", upto - (F.col("k") - 1) / 2)
+    sums = ranked.groupBy(by).agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("k") - F.col("up"))).alias("w_minus"), F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"))
+    n, t = F.col("n"), F.least("w_plus", "w_minus")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    return sums.select(by, "n", "w_plus", "w_minus", ((t - n * (n + 1) / 4) / spread).alias("z"))
+
+
 def sign_test_p(k: int, n: int) -> float:
-    """STAT11: exact two-sided binomial at one half."""
-    if n == 0:
+    """STAT11: exact two-sided binomial at one half; the terms are added as logarithms, so n may be large."""
+    if n == 0 or 2 * k == n:
         return 1.0
-    tail = sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n
-    return min(1.0, 2 * tail) if 2 * k != n else 1.0
+    i = np.arange(min(k, n - k))
+    terms = np.concatenate(([0.0], np.cumsum(np.log(n - i) - np.log(i + 1)))) - n * math.log(2)
+    return min(1.0, 2 * float(np.exp(terms).sum()))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -162,8 +245,7 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         groups = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(c).agg(F.count("*").alias("k"))
-        upto = F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return groups.select(c, (upto - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
+        return running(groups, [c], F.col("k"), "upto").select(c, (F.col("upto") - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
 
     return rows.join(ranks(a), a).join(ranks(b), b).agg(F.count("*").alias("n"), F.corr(f"rank_{a}", f"rank_{b}").alias("rho"))
 
@@ -213,5 +295,5 @@ def sensitivity(parts: dict[str, DataFrame], unit: str, value: str, n_draws: int
 
 
 def seeded_sample(rows: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """STAT16: n rows chosen by a seeded hash of the key; the same for any partitioning."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """STAT16: n rows chosen by a seeded digest of the key; the same for any partitioning and in any engine with md5."""
+    return rows.orderBy(seeded(seed, *keys), *keys).limit(n)

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.operators.graph import components
+from siteloom.functions.exprs import half_even
+from siteloom.operators.graph import components, cut
 
 SIDE = ("accession", "position")
 PAIR = "case_accession string, case_position int, control_accession string, control_position int, distance double, match_rank int"
@@ -65,27 +66,30 @@ def _blocks(edges: DataFrame) -> DataFrame:
 def greedy_pairs(edges: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """STAT13: cases in a seeded order each take their k nearest controls still free.
 
-    The order is a seeded hash of the case's key, the same for any partitioning. Components of the edge
-    graph are walked apart, which changes nothing, as a control is admissible in its own component only.
+    The order is the md5 of seed and key, the same for any partitioning and in other engines. Taking turns
+    gives the one stable matching of cases that like near controls and controls that like early cases, so
+    it is found in rounds: every case asks for the k nearest it may still get, and where an earlier case
+    asks for a control, later ones lose it. A round is two grouped passes over the edges that are left, and
+    no task ever holds a component of the graph.
     """
-    order = F.xxhash64("case_accession", "case_position", F.lit(seed))
-    return _greedy(_blocks(edges).withColumn("turn", order), k)
+    return _rounds(edges.withColumn("seed", F.lit(seed)), k).drop("seed")
 
 
-def _greedy(rows: DataFrame, k: int) -> DataFrame:
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        pdf = pdf.sort_values(["turn", "case_accession", "case_position", "distance", "control_accession", "control_position"])
-        for (_, acc, pos), own in pdf.groupby(["turn", "case_accession", "case_position"], sort=True):
-            rank = 0
-            for c_acc, c_pos, d in zip(own.control_accession, own.control_position, own.distance):
-                if rank < k and (c_acc, c_pos) not in taken:
-                    taken.add((c_acc, c_pos))
-                    rank += 1
-                    out.append((acc, pos, c_acc, c_pos, round(d, 4), rank))
-        return pd.DataFrame(out, columns=["case_accession", "case_position", "control_accession", "control_position", "distance", "match_rank"])
-
-    return rows.groupBy("component").applyInPandas(walk, PAIR)
+def _rounds(edges: DataFrame, k: int) -> DataFrame:
+    """Greedy pairs for each value of the column seed."""
+    turn = F.md5(F.concat_ws("-", *(F.col(c).cast("string") for c in ("seed", "case_accession", "case_position"))))
+    case, control = ["seed", "case_accession", "case_position"], ["seed", "control_accession", "control_position"]
+    left = cut(edges.select(*case, *control[1:], "distance", F.struct(turn, "case_accession", "case_position").alias("turn")))
+    near = Window.partitionBy(*case).orderBy("distance", "control_accession", "control_position")
+    n = left.count()
+    while True:
+        asked = left.withColumn("match_rank", F.row_number().over(near))
+        first = F.min(F.when(F.col("match_rank") <= k, F.col("turn"))).over(Window.partitionBy(*control))
+        after = cut(asked.withColumn("first", first).where(F.col("first").isNull() | (F.col("turn") <= F.col("first"))).drop("first"))
+        n, before = after.count(), n
+        if n == before:
+            return after.where(F.col("match_rank") <= k).select(*case, *control[1:], half_even(F.col("distance"), 4).alias("distance"), F.col("match_rank").cast("int").alias("match_rank"))
+        left = after.drop("match_rank")
 
 
 def optimal_pairs(edges: DataFrame) -> DataFrame:
@@ -171,7 +175,23 @@ def case_weights(pairs: DataFrame) -> DataFrame:
 
 
 def seed_sweep(edges: DataFrame, seeds: list[int], k: int = 5) -> DataFrame:
-    """STAT15: greedy pairs under each seed, tagged. Components are found once for all seeds."""
-    blocks = _blocks(edges).persist()
-    turn = lambda s: F.xxhash64("case_accession", "case_position", F.lit(s))
-    return reduce(DataFrame.unionAll, [_greedy(blocks.withColumn("turn", turn(s)), k).withColumn("seed", F.lit(s)) for s in seeds])
+    """STAT15: greedy pairs under each seed, tagged; all seeds take their rounds together."""
+    return _rounds(edges.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))), k)
+
+
+class SubtypeMismatchError(ValueError):
+    """A pair whose two sides differ in a column that they were matched on."""
+
+
+def pair_subtypes(pairs: DataFrame, cases: DataFrame, controls: DataFrame, column: str = "subtype") -> DataFrame:
+    """JN11: pairs with the column of either side."""
+    side = lambda rows, s: rows.select(F.col("accession").alias(f"{s}_accession"), F.col("position").alias(f"{s}_position"), F.col(column).alias(f"{column}_{s}"))
+    return pairs.join(side(cases, "case"), ["case_accession", "case_position"]).join(side(controls, "control"), ["control_accession", "control_position"])
+
+
+def checked_subtypes(pairs: DataFrame, cases: DataFrame, controls: DataFrame, column: str = "subtype") -> DataFrame:
+    """JN11, DQ9: the same; a pair whose sides differ, or lack the column, is an error."""
+    rows = pair_subtypes(pairs, cases, controls, column)
+    if not rows.where(~F.coalesce(F.col(f"{column}_case") == F.col(f"{column}_control"), F.lit(False))).isEmpty():
+        raise SubtypeMismatchError(f"{column} differs within a pair")
+    return rows

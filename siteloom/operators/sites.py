@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.operators.ranks import numbered
+
 KEY = ("accession", "position")
 MODEL_KEY = ("accession", "position", "structure_pdb_id", "structure_chain_id")
 ASSOCIATION = ("pair_id", "cluster_id", "neg_accession", "source")
@@ -52,9 +54,9 @@ def with_missing(rows: DataFrame, columns: tuple[str, ...], kind: str = "string"
     return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c in columns))
 
 
-def associations(pairs: DataFrame, homology: DataFrame, order: list[str | Column]) -> DataFrame:
+def associations(pairs: DataFrame, homology: DataFrame, order: list[str | Column], require: bool = True) -> DataFrame:
     """JN1: each site's pairs with their homology bucket (the first by ``order`` for a pair id)."""
-    sites = positioned(ready(pairs))
+    sites = positioned(ready(pairs, require))
     buckets = keep_first(homology, ["pair_id"], order).select("pair_id", "homology_qc_bucket")
     return with_missing(sites, (*KEY, *ASSOCIATION)).join(buckets, "pair_id", "left").select(*KEY, *ASSOCIATION, "homology_qc_bucket")
 
@@ -92,6 +94,54 @@ def joined_layers(base: DataFrame, layers: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(KEY), "left"), layers, base)
 
 
+def one_to_one(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """JN18: inner join of two tables with unique keys; a key that occurs twice in either is an error."""
+    for side, name in ((a, "left"), (b, "right")):
+        if not side.groupBy(*on).count().where("count > 1").isEmpty():
+            raise ValueError(f"keys of the {name} side repeat")
+    return a.join(b, on)
+
+
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    """SET1: all rows of all tables, columns by name, null where a table has none."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def crosstab(rows: DataFrame, *by: str) -> DataFrame:
+    """AGG11: how many rows there are of each combination."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def most_common(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """AGG29, SRT4: the k most frequent values, ties by value."""
+    return rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(k)
+
+
+def first_known(rows: DataFrame, by: list[str], value: str, order: list[str | Column]) -> DataFrame:
+    """AGG33: the first value of each group that isn't null, in a stated order."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min_by(value, F.struct(*order)).alias(value))
+
+
+def site_clusters(sites: DataFrame, links: DataFrame, most: int = 3) -> DataFrame:
+    """JN7: every site with the list of its clusters, null where it has none."""
+    return sites.join(clusters(links, most), list(KEY), "left")
+
+
+def of_class(rows: DataFrame, *status: str, column: str = "occupancy_status") -> DataFrame:
+    """FLT9: rows of the given classes."""
+    return rows.where(F.col(column).isin(*status))
+
+
+def scoreable_only(rows: DataFrame) -> DataFrame:
+    """FLT8: rows known to be scoreable; an unknown one isn't."""
+    return rows.where(F.coalesce("scoreable", F.lit(False)))
+
+
+def present(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """FLT11: those of the columns that the table has, in the order asked for."""
+    return rows.select(*(c for c in columns if c in rows.columns))
+
+
 def counts(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """AGG4: rows and distinct accessions."""
     return rows.groupBy(*(by or [])).agg(F.count("*").alias("n_sites"), F.countDistinct("accession").alias("n_proteins"))
@@ -102,13 +152,13 @@ def shard(rows: DataFrame, group: list[str], part: str) -> DataFrame:
     k, n = (int(x) for x in part.split("/"))
     if not 0 <= k < n:
         raise ValueError(part)
-    order = rows.select(*group).distinct().select(*group, (F.dense_rank().over(Window.orderBy(*group)) - 1).alias("group_at"))
+    order = numbered(rows.select(*group).distinct(), group, "group_at")
     return rows.join(order.where(F.col("group_at") % n == k).drop("group_at"), group, "left_semi")
 
 
 def merged_shards(parts: list[DataFrame], keys: list[str], order: list[str | Column]) -> DataFrame:
     """SNK8: union by name, first row of each key."""
-    return keep_first(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), keys, order)
+    return keep_first(stacked(parts), keys, order)
 
 
 def missing_shards(found: DataFrame, n: int) -> DataFrame:

@@ -113,3 +113,64 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 VECTORS = "vectors AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(e AS DOUBLE) * CAST(e AS DOUBLE)) p FROM embeddings)"
+
+
+# supplier as structure files: 40 residues of chain A on a straight line, the sequence by nation, bonds by supplier
+
+AAS = "ACDEFGHIKLMNPQRSTVWY"
+_FIXED = {10: "N", 11: "G", 12: "S", 20: "N", 21: "G", 22: "T", 30: "N", 31: "G", 32: "S"}
+
+
+def _letter(n: str, i: str) -> str:
+    """The residue at place i of nation n, as SQL that both engines read."""
+    fixed = " ".join(f"WHEN {k} THEN '{a}'" for k, a in _FIXED.items())
+    return f"CASE {i} {fixed} ELSE substr('{AAS}', CAST(({n} * 7 + {i} * {i} + 3 * {i}) % 20 + 1 AS INTEGER), 1) END"
+
+
+def nation_sequence(n: str) -> str:
+    return f"array_join(transform(sequence(1, 40), i -> {_letter(n, 'i')}), '')"
+
+
+def structures(spark: SparkSession, sf: str, spacing: float = 3.8) -> DataFrame:
+    """path, length, content, stem, kind: every fourth supplier is an mmCIF file, the others are PDB files.
+
+    A glycan hangs on residue 10 of every third and on 20 of every fifth; residue 30 is bound to a metal and
+    20 to a glycine, which mean nothing. Hosts of even nations can glycosylate.
+    """
+    from siteloom.functions import vocab as v
+
+    three = {a: t for t, a in sorted(v.THREE_TO_ONE.items(), reverse=True)} | {"M": "MET"}
+    names = "map(" + ", ".join(f"'{a}', '{three[a]}'" for a in AAS) + ")"
+    host = "if(s_nationkey % 2 = 0, 'HOMO SAPIENS (HEK293)', 'ESCHERICHIA COLI')"
+    bonds = "filter(array(if(s_suppkey % 3 = 0, struct(10 as at, 'NAG' as other), null), if(s_suppkey % 5 = 0, struct(20 as at, 'BMA' as other), null), struct(30 as at, ' CA' as other), struct(20 as at, 'GLY' as other)), b -> b is not null)"
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.expr(f"transform(sequence(1, 40), i -> struct(i as i, {names}[{_letter('s_nationkey', 'i')}] as name))").alias("r"), F.expr(bonds).alias("b"), F.expr(host).alias("host"))
+    pdb = f"""array_join(concat(array(concat('SOURCE   2 EXPRESSION_SYSTEM: ', host, ';')),
+      transform(b, x -> if(x.at = 20, format_string('LINK         C1  %3s A 101                 ND2 ASN A%4d     1555   1555  1.45', x.other, x.at), format_string('LINK         ND2 ASN A%4d                 C1  %3s A 101     1555   1555  1.45', x.at, x.other))),
+      transform(r, x -> format_string('ATOM  %5d  CA  %3s A%4d    %8.3f%8.3f%8.3f  1.00  0.00           %2s', x.i, x.name, x.i, cast(x.i * {spacing} as double), 0.0D, 0.0D, 'C'))), '\\n')"""
+    cif = f"""array_join(concat(array('data_x', concat('# EXPRESSION_SYSTEM: ', host, ';'), 'loop_', '_struct_conn.conn_type_id'),
+      flatten(transform(array(1, 2), k -> array(format_string('_struct_conn.ptnr%d_label_comp_id', k), format_string('_struct_conn.ptnr%d_auth_asym_id', k), format_string('_struct_conn.ptnr%d_auth_seq_id', k), format_string('_struct_conn.pdbx_ptnr%d_PDB_ins_code', k)))),
+      transform(b, x -> format_string('%s ASN A %d ? %s A 101 .', if(trim(x.other) = 'CA', 'metalc', 'covale'), x.at, x.other)),
+      array('#', 'loop_'), transform(array('group_PDB', 'type_symbol', 'label_atom_id', 'auth_comp_id', 'auth_asym_id', 'auth_seq_id', 'pdbx_PDB_ins_code', 'Cartn_x', 'Cartn_y', 'Cartn_z'), c -> concat('_atom_site.', c)),
+      transform(r, x -> format_string('ATOM C CA %s A %d ? %.3f 0.0 0.0', x.name, x.i, cast(x.i * {spacing} as double)))), '\\n')"""
+    kind = F.when(F.col("s_suppkey") % 4 == 0, "cif").otherwise("pdb")
+    content = F.encode(F.when(kind == "cif", F.expr(cif)).otherwise(F.expr(pdb)), "utf-8")
+    stem = F.concat(F.lit("S"), "s_suppkey")
+    return rows.select(F.concat(F.lit("mem/"), stem, F.lit("."), kind).alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"), stem.alias("stem"), kind.alias("kind"), "s_suppkey")
+
+
+FILES = """files AS (SELECT s_suppkey k, s_nationkey n, 'S' || s_suppkey stem, CASE s_suppkey % 4 WHEN 0 THEN 'cif' ELSE 'pdb' END kind, 'mem/S' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.cif' ELSE '.pdb' END path FROM supplier)"""
+RESIDUES = FILES + f", residues AS (SELECT k, n, path, CAST(i AS INTEGER) i, {_letter('n', 'i')} aa FROM files, (SELECT unnest(range(1, 41)) i))"
+LINKS = "links AS (SELECT k, path, kind, 10 AS seq, 'NAG' AS name FROM files WHERE k % 3 = 0 UNION ALL SELECT k, path, kind, 20, 'BMA' FROM files WHERE k % 5 = 0)"
+SEQUENCES = f"seqs AS (SELECT n, string_agg(aa, '' ORDER BY i) AS sequence FROM (SELECT n, i, {_letter('n', 'i')} aa FROM (SELECT DISTINCT n FROM files), (SELECT unnest(range(1, 41)) i)) GROUP BY 1)"
+
+
+def nations(spark: SparkSession, sf: str) -> DataFrame:
+    """(accession, sequence) of each nation."""
+    return table(spark, sf, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("accession"), F.expr(nation_sequence("n_nationkey")).alias("sequence"))
+
+
+def nation_structures(spark: SparkSession, sf: str) -> DataFrame:
+    """(accession, pdb_id, path, s_suppkey): the structures of each nation's protein."""
+    files = structures(spark, sf).select("path", "stem", "s_suppkey")
+    home = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("N"), "s_nationkey").alias("accession"))
+    return files.join(home, "s_suppkey").select("accession", F.col("stem").alias("pdb_id"), "path", "s_suppkey")

@@ -1,14 +1,17 @@
+import hashlib
 import itertools
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siteloom.operators import evidence as ev
 from siteloom.operators import graph
 from siteloom.operators import inference as inf
 from siteloom.operators import matching as ma
+from siteloom.operators import ranks
 from siteloom.operators import scoring as sc
 from siteloom.operators import sites as st
 
@@ -150,3 +153,58 @@ def test_segments(spark):
     rows = spark.createDataFrame([(0, 2.0), (0, 3.0), (2, 5.0)], "index long, src double")
     got = {r["index"]: (r["sum"], r["mean"], r["mul"]) for r in sc.segment_reduce(rows, 4).collect()}
     assert got == {0: (5.0, 2.5, 6.0), 1: (0.0, 0.0, 1.0), 2: (5.0, 5.0, 5.0), 3: (0.0, 0.0, 1.0)}
+
+
+def test_greedy_equals_taking_turns(spark):
+    edges = ma.caliper_edges(side(spark, 0, 60), side(spark, 1, 25), ["f", "g"], 0.9, ("kind",)).cache()
+    rows = edges.collect()
+    for k, seed in ((1, 0), (2, 4), (5, 1)):
+        turn = lambda a: hashlib.md5(f"{seed}-{a}-1".encode()).hexdigest()  # noqa: B023, E731
+        taken, want = set(), {}
+        for case in sorted({r.case_accession for r in rows}, key=lambda a: (turn(a), a)):
+            near = sorted((r.distance, r.control_accession) for r in rows if r.case_accession == case and r.control_accession not in taken)[:k]
+            taken |= {c for _, c in near}
+            want |= {(case, c): i + 1 for i, (_, c) in enumerate(near)}
+        assert {(r.case_accession, r.control_accession): r.match_rank for r in ma.greedy_pairs(edges, k, seed).collect()} == want
+    both = ma.seed_sweep(edges, [0, 7], 1).groupBy("seed").count().collect()
+    assert {r.seed: r["count"] for r in both} == {s: ma.greedy_pairs(edges, 1, s).count() for s in (0, 7)}
+
+
+def test_subtypes_of_pairs_are_checked(spark):
+    pairs = spark.createDataFrame([("a", 1, "b", 1)], "case_accession string, case_position int, control_accession string, control_position int")
+    one = lambda a, s: spark.createDataFrame([(a, 1, s)], "accession string, position int, subtype string")
+    assert ma.checked_subtypes(pairs, one("a", "NXS"), one("b", "NXS")).count() == 1
+    for other in ("NXT", None):
+        with pytest.raises(ma.SubtypeMismatchError):
+            ma.checked_subtypes(pairs, one("a", "NXS"), one("b", other))
+
+
+def test_running_totals_over_many_ranges(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice("abc") + str(r.randrange(4000)), r.randrange(-5, 9)) for i in range(12_000)]
+    frame = spark.createDataFrame(rows, "i int, k string, n int")
+    at = sorted(rows, key=lambda x: (x[1], x[0]))
+    got = {x.i: (x.place, x.total, x.least, x.r) for x in ranks.numbered(ranks.running(ranks.running(ranks.ranges(frame, ["k", "i"], "r"), ["k", "i"], F.col("n"), "total"), ["k", "i"], F.col("n"), "least", "min"), ["k", "i"], "place").collect()}
+    total, least = 0, 99
+    for place, (i, _, n) in enumerate(at):
+        total, least = total + n, min(least, n)
+        assert got[i][:3] == (place, total, least)
+    assert len({g[3] for g in got.values()}) > 1
+
+
+def test_draws_by_arrays_and_by_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"u{i % 13}", float(i * i % 17)) for i in range(90)], "u string, v double")
+    by_array = {r.draw: r["mean"] for r in inf.bootstrap_draws(rows, "u", "v", 20).collect()}
+    monkeypatch.setattr(inf, "HELD_UNITS", 3)
+    by_join = {r.draw: r["mean"] for r in inf.bootstrap_draws(rows, "u", "v", 20).collect()}
+    assert by_array.keys() == by_join.keys() and all(math.isclose(by_array[k], by_join[k]) for k in by_array) and len(set(by_array.values())) > 10
+    assert inf.bootstrap_draws(rows.limit(0), "u", "v", 5).collect() == []
+
+
+def test_one_to_one_and_missing_scores(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    assert st.one_to_one(a, a.withColumnRenamed("v", "w"), ["k"]).count() == 2
+    with pytest.raises(ValueError, match="right"):
+        st.one_to_one(a, a.unionAll(a).withColumnRenamed("v", "w"), ["k"])
+    scores = spark.createDataFrame([(1, float("nan")), (2, 3.0)], "k int, score double")
+    assert [tuple(r) for r in inf.with_scores(a, scores, ["k"]).collect()] == [(2, "y", 3.0)]
