@@ -3,26 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom.shared import own_folder, remove
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where it is unset (tests) is an own folder made."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="siteloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -31,12 +22,12 @@ class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
     A written table cuts lineage and survives lost executors. ``drop`` removes a table that no later
-    plan reads.
+    plan reads; the rest goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = own_folder(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,10 +37,16 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            target = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            remove(self.spark, self.path(name))
+
+
+def free(docs: DataFrame, stem: str) -> str:
+    """A column name that the table doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
 
 
 def bounds(df: DataFrame, column: str, parts: int) -> list[int]:
@@ -78,8 +75,8 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def ordered(docs: DataFrame, scratch: Scratch, name: str = "__order__") -> DataFrame:
-    """Adds a unique integer column that ascends with doc_id.
+def ordered(docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Adds a unique integer column, whose name must be free, that ascends with doc_id.
 
     It is doc_id itself where that is unique and never null. Otherwise rows are numbered by
     (doc_id, text), nulls first, and the numbered table is written, so that later reads agree.
@@ -88,4 +85,4 @@ def ordered(docs: DataFrame, scratch: Scratch, name: str = "__order__") -> DataF
     if worst is None or worst == 1:
         return docs.withColumn(name, F.col("doc_id"))
     dealt = docs.repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.write(dealt.withColumn(name, F.monotonically_increasing_id()), name)
+    return scratch.write(dealt.withColumn(name, F.monotonically_increasing_id()), "ordered")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Scratch, ordered
+from siteloom.llm.common import Scratch, free, ordered
 from siteloom.llm.simhash import LOWER
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 15, 4
@@ -217,21 +217,39 @@ def search(index: Index, texts: list[str | None], least: float) -> Iterator[tupl
             for p, t, x in zip(hit[inside].tolist(), text[inside].tolist(), place[hit[inside]].tolist()):
                 for i in owner[begins[x] : begins[x + 1]].tolist():
                     shared[t, i].append(p - int(ends[t] - lengths[t]))
-        hashed: dict[tuple[int, int], np.ndarray] = {}
-        for (t, i), places in sorted(shared.items()):
-            f, (item_id, n, k, _) = found[a + t], index.items[i]
-            lo = int(ends[t] - lengths[t])
-            n_now = min(n, len(f))
-            last = len(f) - n_now
-            starts = np.unique(np.clip(np.concatenate([np.arange(p - (n_now - k), p + 1) for p in places]), 0, last))
-            best = _verify(index, i, f, flat[lo : lo + len(f)], starts.tolist(), 0, least)
+        yield from ((a + t, *row) for t, row in _judged(index, shared, found[a:b], flat, ends - lengths, least))
+
+
+def _judged(index: Index, shared: dict[tuple[int, int], list[int]], found: list[list[bytes]], flat: np.ndarray, begins: np.ndarray, least: float) -> Iterator[tuple[int, tuple[int, float, int, int, int]]]:
+    """Leaks among the (text, item) pairs that share listed shingles at the given places.
+
+    Windows of each item's size about those places are fingerprinted and looked up in the block tables. What
+    comes within the radius is a candidate, and verified; then so is the rest, as a similarity of ``least``
+    bounds no distance.
+    """
+    windows: dict[tuple[int, tuple[int, int]], dict[int, np.ndarray]] = defaultdict(dict)
+    for (t, i), places in shared.items():
+        _, n, k, _ = index.items[i]
+        n_now = min(n, len(found[t]))
+        spread = (np.array(places)[:, None] + np.arange(-(n_now - k), 1)).ravel()
+        windows[t, (k, n)][i] = np.unique(np.clip(spread, 0, len(found[t]) - n_now))
+    hashed: dict[tuple[int, int], np.ndarray] = {}
+    for (t, key), own in sorted(windows.items()):
+        k, n = key
+        hashes = flat[begins[t] : begins[t] + len(found[t])]
+        if (t, k) not in hashed:
+            hashed[t, k] = shingle_hashes(hashes, k)
+        starts = np.unique(np.concatenate(list(own.values())))
+        prints = _window_prints(hashed[t, k], starts, min(n, len(found[t])) - k + 1)
+        window, item, apart = index.near(key, prints)
+        for i, at in sorted(own.items()):
+            mine = item == i
+            near = np.intersect1d(starts[window[mine]], at)
+            options = [_verify(index, i, found[t], hashes, some.tolist(), 0, least) for some in (near, np.setdiff1d(at, near)) if len(some)]
+            best = min((o for o in options if o), key=lambda o: (-o[0], o[1]), default=None)
             if best:
-                if (t, k) not in hashed:
-                    hashed[t, k] = shingle_hashes(flat[lo : lo + len(f)], k)
-                prints = _window_prints(hashed[t, k], starts, n_now - k + 1)
-                _, item, apart = index.near((k, n), prints)
-                within = apart[item == i]
-                yield (a + t, item_id, best[0], best[1], best[2], int(within.min() if len(within) else np.bitwise_count(prints ^ np.uint64(index.marks[i])).min()))
+                distance = apart[mine].min() if mine.any() else np.bitwise_count(prints[np.searchsorted(starts, at)] ^ np.uint64(index.marks[i])).min()
+                yield t, (index.items[i][0], *best, int(distance))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -267,9 +285,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a leak, with all their columns; rows are judged one by one."""
-    scratch = Scratch(docs.sparkSession, "leaks")
-    keyed = ordered(docs, scratch)
-    found = leaks(keyed.select(F.col("__order__").alias("doc_id"), "text"), benchmark, **options)
-    found = scratch.write(found.select(F.col("doc_id").alias("__order__")).distinct(), "found")
-    return keyed.join(found, "__order__", "left_anti").select(*docs.columns)
+    """The documents without a leak, with all their columns, whatever their names.
+
+    Rows are judged one by one, so repeated rows stay or go together; null and empty texts stay; an empty
+    table, or an empty benchmark, leaves the table as it is.
+    """
+    scratch, order = Scratch(docs.sparkSession, "leaks"), free(docs, "order_at")
+    keyed = ordered(docs, scratch, order)
+    found = leaks(keyed.select(F.col(order).alias("doc_id"), "text"), benchmark, **options)
+    found = scratch.write(found.select(F.col("doc_id").alias(order)).distinct(), "found")
+    return keyed.join(found, order, "left_anti").select(*docs.columns)

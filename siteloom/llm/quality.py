@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Scratch, ordered
+from siteloom.llm.common import Scratch, free, ordered
 
 FEATURES = 1 << 18
 #: Labelled documents the classifier is fitted on at most, chosen by a hash of doc_id.
@@ -199,8 +199,8 @@ def site_posteriors(rows: DataFrame, targets: tuple[str, ...] = TARGETS) -> Data
     return out.select("host", "path", *(f"{k}_{t}" for t in targets for k in ("host", "path", "rate")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, host: Column | None = None, path: Column | None = None, limit: int = LABELLED) -> DataFrame:
-    """docs (__order__, doc_id, text, ...) -> __order__, doc_id, p_<t>, host_<t>, path_<t> for low and toxic, keep.
+def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, order: str, host: Column | None = None, path: Column | None = None, limit: int = LABELLED) -> DataFrame:
+    """docs (doc_id, text, ..., and the unique column ``order``) -> row_at (that column), doc_id, p_<t>, host_<t>, path_<t> for low and toxic, keep.
 
     labels: (doc_id, quality 0/1, toxic 0/1); repeated doc_ids count as toxic if any is and as low
     quality if any is, null labels as good. host and path default to the columns source and lang, nulls
@@ -209,7 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, host: Column
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    rows = docs.select("__order__", "doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), "text")
+    rows = docs.select(F.col(order).alias("row_at"), "doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), "text")
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("low"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     some = scratch.write(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit), "labelled")  # at most ``limit`` rows, so fit to broadcast
     labelled = rows.join(F.broadcast(some), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)))
@@ -217,7 +217,7 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, host: Column
     table = weights(*_counts(labelled.where("fold > 0")))
     judged = _evidence(labelled.where("fold = 0"), table, ["low", "toxic"]).toPandas()
     fits = [calibrate(judged[[f"{c}_{t}" for c in COVARIATES]].to_numpy(np.float64), judged[t].to_numpy(np.float64)) for t in TARGETS]
-    evidence = _evidence(rows, table, ["__order__", "doc_id", "host", "path"])
+    evidence = _evidence(rows, table, ["row_at", "doc_id", "host", "path"])
     for t, fit in zip(TARGETS, fits):
         odds = sum((F.lit(float(b)) * F.col(f"{c}_{t}") for b, c in zip(fit[1:], COVARIATES)), F.lit(float(fit[0])))
         evidence = evidence.withColumn(f"o_{t}", odds).withColumn(f"p_{t}", _chance(F.col(f"o_{t}"))).drop(*(f"{c}_{t}" for c in COVARIATES))
@@ -226,18 +226,22 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, host: Column
     joined = evidence.drop(*(f"p_{t}" for t in TARGETS)).join(sites, ["host", "path"])
     for t in TARGETS:
         joined = joined.withColumn(f"p_{t}", _chance(F.col(f"o_{t}") + _odds(F.col(f"path_{t}")) - _odds(F.col(f"rate_{t}"))))
-    return joined.select("__order__", "doc_id", *(f"{k}_{t}" for t in TARGETS for k in ("p", "host", "path")), ((F.col("p_low") <= REJECT) & (F.col("p_toxic") <= REJECT)).alias("keep"))
+    return joined.select("row_at", "doc_id", *(f"{k}_{t}" for t in TARGETS for k in ("p", "host", "path")), ((F.col("p_low") <= REJECT) & (F.col("p_toxic") <= REJECT)).alias("keep"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """classify() for any documents: null or repeated doc_ids are judged row by row. One row a document."""
     scratch = Scratch(docs.sparkSession, "quality")
-    return classify(ordered(docs.select("doc_id", "text", "source", "lang"), scratch), labels, scratch, **options).drop("__order__")
+    return classify(ordered(docs.select("doc_id", "text", "source", "lang"), scratch, "order_at"), labels, scratch, "order_at", **options).drop("row_at")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    keyed = ordered(docs, scratch)
-    verdicts = scratch.write(classify(keyed, labels, scratch).where("not keep").select("__order__"), "rejected")
-    return keyed.join(verdicts, "__order__", "left_anti").select(*docs.columns)
+    """The documents that the classifier keeps, with all their columns, whatever their names.
+
+    Repeated rows and rows without a doc_id are judged one by one; null and empty texts by their layout and
+    site; an empty table gives an empty table, and without labels all stay.
+    """
+    scratch, order = Scratch(docs.sparkSession, "quality"), free(docs, "order_at")
+    keyed = ordered(docs, scratch, order)
+    gone = classify(keyed, labels, scratch, order).where("not keep").select(F.col("row_at").alias(order))
+    return keyed.join(scratch.write(gone, "rejected"), order, "left_anti").select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Scratch, ordered, release
+from siteloom.llm.common import Scratch, free, ordered, parallelism, release
 from siteloom.llm.components import connected_components
 
 # Fixed value: generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -116,7 +116,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(fingerprints(docs.select("doc_id", "text"), words), "fps")
     reps = scratch.write(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    pairs = scratch.write(links(reps.repartition("fp"), threshold), "links")
+    pairs = scratch.write(links(reps.repartition(parallelism(docs.sparkSession), "fp"), threshold), "links")
     one = pairs.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
     found = connected_components(one.select("u", "v"), scratch)
     named = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
@@ -259,20 +259,20 @@ def _common(keyed: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], names=["token", "c"])
 
     share = int(1e6 * min(1, SAMPLE / max(1, keyed.count()))) + 1
-    seen = keyed.where(F.pmod(F.xxhash64("__order__"), F.lit(1_000_000)) < share).select("text").mapInArrow(run, "token long, c long")
+    seen = keyed.where(F.pmod(F.xxhash64("row_at"), F.lit(1_000_000)) < share).select("text").mapInArrow(run, "token long, c long")
     rows = seen.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= SEEN).orderBy(F.desc("c"), "token").limit(HOT).toPandas().sort_values("token")
     return rows["token"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
 
 
 def _similar(pairs: DataFrame, keyed: DataFrame, words: int, least: float, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (u, v) of __order__ whose exact shingle sets have a similarity of ``least`` or more."""
+    """The pairs (u, v) of row_at whose exact shingle sets have a similarity of ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words) for x in batch.column(1)], pa.list_(pa.int64()))], names=["node", "own"])
 
-    nodes = pairs.select(F.col("u").alias("__order__")).unionAll(pairs.select(F.col("v").alias("__order__"))).distinct()
-    sets = scratch.write(keyed.select("__order__", "text").join(nodes, "__order__", "left_semi").mapInArrow(run, "node long, own array<long>"), f"{name}-sets")
+    nodes = pairs.select(F.col("u").alias("row_at")).unionAll(pairs.select(F.col("v").alias("row_at"))).distinct()
+    sets = scratch.write(keyed.select("row_at", "text").join(nodes, "row_at", "left_semi").mapInArrow(run, "node long, own array<long>"), f"{name}-sets")
     release(keyed.sparkSession)  # the texts' shuffle files, before the sets take their place
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
     both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
@@ -315,8 +315,9 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
     over links. Texts without words (null, empty, blank) are copies of each other. Rows with equal or
     null doc_ids are told apart by (doc_id, text), nulls first.
     """
-    scratch = Scratch(docs.sparkSession, "distinct")
-    keyed = ordered(docs, scratch)
+    scratch, order = Scratch(docs.sparkSession, "distinct"), free(docs, "order_at")
+    every = ordered(docs, scratch, order)
+    keyed = every.select(F.col(order).alias("row_at"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(_common(keyed, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,13 +330,13 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 first.append(prefix(own, *sent.value, least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["__order__", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["row_at", "key", "n", "prefix"])
 
-    sets = scratch.write(keyed.select("__order__", "text").mapInArrow(run, "__order__ long, key binary, n long, prefix array<long>"), "sets")
-    reps = scratch.write(sets.groupBy("key").agg(F.min("__order__").alias("rep")), "reps")
-    own = sets.join(reps.select(F.col("rep").alias("__order__")), "__order__", "left_semi").withColumnRenamed("__order__", "rep")
-    keys = scratch.write(sets.select("__order__", "key"), "keys")
+    sets = scratch.write(keyed.select("row_at", "text").mapInArrow(run, "row_at long, key binary, n long, prefix array<long>"), "sets")
+    reps = scratch.write(sets.groupBy("key").agg(F.min("row_at").alias("rep")), "reps")
+    own = sets.join(reps.select(F.col("rep").alias("row_at")), "row_at", "left_semi").withColumnRenamed("row_at", "rep")
+    keys = scratch.write(sets.select("row_at", "key"), "keys")
     found = similar_components(keyed, own, words, least, scratch)
     named = scratch.write(reps.join(found, reps.rep == found.node, "left").select("key", F.coalesce("component", "rep").alias("stays")), "named")
-    gone = scratch.write(keys.join(named, "key").where("__order__ <> stays").select("__order__"), "gone")
-    return keyed.join(gone, "__order__", "left_anti").select(*docs.columns)
+    gone = scratch.write(keys.join(named, "key").where("row_at <> stays").select("row_at"), "gone")
+    return every.join(gone.withColumnRenamed("row_at", order), order, "left_anti").select(*docs.columns)

@@ -55,15 +55,15 @@ def neighbours(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFra
     the range before it, so that looking ahead never needs all rows in one task.
     """
     spark = docs.sparkSession
-    rows = ordered(docs.select("doc_id", "text"), Scratch(spark, "sketch")).withColumn("text", F.coalesce("text", F.lit("")))
-    cuts = bounds(rows, "__order__", 4 * parallelism(spark))
-    least = rows.agg(F.min("__order__")).first()[0]
+    rows = ordered(docs.select("doc_id", "text"), Scratch(spark, "sketch"), "order_at").withColumn("text", F.coalesce("text", F.lit("")))
+    cuts = bounds(rows, "order_at", 4 * parallelism(spark))
+    least = rows.agg(F.min("order_at")).first()[0]
     sketched = with_sketch(rows, "text", "sketch", words, bits)
-    part = bucket(F.col("__order__"), cuts)
-    heads = sketched.where(F.col("__order__").isin([*cuts, *([least] if least is not None else [])]))
+    part = bucket(F.col("order_at"), cuts)
+    heads = sketched.where(F.col("order_at").isin([*cuts, *([least] if least is not None else [])]))
     n = len(cuts) + 1
     both = sketched.withColumn("part", part).withColumn("head", F.lit(0)).unionAll(heads.withColumn("part", (part + (n - 1)) % n).withColumn("head", F.lit(1)))
-    ahead = Window.partitionBy("part").orderBy("head", "__order__")
+    ahead = Window.partitionBy("part").orderBy("head", "order_at")
     paired = both.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_sketch", F.lead("sketch").over(ahead)).where("head = 0")
     paired = paired.withColumn("n_chars", F.char_length("text").cast("long"))
     paired = paired.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))"))

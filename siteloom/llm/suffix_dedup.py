@@ -5,17 +5,19 @@ window-sized string is its trigger. Texts are cut at triggers into phrases that
 bytes, so each string of ``window`` bytes lies in exactly one phrase, which its own bytes decide: equal
 strings lie at equal offsets from equal triggers.
 
-Dictionary and parse. Equal phrases are one dictionary entry. An occurrence that isn't the entry's first
-in corpus order repeats as a whole. Strings of an entry's first occurrence can repeat only in other
-entries with the same trigger; only for such entries are the suffixes of at least ``window`` bytes
-compared with each other, as far as ``window`` bytes (classes of equal prefixes of that length take the
-place of the full lexicographic rank). In each class all but the first in corpus order repeat. Long
-repeats thus cost a row a phrase, not a row a byte. The entries of one trigger are compared in one task,
-as bytes, while they are few; where over CROWD rows share a trigger, each string is dealt on its own by
-128 bits of hash, so that no task gets them all.
-
-Rows of one key are reduced to their first within each slice of input before any shuffle, so that a
-passage in a third of all documents reaches a task once a slice.
+Dictionary and parse. Equal phrases are one dictionary entry; the parse is the rows (document, place) of an
+entry, in corpus order. An occurrence that isn't the entry's first in the parse repeats as a whole. Suffixes
+of an entry's first occurrence can be equal, as far as ``window`` bytes, to suffixes of entries with the same
+trigger only. So the dictionary's suffixes are dealt by trigger, and each task sorts its share: the suffix
+array of the dictionary, to a depth of ``window`` bytes, by ranges of one key, without the suffixes that have
+no company. Neighbours in it with a common prefix of that depth are a class; the parse's order within a class
+says which member is first in the corpus, and all others repeat. What follows in the parse after such a
+prefix can't change a class, so no suffix array of the parse is needed beyond its own order.
+
+Long repeats thus cost a row a phrase, not a row a byte. Rows of one key are reduced to their first within
+each slice of input before any shuffle. Triggers with very many rows are found on a sample of documents and
+dealt in parts; where over CROWD entries share a trigger, each string is dealt on its own and named, like a
+phrase, by 128 bits, so that no task gets them all.
 """
 
 from __future__ import annotations
@@ -28,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Scratch, ordered, parallelism, release
+from siteloom.llm.common import Scratch, free, ordered, parallelism, release
 
 WINDOW = 100
 TRIGGER = 24
 #: Bytes parsed at a time; longer texts are cut with an overlap, which changes phrases but not results.
 SLICE = 1 << 20
 POSITION_BITS = 27
-#: Rows of one trigger beyond which its strings are dealt one by one.
-CROWD = 4000
+#: Entries of one trigger beyond which its strings are dealt one by one.
+CROWD = 10_000
+#: Rows of one trigger from which on it is dealt in PARTS, as counted on a document in SAMPLE; and how many triggers at most. They decide costs, never results.
+HOT, PARTS, SAMPLE, MOST_HOT = 50_000, 256, 64, 20_000
+#: Suffixes that are sorted together, but for those of one trigger, which are never apart.
+SORTED = 200_000
 _MASK = np.uint64((1 << POSITION_BITS) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, 256, dtype=np.uint64)
@@ -180,36 +186,62 @@ def pieces(runs: list[tuple[int, bytes, list[dict]]], window: int) -> Iterator[d
         yield out
 
 
+def suffix_classes(blob: bytes, starts: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Which of the suffixes at ``starts`` share their first ``window`` bytes with one of an earlier (doc, at).
+
+    Suffixes are sorted by these bytes, then by their place in the corpus, so members of a class are neighbours.
+    """
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(blob, np.uint8), window)[starts]
+    text = np.ascontiguousarray(rows).view(f"S{window}").ravel()
+    order = np.lexsort((at, doc, text))
+    out = np.zeros(len(starts), dtype=bool)
+    out[order[1:]] = text[order[1:]] == text[order[:-1]]
+    return out
+
+
 class Repeats:
     """Rows of pieces() in order of (g, p, doc, pos) -> runs of strings that occurred before."""
 
     def __init__(self, window: int):
-        self.window, self.key, self.seen = window, None, set()
-
-    def feed(self, rows: Iterator[tuple]) -> tuple[list[int], list[int], list[int]]:
-        docs, places, sizes = [], [], []
-        for g, p, doc, pos, n, piece in rows:
-            if n < 0:
-                docs.append(doc), places.append(pos), sizes.append(1)
-                continue
-            fresh = (g, p) != self.key
-            if fresh:
-                self.key, self.seen = (g, p), set()
-            if piece is None:
-                if not fresh:
-                    docs.append(doc), places.append(pos), sizes.append(1)
-                continue
-            strings = [piece[i : i + self.window] for i in range(n)]
-            if not fresh:
-                start = None
-                for i, known in enumerate([*map(self.seen.__contains__, strings), False]):
-                    if known and start is None:
-                        start = i
-                    elif not known and start is not None:
-                        docs.append(doc), places.append(pos + start), sizes.append(i - start)
-                        start = None
-            self.seen.update(strings)
-        return docs, places, sizes
+        self.window, self.last, self.held, self.size = window, None, [], 0
+
+    def feed(self, g: np.ndarray, p: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, piece: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        alone = ~np.asarray(piece.is_valid())
+        if alone.any():  # strings on their own: all but the first of a name repeat; n < 0 is known to
+            key = np.stack((g[alone], p[alone]), axis=1)
+            same = np.zeros(len(key), dtype=bool)
+            same[1:] = (key[1:] == key[:-1]).all(axis=1)
+            same[0] = self.last is not None and bool((key[0] == self.last).all())
+            known = n[alone] < 0
+            same &= ~known
+            self.last = key[-1]
+            again = same | known
+            yield doc[alone][again], pos[alone][again], np.ones(int(again.sum()), dtype=np.int64)
+        rest = np.flatnonzero(~alone)
+        if len(rest):
+            cut = np.flatnonzero(g[rest][1:] != g[rest][:-1]) + 1
+            for part in np.split(rest, cut):
+                if self.held and g[part[0]] != self.held[-1][0] and self.size >= SORTED:
+                    yield self.flush()
+                own = piece.take(pa.array(part)).to_pylist()
+                self.held.append((g[part[0]], doc[part], pos[part], n[part], own))
+                self.size += int(n[part].sum())
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of the pieces held so far; those of one trigger are held together."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        doc, pos, n = (np.concatenate([h[i] for h in self.held]) for i in (1, 2, 3))
+        pieces = [x for h in self.held for x in h[4]]
+        self.held, self.size = [], 0
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        owner = np.repeat(np.arange(len(n)), n)
+        turn = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        again = suffix_classes(b"".join(pieces), np.repeat(np.cumsum(sizes) - sizes, n) + turn, doc[owner], pos[owner] + turn, self.window)
+        before = np.concatenate(([False], again[:-1] & (owner[1:] == owner[:-1])))
+        after = np.concatenate((again[1:] & (owner[1:] == owner[:-1]), [False]))
+        first, last = np.flatnonzero(again & ~before), np.flatnonzero(again & ~after)
+        return doc[owner[first]], pos[owner[first]] + turn[first], last - first + 1
 
 
 def spans(marks: list[dict] | None, window: int) -> list[tuple[int, int]]:
@@ -228,12 +260,20 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-def _with_runs(docs: DataFrame, runs: DataFrame, fields: str, how: str) -> DataFrame:
-    return docs.join(runs.groupBy(F.col("doc").alias("__doc__")).agg(F.collect_list(F.struct(*fields.split())).alias("__runs__")), F.col("__order__") == F.col("__doc__"), how)
+def _with_runs(docs: DataFrame, order: str, runs: DataFrame, fields: str, name: str, how: str) -> DataFrame:
+    """docs with the runs of each as a list in the column ``name``."""
+    lists = runs.groupBy(F.col("doc").alias(order)).agg(F.collect_list(F.struct(*fields.split())).alias(name))
+    return docs.join(lists, order, how)
+
+
+def hot_triggers(parsed: DataFrame) -> list[int]:
+    """Triggers that seem to have HOT rows or more, by the parsed rows of a document in SAMPLE."""
+    counts = parsed.where("(at & 1) = 0").groupBy("trig").count().where(F.col("count") >= HOT // SAMPLE)
+    return [r.trig for r in counts.orderBy(F.desc("count"), "trig").limit(MOST_HOT).collect()]
 
 
 def mark_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, trigger: int = TRIGGER) -> DataFrame:
-    """docs (__order__, text) -> (doc, pos, n): the n strings from byte pos on each also start earlier."""
+    """docs (row_at, text) -> (doc, pos, n): the n strings from byte pos on each also start earlier."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,23 +289,30 @@ def mark_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, trigge
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = Repeats(window)
+        put = lambda found: pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2].astype(np.int32))], names=["doc", "pos", "n"])
         for batch in batches:
-            docs, places, sizes = state.feed(zip(*(c.to_pylist() for c in batch.columns)))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int32())], names=["doc", "pos", "n"])
-
-    texts = docs.select("__order__", "text")
-    parsed = texts.mapInArrow(parse, "trig long, phrase long, doc long, at long")
-    # at: pos, n and dup in one number. Rows that are known to repeat need no company: they are dealt by their own place
+            yield from map(put, state.feed(*(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)), batch.column(5)))
+        yield put(state.flush())
+
+    kinds = "trig long, phrase long, doc long, at long"
+    # at: pos, n and dup in one number
+    hot = hot_triggers(docs.where(F.pmod(F.xxhash64("row_at"), F.lit(SAMPLE)) == 0).mapInArrow(parse, kinds))
+    parsed = docs.mapInArrow(parse, kinds).withColumn("hot", F.col("trig").isin(hot) if hot else F.lit(False))
+    # rows that are known to repeat need no company: they are dealt by their own place; those of hot triggers by part of the phrase
     dup = F.expr("(at & 1) = 1")
-    dealt = parsed.select(F.when(dup, F.xxhash64("doc", "at")).otherwise(F.col("trig")).alias("g"), F.when(dup, F.xxhash64("at", "doc")).otherwise(F.col("phrase")).alias("p"), "doc", "at")
+    deal = F.when(dup, F.xxhash64("doc", "at")).when(F.col("hot"), F.xxhash64("trig", F.pmod("phrase", F.lit(PARTS)))).otherwise(F.col("trig"))
+    dealt = parsed.select(deal.alias("g"), F.when(dup, F.xxhash64("at", "doc")).otherwise(F.col("phrase")).alias("p"), "doc", "at", "trig", "hot")
     group = Window.partitionBy("g")
-    ranked = dealt.withColumn("before", F.lag("p").over(group.orderBy("p", "doc", "at"))).withColumn("least", F.min("p").over(group)).withColumn("most", F.max("p").over(group)).withColumn("crowd", F.count("*").over(group))
+    ranked = dealt.withColumn("before", F.lag("p").over(group.orderBy("p", "doc", "at")))
+    fresh = F.when(F.col("before") == F.col("p"), 0).otherwise(1)
+    ranked = ranked.withColumn("entries", F.sum(fresh).over(group))
     again = F.coalesce(dup | (F.col("before") == F.col("p")), F.lit(False))
-    known = ranked.select("g", "doc", F.expr("at >> 17").alias("pos"), F.expr("cast((at >> 1) & 65535 as int)").alias("n"), "crowd", again.alias("again"), (F.col("least") < F.col("most")).alias("unsure"))
-    entries = scratch.write(known.where("again or unsure"), "entries")
+    crowd = F.when(F.col("hot"), F.lit(CROWD + 1)).otherwise(F.col("entries"))
+    known = ranked.select("trig", "doc", F.expr("at >> 17").alias("pos"), F.expr("cast((at >> 1) & 65535 as int)").alias("n"), crowd.cast("long").alias("crowd"), again.alias("again"))
+    entries = scratch.write(known.where("again or crowd > 1"), "entries")
     release(docs.sparkSession)
-    unsure = entries.where("not again").select("doc", F.col("g").alias("trig"), "pos", "n", "crowd")
-    rows = _with_runs(texts, unsure, "trig pos n crowd", "inner").select("__order__", "text", "__runs__").mapInArrow(cut, "g long, p long, doc long, pos long, n int, piece binary")
+    unsure = entries.where("not again").select("doc", "trig", "pos", "n", "crowd")
+    rows = _with_runs(docs, "row_at", unsure, "trig pos n crowd", "runs", "inner").select("row_at", "text", "runs").mapInArrow(cut, "g long, p long, doc long, pos long, n int, piece binary")
     more = rows.repartition(parallelism(docs.sparkSession), "g", "p").sortWithinPartitions("g", "p", "doc", "pos").mapInArrow(compare, "doc long, pos long, n int")
     more = scratch.write(more, "strings")
     release(docs.sparkSession)
@@ -281,15 +328,15 @@ def remove_repeats(docs: DataFrame, apply: Callable, schema: str, columns: list[
     doc_ids are ordered by (doc_id, text), nulls first. An empty table gives an empty table. Other
     columns, whatever their names, don't matter.
     """
-    scratch = Scratch(docs.sparkSession, "suffix")
-    keyed = ordered(docs.select(*columns), scratch)
-    marks = mark_repeats(keyed, scratch, window, trigger)
+    scratch, order, runs = Scratch(docs.sparkSession, "suffix"), free(docs, "order_at"), free(docs, "runs")
+    keyed = ordered(docs.select(*columns), scratch, order)
+    marks = mark_repeats(keyed.select(F.col(order).alias("row_at"), "text"), scratch, window, trigger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield apply(batch.select(columns), [spans(m, window) for m in batch.column(len(columns)).to_pylist()])
 
-    return _with_runs(keyed, marks, "pos n", "left").select(*columns, "__runs__").mapInArrow(run, schema)
+    return _with_runs(keyed, order, marks, "pos n", runs, "left").select(*columns, runs).mapInArrow(run, schema)
 
 
 def _digest(batch: pa.RecordBatch, found: list[list[tuple[int, int]]]) -> pa.RecordBatch:
@@ -307,7 +354,7 @@ def _digest(batch: pa.RecordBatch, found: list[list[tuple[int, int]]]) -> pa.Rec
 
 
 def repeat_digests(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGGER) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay), as remove_repeats() says."""
     return remove_repeats(docs, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id", "text"], window, trigger)
 
 
@@ -327,7 +374,11 @@ def _without(text: str | None, own: list[tuple[int, int]]) -> str | None:
 
 
 def cleaned_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The same rows and columns with repeats cut out of text, and n_chars, if there, counted anew."""
+    """The same rows and columns, whatever their names, with repeats cut out of text, and n_chars, if there, counted anew.
+
+    Null texts stay null; rows are ordered as remove_repeats() says, so of equal rows the first keeps its
+    text; an empty table gives an empty table.
+    """
     names = docs.columns
 
     def cut(batch: pa.RecordBatch, found: list[list[tuple[int, int]]]) -> pa.RecordBatch:

@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from siteloom.llm import suffix_dedup as s
 
 
@@ -60,19 +63,46 @@ def test_cut_slices_and_other_windows(spark, monkeypatch):
     check(spark, corpus(3, 40), 31, 7)
 
 
-def test_crowded_triggers(spark, monkeypatch):
-    monkeypatch.setattr(s, "CROWD", 3)
+def repeats(pieces, batch=7):
+    """What Repeats makes of rows of pieces(), sorted and fed in small batches."""
+    rows = sorted((tuple(x) for c in pieces for x in zip(*c.values())), key=lambda r: r[:4])
+    state, out = s.Repeats(100), []
+    for i in range(0, len(rows), batch):
+        columns = list(zip(*rows[i : i + batch]))
+        out += state.feed(*(np.array(c, np.int64) for c in columns[:5]), pa.array(columns[5], pa.binary()))
+    out.append(state.flush())
+    return [(int(d), int(p) + k) for docs, places, sizes in out for d, p, n in zip(docs, places, sizes) for k in range(int(n))]
+
+
+def test_suffix_classes_and_strings_on_their_own(monkeypatch):
     texts = [(i, (t or "").encode()) for i, (_, t) in enumerate(corpus(5, 20))]
-    runs = [(i, t, [{"trig": 5, "pos": 0, "n": len(t) - 99, "crowd": 9}]) for i, t in texts if len(t) > 99]
-    rows = sorted((tuple(x) for c in s.pieces(runs, 100) for x in zip(*c.values())), key=lambda r: r[:4])
-    docs, places, _ = s.Repeats(100).feed(iter(rows))
     seen, want = set(), []
-    for i, t, own in runs:
-        for a in range(own[0]["n"]):
+    for i, t in texts:
+        for a in range(len(t) - 99):
             if t[a : a + 100] in seen:
                 want.append((i, a))
             seen.add(t[a : a + 100])
-    assert sorted(zip(docs, places)) == want and want
+    for crowd in (1, s.CROWD + 1):
+        runs = [(i, t, [{"trig": 5, "pos": 0, "n": len(t) - 99, "crowd": crowd}]) for i, t in texts if len(t) > 99]
+        assert sorted(repeats(s.pieces(runs, 100))) == want and want
+    monkeypatch.setattr(s, "SORTED", 50)  # other triggers, other batches
+    runs = [(i, t + t, [{"trig": 900 - i, "pos": 0, "n": 2 * len(t) - 99, "crowd": 2}]) for i, t in texts if len(t) > 99]
+    assert {d for d, _ in repeats(s.pieces(runs, 100))} >= {i for i, t in texts if len(t) > 99}
+
+
+def test_hot_and_crowded_triggers(spark, monkeypatch):
+    monkeypatch.setattr(s, "CROWD", 3)
+    monkeypatch.setattr(s, "HOT", 4)
+    monkeypatch.setattr(s, "SAMPLE", 1)
+    monkeypatch.setattr(s, "PARTS", 5)
+    check(spark, corpus(6))
+    monkeypatch.setattr(s, "HOT", 10**9)
+    check(spark, corpus(7, 50))
+
+
+def test_bytes_of_zero_and_endings(spark):
+    z = "\0" * 150
+    check(spark, [(1, z), (2, "a" + z), (3, z[:100] + "b"), (4, "\0" * 99), (5, "c" * 100 + "\0"), (6, "c" * 100), (7, "d" + "c" * 100)])
 
 
 def test_repeated_and_null_ids(spark):
@@ -80,8 +110,14 @@ def test_repeated_and_null_ids(spark):
     check(spark, [(1, long), (1, long), (None, long + "x"), (None, None), (2, "y" + long), (2, "z" + long[:150])])
 
 
-def test_empty(spark):
+def test_empty_and_clashing_names(spark):
     assert s.repeat_digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    names = "doc_id long, text string, order_at long, runs string, doc string, ORDER_AT_ long, row_at int, pos int"
+    assert s.cleaned_documents(spark.createDataFrame([], names)).collect() == []
+    rows = [(1, "x" * 120, 77, "r", "d", 5, 6, 7), (1, "x" * 120, 78, None, "d", 5, 6, 7), (None, "y", None, "q", None, None, None, None)]
+    docs = spark.createDataFrame(rows, names)
+    assert sorted(map(tuple, s.cleaned_documents(docs).drop("text").collect()), key=repr) == sorted((r[:1] + r[2:] for r in rows), key=repr)
+    assert s.cleaned_documents(docs).columns == docs.columns
 
 
 def test_cleaned_text_keeps_whole_characters(spark):
