@@ -2,14 +2,12 @@
 
 The model protobuf is read field by field; its normaliser settings become the library's normaliser and
 its pieces the library's model: unigram scores for a unigram model, merges ranked by score for a BPE
-model, with byte fallback either way. Where no piece holds the space marker after another character, no
-piece crosses the start of a run of markers, so texts are cut there, and each distinct chunk is encoded
-once, in multithreaded batches, checked against the SentencePiece library, and remembered.
+model, with byte fallback either way; user-defined pieces win over all others. Whole texts go through the library in multithreaded batches of bounded size, and through
+SentencePiece itself; the ids of a text agree or don't. Decoding is the library's.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Distinct chunks a Python worker remembers at most.
-CACHE_CHUNKS = 200_000
+#: Characters that go through the library at a time; a longer text goes alone.
+BATCH = 1 << 20
+#: Characters from which on a text is encoded in stretches between words, where the model has no piece across words.
+LONG = 1 << 22
 # Fixed values of the public model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -89,11 +89,13 @@ def parse(data: bytes) -> Model:
 
 def rebuild(model: Model):
     """(tokenizer without normaliser, normaliser) of the tokenizers library."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     unknown = next((i for i, p in enumerate(model.pieces) if p[2] == UNKNOWN), None)
     if model.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=unknown, byte_fallback=model.byte_fallback)
+        # a user-defined piece has no score of its own: the public rule gives it one that no other way of reading it reaches
+        top = max((s for _, s, kind in model.pieces if kind == NORMAL), default=0.0)
+        core = models.Unigram([(p, len(p) * top - 0.1 if kind == USER else s) for p, s, kind in model.pieces], unk_id=unknown, byte_fallback=model.byte_fallback)
     else:
         vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
         usable = {p for p, _, kind in model.pieces if kind in (NORMAL, USER)}
@@ -101,7 +103,7 @@ def rebuild(model: Model):
         for p, score, kind in model.pieces:
             if kind == NORMAL:
                 merges += [(-score, vocab[p], (p[:i], p[i:])) for i in range(1, len(p)) if p[:i] in usable and p[i:] in usable]
-        core = models.BPE(vocab, [m for *_, m in sorted(merges, key=lambda m: m[:2])], unk_token=None if unknown is None else model.pieces[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
+        core = models.BPE(vocab, [m for *_, m in sorted(merges, key=lambda m: m[:2])], unk_token=None if unknown is None else model.pieces[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.strip_spaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -111,12 +113,14 @@ def rebuild(model: Model):
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(marker))
     tokenizer = Tokenizer(core)
+    if model.kind == BPE:
+        tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER])
     tokenizer.decoder = decoders.Sequence([decoders.Replace(marker, " "), decoders.ByteFallback(), decoders.Fuse()] + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix)
     return tokenizer, normalizers.Sequence(steps)
 
 
 class Codec:
-    """Whole texts to ids and back. ``odd`` holds the chunks to which SentencePiece gives other ids."""
+    """Whole texts to ids and back."""
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -124,49 +128,73 @@ class Codec:
         self.model = parse(data)
         self.tokenizer, self.normaliser = rebuild(self.model)
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
-        cuts = self.model.escape_spaces and all(SPACE not in p.lstrip(SPACE) for p, _, kind in self.model.pieces if kind == NORMAL)
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall if cuts else lambda s: [s] if s else []
         # what the normaliser does by plain replacement, it needn't be called for
         self.simple = not self.model.charsmap and not self.model.strip_spaces and self.model.escape_spaces
-        self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()
-        self.table = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in self.model.pieces]
+        inner = any(SPACE in p.lstrip(SPACE) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
+        self.cuttable = self.simple and self.model.dummy_prefix and not inner
 
     def normal(self, text: str) -> str:
         if self.simple:
             return (SPACE if text and self.model.dummy_prefix else "") + text.replace(" ", SPACE)
         return self.normaliser.normalize_str(text)
 
-    def _learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 20_000):
-            some = chunks[i : i + 20_000]
-            for chunk, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[chunk] = np.array(got.ids, dtype="<u4").tobytes()
-            if self.model.dummy_prefix:
-                # a chunk without a leading marker stands after a control or a cut word only; given whole, it gets one
-                led = [c for c in some if c.startswith(SPACE)]
-                for chunk, ids in zip(led, self.peer.encode([c[1:].replace(SPACE, " ") for c in led], num_threads=1)):
-                    # SentencePiece gives no ids for an empty text, whose marker alone is the text " " after a prefix
-                    if len(chunk) > 1 and np.array(ids, dtype="<u4").tobytes() != self.known[chunk]:
-                        self.odd.add(chunk)
-
-    def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """ids of each text as little-endian uint32 bytes; whether all its chunks agree."""
-        if len(self.known) > CACHE_CHUNKS:
-            self.forget()
-        cut = [self.cut(self.normal(t)) for t in texts]
-        self._learn(list(set().union(*cut).difference(self.known)) if cut else [])
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut], [self.odd.isdisjoint(c) for c in cut]
-
-    def forget(self) -> None:
-        self.known.clear(), self.odd.clear()
-
-    def decode(self, ids: bytes) -> str:
-        out = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        if self.model.dummy_prefix and out[:1] == b" ":
-            out = out[1:]
-        return out.decode(errors="replace")
+    def _stretches(self, text: str) -> list[str]:
+        """The text, or its parts that each begin with a space, of about BATCH characters: no piece goes from one to the next."""
+        if not self.cuttable or len(text) < LONG or SPACE in text:
+            return [text]
+        out, start, end = [], 0, len(text.rstrip(" "))
+        while 0 < (cut := text.find(" ", start + BATCH)) < end:  # spaces at the end stay with what is before them
+            while text[cut - 1] == " " and cut > start:  # a run of spaces may be one piece
+                cut -= 1
+            if cut > start:
+                out.append(text[start:cut])
+                start = cut
+            else:
+                break
+        return [*out, text[start:]]
+
+    def _whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """ids of each text, and whether SentencePiece gives the same."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(list(map(self.normal, texts)), add_special_tokens=False)]
+        return got, [a == b for a, b in zip(got, self.peer.encode(texts, num_threads=1))]
+
+    def _long(self, text: str) -> tuple[list[int], bool]:
+        """The same for a long text; a stretch after the first begins with the space that the prefix stands for."""
+        ids, same = [], True
+        for i, part in enumerate(self._stretches(text)):
+            (own,), (agrees,) = self._whole([part[1:] if i else part])
+            ids, same = ids + own, same and agrees
+        return ids, same
+
+    def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """ids of each text; whether SentencePiece's of the same text are equal."""
+        ids: list[list[int]] = []
+        same: list[bool] = []
+        held: list[str] = []
+        size = 0
+
+        def put() -> None:
+            nonlocal held, size
+            if held:
+                own, agree = self._whole(held)
+                ids.extend(own), same.extend(agree)
+            held, size = [], 0
+
+        for text in texts:
+            if len(text) >= LONG:
+                put()
+                own, agrees = self._long(text)
+                ids.append(own), same.append(agrees)
+                continue
+            if size + len(text) > BATCH:
+                put()
+            held.append(text)
+            size += len(text)
+        put()
+        return ids, same
+
+    def decode_batch(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
 _codecs: dict[int, Codec] = {}
@@ -182,10 +210,10 @@ def _codec(data: bytes) -> Codec:
 def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, parity, round_trip and, if asked for, ids.
 
-    Whole texts (null: empty, no ids). parity: SentencePiece gives the same ids for all the text's
-    chunks. round_trip: decoding the ids gives the text back (null counts as empty). Rows are independent,
-    so repeated rows give equal rows and null ids stay null; an empty table gives an empty table. The
-    model file is read on the driver and broadcast; its size is fixed.
+    Whole texts (null: empty, no ids). parity: SentencePiece gives the same ids for the same text.
+    round_trip: the library decodes the ids to the text (null counts as empty). Rows are independent,
+    so repeated rows give equal rows and null ids stay null; an empty table gives an empty table; other
+    columns are not looked at. The model file is read on the driver and broadcast; its size is fixed.
     """
     with open(model_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -196,10 +224,11 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids, same = codec.encode_batch(texts)
-                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_()), pa.array([codec.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())]
+                arrays = [np.array(x, "<u4") for x in ids]
+                back = [t == u for i in range(0, len(ids), 50) for t, u in zip(codec.decode_batch(ids[i : i + 50]), texts[i : i + 50])]
+                columns = [part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in arrays], pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())]
                 if with_ids:
-                    columns.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
+                    columns.append(pa.array([x.view("<i4") for x in arrays], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"] + ["ids"] * with_ids)
-        codec.forget()  # an idle worker holds no memory that other stages need
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<int>" * with_ids)

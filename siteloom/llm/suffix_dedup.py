@@ -38,7 +38,7 @@ TRIGGER = 24
 SLICE = 1 << 20
 POSITION_BITS = 27
 #: Entries of one trigger beyond which its strings are dealt one by one.
-CROWD = 10_000
+CROWD = 2_000
 #: Rows of one trigger from which on it is dealt in PARTS, as counted on a document in SAMPLE; and how many triggers at most. They decide costs, never results.
 HOT, PARTS, SAMPLE, MOST_HOT = 50_000, 256, 64, 20_000
 #: Suffixes that are sorted together, but for those of one trigger, which are never apart.

@@ -22,9 +22,9 @@ def test_whole_texts_equal_sentencepiece(codec):
     peer = sentencepiece.SentencePieceProcessor(model_file=PATH)
     ids, same = codec.encode_batch(TEXTS)
     for text, got, agreed in zip(TEXTS, ids, same):
-        assert agreed and np.frombuffer(got, "<u4").tolist() == peer.encode(text), text
+        assert agreed and got == peer.encode(text), text
         if "▁" not in text:
-            assert codec.decode(got) == text
+            assert codec.decode_batch([got]) == [text]
 
 
 def test_documents_equal_sentencepiece(codec):
@@ -33,9 +33,19 @@ def test_documents_equal_sentencepiece(codec):
     texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
     peer = sentencepiece.SentencePieceProcessor(model_file=PATH)
     ids, same = codec.encode_batch(texts)
-    assert all(same) and [np.frombuffer(x, "<u4").tolist() for x in ids] == peer.encode(texts)
-    assert [codec.decode(x) for x in ids] == texts
-    assert [codec.tokenizer.decode(np.frombuffer(x, "<u4").tolist()) for x in ids[:20]] == texts[:20]
+    assert all(same) and ids == peer.encode(texts)
+    assert codec.decode_batch(ids) == texts
+
+
+def test_long_texts_in_stretches(codec, monkeypatch):
+    """Stretches between words give the ids of the whole; runs of spaces and texts without any are not cut."""
+    monkeypatch.setattr(p, "LONG", 200)
+    monkeypatch.setattr(p, "BATCH", 64)
+    peer = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [*TEXTS, "the quick brown fox  jumps   over " * 30, "x" * 500, " " * 300, "a " * 200 + " " * 90 + "b c " * 60, "mot éà 漢 " * 99, "▁ " * 150]
+    ids, same = codec.encode_batch(texts)
+    assert ids == [peer.encode(t) for t in texts] and all(same)
+    assert max(len(codec._stretches(t)) for t in texts) > 5
 
 
 def message(*fields):
@@ -62,8 +72,36 @@ def test_unigram_model_with_byte_fallback():
     codec, peer = p.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
     texts = ["the there", "a the  re", "xé the", "heret"]
     ids, same = codec.encode_batch(texts)
-    assert all(same) and [np.frombuffer(x, "<u4").tolist() for x in ids] == peer.encode(texts)
-    assert [codec.decode(x) for x in ids] == texts
+    assert all(same) and ids == peer.encode(texts)
+    assert codec.decode_batch(ids) == texts
+
+
+def written(extra, prefix=1, kind=2):
+    """A small BPE or unigram model with the given pieces (text, score, type)."""
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((c, -10.0 - i, 1) for i, c in enumerate("▁abcx")), *extra]
+    data = b"".join(message((1, message((1, s.encode()), (2, f), (3, k)))) for s, f, k in listed)
+    return data + message((2, message((3, kind)))) + message((3, message((3, prefix), (4, 0), (5, 1))))
+
+
+@pytest.mark.parametrize("prefix", [0, 1])
+@pytest.mark.parametrize("kind", [1, 2])
+def test_user_defined_pieces_match_first(prefix, kind):
+    data = written([("a▁b", 0.0, 4), ("cc", 0.0, 4), ("ab", -1.0, 1), ("▁a", -2.0, 1)], prefix, kind)
+    codec, peer = p.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["a b", "ab a b ab", "ccc ab", "x a b", " a b", "a  b", "", "<s> ab"]
+    ids, same = codec.encode_batch(texts)
+    assert [i == j for i, j in zip(ids, peer.encode(texts))] == same
+    assert all(same[:7]) and not codec.cuttable
+    listed = [piece for piece, _, _ in codec.model.pieces]
+    assert listed.index("a▁b") in ids[0] and listed.index("cc") in ids[2]
+
+
+def test_parity_is_of_whole_texts():
+    """Where the rebuilt model reads a text otherwise, the text says so."""
+    codec = p.Codec(written([("ab", -1.0, 1), ("▁a", -2.0, 1)]))
+    other = p.Codec(written([("▁a", -1.0, 1), ("ab", -2.0, 1)]))
+    codec.peer = other.peer
+    assert codec.encode_batch(["ab", "c", "x ab"])[1] == [False, True, False]
 
 
 def test_query(spark):
