@@ -1,9 +1,12 @@
 """Hidden Markov language model: Baum-Welch over partitions, exact scaled forward scores.
 
-Symbols. The ``TOP`` most frequent training tokens have emissions of their own; every other token is
-emitted as one of ``RARE`` hash classes and then chosen within its class by its training count plus one.
-Both tables are of fixed size however large the corpus; counts of rare tokens are looked up by a join
-with the whole vocabulary. So the model gives every token sequence a probability.
+Symbols. Every token that training texts hold ``OWN`` times or more has emissions of its own, so the table
+grows with the corpus. Every other token is emitted as one of ``RARE`` hash classes and then chosen within
+its class by its training count plus one. So the model gives every token sequence a probability.
+
+The table is distributed: one row a token. As the ``TOP`` most frequent tokens occur everywhere, their rows
+are of a fixed number and go to all tasks; all others stay in a table that is joined to the tokens of each
+slab of texts. Which tokens are among the top decides costs, never results.
 
 Recursion. Texts are cut into stretches of ``STRETCH`` tokens. The scaled product of a stretch's
 transition and emission matrices is found for all stretches of a slice side by side; chaining the
@@ -13,32 +16,45 @@ vectors at each stretch's edges.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import Scratch, release
-from siteloom.llm.simhash import LOWER
 
 STATES, ROUNDS = 4, 4
-TOP, RARE = 65_536, 1024
+#: Training occurrences from which on a token has emissions of its own; classes of the others.
+OWN, RARE = 8, 1024
+#: Tokens whose rows go to all tasks.
+TOP = 65_536
 STRETCH = 128
-#: Tokens in one slice of the recursion.
-SLICE = 300_000
-#: Distinct tokens a task holds before it hands its counts on.
-HELD = 400_000
+#: Tokens in one slice of the recursion, and in one slab of texts.
+SLICE, SLAB = 300_000, 300_000
 PRIOR = 10.0
 END = b""
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words between ASCII white space, then the end, which no word equals."""
-    return [*(text or "").encode().translate(LOWER).split(), END]
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all tokens, their number by text): lower-cased (A-Z) words between ASCII white space, then the end, which no word equals."""
+    texts = texts.take(pa.array(np.arange(len(texts))))  # the library lower-cases some slices wrongly: it gets a copy
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
+    words = lists.flatten()
+    offsets = lists.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at the edges leaves empty words
+    upto = np.concatenate(([0], np.cumsum(real)))[offsets]
+    counts = np.diff(upto) + 1
+    place = np.full(int(counts.sum()), -1, dtype=np.int64)
+    ends = np.cumsum(counts) - 1
+    inside = np.ones(len(place), dtype=bool)
+    inside[ends] = False
+    place[inside] = np.flatnonzero(real)
+    return words.take(pa.array(np.where(inside, place, 0), mask=~inside)).cast(pa.large_binary()).fill_null(END), counts
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 7, part: int = 2):
@@ -46,57 +62,47 @@ def held_out(doc_id: str = "doc_id", parts: int = 7, part: int = 2):
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, c) over all tokens of all texts; counts are summed in each task before they are dealt."""
+    """(word, c) over all tokens of all texts; counted in each batch, then in each task, before they are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return out
-
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens(text.as_py()))
-                if len(counts) > HELD:
-                    yield flush()
-        yield flush()
+            coded = tokens(batch.column(0))[0].dictionary_encode()
+            counts = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()), pa.array(counts, pa.int64())], names=["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(words: DataFrame, top: int) -> list:
-    """The ``top`` rows of greatest c, ties by word, on the driver.
+def most_frequent(words: DataFrame, top: int) -> DataFrame:
+    """The ``top`` rows of greatest c, ties by word.
 
     A histogram over steps of c (a few hundred rows) first tells which steps hold them, so that tasks
     send hardly more than ``top`` rows together, not ``top`` rows each.
     """
-    words = words.withColumn("step", F.floor(F.log2("c") * 16))
-    enough, least = 0, None
-    for r in sorted(words.groupBy("step").count().collect(), reverse=True):
+    stepped = words.withColumn("step", F.floor(F.log2("c") * 16))
+    enough, least = 0, 0
+    for r in sorted(stepped.groupBy("step").count().collect(), reverse=True):
         if enough >= top:
             break
         enough, least = enough + r["count"], r["step"]
-    if least is None:
-        return []
-    return words.where(F.col("step") >= least).select("word", "c").orderBy(F.desc("c"), "word").limit(top).collect()
+    return stepped.where(F.col("step") >= least).drop("step").orderBy(F.desc("c"), "word").limit(top)
+
+
+def scattered(word: str, state: int) -> Column:
+    """A factor exp(z), z standard normal, that depends on the token and the state only (Box-Muller on hashes)."""
+    uniform = lambda seed: (F.pmod(F.xxhash64(F.col(word), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.exp(F.sqrt(-2 * F.log(uniform(2 * state))) * F.cos(2 * math.pi * uniform(2 * state + 1)))
 
 
 class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, np.ascontiguousarray(emit)
 
-    @classmethod
-    def begin(cls, unigram: np.ndarray, states: int, seed: int = 7) -> Model:
-        """States that mostly stay, with emissions scattered about the unigram's."""
-        emit = unigram[:, None] * np.exp(np.random.Generator(np.random.PCG64(seed)).normal(size=(len(unigram), states)))
-        move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 if states > 1 else 1.0)
-        return cls(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def updated(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, unigram: np.ndarray) -> Model:
-        emit = emits + PRIOR * unigram[:, None]
-        return Model((starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+def first_moves(states: int) -> np.ndarray:
+    """States mostly stay."""
+    move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 if states > 1 else 1.0)
+    return move / move.sum(axis=1, keepdims=True)
 
 
 class _Slice:
@@ -209,117 +215,227 @@ def _slices(texts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _symbols(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<i4") for x in column.to_pylist()]
-
-
 def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each symbol sequence."""
     parts = [_Slice(model, texts[a:b]).chain()[0] for a, b in _slices(texts)]
     return np.concatenate(parts) / np.log(10) if parts else np.zeros(0)
 
 
-def gather(model: Model, coded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One Baum-Welch pass over (symbols): expected starts, moves and emissions.
+# -- slabs: some texts with a list of their tokens ----------------------------------------------------
+
+_SLAB = "slab long, doc_id array<long>, held array<boolean>, sizes array<int>, codes binary, words array<binary>"
+
+
+def slabs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, held_out, text) -> slabs of about SLAB tokens: codes are places in the slab's own list of tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            start = 0
+            while start < batch.num_rows:
+                # as many rows as hold about SLAB tokens of six bytes; one row at least
+                size = pc.binary_length(batch.column(2).slice(start)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+                rows = max(1, int(np.searchsorted(size, 6 * SLAB)))
+                part = batch.slice(start, rows)
+                start += rows
+                flat, counts = tokens(part.column(2))
+                coded = flat.dictionary_encode()
+                columns = [[number], [part.column(0).to_pylist()], [part.column(1).to_pylist()], [counts.astype(np.int32)], [coded.indices.to_numpy().astype("<i4").tobytes()], [coded.dictionary.to_pylist()]]
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _SLAB.split(", ")])
+                number += 1
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, _SLAB)
+
+
+def listed(slab_words: DataFrame, table: DataFrame, fields: list[str]) -> DataFrame:
+    """slab_words (slab, at, word) with the table's fields (word, ...), as one row a slab: lists ``at`` and each field, in one order."""
+    rows = slab_words.join(table, "word").groupBy("slab").agg(F.collect_list(F.struct("at", *fields)).alias("l"))
+    return rows.select("slab", *(F.col(f"l.{c}").alias(c) for c in ["at", *fields]))
+
 
-    A task sends a row for each symbol that it met, so what reaches the driver is at most the fixed table.
+def _list(column: pa.Array, i: int, kind) -> np.ndarray:
+    """The i-th list of a column as an array; none where it is null."""
+    value = column[i]
+    return value.values.to_numpy(zero_copy_only=False).astype(kind) if value.is_valid else np.zeros(0, kind)
+
+
+class _Held:
+    """What a task needs to turn slabs into symbols: the top tokens' places and counts, and the classes' masses."""
+
+    def __init__(self, top: list[bytes], counts: np.ndarray, mass: np.ndarray):
+        self.place, self.counts, self.mass = {w: i for i, w in enumerate(top)}, counts, mass
+
+
+def settle(slab_rows: DataFrame, counted: DataFrame, held, n_top: int, scale: float, own: int, rare: int) -> DataFrame:
+    """Slabs with symbols in place of codes, and by document what depends on counts only.
+
+    Symbols: top tokens by rank, then classes, then the slab's other tokens of ``own`` or more occurrences, whose
+    texts are the list ``middle``. known: tokens seen in training; base: the base score; choice: log10 of the
+    choices within classes; all by document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        fixed = held.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column(5)[i].as_py()
+                rank = np.array([fixed.place.get(w, -1) for w in words], dtype=np.int64)
+                count = np.zeros(len(words), dtype=np.int64)
+                count[rank >= 0] = fixed.counts[rank[rank >= 0]]
+                count[_list(batch.column(6), i, np.int64)] = _list(batch.column(7), i, np.int64)
+                middle = np.flatnonzero((rank < 0) & (count >= own))
+                loose = np.flatnonzero((rank < 0) & (count < own))
+                kind = np.array([zlib.crc32(words[j]) % rare for j in loose.tolist()], dtype=np.int64)
+                symbol, choice = rank.copy(), np.zeros(len(words))
+                symbol[middle] = n_top + rare + np.arange(len(middle))
+                symbol[loose] = n_top + kind
+                choice[loose] = np.log10((count[loose] + 1) / fixed.mass[kind])
+                codes = np.frombuffer(batch.column(4)[i].as_py(), "<i4")
+                sizes = _list(batch.column(3), i, np.int64)
+                begins = np.cumsum(sizes) - sizes
+                by_doc = lambda x: np.add.reduceat(x[codes], begins)  # noqa: B023, E731
+                columns = [batch.column(j).take(pa.array([i])) for j in range(4)]
+                columns += [pa.array([symbol[codes].astype("<i4").tobytes()], pa.binary()), pa.array([[words[j] for j in middle.tolist()]], pa.list_(pa.binary()))]
+                columns += [pa.array([by_doc((count > 0).astype(np.int64))], pa.list_(pa.int64())), pa.array([by_doc(np.log10(count + 1.0)) - sizes * scale], pa.list_(pa.float64())), pa.array([by_doc(choice)], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["slab", "doc_id", "held", "sizes", "symbols", "middle", "known", "base", "choice"])
+
+    schema = "slab long, doc_id array<long>, held array<boolean>, sizes array<int>, symbols binary, middle array<binary>, known array<long>, base array<double>, choice array<double>"
+    return slab_rows.join(counted, "slab", "left").select("slab", "doc_id", "held", "sizes", "codes", "words", "at", "c").mapInArrow(run, schema)
+
+
+def _emissions(batch: pa.RecordBatch, i: int, first: int, fixed: Model) -> Model:
+    """The model over a slab's symbols: the fixed rows, then those of its middle tokens."""
+    k = len(fixed.start)
+    own = np.empty((len(batch.column(first - 1)[i]), k))
+    at = _list(batch.column(first), i, np.int64)
+    for j in range(k):
+        own[at, j] = _list(batch.column(first + 1 + j), i, np.float64)
+    return Model(fixed.start, fixed.move, np.concatenate((fixed.emit, own)))
+
+
+def _texts(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
+    sizes = _list(batch.column(2), i, np.int64)
+    return np.split(np.frombuffer(batch.column(3)[i].as_py(), "<i4"), np.cumsum(sizes)[:-1])
+
+
+def _joined(coded: DataFrame, table: DataFrame, states: int, *fields: str) -> DataFrame:
+    """Coded slabs with their middle tokens' emissions: slab, held, sizes, symbols, the fields, middle, at, e0, e1, ..."""
+    names = [f"e{j}" for j in range(states)]
+    rows = listed(coded.select("slab", F.posexplode("middle").alias("at", "word")), table, names)
+    return coded.join(rows, "slab", "left").select("slab", "held", "sizes", "symbols", *fields, "middle", "at", *names)
+
+
+def gather(model: Model, coded: DataFrame, table: DataFrame) -> DataFrame:
+    """One Baum-Welch pass over the training texts: (row, word, e0, e1, ...) of expected counts.
+
+    row is a place among the fixed symbols, then the moves, then the start, with no word; other tokens have
+    their word and row -1. A task sends a row for each fixed symbol that it met, and a slab one for each other.
     """
     n, k = model.emit.shape
-    sent = coded.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
+    sent = coded.sparkSession.sparkContext.broadcast(model)
+    names = [f"e{j}" for j in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*sent.value)
+        fixed = sent.value
         emits, moves, starts = np.zeros((n, k)), np.zeros((k, k)), np.zeros(k)
+        put = lambda row, word, x: pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.binary()), *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(k))], names=["row", "word", *names])
         for batch in batches:
-            texts = _symbols(batch.column(0))
-            for a, b in _slices(texts):
-                s, mv, flat, states = _Slice(m, texts[a:b]).expected()
-                starts, moves = starts + s, moves + mv
-                for j in range(k):
-                    emits[:, j] += np.bincount(flat, states[:, j], minlength=n)
+            for i in range(batch.num_rows):
+                m = _emissions(batch, i, 5, fixed)
+                texts = [t for t, out in zip(_texts(batch, i), batch.column(1)[i].as_py()) if not out]
+                own = np.zeros(m.emit.shape)
+                for a, b in _slices(texts):
+                    s, mv, flat, states = _Slice(m, texts[a:b]).expected()
+                    starts, moves = starts + s, moves + mv
+                    for j in range(k):
+                        own[:, j] += np.bincount(flat, states[:, j], minlength=len(own))
+                emits += own[:n]
+                middle = own[n:]
+                met = np.flatnonzero(middle.sum(axis=1))
+                words = batch.column(4)[i].values.take(pa.array(met))
+                yield put(np.full(len(met), -1), words, middle[met])
         rows = np.concatenate((emits, moves, starts[None]))
         keep = np.flatnonzero(rows.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(keep), *(pa.array(rows[keep, j]) for j in range(k))], names=["row", *(f"e{j}" for j in range(k))])
+        yield put(keep, [None] * len(keep), rows[keep])
 
-    names = [f"e{j}" for j in range(k)]
-    sums = coded.select("symbols").mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in names)).groupBy("row").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
-    rows = np.zeros((n + k + 1, k))
-    rows[sums["row"].to_numpy(np.int64)] = sums[names].to_numpy(np.float64)
-    sent.unpersist()
-    return rows[-1], rows[n : n + k], rows[:n]
+    found = _joined(coded, table, k).mapInArrow(run, "row long, word binary, " + ", ".join(f"{c} double" for c in names))
+    return found.groupBy("row", "word").agg(*(F.sum(c).alias(c) for c in names))
 
 
-def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int = TOP, rare: int = RARE) -> DataFrame:
+def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int = TOP, rare: int = RARE, own: int = OWN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability).
 
     Trained on all documents but those whose crc32(doc_id as text) mod 7 is 2; null doc_ids train. Null
     and empty texts are one token, the end. Rows are scored one by one, so repeated rows get equal
     scores each. An empty table gives an empty table; without training rows every token is unknown.
-    base_score: sum over tokens of log10((c + 1) / (N + V + 1)).
+    Other columns are not looked at. base_score: sum over tokens of log10((c + 1) / (N + V + 1)).
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "hmm")
+    scratch, names = Scratch(spark, "hmm"), [f"e{j}" for j in range(states)]
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
     words = scratch.write(vocabulary(docs.where("not held_out")), "vocabulary")
     release(spark)
     n_tokens, n_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = most_frequent(words, top)
-    place = {bytes(r.word): i for i, r in enumerate(frequent)}
-    plus = np.log10(np.array([r.c for r in frequent], dtype=np.float64) + 1)
-    last = frequent[-1] if frequent else None
-    table = spark.sparkContext.broadcast((place, plus))
-    n_frequent, spread = len(frequent), top
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, plus = table.value
-        for batch in batches:
-            symbols, sizes, known, logs, rest = [], [], [], [], []
-            for text in batch.column(3):
-                found = tokens(text.as_py())
-                at = np.array([place.get(w, -1) for w in found], dtype=np.int32)
-                missing = np.flatnonzero(at < 0)
-                others = [found[i] for i in missing.tolist()]
-                at[missing] = [n_frequent + zlib.crc32(w) % rare for w in others]
-                symbols.append(at.astype("<i4").tobytes())
-                sizes.append(len(found))
-                known.append(len(found) - len(missing))
-                logs.append(float(plus[at[at < n_frequent]].sum()) if n_frequent else 0.0)
-                rest.append([{"word": w, "times": n} for w, n in Counter(others).items()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(symbols, pa.binary()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))], names=["row_id", "doc_id", "held_out", "symbols", "n_tokens", "n_top", "top_log", "rest"])
-
-    fields = "row_id long, doc_id long, held_out boolean, symbols binary, n_tokens long, n_top long, top_log double, rest array<struct<word:binary,times:long>>"
-    coded = scratch.write(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "held_out", "text").mapInArrow(code, fields), "coded")
-
-    unusual = words.where((F.col("c") < last.c) | ((F.col("c") == last.c) & (F.col("word") > F.lit(last.word)))) if last else words
-    classes = unusual.groupBy((F.crc32("word") % rare).alias("class")).agg((F.sum("c") + F.count("*") + 1).alias("mass"))
-    mass = np.ones(rare)
-    for r in classes.collect():  # at most ``rare`` rows
-        mass[r["class"]] = r.mass
-    unigram = np.concatenate((10**plus, mass))
-    unigram /= unigram.sum()
-    model = Model.begin(unigram, states)
-    training = coded.where("not held_out")
-    for _ in range(rounds):
-        model = model.updated(*gather(model, training), unigram)
-        release(spark)
-
-    masses = spark.createDataFrame([(i, float(x)) for i, x in enumerate(mass)], "class long, mass double")
-    pieces = coded.select("row_id", F.explode("rest").alias("r")).select("row_id", "r.word", "r.times")
-    looked = pieces.join(unusual.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("class", F.crc32("word") % rare)
-    looked = looked.join(F.broadcast(masses), "class")
-    rest = looked.groupBy("row_id").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rest_log"), F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.col("mass"))).alias("rest_choice"))
+    total = float(n_tokens + n_words + 1)
+
+    able = words.where(F.col("c") >= own).select("word", "c", *(((F.col("c") + 1) / total * scattered("word", j)).alias(c) for j, c in enumerate(names)))
+    first = most_frequent(able, top).toPandas()
+    first_words = [bytes(w) for w in first["word"]]
+    fixed_unigram = np.concatenate(((first["c"].to_numpy(np.float64) + 1) / total, np.ones(rare) / total))
+    for r in words.where(F.col("c") < own).groupBy((F.crc32("word") % rare).alias("kind")).agg((F.sum("c") + F.count("*")).alias("mass")).collect():  # at most ``rare`` rows
+        fixed_unigram[len(first) + r["kind"]] += r["mass"] / total
+    mass = fixed_unigram[len(first) :] * total
+    last = first.iloc[-1] if len(first) else None
+    beyond = able.where((F.col("c") < int(last["c"])) | ((F.col("c") == int(last["c"])) & (F.col("word") > F.lit(bytes(last["word"]))))) if len(first) else able
+    table = scratch.write(beyond, "table0")
+
+    spread = np.exp(np.random.Generator(np.random.PCG64(7)).normal(size=(rare, states)))
+    emit = np.concatenate((first[names].to_numpy(np.float64).reshape(-1, states), fixed_unigram[len(first) :, None] * spread))
+    sums = lambda rows: np.array([x or 0.0 for x in rows.agg(*(F.sum(c) for c in names)).first()])
+    norm = emit.sum(axis=0) + sums(table)
+    table = table.select("word", "c", *((F.col(c) / float(norm[j])).alias(c) for j, c in enumerate(names)))
+    model = Model(np.full(states, 1 / states), first_moves(states), emit / norm)
+
+    held = spark.sparkContext.broadcast(_Held(first_words, first["c"].to_numpy(np.int64), mass))
+    rows = scratch.write(slabs(docs), "slabs")
+    top_words = spark.createDataFrame([(w,) for w in first_words], "word binary")
+    strange = rows.select("slab", F.posexplode("words").alias("at", "word")).join(F.broadcast(top_words), "word", "left_anti")  # ``top`` rows
+    counted = listed(strange, words, ["c"])
+    coded = scratch.write(settle(rows, counted, held, len(first), math.log10(total), own, rare), "coded")
+    scratch.drop("slabs")
+    release(spark)
 
-    sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))
+    k, n = states, len(first) + rare
+    for turn in range(rounds):
+        gathered = scratch.write(gather(model, coded, table), f"gathered{turn}")
+        release(spark)
+        fixed = gathered.where("row >= 0").select("row", *names).toPandas()  # at most the fixed symbols, the moves and the start
+        got = np.zeros((n + k + 1, k))
+        got[fixed["row"].to_numpy(np.int64)] = fixed[names].to_numpy(np.float64)
+        emit = got[:n] + PRIOR * fixed_unigram[:, None]
+        met = gathered.where("row < 0").select("word", *(F.col(c).alias(f"n_{c}") for c in names))
+        after = table.select("word", "c").join(met, "word", "left").select("word", "c", *((F.coalesce(f"n_{c}", F.lit(0.0)) + PRIOR * (F.col("c") + 1) / total).alias(c) for c in names))
+        after = scratch.write(after, f"table{turn + 1}")
+        norm = emit.sum(axis=0) + sums(after)
+        table = after.select("word", "c", *((F.col(c) / float(norm[j])).alias(c) for j, c in enumerate(names)))
+        model = Model((got[-1] + 1) / (got[-1] + 1).sum(), (got[n : n + k] + 1) / (got[n : n + k] + 1).sum(axis=1, keepdims=True), emit / norm)
+        scratch.drop(f"gathered{turn}", f"table{turn}")
+
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*sent.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(log_likelihoods(m, _symbols(batch.column(6))))], names=["row_id", "doc_id", "held_out", "n_tokens", "n_top", "top_log", "path"])
-
-    scored = coded.select("row_id", "doc_id", "held_out", "n_tokens", "n_top", "top_log", "symbols").mapInArrow(run, "row_id long, doc_id long, held_out boolean, n_tokens long, n_top long, top_log double, path double")
-    scale = F.log10(F.lit(float(n_tokens + n_words + 1)))
-    none = F.lit(0.0)
-    return scored.join(rest, "row_id", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_top") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("top_log") + F.coalesce("rest_log", none) - F.col("n_tokens") * scale).alias("base_score"), (F.col("path") + F.coalesce("rest_choice", none)).alias("score"),
-    )
+            for i in range(batch.num_rows):
+                sizes = _list(batch.column(2), i, np.int64)
+                path = log_likelihoods(_emissions(batch, i, 9, sent.value), _texts(batch, i))
+                columns = [batch.column(4)[i].values, batch.column(1)[i].values, pa.array(sizes), *(batch.column(j)[i].values for j in (5, 6)), pa.array(path + _list(batch.column(7), i, np.float64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = _joined(coded, table, states, "doc_id", "known", "base", "choice").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
