@@ -1,12 +1,11 @@
 """Hidden Markov language model: Baum-Welch over partitions, exact scaled forward scores.
 
-Symbols. Every token that training texts hold ``OWN`` times or more has emissions of its own, so the table
-grows with the corpus. Every other token is emitted as one of ``RARE`` hash classes and then chosen within
-its class by its training count plus one. So the model gives every token sequence a probability.
-
-The table is distributed: one row a token. As the ``TOP`` most frequent tokens occur everywhere, their rows
-are of a fixed number and go to all tasks; all others stay in a table that is joined to the tokens of each
-slab of texts. Which tokens are among the top decides costs, never results.
+Symbols. The ``TOP`` most frequent training tokens have emissions of their own in all rounds; all others are
+tied to ``RARE`` hash classes until the last round, whose expected counts are gathered token by token and give
+emissions of its own to every token that training texts hold ``OWN`` times or more. That table grows with the
+corpus and is distributed: it is summed by token and joined to the tokens of each slab of texts. What is rarer
+is emitted as its class and then chosen within it by its training count plus one. So the model gives every
+token sequence a probability.
 
 Recursion. Texts are cut into stretches of ``STRETCH`` tokens. The scaled product of a stretch's
 transition and emission matrices is found for all stretches of a slice side by side; chaining the
@@ -22,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import Scratch, release
@@ -30,7 +29,7 @@ from siteloom.llm.common import Scratch, release
 STATES, ROUNDS = 4, 4
 #: Training occurrences from which on a token has emissions of its own; classes of the others.
 OWN, RARE = 8, 1024
-#: Tokens whose rows go to all tasks.
+#: Tokens that are free in all rounds; their table goes to all tasks.
 TOP = 65_536
 STRETCH = 128
 #: Tokens in one slice of the recursion, and in one slab of texts.
@@ -88,21 +87,16 @@ def most_frequent(words: DataFrame, top: int) -> DataFrame:
     return stepped.where(F.col("step") >= least).drop("step").orderBy(F.desc("c"), "word").limit(top)
 
 
-def scattered(word: str, state: int) -> Column:
-    """A factor exp(z), z standard normal, that depends on the token and the state only (Box-Muller on hashes)."""
-    uniform = lambda seed: (F.pmod(F.xxhash64(F.col(word), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return F.exp(F.sqrt(-2 * F.log(uniform(2 * state))) * F.cos(2 * math.pi * uniform(2 * state + 1)))
-
-
 class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, np.ascontiguousarray(emit)
 
 
-def first_moves(states: int) -> np.ndarray:
-    """States mostly stay."""
+def begin(unigram: np.ndarray, states: int, seed: int = 7) -> Model:
+    """States that mostly stay, with emissions scattered about the unigram's."""
+    emit = unigram[:, None] * np.exp(np.random.Generator(np.random.PCG64(seed)).normal(size=(len(unigram), states)))
     move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 if states > 1 else 1.0)
-    return move / move.sum(axis=1, keepdims=True)
+    return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 class _Slice:
@@ -274,7 +268,7 @@ def settle(slab_rows: DataFrame, counted: DataFrame, held, n_top: int, scale: fl
     """Slabs with symbols in place of codes, and by document what depends on counts only.
 
     Symbols: top tokens by rank, then classes, then the slab's other tokens of ``own`` or more occurrences, whose
-    texts are the list ``middle``. known: tokens seen in training; base: the base score; choice: log10 of the
+    texts are the list ``middle`` and whose classes are ``kinds``. known: tokens seen in training; base: the base score; choice: log10 of the
     choices within classes; all by document.
     """
 
@@ -291,7 +285,7 @@ def settle(slab_rows: DataFrame, counted: DataFrame, held, n_top: int, scale: fl
                 count[_list(batch.column(6), i, np.int64)] = _list(batch.column(7), i, np.int64)
                 middle = np.flatnonzero((rank < 0) & (count >= own))
                 loose = np.flatnonzero((rank < 0) & (count < own))
-                kind = np.array([zlib.crc32(words[j]) % rare for j in loose.tolist()], dtype=np.int64)
+                kind, kinds = (np.array([zlib.crc32(words[j]) % rare for j in some.tolist()], dtype=np.int64) for some in (loose, middle))
                 symbol, choice = rank.copy(), np.zeros(len(words))
                 symbol[middle] = n_top + rare + np.arange(len(middle))
                 symbol[loose] = n_top + kind
@@ -301,18 +295,18 @@ def settle(slab_rows: DataFrame, counted: DataFrame, held, n_top: int, scale: fl
                 begins = np.cumsum(sizes) - sizes
                 by_doc = lambda x: np.add.reduceat(x[codes], begins)  # noqa: B023, E731
                 columns = [batch.column(j).take(pa.array([i])) for j in range(4)]
-                columns += [pa.array([symbol[codes].astype("<i4").tobytes()], pa.binary()), pa.array([[words[j] for j in middle.tolist()]], pa.list_(pa.binary()))]
+                columns += [pa.array([symbol[codes].astype("<i4").tobytes()], pa.binary()), pa.array([[words[j] for j in middle.tolist()]], pa.list_(pa.binary())), pa.array([kinds.astype("<i4").tobytes()], pa.binary())]
                 columns += [pa.array([by_doc((count > 0).astype(np.int64))], pa.list_(pa.int64())), pa.array([by_doc(np.log10(count + 1.0)) - sizes * scale], pa.list_(pa.float64())), pa.array([by_doc(choice)], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["slab", "doc_id", "held", "sizes", "symbols", "middle", "known", "base", "choice"])
+                yield pa.RecordBatch.from_arrays(columns, names=["slab", "doc_id", "held", "sizes", "symbols", "middle", "kinds", "known", "base", "choice"])
 
-    schema = "slab long, doc_id array<long>, held array<boolean>, sizes array<int>, symbols binary, middle array<binary>, known array<long>, base array<double>, choice array<double>"
+    schema = "slab long, doc_id array<long>, held array<boolean>, sizes array<int>, symbols binary, middle array<binary>, kinds binary, known array<long>, base array<double>, choice array<double>"
     return slab_rows.join(counted, "slab", "left").select("slab", "doc_id", "held", "sizes", "codes", "words", "at", "c").mapInArrow(run, schema)
 
 
 def _emissions(batch: pa.RecordBatch, i: int, first: int, fixed: Model) -> Model:
     """The model over a slab's symbols: the fixed rows, then those of its middle tokens."""
     k = len(fixed.start)
-    own = np.empty((len(batch.column(first - 1)[i]), k))
+    own = np.empty((batch.column(first - 1)[i].as_py(), k))
     at = _list(batch.column(first), i, np.int64)
     for j in range(k):
         own[at, j] = _list(batch.column(first + 1 + j), i, np.float64)
@@ -324,18 +318,13 @@ def _texts(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
     return np.split(np.frombuffer(batch.column(3)[i].as_py(), "<i4"), np.cumsum(sizes)[:-1])
 
 
-def _joined(coded: DataFrame, table: DataFrame, states: int, *fields: str) -> DataFrame:
-    """Coded slabs with their middle tokens' emissions: slab, held, sizes, symbols, the fields, middle, at, e0, e1, ..."""
-    names = [f"e{j}" for j in range(states)]
-    rows = listed(coded.select("slab", F.posexplode("middle").alias("at", "word")), table, names)
-    return coded.join(rows, "slab", "left").select("slab", "held", "sizes", "symbols", *fields, "middle", "at", *names)
-
+def gather(model: Model, coded: DataFrame, first: int, free: bool) -> DataFrame:
+    """One Baum-Welch pass over the training texts under tied classes: (row, word, e0, e1, ...) of expected counts.
 
-def gather(model: Model, coded: DataFrame, table: DataFrame) -> DataFrame:
-    """One Baum-Welch pass over the training texts: (row, word, e0, e1, ...) of expected counts.
-
-    row is a place among the fixed symbols, then the moves, then the start, with no word; other tokens have
-    their word and row -1. A task sends a row for each fixed symbol that it met, and a slab one for each other.
+    The classes begin at symbol ``first``. row is a place among the fixed symbols, then the moves, then the
+    start, with no word. If ``free``, tokens that have a symbol of their own in the slab are counted by word,
+    with row -1, and not with their class. A task sends a row for each fixed symbol that it met, and a slab one
+    for each other.
     """
     n, k = model.emit.shape
     sent = coded.sparkSession.sparkContext.broadcast(model)
@@ -347,25 +336,26 @@ def gather(model: Model, coded: DataFrame, table: DataFrame) -> DataFrame:
         put = lambda row, word, x: pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.binary()), *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(k))], names=["row", "word", *names])
         for batch in batches:
             for i in range(batch.num_rows):
-                m = _emissions(batch, i, 5, fixed)
+                tied = np.concatenate((np.arange(n), first + np.frombuffer(batch.column(4)[i].as_py(), "<i4")))
                 texts = [t for t, out in zip(_texts(batch, i), batch.column(1)[i].as_py()) if not out]
-                own = np.zeros(m.emit.shape)
+                own = np.zeros((len(tied) if free else n, k))
                 for a, b in _slices(texts):
-                    s, mv, flat, states = _Slice(m, texts[a:b]).expected()
+                    s, mv, flat, states = _Slice(fixed, [tied[t] for t in texts[a:b]]).expected()
                     starts, moves = starts + s, moves + mv
+                    symbols = np.concatenate(texts[a:b]) if free else flat
                     for j in range(k):
-                        own[:, j] += np.bincount(flat, states[:, j], minlength=len(own))
+                        own[:, j] += np.bincount(symbols, states[:, j], minlength=len(own))
                 emits += own[:n]
-                middle = own[n:]
-                met = np.flatnonzero(middle.sum(axis=1))
-                words = batch.column(4)[i].values.take(pa.array(met))
-                yield put(np.full(len(met), -1), words, middle[met])
+                met = np.flatnonzero(own[n:].sum(axis=1))
+                if len(met):
+                    yield put(np.full(len(met), -1), batch.column(5)[i].values.take(pa.array(met)), own[n:][met])
         rows = np.concatenate((emits, moves, starts[None]))
         keep = np.flatnonzero(rows.sum(axis=1))
         yield put(keep, [None] * len(keep), rows[keep])
 
-    found = _joined(coded, table, k).mapInArrow(run, "row long, word binary, " + ", ".join(f"{c} double" for c in names))
-    return found.groupBy("row", "word").agg(*(F.sum(c).alias(c) for c in names))
+    found = coded.select("slab", "held", "sizes", "symbols", "kinds", *(["middle"] if free else []))
+    sums = found.mapInArrow(run, "row long, word binary, " + ", ".join(f"{c} double" for c in names))
+    return sums.groupBy("row", "word").agg(*(F.sum(c).alias(c) for c in names))
 
 
 def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int = TOP, rare: int = RARE, own: int = OWN) -> DataFrame:
@@ -374,9 +364,10 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
     Trained on all documents but those whose crc32(doc_id as text) mod 7 is 2; null doc_ids train. Null
     and empty texts are one token, the end. Rows are scored one by one, so repeated rows get equal
     scores each. An empty table gives an empty table; without training rows every token is unknown.
-    Other columns are not looked at. base_score: sum over tokens of log10((c + 1) / (N + V + 1)).
+    Other columns are not looked at. At least one round is made. base_score: sum over tokens of log10((c + 1) / (N + V + 1)).
     """
     spark = docs.sparkSession
+    rounds = max(1, rounds)
     scratch, names = Scratch(spark, "hmm"), [f"e{j}" for j in range(states)]
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
     words = scratch.write(vocabulary(docs.where("not held_out")), "vocabulary")
@@ -384,48 +375,47 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
     n_tokens, n_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = float(n_tokens + n_words + 1)
 
-    able = words.where(F.col("c") >= own).select("word", "c", *(((F.col("c") + 1) / total * scattered("word", j)).alias(c) for j, c in enumerate(names)))
-    first = most_frequent(able, top).toPandas()
+    first = most_frequent(words, top).toPandas()  # ``top`` rows
     first_words = [bytes(w) for w in first["word"]]
-    fixed_unigram = np.concatenate(((first["c"].to_numpy(np.float64) + 1) / total, np.ones(rare) / total))
-    for r in words.where(F.col("c") < own).groupBy((F.crc32("word") % rare).alias("kind")).agg((F.sum("c") + F.count("*")).alias("mass")).collect():  # at most ``rare`` rows
-        fixed_unigram[len(first) + r["kind"]] += r["mass"] / total
-    mass = fixed_unigram[len(first) :] * total
     last = first.iloc[-1] if len(first) else None
-    beyond = able.where((F.col("c") < int(last["c"])) | ((F.col("c") == int(last["c"])) & (F.col("word") > F.lit(bytes(last["word"]))))) if len(first) else able
-    table = scratch.write(beyond, "table0")
-
-    spread = np.exp(np.random.Generator(np.random.PCG64(7)).normal(size=(rare, states)))
-    emit = np.concatenate((first[names].to_numpy(np.float64).reshape(-1, states), fixed_unigram[len(first) :, None] * spread))
-    sums = lambda rows: np.array([x or 0.0 for x in rows.agg(*(F.sum(c) for c in names)).first()])
-    norm = emit.sum(axis=0) + sums(table)
-    table = table.select("word", "c", *((F.col(c) / float(norm[j])).alias(c) for j, c in enumerate(names)))
-    model = Model(np.full(states, 1 / states), first_moves(states), emit / norm)
-
-    held = spark.sparkContext.broadcast(_Held(first_words, first["c"].to_numpy(np.int64), mass))
+    others = words.where((F.col("c") < int(last["c"])) | ((F.col("c") == int(last["c"])) & (F.col("word") > F.lit(bytes(last["word"]))))) if len(first) else words
+    weight, loose = F.col("c") + 1, F.col("c") < own
+    every, rest = np.ones(rare), np.ones(rare)
+    for r in others.groupBy((F.crc32("word") % rare).alias("kind")).agg(F.sum(weight).alias("every"), F.sum(F.when(loose, weight).otherwise(0)).alias("rest")).collect():  # at most ``rare`` rows
+        every[r["kind"]] += r["every"]
+        rest[r["kind"]] += r["rest"]
+    known = (first["c"].to_numpy(np.float64) + 1) / total
+    tied, free = (np.concatenate((known, x / total)) for x in (every, rest))
+
+    held = spark.sparkContext.broadcast(_Held(first_words, first["c"].to_numpy(np.int64), rest))
     rows = scratch.write(slabs(docs), "slabs")
     top_words = spark.createDataFrame([(w,) for w in first_words], "word binary")
     strange = rows.select("slab", F.posexplode("words").alias("at", "word")).join(F.broadcast(top_words), "word", "left_anti")  # ``top`` rows
-    counted = listed(strange, words, ["c"])
+    counted = scratch.write(listed(strange, words, ["c"]), "counted")
+    release(spark)
     coded = scratch.write(settle(rows, counted, held, len(first), math.log10(total), own, rare), "coded")
-    scratch.drop("slabs")
+    scratch.drop("slabs", "counted")
     release(spark)
 
     k, n = states, len(first) + rare
+    model = begin(tied / tied.sum(), states)
     for turn in range(rounds):
-        gathered = scratch.write(gather(model, coded, table), f"gathered{turn}")
+        last_turn = turn == rounds - 1
+        gathered = scratch.write(gather(model, coded, len(first), last_turn), "gathered")
         release(spark)
         fixed = gathered.where("row >= 0").select("row", *names).toPandas()  # at most the fixed symbols, the moves and the start
         got = np.zeros((n + k + 1, k))
         got[fixed["row"].to_numpy(np.int64)] = fixed[names].to_numpy(np.float64)
-        emit = got[:n] + PRIOR * fixed_unigram[:, None]
-        met = gathered.where("row < 0").select("word", *(F.col(c).alias(f"n_{c}") for c in names))
-        after = table.select("word", "c").join(met, "word", "left").select("word", "c", *((F.coalesce(f"n_{c}", F.lit(0.0)) + PRIOR * (F.col("c") + 1) / total).alias(c) for c in names))
-        after = scratch.write(after, f"table{turn + 1}")
-        norm = emit.sum(axis=0) + sums(after)
-        table = after.select("word", "c", *((F.col(c) / float(norm[j])).alias(c) for j, c in enumerate(names)))
+        emit = got[:n] + PRIOR * (free if last_turn else tied)[:, None]
+        norm = emit.sum(axis=0)
+        if last_turn:
+            met = gathered.where("row < 0").select("word", *(F.col(c).alias(f"n_{c}") for c in names))
+            table = others.where(~loose).join(met, "word", "left").select("word", *((F.coalesce(f"n_{c}", F.lit(0.0)) + PRIOR * weight / total).alias(c) for c in names))
+            table = scratch.write(table, "table")
+            norm = norm + np.array([x or 0.0 for x in table.agg(*(F.sum(c) for c in names)).first()])
+            table = table.select("word", *((F.col(c) / float(norm[j])).alias(c) for j, c in enumerate(names)))
         model = Model((got[-1] + 1) / (got[-1] + 1).sum(), (got[n : n + k] + 1) / (got[n : n + k] + 1).sum(axis=1, keepdims=True), emit / norm)
-        scratch.drop(f"gathered{turn}", f"table{turn}")
+    scratch.drop("gathered")
 
     sent = spark.sparkContext.broadcast(model)
 
@@ -437,5 +427,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
                 columns = [batch.column(4)[i].values, batch.column(1)[i].values, pa.array(sizes), *(batch.column(j)[i].values for j in (5, 6)), pa.array(path + _list(batch.column(7), i, np.float64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = _joined(coded, table, states, "doc_id", "known", "base", "choice").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    lists = listed(coded.select("slab", F.posexplode("middle").alias("at", "word")), table, names)
+    joined = coded.join(lists, "slab", "left").select("slab", "held", "sizes", "symbols", "doc_id", "known", "base", "choice", F.size("middle").alias("n_middle"), "at", *names)
+    scored = joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
