@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import Scratch, release
@@ -33,7 +33,7 @@ OWN, RARE = 8, 1024
 TOP = 65_536
 STRETCH = 128
 #: Tokens in one slice of the recursion, and in one slab of texts.
-SLICE, SLAB = 300_000, 300_000
+SLICE, SLAB = 300_000, 600_000
 PRIOR = 10.0
 END = b""
 
@@ -60,18 +60,6 @@ def held_out(doc_id: str = "doc_id", parts: int = 7, part: int = 2):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, c) over all tokens of all texts; counted in each batch, then in each task, before they are dealt."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coded = tokens(batch.column(0))[0].dictionary_encode()
-            counts = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()), pa.array(counts, pa.int64())], names=["word", "c"])
-
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 def most_frequent(words: DataFrame, top: int) -> DataFrame:
     """The ``top`` rows of greatest c, ties by word.
 
@@ -217,11 +205,23 @@ def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
 
 # -- slabs: some texts with a list of their tokens ----------------------------------------------------
 
-_SLAB = "slab long, doc_id array<long>, held array<boolean>, sizes array<int>, codes binary, words array<binary>"
+_SLAB = "slab long, doc_id array<long>, held array<boolean>, sizes array<int>, codes binary, words array<binary>, times array<int>"
+_CODED = "slab long, doc_id array<long>, held array<boolean>, sizes array<int>, symbols binary, middle array<binary>, kinds binary, known array<long>, base array<double>, choice array<double>"
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd"), "<i4")
 
 
 def slabs(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, held_out, text) -> slabs of about SLAB tokens: codes are places in the slab's own list of tokens."""
+    """docs (doc_id, held_out, text) -> slabs of about SLAB tokens.
+
+    codes are places in the slab's own list of tokens, times how often each is in its training texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -237,85 +237,83 @@ def slabs(docs: DataFrame) -> DataFrame:
                 start += rows
                 flat, counts = tokens(part.column(2))
                 coded = flat.dictionary_encode()
-                columns = [[number], [part.column(0).to_pylist()], [part.column(1).to_pylist()], [counts.astype(np.int32)], [coded.indices.to_numpy().astype("<i4").tobytes()], [coded.dictionary.to_pylist()]]
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _SLAB.split(", ")])
+                codes, held = coded.indices.to_numpy(), np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), counts)
+                times = np.bincount(codes[~held], minlength=len(coded.dictionary))
+                yield _row(_SLAB, number, part.column(0), part.column(1), counts, _packed(codes), coded.dictionary.cast(pa.binary()), times)
                 number += 1
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _SLAB)
 
 
-def listed(slab_words: DataFrame, table: DataFrame, fields: list[str]) -> DataFrame:
-    """slab_words (slab, at, word) with the table's fields (word, ...), as one row a slab: lists ``at`` and each field, in one order."""
-    rows = slab_words.join(table, "word").groupBy("slab").agg(F.collect_list(F.struct("at", *fields)).alias("l"))
-    return rows.select("slab", *(F.col(f"l.{c}").alias(c) for c in ["at", *fields]))
+_KINDS = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.int64(), "array<boolean>": pa.bool_(), "array<int>": pa.int32(), "array<binary>": pa.binary(), "array<double>": pa.float64()}
 
 
-def _list(column: pa.Array, i: int, kind) -> np.ndarray:
-    """The i-th list of a column as an array; none where it is null."""
-    value = column[i]
-    return value.values.to_numpy(zero_copy_only=False).astype(kind) if value.is_valid else np.zeros(0, kind)
+def _row(schema: str, *values) -> pa.RecordBatch:
+    """One row: numbers and bytes as they are, arrays as lists."""
+    names, columns = [], []
+    for field, value in zip(schema.split(", "), values, strict=True):
+        name, kind = field.split()
+        if kind.startswith("array"):
+            items = value if isinstance(value, pa.Array) else pa.array(value)
+            items = items.take(pa.array(np.arange(len(items)))).cast(_KINDS[kind])
+            column = pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
+        else:
+            column = pa.array([value], _KINDS[kind])
+        names.append(name), columns.append(column)
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-class _Held:
-    """What a task needs to turn slabs into symbols: the top tokens' places and counts, and the classes' masses."""
+def _array(table: pa.Table, name: str) -> np.ndarray:
+    """The only row's list as an array."""
+    return table.column(name)[0].values.to_numpy(zero_copy_only=False)
 
-    def __init__(self, top: list[bytes], counts: np.ndarray, mass: np.ndarray):
-        self.place, self.counts, self.mass = {w: i for i, w in enumerate(top)}, counts, mass
 
+def counted(rows: DataFrame) -> DataFrame:
+    """slabs -> (slab, at, word, c, first): the training count of each token of each slab; first marks one row a token.
 
-def settle(slab_rows: DataFrame, counted: DataFrame, held, n_top: int, scale: float, own: int, rare: int) -> DataFrame:
-    """Slabs with symbols in place of codes, and by document what depends on counts only.
-
-    Symbols: top tokens by rank, then classes, then the slab's other tokens of ``own`` or more occurrences, whose
-    texts are the list ``middle`` and whose classes are ``kinds``. known: tokens seen in training; base: the base score; choice: log10 of the
-    choices within classes; all by document.
+    A token has one row a slab at most, so no token has many.
     """
+    each = rows.select("slab", F.posexplode(F.arrays_zip("words", "times")).alias("at", "t")).select("slab", "at", F.col("t.words").alias("word"), F.col("t.times").alias("times"))
+    same = Window.partitionBy("word")
+    return each.select("slab", "at", "word", F.sum("times").over(same).alias("c"), (F.row_number().over(same.orderBy("slab")) == 1).alias("first"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
 
-        fixed = held.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words = batch.column(5)[i].as_py()
-                rank = np.array([fixed.place.get(w, -1) for w in words], dtype=np.int64)
-                count = np.zeros(len(words), dtype=np.int64)
-                count[rank >= 0] = fixed.counts[rank[rank >= 0]]
-                count[_list(batch.column(6), i, np.int64)] = _list(batch.column(7), i, np.int64)
-                middle = np.flatnonzero((rank < 0) & (count >= own))
-                loose = np.flatnonzero((rank < 0) & (count < own))
-                kind, kinds = (np.array([zlib.crc32(words[j]) % rare for j in some.tolist()], dtype=np.int64) for some in (loose, middle))
-                symbol, choice = rank.copy(), np.zeros(len(words))
-                symbol[middle] = n_top + rare + np.arange(len(middle))
-                symbol[loose] = n_top + kind
-                choice[loose] = np.log10((count[loose] + 1) / fixed.mass[kind])
-                codes = np.frombuffer(batch.column(4)[i].as_py(), "<i4")
-                sizes = _list(batch.column(3), i, np.int64)
-                begins = np.cumsum(sizes) - sizes
-                by_doc = lambda x: np.add.reduceat(x[codes], begins)  # noqa: B023, E731
-                columns = [batch.column(j).take(pa.array([i])) for j in range(4)]
-                columns += [pa.array([symbol[codes].astype("<i4").tobytes()], pa.binary()), pa.array([[words[j] for j in middle.tolist()]], pa.list_(pa.binary())), pa.array([kinds.astype("<i4").tobytes()], pa.binary())]
-                columns += [pa.array([by_doc((count > 0).astype(np.int64))], pa.list_(pa.int64())), pa.array([by_doc(np.log10(count + 1.0)) - sizes * scale], pa.list_(pa.float64())), pa.array([by_doc(choice)], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["slab", "doc_id", "held", "sizes", "symbols", "middle", "kinds", "known", "base", "choice"])
-
-    schema = "slab long, doc_id array<long>, held array<boolean>, sizes array<int>, symbols binary, middle array<binary>, kinds binary, known array<long>, base array<double>, choice array<double>"
-    return slab_rows.join(counted, "slab", "left").select("slab", "doc_id", "held", "sizes", "codes", "words", "at", "c").mapInArrow(run, schema)
-
-
-def _emissions(batch: pa.RecordBatch, i: int, first: int, fixed: Model) -> Model:
-    """The model over a slab's symbols: the fixed rows, then those of its middle tokens."""
-    k = len(fixed.start)
-    own = np.empty((batch.column(first - 1)[i].as_py(), k))
-    at = _list(batch.column(first), i, np.int64)
-    for j in range(k):
-        own[at, j] = _list(batch.column(first + 1 + j), i, np.float64)
-    return Model(fixed.start, fixed.move, np.concatenate((fixed.emit, own)))
-
-
-def _texts(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
-    sizes = _list(batch.column(2), i, np.int64)
-    return np.split(np.frombuffer(batch.column(3)[i].as_py(), "<i4"), np.cumsum(sizes)[:-1])
+def settle(rows: DataFrame, counts: DataFrame, mass: np.ndarray, n_top: int, scale: float, own: int) -> DataFrame:
+    """Slabs with symbols in place of codes, and by document what depends on counts only.
+
+    counts (slab, at, c, rank, kind): of each token its training count, its place among the top or null, its
+    class. Symbols: top tokens by rank, then classes, then the slab's other tokens of ``own`` or more
+    occurrences, whose texts are the list ``middle`` and whose classes are ``kinds``. known: tokens seen in
+    training; base: the base score; choice: log10 of the choices within classes; all by document.
+    """
+    rare = len(mass)
+
+    def run(slab: pa.Table, found: pa.Table) -> pa.Table:
+        at = found.column("at").to_numpy()
+        count, rank, kind = (np.empty(len(at), dtype=np.int64) for _ in range(3))
+        for array, column in ((count, "c"), (rank, "rank"), (kind, "kind")):
+            array[at] = found.column(column).to_numpy()
+        middle, loose = np.flatnonzero((rank < 0) & (count >= own)), np.flatnonzero((rank < 0) & (count < own))
+        symbol, choice = rank.copy(), np.zeros(len(at))
+        symbol[middle] = n_top + rare + np.arange(len(middle))
+        symbol[loose] = n_top + kind[loose]
+        choice[loose] = np.log10((count[loose] + 1) / mass[kind[loose]])
+        sizes = _array(slab, "sizes").astype(np.int64)
+        codes = _unpacked(slab.column("codes")[0].as_py(), int(sizes.sum()))
+        begins = np.cumsum(sizes) - sizes
+        by_doc = lambda x: np.add.reduceat(x[codes], begins)
+        words = slab.column("words")[0].values.take(pa.array(middle))
+        row = _row(
+            _CODED, slab.column("slab")[0].as_py(), slab.column("doc_id")[0].values, slab.column("held")[0].values, sizes, _packed(symbol[codes]), words, _packed(kind[middle]),
+            by_doc((count > 0).astype(np.int64)), by_doc(np.log10(count + 1.0)) - sizes * scale, by_doc(choice),
+        )
+        return pa.Table.from_batches([row])
+
+    return rows.drop("times").groupBy("slab").cogroup(counts.groupBy("slab")).applyInArrow(run, _CODED)
+
+
+def _texts(sizes: np.ndarray, symbols: bytes) -> list[np.ndarray]:
+    return np.split(_unpacked(symbols, int(sizes.sum())), np.cumsum(sizes)[:-1])
 
 
 def gather(model: Model, coded: DataFrame, first: int, free: bool) -> DataFrame:
@@ -336,8 +334,9 @@ def gather(model: Model, coded: DataFrame, first: int, free: bool) -> DataFrame:
         put = lambda row, word, x: pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.binary()), *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(k))], names=["row", "word", *names])
         for batch in batches:
             for i in range(batch.num_rows):
-                tied = np.concatenate((np.arange(n), first + np.frombuffer(batch.column(4)[i].as_py(), "<i4")))
-                texts = [t for t, out in zip(_texts(batch, i), batch.column(1)[i].as_py()) if not out]
+                sizes = batch.column(2)[i].values.to_numpy().astype(np.int64)
+                tied = np.concatenate((np.arange(n), first + _unpacked(batch.column(4)[i].as_py(), batch.column(5)[i].as_py())))
+                texts = [t for t, out in zip(_texts(sizes, batch.column(3)[i].as_py()), batch.column(1)[i].as_py()) if not out]
                 own = np.zeros((len(tied) if free else n, k))
                 for a, b in _slices(texts):
                     s, mv, flat, states = _Slice(fixed, [tied[t] for t in texts[a:b]]).expected()
@@ -348,12 +347,12 @@ def gather(model: Model, coded: DataFrame, first: int, free: bool) -> DataFrame:
                 emits += own[:n]
                 met = np.flatnonzero(own[n:].sum(axis=1))
                 if len(met):
-                    yield put(np.full(len(met), -1), batch.column(5)[i].values.take(pa.array(met)), own[n:][met])
+                    yield put(np.full(len(met), -1), batch.column(6)[i].values.take(pa.array(met)), own[n:][met])
         rows = np.concatenate((emits, moves, starts[None]))
         keep = np.flatnonzero(rows.sum(axis=1))
         yield put(keep, [None] * len(keep), rows[keep])
 
-    found = coded.select("slab", "held", "sizes", "symbols", "kinds", *(["middle"] if free else []))
+    found = coded.select("slab", "held", "sizes", "symbols", "kinds", F.size("middle").alias("n"), *(["middle"] if free else []))
     sums = found.mapInArrow(run, "row long, word binary, " + ", ".join(f"{c} double" for c in names))
     return sums.groupBy("row", "word").agg(*(F.sum(c).alias(c) for c in names))
 
@@ -369,9 +368,10 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
     spark = docs.sparkSession
     rounds = max(1, rounds)
     scratch, names = Scratch(spark, "hmm"), [f"e{j}" for j in range(states)]
-    docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
-    words = scratch.write(vocabulary(docs.where("not held_out")), "vocabulary")
+    rows = scratch.write(slabs(docs.select("doc_id", "text").withColumn("held_out", held_out())), "slabs")
+    counts = scratch.write(counted(rows), "counted")
     release(spark)
+    words = counts.where("first and c > 0").select("word", "c")
     n_tokens, n_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = float(n_tokens + n_words + 1)
 
@@ -384,17 +384,13 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
     for r in others.groupBy((F.crc32("word") % rare).alias("kind")).agg(F.sum(weight).alias("every"), F.sum(F.when(loose, weight).otherwise(0)).alias("rest")).collect():  # at most ``rare`` rows
         every[r["kind"]] += r["every"]
         rest[r["kind"]] += r["rest"]
-    known = (first["c"].to_numpy(np.float64) + 1) / total
+    known = (first["c"].to_numpy(np.float64) + 1) / total  # of the top tokens
     tied, free = (np.concatenate((known, x / total)) for x in (every, rest))
 
-    held = spark.sparkContext.broadcast(_Held(first_words, first["c"].to_numpy(np.int64), rest))
-    rows = scratch.write(slabs(docs), "slabs")
-    top_words = spark.createDataFrame([(w,) for w in first_words], "word binary")
-    strange = rows.select("slab", F.posexplode("words").alias("at", "word")).join(F.broadcast(top_words), "word", "left_anti")  # ``top`` rows
-    counted = scratch.write(listed(strange, words, ["c"]), "counted")
-    release(spark)
-    coded = scratch.write(settle(rows, counted, held, len(first), math.log10(total), own, rare), "coded")
-    scratch.drop("slabs", "counted")
+    places = spark.createDataFrame(list(zip(first_words, range(len(first)))), "word binary, rank int")
+    ranked = counts.join(F.broadcast(places), "word", "left").select("slab", "at", "c", F.coalesce("rank", F.lit(-1)).alias("rank"), (F.crc32("word") % rare).cast("int").alias("kind"))  # ``top`` rows
+    coded = scratch.write(settle(rows, ranked, rest, len(first), math.log10(total), own), "coded")
+    scratch.drop("slabs")
     release(spark)
 
     k, n = states, len(first) + rare
@@ -419,15 +415,16 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
 
     sent = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sizes = _list(batch.column(2), i, np.int64)
-                path = log_likelihoods(_emissions(batch, i, 9, sent.value), _texts(batch, i))
-                columns = [batch.column(4)[i].values, batch.column(1)[i].values, pa.array(sizes), *(batch.column(j)[i].values for j in (5, 6)), pa.array(path + _list(batch.column(7), i, np.float64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    lists = listed(coded.select("slab", F.posexplode("middle").alias("at", "word")), table, names)
-    joined = coded.join(lists, "slab", "left").select("slab", "held", "sizes", "symbols", "doc_id", "known", "base", "choice", F.size("middle").alias("n_middle"), "at", *names)
-    scored = joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    def run(slab: pa.Table, found: pa.Table) -> pa.Table:
+        fixed, sizes = sent.value, _array(slab, "sizes").astype(np.int64)
+        extra = np.empty((slab.column("n_middle")[0].as_py(), states))
+        for j, c in enumerate(names):
+            extra[found.column("at").to_numpy(), j] = found.column(c).to_numpy()
+        path = log_likelihoods(Model(fixed.start, fixed.move, np.concatenate((fixed.emit, extra))), _texts(sizes, slab.column("symbols")[0].as_py()))
+        columns = [slab.column("doc_id")[0].values, slab.column("held")[0].values, pa.array(sizes), slab.column("known")[0].values, slab.column("base")[0].values, pa.array(path + _array(slab, "choice"))]
+        return pa.Table.from_arrays([c.take(pa.array(np.arange(len(c)))) for c in columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    emissions = coded.select(F.col("slab").alias("own"), F.posexplode("middle").alias("at", "word")).join(table, "word").drop("word")
+    left = coded.select("slab", "doc_id", "held", "sizes", "symbols", "known", "base", "choice", F.size("middle").alias("n_middle"))
+    scored = left.groupBy("slab").cogroup(emissions.groupBy("own")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
