@@ -33,7 +33,7 @@ OWN, RARE = 8, 1024
 TOP = 65_536
 STRETCH = 128
 #: Tokens in one slice of the recursion, and in one slab of texts.
-SLICE, SLAB = 300_000, 3_000_000
+SLICE, SLAB = 300_000, 2_000_000
 PRIOR = 10.0
 END = b""
 
@@ -372,7 +372,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
     rows = scratch.write(slabs(docs.select("doc_id", "text").withColumn("held_out", held_out())), "slabs")
     counts = scratch.write(counted(rows, rare), "counted")
     release(spark)
-    words = counts.where("word is not null and c > 0").select("word", "c")
+    words = scratch.write(counts.where("word is not null and c > 0").select("word", "c"), "words")
     n_tokens, n_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = float(n_tokens + n_words + 1)
 
@@ -389,7 +389,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
     tied, free = (np.concatenate((known, x / total)) for x in (every, rest))
 
     coded = scratch.write(settle(rows, counts.select("slab", "at", "c", "kind"), first_words, rest, math.log10(total), own), "coded")
-    scratch.drop("slabs")
+    scratch.drop("slabs", "counted")
     release(spark)
 
     k, n = states, len(first) + rare
@@ -410,7 +410,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
             norm = norm + np.array([x or 0.0 for x in table.agg(*(F.sum(c) for c in names)).first()])
             table = table.select("word", *((F.col(c) / float(norm[j])).alias(c) for j, c in enumerate(names)))
         model = Model((got[-1] + 1) / (got[-1] + 1).sum(), (got[n : n + k] + 1) / (got[n : n + k] + 1).sum(axis=1, keepdims=True), emit / norm)
-    scratch.drop("gathered")
+    scratch.drop("gathered", "words")
+    release(spark)
 
     sent = spark.sparkContext.broadcast(model)
 
