@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ OWN, RARE = 8, 1024
 TOP = 65_536
 STRETCH = 128
 #: Tokens in one slice of the recursion, and in one slab of texts.
-SLICE, SLAB = 300_000, 2_000_000
+SLICE, SLAB = 300_000, 3_000_000
 PRIOR = 10.0
 END = b""
 
@@ -268,21 +269,21 @@ def _array(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name)[0].values.to_numpy(zero_copy_only=False)
 
 
-def counted(rows: DataFrame, rare: int) -> DataFrame:
-    """slabs -> (slab, at, c, kind, word): the training count and class of each token of each slab; word in one row a token.
+def counted(rows: DataFrame) -> DataFrame:
+    """slabs -> (slab, at, c, word): of each token of each slab its place and training count; word in one row a token.
 
     A token has one row a slab at most, so no token has many.
     """
     each = rows.select("slab", F.posexplode(F.arrays_zip("words", "times")).alias("at", "t")).select("slab", "at", F.col("t.words").alias("w"), F.col("t.times").alias("times"))
     same = Window.partitionBy("w")
     placed = each.select("slab", "at", "w", F.sum("times").over(same).alias("c"), F.row_number().over(same.orderBy("slab")).alias("nth"))
-    return placed.select("slab", "at", "c", (F.crc32("w") % rare).cast("int").alias("kind"), F.when(F.col("nth") == 1, F.col("w")).alias("word"))
+    return placed.select("slab", "at", "c", F.when(F.col("nth") == 1, F.col("w")).alias("word"))
 
 
 def settle(rows: DataFrame, counts: DataFrame, top: list[bytes], mass: np.ndarray, scale: float, own: int) -> DataFrame:
     """Slabs with symbols in place of codes, and by document what depends on counts only.
 
-    counts (slab, at, c, kind): of each token its training count and its class. Symbols: top tokens by rank, then classes, then the slab's other tokens of ``own`` or more
+    counts (slab, at, c): as counted() gives them. Symbols: top tokens by rank, then classes, then the slab's other tokens of ``own`` or more
     occurrences, whose texts are the list ``middle`` and whose classes are ``kinds``. known: tokens seen in
     training; base: the base score; choice: log10 of the choices within classes; all by document.
     """
@@ -291,10 +292,13 @@ def settle(rows: DataFrame, counts: DataFrame, top: list[bytes], mass: np.ndarra
 
     def run(slab: pa.Table, found: pa.Table) -> pa.Table:
         at = found.column("at").to_numpy()
-        count, kind = (np.empty(len(at), dtype=np.int64) for _ in range(2))
-        count[at], kind[at] = found.column("c").to_numpy(), found.column("kind").to_numpy()
+        count = np.empty(len(at), dtype=np.int64)
+        count[at] = found.column("c").to_numpy()
         rank = pc.index_in(slab.column("words")[0].values, sent.value).fill_null(-1).to_numpy().astype(np.int64)
         middle, loose = np.flatnonzero((rank < 0) & (count >= own)), np.flatnonzero((rank < 0) & (count < own))
+        strange = np.flatnonzero(rank < 0)
+        kind = np.zeros(len(at), dtype=np.int64)
+        kind[strange] = [crc32(w) % rare for w in slab.column("words")[0].values.take(pa.array(strange)).to_pylist()]
         symbol, choice = rank.copy(), np.zeros(len(at))
         symbol[middle] = n_top + rare + np.arange(len(middle))
         symbol[loose] = n_top + kind[loose]
@@ -370,7 +374,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
     rounds = max(1, rounds)
     scratch, names = Scratch(spark, "hmm"), [f"e{j}" for j in range(states)]
     rows = scratch.write(slabs(docs.select("doc_id", "text").withColumn("held_out", held_out())), "slabs")
-    counts = scratch.write(counted(rows, rare), "counted")
+    counts = scratch.write(counted(rows), "counted")
     release(spark)
     words = scratch.write(counts.where("word is not null and c > 0").select("word", "c"), "words")
     n_tokens, n_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -388,7 +392,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
     known = (first["c"].to_numpy(np.float64) + 1) / total  # of the top tokens
     tied, free = (np.concatenate((known, x / total)) for x in (every, rest))
 
-    coded = scratch.write(settle(rows, counts.select("slab", "at", "c", "kind"), first_words, rest, math.log10(total), own), "coded")
+    coded = scratch.write(settle(rows, counts.select("slab", "at", "c"), first_words, rest, math.log10(total), own), "coded")
     scratch.drop("slabs", "counted")
     release(spark)
 
