@@ -8,6 +8,7 @@ SentencePiece itself; the ids of a text agree or don't. Decoding is the library'
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
@@ -115,17 +117,17 @@ def rebuild(model: Model):
     tokenizer = Tokenizer(core)
     if model.kind == BPE:
         tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER])
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(marker, " "), decoders.ByteFallback(), decoders.Fuse()] + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix)
+    tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(marker, " ")] + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix)
     return tokenizer, normalizers.Sequence(steps)
 
 
 class Codec:
     """Whole texts to ids and back."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, threads: int = 1):
         import sentencepiece
 
-        self.model = parse(data)
+        self.model, self.threads = parse(data), threads
         self.tokenizer, self.normaliser = rebuild(self.model)
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
         # what the normaliser does by plain replacement, it needn't be called for
@@ -156,7 +158,7 @@ class Codec:
     def _whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """ids of each text, and whether SentencePiece gives the same."""
         got = [x.ids for x in self.tokenizer.encode_batch_fast(list(map(self.normal, texts)), add_special_tokens=False)]
-        return got, [a == b for a, b in zip(got, self.peer.encode(texts, num_threads=1))]
+        return got, [a == b for a, b in zip(got, self.peer.encode(texts, num_threads=self.threads))]
 
     def _long(self, text: str) -> tuple[list[int], bool]:
         """The same for a long text; a stretch after the first begins with the space that the prefix stands for."""
@@ -201,9 +203,14 @@ _codecs: dict[int, Codec] = {}
 
 
 def _codec(data: bytes) -> Codec:
+    """The model's codec in this worker, with as many threads as its task has processors."""
     key = zlib.crc32(data)
     if key not in _codecs:
-        _codecs[key] = Codec(data)
+        task = TaskContext.get()
+        threads = task.cpus() if task else 1
+        os.environ["RAYON_NUM_THREADS"] = str(threads)  # more than that would wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        _codecs[key] = Codec(data, threads)
     return _codecs[key]
 
 

@@ -124,32 +124,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# Whole-document similarity, by a guaranteed search. All shingles have one order, common ones last. Sets at a
-# similarity of ``least`` or more share so many shingles that the first of them in that order lies among the
-# first n - ceil(least * n) + 1 of each, its prefix. So sets that share no prefix shingle need no comparing,
-# whatever the number of rows; those that do are compared by their exact sets.
-BITS = 256
+# Whole-document similarity. SimHash over the anchors finds most near copies: fingerprints of the sets within
+# BITS_APART bits are candidates, and verified. As no number of bits holds for every pair at a similarity of
+# ``least``, a guaranteed search then finds the rest. All shingles have one order, common ones last. Sets at
+# ``least`` or more share so many shingles that the first of them in that order lies among the first
+# n - ceil(least * n) + 1 of each, its prefix. So sets that share no prefix shingle need no comparing, whatever
+# the number of rows; those that do are compared by their exact sets.
+BITS_APART = 2
 #: The order is learned from about SAMPLE documents: shingles seen SEEN times or more, HOT of them at most. It decides costs, never results.
 SAMPLE, SEEN, HOT = 8000, 3, 200_000
 #: Pairs that a task makes at a time.
 PAIRS = 1_000_000
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """BITS-bit SimHash of the word shingles as four signed integers; zeros for a text without words."""
-    import xxhash
-
-    found = (text or "").encode().translate(LOWER).split()
-    if not found:
-        return np.zeros(4, dtype=np.int64)
-    joined, size = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found)) + 1
-    ends = np.cumsum(size) - 1
-    starts = ends - size + 1
-    k = min(words, len(found))
-    digest = xxhash.xxh3_128_digest
-    pieces = [joined[a:b] for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())]
-    counts = [np.unpackbits(np.frombuffer(b"".join([digest(p, seed) for p in pieces]), np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64) for seed in (1, 2)]
-    return np.packbits(2 * np.concatenate(counts) > len(pieces)).view(">i8").astype(np.int64)
+def set_fingerprint(own: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingle hashes, as a signed integer; 0 for none."""
+    if not len(own):
+        return 0
+    bits = np.unpackbits(own.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(own)).view(">i8")[0])
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -282,38 +275,55 @@ def _similar(pairs: DataFrame, keyed: DataFrame, words: int, least: float, scrat
     return out
 
 
+def fingerprint_candidates(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """sets (rep, fp) -> pairs (u, v) of sets with equal fingerprints, or such within BITS_APART bits by the anchors.
+
+    Sets of one fingerprint are paired with the least of them only, so that copies cost rows in proportion.
+    """
+    heads = scratch.write(sets.groupBy("fp").agg(F.min("rep").alias("head")), "heads")
+    same = sets.join(heads, "fp").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v"))
+    near = links(heads.repartition(parallelism(sets.sparkSession), "fp"), BITS_APART)
+    side = lambda c, name: heads.select(F.col("fp").alias(c), F.col("head").alias(name))
+    far = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    return same.unionAll(far)
+
+
 def similar_components(keyed: DataFrame, sets: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
-    """sets (rep, n, prefix), distinct sets -> (node, component) of the graph that links all similar sets. The scratch table sets goes.
+    """sets (rep, n, fp, prefix), distinct sets -> (node, component) of the graph that links all similar sets. The scratch table sets goes.
 
-    First each set is compared with the least of each shingle of its prefix, which joins most copies. Then
-    every pair that shares a shingle and is not yet in one component is compared: pairs within a
-    component can't change it, so large groups of copies cost rows in proportion and no link is missed.
+    First each set is compared with those of near fingerprints and with the least of each shingle of its
+    prefix, which joins most copies. Then every pair that shares a shingle and is not yet in one component is
+    compared: pairs within a component can't change it, so large groups of copies cost rows in proportion and
+    no link is missed.
     """
+    near = scratch.write(fingerprint_candidates(sets.select("rep", "fp"), scratch), "near")
+    release(keyed.sparkSession)
     sent = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", "n", "pos")
     dealt = sent.repartition("token").sortWithinPartitions("token", "rep")
     kinds = "token long, rep long, n long, pos long"
     met = scratch.write(dealt.mapInArrow(_shared, kinds + ", first_rep long, first_n long, first_pos long"), "met")
-    scratch.drop("sets")
+    scratch.drop("sets", "heads")
     release(keyed.sparkSession)
     reach = _may_reach(F.col("n"), F.col("pos"), F.col("first_n"), F.col("first_pos"), least, F.ceil, F.least)
-    pairs = scratch.write(met.where(F.col("rep") != F.col("first_rep")).where(reach).select(F.greatest("rep", "first_rep").alias("u"), F.least("rep", "first_rep").alias("v")).distinct(), "pairs")
+    firsts = met.where(F.col("rep") != F.col("first_rep")).where(reach).select(F.greatest("rep", "first_rep").alias("u"), F.least("rep", "first_rep").alias("v"))
+    pairs = scratch.write(near.unionAll(firsts).distinct(), "pairs")
     links = _similar(pairs, keyed, words, least, scratch, "links")
     joined = scratch.write(connected_components(links, scratch), "joined")
     rows = met.join(joined, met.rep == joined.node, "left").select("token", F.coalesce("component", "rep").alias("component"), "rep", "n", "pos")
     rest = rows.repartition("token").sortWithinPartitions("token", "component", "rep").mapInArrow(_crossing(least), "u long, v long").distinct()
     rest = scratch.write(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
-    scratch.drop("met")
+    scratch.drop("met", "near")
     release(keyed.sparkSession)
     return connected_components(links.unionAll(_similar(rest, keyed, words, least, scratch, "more")), scratch)
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """The document of least doc_id of each group of near copies, with all columns.
+    """The document of least doc_id of each group of near copies, with all columns, whatever their names.
 
     Near copies are linked where the similarity of their sets of five-word shingles is ``least`` or more;
     every such pair is linked, or connected by others, and no other pair is linked; groups are closed
     over links. Texts without words (null, empty, blank) are copies of each other. Rows with equal or
-    null doc_ids are told apart by (doc_id, text), nulls first.
+    null doc_ids are told apart by (doc_id, text), nulls first. An empty table gives an empty table.
     """
     scratch, order = Scratch(docs.sparkSession, "distinct"), free(docs, "order_at")
     every = ordered(docs, scratch, order)
@@ -324,15 +334,16 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
         import xxhash
 
         for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
-            keys, sizes, first = [], [], []
+            keys, sizes, prints, first = [], [], [], []
             for x in batch.column(1):
                 own = shingle_set(x.as_py(), words)
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
+                prints.append(set_fingerprint(own))
                 first.append(prefix(own, *sent.value, least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["row_at", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["row_at", "key", "n", "fp", "prefix"])
 
-    sets = scratch.write(keyed.select("row_at", "text").mapInArrow(run, "row_at long, key binary, n long, prefix array<long>"), "sets")
+    sets = scratch.write(keyed.select("row_at", "text").mapInArrow(run, "row_at long, key binary, n long, fp long, prefix array<long>"), "sets")
     reps = scratch.write(sets.groupBy("key").agg(F.min("row_at").alias("rep")), "reps")
     own = sets.join(reps.select(F.col("rep").alias("row_at")), "row_at", "left_semi").withColumnRenamed("row_at", "rep")
     keys = scratch.write(sets.select("row_at", "key"), "keys")

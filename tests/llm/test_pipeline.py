@@ -37,11 +37,28 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert len(copies) > 60 and len(missed) <= 0.05 * len(copies)
 
 
-def test_wide_fingerprints():
-    assert not s.wide_fingerprint(" \n").any() and not s.wide_fingerprint(None).any()
-    a, b = " ".join("q%d" % i for i in range(500)), " ".join("q%d" % i for i in range(480))
-    bits = sum(int(np.bitwise_count(np.uint64(int(x) & (2**64 - 1)) ^ np.uint64(int(y) & (2**64 - 1)))) for x, y in zip(s.wide_fingerprint(a), s.wide_fingerprint(b)))
-    assert 10 < bits < 40
+def test_fingerprints_of_sets():
+    none = s.shingle_set(" \n")
+    assert s.set_fingerprint(none) == 0 == s.set_fingerprint(s.shingle_set(None))
+    a, b = (s.set_fingerprint(s.shingle_set(" ".join("q%d" % i for i in range(n)))) for n in (900, 899))
+    assert np.bitwise_count(np.uint64(a & (2**64 - 1)) ^ np.uint64(b & (2**64 - 1))) <= 2
+
+
+def test_near_fingerprints_are_candidates(spark):
+    from siteloom.llm.common import Scratch
+
+    rows = [(1, 0), (2, 3), (3, 0), (4, 0b111), (5, -1), (6, -2), (7, 1 << 40)]
+    got = s.fingerprint_candidates(spark.createDataFrame(rows, "rep long, fp long"), Scratch(spark, "test"))
+    assert {tuple(x) for x in got.collect()} == {(3, 1), (2, 1), (4, 2), (6, 5), (7, 1)}
+
+
+def test_odd_rows_and_names(spark):
+    names = "doc_id long, text string, order_at int, row_at string, fp long, ORDER_AT_ int"
+    docs = spark.createDataFrame([(1, "a b", 5, "x", 1, 1), (1, "a b", 6, "y", 2, 2), (None, "c", 7, None, 3, 3), (2, None, 8, "z", 4, 4), (3, "", None, "w", 5, 5), (4, "q " * 70_000, 9, "v", 6, 6)], names)
+    kept = s.distinct_documents(docs)
+    assert kept.columns == docs.columns and sorted(r.order_at for r in kept.collect()) in ([5, 7, 8, 9], [6, 7, 8, 9])
+    assert s.distinct_documents(docs.limit(0)).collect() == []
+    assert s.near_duplicates(docs.limit(0)).collect() == []
 
 
 def test_stages(spark):
