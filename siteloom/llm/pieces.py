@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -228,14 +230,19 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value)
         for batch in batches:
+            times = Counter(batch.column(1).to_pylist())
+            known: dict[str, tuple] = {}  # of texts that this batch holds more than once
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids, same = codec.encode_batch(texts)
-                arrays = [np.array(x, "<u4") for x in ids]
-                back = [t == u for i in range(0, len(ids), 50) for t, u in zip(codec.decode_batch(ids[i : i + 50]), texts[i : i + 50])]
-                columns = [part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in arrays], pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())]
+                new = [t for t in dict.fromkeys(texts) if t not in known]
+                ids, same = codec.encode_batch(new)
+                back = [t == u for i in range(0, len(ids), 50) for t, u in zip(codec.decode_batch(ids[i : i + 50]), new[i : i + 50])]
+                own = {t: (array("I", x), a, b) for t, x, a, b in zip(new, ids, same, back)}
+                known |= {t: x for t, x in own.items() if times[t] > 1}
+                rows = [own.get(t) or known[t] for t in texts]
+                columns = [part.column(0), pa.array([len(x) for x, *_ in rows], pa.int64()), pa.array([zlib.crc32(x) for x, *_ in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.bool_()) for i in (1, 2))]
                 if with_ids:
-                    columns.append(pa.array([x.view("<i4") for x in arrays], pa.list_(pa.int32())))
+                    columns.append(pa.array([np.frombuffer(x, "<i4") for x, *_ in rows], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"] + ["ids"] * with_ids)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<int>" * with_ids)

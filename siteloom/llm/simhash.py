@@ -264,13 +264,14 @@ def _similar(pairs: DataFrame, keyed: DataFrame, words: int, least: float, scrat
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words) for x in batch.column(1)], pa.list_(pa.int64()))], names=["node", "own"])
 
-    nodes = pairs.select(F.col("u").alias("row_at")).unionAll(pairs.select(F.col("v").alias("row_at"))).distinct()
+    # written first, so that its size is known: where it is small, the texts needn't be dealt
+    nodes = scratch.write(pairs.select(F.col("u").alias("row_at")).unionAll(pairs.select(F.col("v").alias("row_at"))).distinct(), f"{name}-nodes")
     sets = scratch.write(keyed.select("row_at", "text").join(nodes, "row_at", "left_semi").mapInArrow(run, "node long, own array<long>"), f"{name}-sets")
     release(keyed.sparkSession)  # the texts' shuffle files, before the sets take their place
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
     both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
     out = scratch.write(both.where(F.col("both") >= (F.col("sum") - F.col("both")) * least - 1e-9).select("u", "v"), name)
-    scratch.drop(f"{name}-sets")
+    scratch.drop(f"{name}-sets", f"{name}-nodes")
     release(keyed.sparkSession)
     return out
 
