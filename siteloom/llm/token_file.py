@@ -177,22 +177,43 @@ def _byte_chars() -> list[str]:
 _BYTE_CHARS = _byte_chars()
 
 
+# Fixed value: the pre-tokenizer's pattern for which texts can be cut at blanks beforehand.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cut_at_blanks(settings: dict) -> bool:
+    """Whether a tokenizer's description says that it lower-cases, drops white space and joins nothing across it."""
+    kinds = lambda step, key: [s["type"] for s in (step or {}).get(key, [])]
+    normal, words, model = settings.get("normalizer"), settings.get("pre_tokenizer"), settings.get("model") or {}
+    if kinds(normal, "normalizers") != ["NFC", "Replace", "Lowercase"] or kinds(words, "pretokenizers") != ["Split", "ByteLevel"]:
+        return False
+    replace, (split, bytes_) = normal["normalizers"][1], words["pretokenizers"]
+    return (
+        (replace["pattern"], replace["content"]) == ({"Regex": r"\s+"}, " ")
+        and (split["pattern"], split["behavior"], split["invert"]) == ({"Regex": _WORDS}, "Removed", True)
+        and not bytes_["add_prefix_space"] and not bytes_["use_regex"]
+        and model.get("type") == "BPE" and not model.get("dropout") and not settings.get("truncation") and not settings.get("padding") and not settings.get("post_processor")
+        and all(t["content"].startswith("<|") and not t["normalized"] for t in settings.get("added_tokens", []))
+    )
+
+
 def text_encoder(path: str) -> Callable[[str], bytes]:
     """text -> its ids as little-endian uint32 bytes, equal to the library's on the whole text.
 
-    The tokenizer drops white space and joins nothing across it. Plain Latin texts are lower-cased and
+    Where the tokenizer's own description allows it (cut_at_blanks), plain Latin texts are lower-cased and
     cut here, at blanks and by the pre-tokenizer's own pattern, and each distinct piece goes to the
-    library's model once and is remembered; other texts go to the library whole.
+    library's model once and is remembered. Other texts, and all texts of other tokenizers, go to the
+    library whole.
     """
     if path not in _encoders:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        pattern = json.loads(tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        get = _Chunks(tokenizer, pattern).__getitem__
+        cut = cut_at_blanks(json.loads(tokenizer.to_str()))
+        get = _Chunks(tokenizer, _WORDS).__getitem__ if cut else None
 
         def encode(text: str) -> bytes:
-            if _PLAIN.fullmatch(text) and "<|" not in text:
+            if cut and _PLAIN.fullmatch(text) and "<|" not in text:
                 return b"".join(map(get, text.lower().replace("\n", " ").split(" ")))
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 

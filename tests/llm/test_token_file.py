@@ -51,3 +51,25 @@ def test_table(spark):
 
 def test_empty_table(spark):
     assert t.token_table(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """A tokenizer that keeps white space, or whose description differs otherwise, isn't cut at blanks."""
+    import json
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        settings = json.load(f)
+    assert t.cut_at_blanks(settings)
+    texts = ["Hello  the World's 42 times", "x\ny z", ""]
+    for i, change in enumerate(({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}})):
+        path = str(tmp_path / f"{i}.json")
+        with open(path, "w") as f:
+            json.dump(settings | change, f)
+        assert not t.cut_at_blanks(settings | change)
+        whole = Tokenizer.from_file(path)
+        for text in texts:
+            assert t.text_encoder(path)(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
