@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.llm import decontaminate, hmm, importance, license_scan, negatives, pieces, quality, sharding, simhash, sketch, suffix_dedup, token_file
+from siteloom.llm import decontaminate, hmm, importance, jaccard, license_scan, negatives, pieces, quality, sharding, simhash, sketch, suffix_dedup, token_file
 from siteloom.llm.common import documents
 
 
@@ -51,6 +51,10 @@ def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(documents(spark, sf_dir))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_documents(documents(spark, sf_dir))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(negatives.with_noisy_labels(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_token_file, op4_simhash_components, op5_quality, op6_sketch, op7_sentencepiece, op8_sharding, op9_license_scan, op10_hidden_markov, op12_hard_negatives, op13_importance, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_token_file, op4_simhash_components, op5_quality, op6_sketch, op7_sentencepiece, op8_sharding, op9_license_scan, op10_hidden_markov, op11_jaccard_join, op12_hard_negatives, op13_importance, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
