@@ -31,8 +31,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Shingles that a task counts at a time, how often one must be seen in these to be reported, and how many of the most
 #: frequent are put last in the order. All three decide costs, never results.
 COUNTED, SEEN, HOT = 2_000_000, 4, 1 << 18
-#: Groups of a point: a power of two from twice the size of the set on, within these.
-LEAST_GROUPS, MOST_GROUPS = 64, 1 << 13
+#: Groups of a point: the power of two from the size of the set on, within these.
+LEAST_GROUPS, MOST_GROUPS = 64, 1 << 14
 #: Points of a leaf, children of a node, rows of a list that one task holds.
 LEAF, FAN, SLICE = 64, 16, 8_192
 #: A shingle reported so often is dealt in so many parts.
@@ -95,25 +95,26 @@ def prefix(own: np.ndarray, hot: np.ndarray, times: np.ndarray, least: Fraction)
 
 
 def set_keys(keyed: DataFrame, words: int, fingerprint=None) -> DataFrame:
-    """keyed (row_at, text) -> a row (row_at, key, n, fp) for each text, and rows (token, times) for shingles seen often.
+    """keyed (row_at, text) -> a row (row_at, key, n, fp, point) for each text, and rows (token, times) for shingles seen often.
 
     Each task counts the shingles of some texts at a time and reports those it has seen SEEN times or more. All
     texts take part. fp is ``fingerprint`` of the set, if given.
     """
-    names = ["row_at", "key", "n", "fp", "token", "times"]
+    names = ["row_at", "key", "n", "fp", "token", "times", "point"]
 
     def seen(held: list[np.ndarray]) -> pa.RecordBatch:
         token, times = np.unique(np.concatenate(held), return_counts=True)
         often = times >= SEEN
         nothing = [pa.nulls(int(often.sum()), pa.int64())] * 4
-        return pa.RecordBatch.from_arrays([*nothing, pa.array(token[often]), pa.array(times[often])], names=names)
+        return pa.RecordBatch.from_arrays([*nothing, pa.array(token[often]), pa.array(times[often]), pa.nulls(int(often.sum()), pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held, size = Shingles(words), [], 0
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            rows = []
+            rows, points = [], []
             for text in batch.column(1):
                 own = shingles(text.as_py())
+                points.append(packed(own))
                 rows.append((set_key(own), len(own), fingerprint(own) if fingerprint else 0))
                 held.append(own)
                 size += len(own)
@@ -121,11 +122,11 @@ def set_keys(keyed: DataFrame, words: int, fingerprint=None) -> DataFrame:
                     yield seen(held)
                     held, size = [], 0
             nothing = [pa.nulls(len(rows), pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in zip(*rows)), *nothing], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in zip(*rows)), *nothing, pa.array(points, pa.binary())], names=names)
         if held:
             yield seen(held)
 
-    return keyed.select("row_at", "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return keyed.select("row_at", "text").mapInArrow(run, ", ".join(f"{x} long" for x in names[:-1]) + ", point binary")
 
 
 def prefix_rows(keyed: DataFrame, words: int, least: Fraction, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -191,10 +192,16 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (*own, *first)], names=names)
 
 
-def point(own: np.ndarray) -> np.ndarray:
-    """The counts of a set's shingles by group, at most 255 each; what is beyond counts as over (see Tree)."""
-    groups = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << int(2 * len(own) - 1).bit_length()))
-    return np.minimum(np.bincount(own & (groups - 1), minlength=groups), 255).astype(np.uint8)
+def packed(own: np.ndarray) -> bytes:
+    """The point of a set: counts of its shingles by group, at most 15 each, two to a byte. What is beyond counts as over (see Tree)."""
+    groups = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << max(0, len(own) - 1).bit_length()))
+    counts = np.minimum(np.bincount(own & (groups - 1), minlength=groups), 15).astype(np.uint8)
+    return (counts[: groups // 2] | (counts[groups // 2 :] << 4)).tobytes()
+
+
+def counts_of(point: bytes) -> np.ndarray:
+    both = np.frombuffer(point, np.uint8)
+    return np.concatenate((both & 15, both >> 4))
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
@@ -229,7 +236,7 @@ class Tree:
         width = np.array([len(p) for p in points])
         order = np.lexsort((n, component, width))
         self.rep, self.component, self.n, self.least = rep[order], component[order], n[order], least
-        width, points = width[order], [points[i] for i in order]
+        width, points, self.group = width[order], [points[i] for i in order], self.component.copy()
         self.over = self.n - np.array([int(p.sum()) for p in points])
         self.roots = []
         for groups in np.unique(width):  # a tree for each number of groups
@@ -248,9 +255,13 @@ class Tree:
         ends = lambda x: (min(b[0] for b in x), max(b[1] for b in x))
         return Node(np.max([b.most for b in below], axis=0), ends([b.n for b in below]), ends([b.component for b in below]), max(b.over for b in below), below)
 
-    def pairs(self, other: Tree | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs, by rep, of two components that may reach the similarity: within this tree, or with another's points."""
+    def pairs(self, other: Tree | None = None, forest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs, by rep, of two components that may reach the similarity: within this tree, or with another's points.
+
+        For a forest, a pair is left out if pairs found before it would join its components, if all of them hold.
+        """
         found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.forest = forest
         mine, theirs = self.roots, (other or self).roots
         for i, x in enumerate(mine):
             for y in theirs if other else mine[i:]:
@@ -278,6 +289,8 @@ class Tree:
             self.compare(x, y, a, b, other, found)
 
     def compare(self, x: tuple, y: tuple, a: Node, b: Node, other: Tree, found: list) -> None:
+        if self.forest and len(np.unique(np.concatenate((self.group[a.below], other.group[b.below])))) == 1:
+            return
         groups = min(len(a.most), len(b.most))
         left = folded(x[0][a.below.start - x[1] : a.below.stop - x[1]], groups)
         right = folded(y[0][b.below.start - y[1] : b.below.stop - y[1]], groups)
@@ -290,48 +303,97 @@ class Tree:
             if len(j):
                 shared = np.minimum(right[j], left[i]).sum(axis=1, dtype=np.int64) + np.minimum(other.over[b.below][j], self.over[a.below][i])
                 j = j[shared >= needed(m[j], n[i], self.least)]
+                if self.forest and len(j):
+                    own = self.group[a.below][i]
+                    groups_of, one = np.unique(other.group[b.below][j], return_index=True)
+                    j = j[one[groups_of != own]]
+                    for group in (self.group, other.group):
+                        group[np.isin(group, groups_of)] = own
                 u, v = np.full(len(j), self.rep[a.below][i]), other.rep[b.below][j]
                 found.append((np.maximum(u, v), np.minimum(u, v)))
 
 
-def tree_join(least: Fraction):
-    """Rows (token, one, two, side, rep, component, n, point) in order of a cell (token, one, two) -> pairs (u, v).
+def tree_join(least: Fraction, forest: bool):
+    """Rows (head, one, two, side, rep, component, n, point) in order of a cell (head, one, two) -> pairs (u, v).
 
-    A cell has the rows of one slice of a list, or those of two, told apart by side, which are joined to each other.
+    A cell has the rows of one slice of a gathering, or those of two, told apart by side, which are joined to each other.
     """
 
-    def cell(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        side, rep, component, n = (table.column(c).to_numpy() for c in ("side", "rep", "component", "n"))
-        points = [np.frombuffer(p, np.uint8) for p in table.column("point").to_pylist()]
-        trees = [Tree(rep[at], component[at], n[at], [points[i] for i in at], least) for at in (np.flatnonzero(side == s) for s in (0, 1)) if len(at)]
-        u, v = trees[0].pairs(*trees[1:]) if len(trees) == 2 or table.column("one")[0].as_py() == table.column("two")[0].as_py() else (rep[:0], rep[:0])
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    def cell(one: bool, side: np.ndarray, rep: np.ndarray, component: np.ndarray, n: np.ndarray, points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        trees = [Tree(rep[at], component[at], n[at], [counts_of(points[i]) for i in at], least) for at in (np.flatnonzero(side == s) for s in (0, 1)) if len(at)]
+        return trees[0].pairs(*trees[1:], forest=forest) if one or len(trees) == 2 else (rep[:0], rep[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
+        held: list[list] = []
+        for batch in chain(batches, (None,)):
+            rows = [np.zeros(0, np.int64)] * 7 + [[]] if batch is None else [batch.column(c).to_numpy() for c in range(7)] + [batch.column(7).to_pylist()]
+            rows = [np.concatenate([h[c] for h in held] + [rows[c]]) for c in range(7)] + [[p for h in (*held, rows) for p in h[7]]]
+            if not len(rows[0]):
                 continue
-            key = [batch.column(c).to_numpy() for c in range(3)]
-            edges = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, int)
-            for a, b in zip((0, *edges.tolist()), (*edges.tolist(), batch.num_rows)):
-                part = batch.slice(a, b - a)
-                if held and any(held[0].column(c)[0].as_py() != part.column(c)[0].as_py() for c in range(3)):
-                    yield cell(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield cell(held)
+            edges = np.flatnonzero(np.any([k[1:] != k[:-1] for k in rows[:3]], axis=0)) + 1
+            cuts = [0, *edges.tolist(), *([len(rows[0])] if batch is None else [])]  # the last cell may go on
+            for a, b in zip(cuts, cuts[1:]):
+                u, v = cell(rows[1][a] == rows[2][a], *(x[a:b] for x in rows[3:]))
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            held = [[x[cuts[-1] :] for x in rows]] if cuts[-1] < len(rows[0]) else []
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs (u, v) whose exact sets have the similarity."""
+def may_link(pairs: DataFrame, reps: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (u, v) whose points allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in (2, 3))
+            good = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                a, b = counts_of(a), counts_of(b)
+                over, groups = min(n[i] - int(a.sum()), m[i] - int(b.sum())), min(len(a), len(b))
+                good[i] = int(np.minimum(folded(a, groups), folded(b, groups)).sum()) + over >= needed(int(n[i]), int(m[i]), least)
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    side = lambda c, n, p: reps.select(F.col("rep").alias(c), F.col("n").alias(n), F.col("point").alias(p))
+    return pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def verified(pairs: DataFrame, keyed: DataFrame, words: int, least: Fraction, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (u, v) of row_at whose exact sets have the similarity, as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()) for x in batch.column(1)], pa.list_(pa.int64()))], names=["rep", "own"])
+
+    # nodes are written first, so that their size is known: where they are few, the texts needn't be dealt
+    nodes = scratch.write(pairs.select(F.col("u").alias("row_at")).unionAll(pairs.select("v")).distinct(), f"{name}-nodes")
+    sets = scratch.write(keyed.select("row_at", "text").join(nodes, "row_at", "left_semi").mapInArrow(run, "rep long, own array<long>"), f"{name}-sets")
+    release(keyed.sparkSession)  # the texts' shuffle files, before the sets take their place
     both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("rep").alias("v"), F.col("own").alias("b")), "v")
     share, sizes = F.size(F.array_intersect("a", "b")).cast("long"), (F.size("a") + F.size("b")).cast("long")
-    return both.where(share * (least.numerator + least.denominator) >= sizes * least.numerator).select("u", "v")
+    out = scratch.write(both.where(share * (least.numerator + least.denominator) >= sizes * least.numerator).select("u", "v"), name)
+    scratch.drop(f"{name}-nodes", f"{name}-sets")
+    release(keyed.sparkSession)
+    return out
+
+
+def gathered(met: DataFrame, joined: DataFrame, reps: DataFrame) -> DataFrame:
+    """Lists of two components or more -> the cells (head, one, two) that the trees are built on, with points.
+
+    Lists with the same head, the set whose rep has the least hash, are one gathering: lists of much the same sets
+    mostly share it, so that their pairs are looked at once. A gathering beyond SLICE rows is dealt in slices, each
+    pair of which is a cell of its own.
+    """
+    rows = met.select("token", "rep", "n").join(joined, met.rep == joined.node, "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    heads = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(F.struct(F.xxhash64("rep"), "rep")).alias("head")).where("a < b").select("token", "head.rep").toDF("token", "head")
+    own = rows.join(heads, "token").select("head", "rep", "n", "component").distinct()
+    sizes = own.groupBy("head").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    part = F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("slices"))
+    cells = own.join(sizes, "head").withColumn("own", part).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    cells = cells.select("head", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), (F.col("own") > F.col("with")).cast("int").alias("side"), "rep", "component", "n")
+    placed = cells.join(reps.select("rep", "point"), "rep").select("head", "one", "two", "side", "rep", "component", "n", "point")
+    return placed.repartition("head", "one", "two").sortWithinPartitions("head", "one", "two")
 
 
 def similar_components(keyed: DataFrame, words: int, least: Fraction, scratch: Scratch, fingerprint=None, candidates=None) -> tuple[DataFrame, DataFrame]:
@@ -339,19 +401,20 @@ def similar_components(keyed: DataFrame, words: int, least: Fraction, scratch: S
 
     rep is the least row_at of a set, component the least rep reachable over links of ``least`` or more.
 
-    Round one compares each set of a list with the list's first one, which is a pair a row, and joins most copies;
-    ``candidates``, given (rep, fp), may name more pairs (u, v). Round two joins the lists that still hold two
-    components by their trees: pairs within a component can't change it, so large groups cost rows in proportion.
-    Lists of the same sets are searched once. A list beyond SLICE rows is dealt in slices, each pair of which is a
-    cell of its own.
+    Three rounds, as pairs within a component can't change it. One compares each set of a list with the list's
+    first, a pair a row; ``candidates``, given (rep, fp), may name more pairs (u, v). The next joins the lists that
+    still hold two components by their trees, and of the pairs that may link verifies a forest. The last verifies all
+    that may link and are still apart. So large groups of copies cost rows in proportion and no link is missed.
     """
     spark = keyed.sparkSession
     longs = lambda *names: ", ".join(f"{x} long" for x in names)
     seen = scratch.write(set_keys(keyed, words, fingerprint), "seen")
-    keys = seen.where("token is null").select("row_at", "key", "n", "fp")
+    keys = seen.where("token is null")
     often = seen.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(HOT).toPandas().sort_values("token")
     hot = often["token"].to_numpy(np.int64), often["times"].to_numpy(np.int64)
-    reps = scratch.write(keys.where("n > 0").groupBy("key", "n").agg(F.min("row_at").alias("rep"), F.first("fp").alias("fp")), "reps")
+    reps = scratch.write(keys.where("n > 0").groupBy("key", "n").agg(F.min("row_at").alias("rep"), F.first("fp").alias("fp"), F.first("point").alias("point")), "reps")
+    keys = scratch.write(keys.select("row_at", "key", "n"), "keys")
+    scratch.drop("seen")
     sent = prefix_rows(keyed, words, least, hot).select("token", "salt", "n", "key", "pos")
     found = sent.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key").mapInArrow(lists, longs("token", "salt", "n", "key", "pos", "first_n", "first_key", "first_pos"))
     found = scratch.write(found, "found")
@@ -365,36 +428,20 @@ def similar_components(keyed: DataFrame, words: int, least: Fraction, scratch: S
     if candidates:
         pairs = pairs.unionAll(candidates(reps.select("rep", "fp"), scratch))
     pairs = scratch.write(pairs.distinct(), "pairs")
-    nodes = scratch.write(met.select(F.col("rep").alias("row_at")).unionAll(pairs.select("u")).unionAll(pairs.select("v")).distinct(), "nodes")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
-        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
-            own = [shingles(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64())), pa.array([point(x).tobytes() for x in own], pa.binary())], names=["rep", "own", "point"])
-
-    # nodes is written first, so that its size is known: where it is small, the texts needn't be dealt
-    sets = keyed.select("row_at", "text").join(nodes, "row_at", "left_semi").mapInArrow(sets_of, "rep long, own array<long>, point binary")
-    sets = scratch.write(sets, "sets")
+    near = scratch.write(may_link(pairs, reps, least), "near")
     release(spark)
-    links = scratch.write(verified(pairs, sets, least), "links")
+    links = verified(near, keyed, words, least, scratch, "links")
     joined = scratch.write(connected_components(links, scratch), "joined")
-    rows = met.select("token", "rep", "n").join(joined, met.rep == joined.node, "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")).where("a < b")
-    chosen = mixed.groupBy("rows", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("rows") / SLICE).alias("slices"))
-    own = F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("slices"))
-    cells = rows.join(chosen, "token").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    cells = cells.select("token", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), (F.col("own") > F.col("with")).cast("int").alias("side"), "rep", "component", "n")
-    placed = cells.join(sets.select("rep", "point"), "rep").select("token", "one", "two", "side", "rep", "component", "n", "point")
-    more = placed.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two").mapInArrow(tree_join(least), longs("u", "v"))
-    more = scratch.write(more.distinct().join(pairs, ["u", "v"], "left_anti"), "more")
-    scratch.drop("met", "nodes")
-    release(spark)
-    every = scratch.write(links.unionAll(verified(more, sets, least)), "every")
-    scratch.drop("sets", "links")
-    found = connected_components(every, scratch)
+    for name, forest in (("forest", True), ("rest", False)):
+        some = gathered(met, joined, reps).mapInArrow(tree_join(least, forest), longs("u", "v")).distinct()
+        some = scratch.write(some.join(pairs, ["u", "v"], "left_anti"), f"{name}-pairs")
+        release(spark)
+        pairs, links = pairs.unionAll(some), links.unionAll(verified(some, keyed, words, least, scratch, name))
+        joined = scratch.write(connected_components(links, scratch), f"{name}-joined")
+    scratch.drop("met", "near")
+    found = joined
     named = scratch.write(reps.join(found, reps.rep == found.node, "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component")), "named")
-    return keys.select("row_at", "key", "n"), named
+    return keys, named
 
 
 def near_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
