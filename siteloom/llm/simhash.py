@@ -10,22 +10,22 @@ within the threshold is missed, and each is found exactly once, at the home of i
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Scratch, free, ordered, parallelism, release
+from siteloom.llm.common import Scratch, free, ordered, parallelism
 from siteloom.llm.components import connected_components
+from siteloom.llm.jaccard import LOWER, similar_components
 
 # Fixed value: generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -124,17 +124,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# Whole-document similarity. SimHash over the anchors finds most near copies: fingerprints of the sets within
-# BITS_APART bits are candidates, and verified. As no number of bits holds for every pair at a similarity of
-# ``least``, a guaranteed search then finds the rest. All shingles have one order, common ones last. Sets at
-# ``least`` or more share so many shingles that the first of them in that order lies among the first
-# n - ceil(least * n) + 1 of each, its prefix. So sets that share no prefix shingle need no comparing, whatever
-# the number of rows; those that do are compared by their exact sets.
+# Whole-document similarity. Fingerprints of the sets of shingles within BITS_APART bits, found over the anchors, are
+# candidates, and verified. As no number of bits holds for every pair at a similarity of ``least``, the exact join
+# over count vectors (jaccard) then finds the rest.
 BITS_APART = 2
-#: The order is learned from about SAMPLE documents: shingles seen SEEN times or more, HOT of them at most. It decides costs, never results.
-SAMPLE, SEEN, HOT = 8000, 3, 200_000
-#: Pairs that a task makes at a time.
-PAIRS = 1_000_000
 
 
 def set_fingerprint(own: np.ndarray) -> int:
@@ -145,137 +138,6 @@ def set_fingerprint(own: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(own)).view(">i8")[0])
 
 
-def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
-    """The distinct hashes of the word shingles, ascending; a text of fewer words has one shingle, all its words."""
-    import xxhash
-
-    found = (text or "").encode().translate(LOWER).split()
-    if not found:
-        return np.zeros(0, dtype=np.int64)
-    joined, size = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found)) + 1
-    ends = np.cumsum(size) - 1
-    starts = ends - size + 1
-    k = min(words, len(found))
-    digest = xxhash.xxh3_64_digest
-    return np.unique(np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())]), ">i8").astype(np.int64))
-
-
-def prefix(own: np.ndarray, common: np.ndarray, seen: np.ndarray, least: float) -> np.ndarray:
-    """The first n - ceil(least * n) + 1 of a set by (times seen, hash); common ascends, seen has its counts."""
-    if not len(own):
-        return own
-    weight = np.zeros(len(own), dtype=np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        weight = np.where(common[at] == own, seen[at], 0)
-    return own[np.argsort(weight, kind="stable")[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]]
-
-
-def _may_reach(n, i, m, j, least: float, up, lesser):
-    """Whether sets of n and m, whose first common shingle is the i-th of one and the j-th of the other, can be similar enough."""
-    return lesser(n - i, m - j) >= up((n + m) * (least / (1 + least)) - 1e-9)
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, rep, n, pos) in order of token -> the rows whose token has others, each with the first of its token."""
-    names, held = ["token", "rep", "n", "pos", "first_rep", "first_n", "first_pos"], None
-    for batch in chain(batches, (None,)):
-        own = [np.zeros(0, np.int64)] * 4 if batch is None else [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in batch.columns]
-        if held is not None:
-            own = [np.concatenate((h, x)) for h, x in zip(held[0], own)]
-        token = own[0]
-        if not len(token):
-            continue
-        same = token[1:] == token[:-1]
-        start = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(token)), 0))
-        first = [x[start] for x in own[1:]]
-        before = np.concatenate(([False], same))
-        if held is not None:
-            before[0] = held[2]
-            for x, h in zip(first, held[1]):
-                x[start == 0] = h
-        kept = before.copy()
-        kept[:-1] |= same
-        if batch is not None:  # the last row waits for its successor
-            held = [x[-1:] for x in own], [int(x[-1]) for x in first], bool(before[-1])
-            kept[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (*own, *first)], names=names)
-
-
-def _crossing(least: float):
-    """(token, component, rep, n, pos) in this order -> pairs (u, v) of a token, of two components, that may reach ``least``."""
-
-    def pairs(token: np.ndarray, component: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero((token[1:] != token[:-1]) | (component[1:] != component[:-1])) + 1
-        run_ends = np.append(edge, len(token))
-        lo = run_ends[np.searchsorted(run_ends, np.arange(len(token)), side="right")]
-        count = np.searchsorted(token, token, side="right") - lo
-        total = np.concatenate(([0], np.cumsum(count)))
-        at = 0
-        while at < len(token):
-            to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
-            own = count[at:to]
-            i = np.repeat(np.arange(at, to), own)
-            j = np.repeat(lo[at:to] - np.cumsum(own) + own, own) + np.arange(len(i))
-            good = _may_reach(n[i], pos[i], n[j], pos[j], least, np.ceil, np.minimum)
-            i, j = rep[i[good]], rep[j[good]]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], names=["u", "v"])
-            at = to
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            own = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in batch.columns]
-            if not len(own[0]):
-                continue
-            if held and held[0][0][0] != own[0][-1] or own[0][0] != own[0][-1]:
-                whole = [np.concatenate(x) for x in zip(*held, own)]
-                cut = int(np.searchsorted(whole[0], own[0][-1]))
-                yield from pairs(*(x[:cut] for x in whole))
-                held = [[x[cut:] for x in whole]]
-            else:
-                held.append(own)  # still the same token
-        if held:
-            yield from pairs(*(np.concatenate(x) for x in zip(*held)))
-
-    return run
-
-
-def _common(keyed: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles often seen in a sample of documents, ascending, and how often."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(x.as_py(), words) for x in batch.column(0)]
-            found, times = np.unique(np.concatenate(sets or [np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], names=["token", "c"])
-
-    share = int(1e6 * min(1, SAMPLE / max(1, keyed.count()))) + 1
-    seen = keyed.where(F.pmod(F.xxhash64("row_at"), F.lit(1_000_000)) < share).select("text").mapInArrow(run, "token long, c long")
-    rows = seen.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= SEEN).orderBy(F.desc("c"), "token").limit(HOT).toPandas().sort_values("token")
-    return rows["token"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
-
-
-def _similar(pairs: DataFrame, keyed: DataFrame, words: int, least: float, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (u, v) of row_at whose exact shingle sets have a similarity of ``least`` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words) for x in batch.column(1)], pa.list_(pa.int64()))], names=["node", "own"])
-
-    # written first, so that its size is known: where it is small, the texts needn't be dealt
-    nodes = scratch.write(pairs.select(F.col("u").alias("row_at")).unionAll(pairs.select(F.col("v").alias("row_at"))).distinct(), f"{name}-nodes")
-    sets = scratch.write(keyed.select("row_at", "text").join(nodes, "row_at", "left_semi").mapInArrow(run, "node long, own array<long>"), f"{name}-sets")
-    release(keyed.sparkSession)  # the texts' shuffle files, before the sets take their place
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
-    both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
-    out = scratch.write(both.where(F.col("both") >= (F.col("sum") - F.col("both")) * least - 1e-9).select("u", "v"), name)
-    scratch.drop(f"{name}-sets", f"{name}-nodes")
-    release(keyed.sparkSession)
-    return out
-
-
 def fingerprint_candidates(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """sets (rep, fp) -> pairs (u, v) of sets with equal fingerprints, or such within BITS_APART bits by the anchors.
 
@@ -289,35 +151,6 @@ def fingerprint_candidates(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return same.unionAll(far)
 
 
-def similar_components(keyed: DataFrame, sets: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
-    """sets (rep, n, fp, prefix), distinct sets -> (node, component) of the graph that links all similar sets. The scratch table sets goes.
-
-    First each set is compared with those of near fingerprints and with the least of each shingle of its
-    prefix, which joins most copies. Then every pair that shares a shingle and is not yet in one component is
-    compared: pairs within a component can't change it, so large groups of copies cost rows in proportion and
-    no link is missed.
-    """
-    near = scratch.write(fingerprint_candidates(sets.select("rep", "fp"), scratch), "near")
-    release(keyed.sparkSession)
-    sent = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", "n", "pos")
-    dealt = sent.repartition("token").sortWithinPartitions("token", "rep")
-    kinds = "token long, rep long, n long, pos long"
-    met = scratch.write(dealt.mapInArrow(_shared, kinds + ", first_rep long, first_n long, first_pos long"), "met")
-    scratch.drop("sets", "heads")
-    release(keyed.sparkSession)
-    reach = _may_reach(F.col("n"), F.col("pos"), F.col("first_n"), F.col("first_pos"), least, F.ceil, F.least)
-    firsts = met.where(F.col("rep") != F.col("first_rep")).where(reach).select(F.greatest("rep", "first_rep").alias("u"), F.least("rep", "first_rep").alias("v"))
-    pairs = scratch.write(near.unionAll(firsts).distinct(), "pairs")
-    links = _similar(pairs, keyed, words, least, scratch, "links")
-    joined = scratch.write(connected_components(links, scratch), "joined")
-    rows = met.join(joined, met.rep == joined.node, "left").select("token", F.coalesce("component", "rep").alias("component"), "rep", "n", "pos")
-    rest = rows.repartition("token").sortWithinPartitions("token", "component", "rep").mapInArrow(_crossing(least), "u long, v long").distinct()
-    rest = scratch.write(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
-    scratch.drop("met", "near")
-    release(keyed.sparkSession)
-    return connected_components(links.unionAll(_similar(rest, keyed, words, least, scratch, "more")), scratch)
-
-
 def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The document of least doc_id of each group of near copies, with all columns, whatever their names.
 
@@ -328,27 +161,8 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
     """
     scratch, order = Scratch(docs.sparkSession, "distinct"), free(docs, "order_at")
     every = ordered(docs, scratch, order)
-    keyed = every.select(F.col(order).alias("row_at"), "text")
-    sent = docs.sparkSession.sparkContext.broadcast(_common(keyed, words))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
-            keys, sizes, prints, first = [], [], [], []
-            for x in batch.column(1):
-                own = shingle_set(x.as_py(), words)
-                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sizes.append(len(own))
-                prints.append(set_fingerprint(own))
-                first.append(prefix(own, *sent.value, least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["row_at", "key", "n", "fp", "prefix"])
-
-    sets = scratch.write(keyed.select("row_at", "text").mapInArrow(run, "row_at long, key binary, n long, fp long, prefix array<long>"), "sets")
-    reps = scratch.write(sets.groupBy("key").agg(F.min("row_at").alias("rep")), "reps")
-    own = sets.join(reps.select(F.col("rep").alias("row_at")), "row_at", "left_semi").withColumnRenamed("row_at", "rep")
-    keys = scratch.write(sets.select("row_at", "key"), "keys")
-    found = similar_components(keyed, own, words, least, scratch)
-    named = scratch.write(reps.join(found, reps.rep == found.node, "left").select("key", F.coalesce("component", "rep").alias("stays")), "named")
-    gone = scratch.write(keys.join(named, "key").where("row_at <> stays").select("row_at"), "gone")
+    keys, named = similar_components(every.select(F.col(order).alias("row_at"), "text"), words, Fraction(least).limit_denominator(10_000), scratch, set_fingerprint, fingerprint_candidates)
+    wordless = keys.where("n = 0").groupBy("key", "n").agg(F.min("row_at").alias("component"))
+    stays = named.select("key", "n", "component").unionAll(wordless)
+    gone = scratch.write(keys.join(stays, ["key", "n"]).where("row_at <> component").select("row_at"), "gone")
     return every.join(gone.withColumnRenamed("row_at", order), order, "left_anti").select(*docs.columns)
