@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.exprs import no_nan
-from siteloom.operators.graph import components
+from siteloom.operators.graph import components, cut
+from siteloom.operators.order_statistics import quantiles
 from siteloom.operators.ranks import numbered, running, seeded
 
 
@@ -66,7 +67,7 @@ def subtypes(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 def box_stats(rows: DataFrame, by: str, value: str) -> DataFrame:
     """AGG30: exact quartiles of each class."""
-    return rows.groupBy(by).agg(*(F.percentile(value, F.lit(q)).alias(f"q{i + 1}") for i, q in enumerate((0.25, 0.5, 0.75))))
+    return quantiles(rows, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, (by,))
 
 
 def control_reuse(rows: DataFrame) -> DataFrame:
@@ -91,17 +92,17 @@ def reference_sd(scores: DataFrame, value: str = "score") -> DataFrame:
     return scores.agg(F.stddev_samp(no_nan(F.col(value).cast("double"))).alias("reference_sd"))
 
 
-def robust_location(rows: DataFrame, value: str = "contrast", cut: float = 0.1) -> DataFrame:
+def robust_location(rows: DataFrame, value: str = "contrast", trim: float = 0.1) -> DataFrame:
     """AGG20: mean, median, trimmed mean, share of positives, range of leave-one-out means."""
     x = rows.select(F.col(value).alias("x")).where("x is not null")
     n_sum = x.agg(F.count("*").alias("n"), F.sum("x").alias("t"))
     ranked = running(x.groupBy("x").agg(F.count("*").alias("k")), ["x"], F.col("k"), "upto")
-    ranked = ranked.crossJoin(F.broadcast(n_sum)).withColumn("skip", F.floor(F.col("n") * cut))  # one row
+    ranked = ranked.crossJoin(F.broadcast(n_sum)).withColumn("skip", F.floor(F.col("n") * trim))  # one row
     inside = F.greatest(F.least(F.col("upto"), F.col("n") - F.col("skip")) - F.greatest(F.col("upto") - F.col("k"), F.col("skip")), F.lit(0))
     trimmed = ranked.agg((F.sum(F.col("x") * inside) / F.sum(inside)).alias("trimmed_mean"))
-    plain = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.count_if(F.col("x") > 0).alias("n_positive"), F.sum("x").alias("t"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    plain = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.count_if(F.col("x") > 0).alias("n_positive"), F.sum("x").alias("t"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     one_out = lambda c: F.when(F.col("n") > 1, (F.col("t") - F.col(c)) / (F.col("n") - 1))
-    return plain.crossJoin(trimmed).select("n", "mean", "median", "trimmed_mean", "n_positive", one_out("hi").alias("loo_min"), one_out("lo").alias("loo_max"))
+    return plain.crossJoin(F.broadcast(trimmed)).crossJoin(F.broadcast(quantiles(x, "x", {"median": 0.5}))).select("n", "mean", "median", "trimmed_mean", "n_positive", one_out("hi").alias("loo_min"), one_out("lo").alias("loo_max"))
 
 
 def pick(draw: Column, slot: Column, n: Column | int, salt: str = "") -> Column:
@@ -137,9 +138,51 @@ def bootstrap_draws(rows: DataFrame, unit: str, value: str, n_draws: int, salt:
     return picked.join(units, "unit_at").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
-def interval(draws: DataFrame, value: str = "mean", low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """STAT4: exact percentiles with linear interpolation."""
-    return draws.agg(F.percentile(value, F.lit(low)).alias("ci_low"), F.percentile(value, F.lit(high)).alias("ci_high"))
+def bootstrap_by(rows: DataFrame, by: list[str], unit: str, value: str, n_draws: int, salt: str = "b") -> DataFrame:
+    """STAT1-STAT3 of every class at once: (by, draw, mean), picks keyed by class, draw and slot.
+
+    One plan, however many classes: units are summed, numbered within their class from a running count over all,
+    and a class's units go as arrays to the rows of its draws. A class of more than HELD_UNITS units has its picks
+    joined instead.
+    """
+    known = rows.where(F.col(unit).isNotNull() & F.col(value).isNotNull())
+    sums = known.groupBy(*by, unit).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
+    every = cut(numbered(sums, [*by, unit], "at"))
+    start = every.groupBy(*by).agg(F.min("at").alias("start"), F.count("*").alias("u"))
+    units = every.join(start, by).withColumn("unit_at", F.col("at") - F.col("start"))
+    slots, key = F.sequence(F.lit(0).cast("long"), F.col("u") - 1), F.concat_ws("-", F.lit(salt), *(F.col(c).cast("string") for c in by))
+    choose = lambda slot: F.conv(F.substring(F.md5(F.concat_ws("-", "key", F.col("draw").cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("long") % F.col("u")
+    draws = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_draws - 1).cast("long")))
+    listed = units.where(F.col("u") <= HELD_UNITS).groupBy(*by, "u").agg(F.array_sort(F.collect_list(F.struct("unit_at", "s", "n"))).alias("l"))
+    held = listed.select(*by, "u", F.transform("l", lambda x: x["s"]).alias("sums"), F.transform("l", lambda x: x["n"]).alias("sizes"), key.alias("key"), draws.alias("draw"))
+    both = F.aggregate(F.transform(slots, lambda slot: choose(slot).cast("int")), F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct((a["s"] + F.get("sums", i)).alias("s"), (a["n"] + F.get("sizes", i)).alias("n")))
+    means = held.select(*by, "draw", both.alias("t")).select(*by, "draw", (F.col("t.s") / F.col("t.n")).alias("mean"))
+    big = start.where(F.col("u") > HELD_UNITS).select(*by, "u", key.alias("key"), draws.alias("draw")).withColumn("slot", F.explode(slots))
+    picked = big.select(*by, "draw", choose(F.col("slot")).alias("unit_at")).join(units, [*by, "unit_at"]).groupBy(*by, "draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    return means.unionByName(picked)
+
+
+def sweep(pairs: DataFrame, scores: DataFrame, clusters: DataFrame | None, n_draws: int, salt: str = "sweep") -> DataFrame:
+    """STAT15 to AGG24's input: pairs (seed, case, control) -> (seed, n_pairs, mean, ci_low, ci_high).
+
+    Contrasts, resampling units and intervals of all seeds are found together: names of clusters and controls
+    carry their seed, so that one run over the graph labels the units of every seed.
+    """
+    s = scores.select("accession", "position", no_nan(F.col("score").cast("double")).alias("s")).where("s is not null")
+    side = lambda k: s.select(F.col("accession").alias(f"{k}_accession"), F.col("position").alias(f"{k}_position"), F.col("s").alias(f"{k}_score"))
+    scored = pairs.join(side("case"), ["case_accession", "case_position"]).join(side("control"), ["control_accession", "control_position"])
+    rows = scored.groupBy("seed", "case_accession", "case_position").agg((F.first("case_score") - F.avg("control_score")).alias("contrast"), F.array_sort(F.collect_set("control_accession")).alias("controls"))
+    rows = cut(with_cluster(rows, clusters))
+    name = lambda kind, c: F.concat_ws(":", "seed", F.lit(kind), c)
+    found = components(rows.select(name("cluster", "ortholog_cluster").alias("a"), F.explode("controls").alias("c"), "seed").select("a", name("control", "c").alias("b")))
+    units = rows.withColumn("node", name("cluster", "ortholog_cluster")).join(found.withColumnRenamed("component", "resample_unit"), "node")
+    ends = interval(bootstrap_by(units, ["seed"], "resample_unit", "contrast", n_draws, salt), by=("seed",))
+    return rows.groupBy("seed").agg(F.count("*").alias("n_pairs"), F.avg("contrast").alias("mean")).join(ends, "seed")
+
+
+def interval(draws: DataFrame, value: str = "mean", low: float = 0.025, high: float = 0.975, by: tuple[str, ...] = ()) -> DataFrame:
+    """STAT4: exact percentiles with linear interpolation, of each class of ``by``."""
+    return quantiles(draws, value, {"ci_low": low, "ci_high": high}, by)
 
 
 def seeded_bootstrap(rows: DataFrame, unit: str, value: str, n_draws: int, seed: int, most_units: int = 100_000) -> DataFrame:
@@ -217,18 +260,28 @@ def sign_tests(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def signed_rank_tests(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """STAT10: Wilcoxon signed-rank of each class by the normal approximation, in the JVM.
+    """STAT10: (by, n, w_plus, w_minus, z, p), the two-sided Wilcoxon signed-rank test of each class.
 
-    Ranks are averaged over ties and found over groups of equal magnitude; zeros are dropped. For few values
-    without ties ``signed_rank_p`` is exact.
+    Ranks are averaged over ties and found over groups of equal magnitude; zeros are dropped. p is exact for 50
+    or fewer values without ties or zeros: the number of sign patterns of each rank sum is built up rank by rank,
+    as an array. Otherwise it comes from the normal approximation z. A class of zeros only has p = 1.
     """
-    mags = rows.where((F.col(value) != 0) & F.col(value).isNotNull()).groupBy(by, F.abs(value).alias("a")).agg(F.count("*").alias("k"), F.count_if(F.col(value) > 0).alias("up"))
-    upto = F.sum("k").over(Window.partitionBy(by).orderBy("a").rowsBetween(Window.unboundedPreceding, 0))
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    mags = known.groupBy(by, F.abs(value).alias("a")).agg(F.count("*").alias("k"), F.count_if(F.col(value) > 0).alias("up")).withColumn("k", F.when(F.col("a") > 0, F.col("k")).otherwise(-F.col("k")))
+    upto = F.sum(F.greatest("k", F.lit(0))).over(Window.partitionBy(by).orderBy("a").rowsBetween(Window.unboundedPreceding, 0))
     ranked = mags.withColumn("rank", upto - (F.col("k") - 1) / 2)
-    sums = ranked.groupBy(by).agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("k") - F.col("up"))).alias("w_minus"), F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"))
+    own = lambda c: F.sum(F.when(F.col("k") > 0, c).otherwise(0))
+    sums = ranked.groupBy(by).agg(own(F.col("k")).alias("n"), own(F.col("rank") * F.col("up")).alias("w_plus"), own(F.col("rank") * (F.col("k") - F.col("up"))).alias("w_minus"), own(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"), F.min("k").alias("least"))
     n, t = F.col("n"), F.least("w_plus", "w_minus")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return sums.select(by, "n", "w_plus", "w_minus", ((t - n * (n + 1) / 4) / spread).alias("z"))
+    exact = (F.col("least") > 0) & (F.col("ties") == 0) & (n <= 50)
+    step = lambda ways, k: F.transform(ways, lambda w, i: w + F.when(i >= k, F.get(ways, i - k)).otherwise(0.0))
+    none = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(n * (n + 1) / 2)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    ways = F.aggregate(F.sequence(F.lit(1).cast("long"), n), none, step)
+    tail = F.aggregate(F.slice(ways, 1, F.floor(t).cast("int") + 1), F.lit(0.0), lambda a, w: a + w)
+    wide = sums.withColumn("z", F.when(spread > 0, (t - n * (n + 1) / 4) / spread)).withColumn("tail", F.when(exact & (n > 0), 2 * tail / F.pow(F.lit(2.0), n)))
+    normal = F.pandas_udf(lambda z: z.map(lambda x: math.erfc(abs(x) / math.sqrt(2))), "double")  # a row a class
+    return wide.select(by, "n", "w_plus", "w_minus", "z", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("tail", normal(F.coalesce("z", F.lit(0.0)))))).alias("p"))
 
 
 def sign_test_p(k: int, n: int) -> float:
@@ -252,7 +305,8 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def quintiles(rows: DataFrame, by: str, value: str, parts: int = 5) -> DataFrame:
     """AGG27: right-closed bins at the exact quantiles of ``by``; the least value is in the first."""
-    edges = rows.agg(F.percentile(by, F.array(*(F.lit(i / parts) for i in range(parts + 1)))).alias("q")).withColumn("q", F.array_distinct("q"))
+    ends = [f"q{i}" for i in range(parts + 1)]
+    edges = quantiles(rows, by, {q: i / parts for i, q in enumerate(ends)}).select(F.array_distinct(F.array(*ends)).alias("q"))
     at = F.greatest(F.size(F.filter("q", lambda e: e < F.col(by))), F.lit(1)) - 1
     return rows.crossJoin(F.broadcast(edges)).withColumn("bin", at).groupBy("bin").agg(F.count("*").alias("n"), F.avg(by).alias(f"mean_{by}"), F.avg(value).alias(f"mean_{value}"))
 
@@ -276,13 +330,15 @@ def paired_summary(rows: DataFrame, a: str, b: str) -> DataFrame:
 def sweep_summary(sweep: DataFrame) -> DataFrame:
     """AGG24: sweep (seed, n_pairs, mean, ci_low, ci_high) over seeds."""
     excludes = (F.col("ci_low") > 0) | (F.col("ci_high") < 0)
-    return sweep.agg(F.count("*").alias("n_seeds"), F.min("n_pairs").alias("min_pairs"), F.max("n_pairs").alias("max_pairs"), F.min("mean").alias("min_mean"), F.median("mean").alias("median_mean"), F.max("mean").alias("max_mean"), F.bool_and(F.col("mean") > 0).alias("all_positive"), F.avg(excludes.cast("double")).alias("share_excluding_zero"))
+    one = sweep.agg(F.count("*").alias("n_seeds"), F.min("n_pairs").alias("min_pairs"), F.max("n_pairs").alias("max_pairs"), F.min("mean").alias("min_mean"), F.max("mean").alias("max_mean"), F.bool_and(F.col("mean") > 0).alias("all_positive"), F.avg(excludes.cast("double")).alias("share_excluding_zero"))
+    return one.crossJoin(F.broadcast(quantiles(sweep, "mean", {"median_mean": 0.5})))  # one row each
 
 
 def convergence(rows: DataFrame, a: str, b: str, sd: Column) -> DataFrame:
     """AGG25, STAT17: how far two scores agree, and whether the cheaper is adopted."""
     gap = F.abs(F.col(a) - F.col(b)) / sd
-    out = rows.agg(F.median(gap).alias("median_gap"), F.percentile(gap, F.lit(0.95)).alias("p95_gap"), F.corr(a, b).alias("correlation"))
+    gaps = quantiles(rows, gap, {"median_gap": 0.5, "p95_gap": 0.95})
+    out = gaps.crossJoin(F.broadcast(rows.agg(F.corr(a, b).alias("correlation"))))  # one row each
     return out.withColumn("adopt", (F.col("median_gap") < 0.02) & (F.col("p95_gap") < 0.05) & (F.col("correlation") > 0.99))
 
 

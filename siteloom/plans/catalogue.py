@@ -360,22 +360,41 @@ def _(s, d):
     return ma.greedy_pairs(_edges(s, d)).select("case_accession", "control_accession", "match_rank")
 
 
-_STARS = f"""{an.SIDES}, heads AS (SELECT p_brand, p_size, min(p_partkey) k FROM part WHERE p_type = 'PROMO' GROUP BY 1, 2),
-stars AS (SELECT CAST(h.k AS VARCHAR) case_accession, CAST(b.p_partkey AS VARCHAR) control_accession, abs(a.p_retailprice - b.p_retailprice) / (SELECT stddev_samp(p_retailprice) FROM (SELECT p_retailprice FROM part WHERE p_partkey IN (SELECT k FROM heads) UNION ALL SELECT p_retailprice FROM part WHERE p_type = 'ECONOMY')) distance
-  FROM heads h JOIN part a ON a.p_partkey = h.k JOIN part b ON b.p_brand = h.p_brand AND b.p_size = h.p_size AND b.p_type = 'ECONOMY')"""
+# cases and controls of a brand and a band of sizes are bounded groups, most of them contested; the SQL tries every choice
+_BAND = "CAST(floor(p_size / 5) AS INTEGER)"
+_CHOICES = f"""scale AS (SELECT stddev_samp(p_retailprice) r FROM part WHERE p_type IN ('PROMO','ECONOMY')),
+near AS (SELECT a.p_brand brand, {_BAND.replace('p_', 'a.p_')} band, a.p_partkey a, b.p_partkey b, abs(a.p_retailprice - b.p_retailprice) / r distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND {_BAND.replace('p_', 'a.p_')} = {_BAND.replace('p_', 'b.p_')}, scale
+  WHERE a.p_type = 'PROMO' AND b.p_type = 'ECONOMY' AND abs(a.p_retailprice - b.p_retailprice) / r <= 0.8),
+turns AS (SELECT brand, band, a, row_number() OVER (PARTITION BY brand, band ORDER BY a) i FROM (SELECT DISTINCT brand, band, a FROM near)),
+lists AS (SELECT brand, band, i, list({{'b': b, 'd': distance}}) l FROM near JOIN turns USING (brand, band, a) GROUP BY 1, 2, 3),
+tried AS (SELECT brand, band, CAST(0 AS BIGINT) i, CAST([] AS BIGINT[]) taken, CAST(0 AS DOUBLE) total FROM (SELECT DISTINCT brand, band FROM near) UNION ALL
+  SELECT t.brand, t.band, n.i, CASE WHEN e IS NULL THEN taken ELSE list_append(taken, CAST(e.b AS BIGINT)) END, total + coalesce(e.d, 0) FROM tried t JOIN lists n ON n.brand = t.brand AND n.band = t.band AND n.i = t.i + 1, unnest(list_append(n.l, NULL)) u(e) WHERE e IS NULL OR NOT list_contains(taken, CAST(e.b AS BIGINT))),
+best AS (SELECT brand, band, len(taken) n_pairs, total, row_number() OVER (PARTITION BY brand, band ORDER BY len(taken) DESC, total) place FROM tried t WHERE i = (SELECT max(i) FROM turns x WHERE x.brand = t.brand AND x.band = t.band))"""
 
 
-@add("STAT14", f"WITH {_STARS} SELECT case_accession, control_accession FROM (SELECT *, row_number() OVER (PARTITION BY case_accession ORDER BY distance, control_accession) i FROM stars WHERE distance <= 1) WHERE i = 1")
+@add("STAT14", f"WITH RECURSIVE {_CHOICES} SELECT brand, band, CAST(n_pairs AS BIGINT) n_pairs, round(total, 4) total_distance FROM best WHERE place = 1")
 def _(s, d):
-    """One case a brand and size: where components are stars, the best assignment is known. Tests try every other shape."""
-    rows = {k: an.side(s, d, k).withColumn("size", F.col("size").cast("int")) for k in ("PROMO", "ECONOMY")}
-    heads = st.keep_first(rows["PROMO"], ["brand", "size"], [F.col("accession").cast("long")])
-    return ma.optimal_pairs(ma.caliper_edges(heads, rows["ECONOMY"], ["price"], 1.0, ("brand", "size"))).select("case_accession", "control_accession")
+    """Pairs and total distance of each brand and band of sizes, in which cases compete for controls."""
+    rows = {k: an.side(s, d, k).withColumn("band", F.floor(F.col("size") / 5).cast("int")) for k in ("PROMO", "ECONOMY")}
+    edges = ma.caliper_edges(rows["PROMO"], rows["ECONOMY"], ["price"], 0.8, ("brand", "band"))
+    pairs = ma.optimal_pairs(edges).select("case_accession", "control_accession").join(edges, ["case_accession", "control_accession"])
+    return pairs.groupBy("brand", "band").agg(F.count("*").alias("n_pairs"), F.round(F.sum("distance"), 4).alias("total_distance"))
 
 
-@add("STAT15", _greedy_sql("[0, 1, 2]", 1) + " SELECT CAST(seed AS INTEGER) seed, count(*) n_pairs, round(avg(distance), 4) mean_distance FROM pairs JOIN near USING (case_accession, control_accession) GROUP BY 1")
+_SEEDS = list(range(20))
+_SWEEP = f"""{_greedy_sql(str(_SEEDS), 1)}, {an.SCORES}, contrasts AS (SELECT seed, case_accession, a.score - b.score contrast FROM pairs JOIN scores a ON case_accession = a.accession JOIN scores b ON control_accession = b.accession),
+units AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY case_accession) - 1 unit_at, count(*) OVER (PARTITION BY seed) u FROM contrasts),
+means AS (SELECT p.seed, draw, avg(contrast) m FROM (SELECT seed, draw, CAST(('0x' || substr(md5('sweep-' || seed || '-' || draw || '-' || unit_at), 1, 8)) AS BIGINT) % u unit_at FROM units, (SELECT unnest(range(200)) draw)) p JOIN units USING (seed, unit_at) GROUP BY 1, 2),
+ends AS (SELECT seed, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high FROM means GROUP BY 1),
+swept AS (SELECT seed, count(*) n_pairs, avg(contrast) mean, any_value(ci_low) ci_low, any_value(ci_high) ci_high FROM contrasts JOIN ends USING (seed) GROUP BY 1)"""
+
+
+@add("STAT15", _SWEEP + " SELECT count(*) n_seeds, min(n_pairs) min_pairs, max(n_pairs) max_pairs, round(min(mean), 4) min_mean, round(median(mean), 4) median_mean, round(max(mean), 4) max_mean, bool_and(mean > 0) all_positive, round(avg(CAST(ci_low > 0 OR ci_high < 0 AS INTEGER)), 6) share_excluding_zero, round(min(ci_low), 4) least_low, round(max(ci_high), 4) most_high FROM swept")
 def _(s, d):
-    return ma.seed_sweep(_edges(s, d), [0, 1, 2], 1).groupBy("seed").agg(F.count("*").alias("n_pairs"), F.round(F.avg("distance"), 4).alias("mean_distance"))
+    """Greedy pairs under 20 seeds, their contrasts, units, 200 draws each and intervals, to one row."""
+    swept = graph.cut(inf.sweep(ma.seed_sweep(_edges(s, d), _SEEDS, 1), an.scores(s, d), None, 200))
+    ends = swept.agg(F.round(F.min("ci_low"), 4).alias("least_low"), F.round(F.max("ci_high"), 4).alias("most_high"))
+    return inf.sweep_summary(swept).select("n_seeds", "min_pairs", "max_pairs", *(F.round(c, 4).alias(c) for c in ("min_mean", "median_mean", "max_mean")), "all_positive", r6("share_excluding_zero")).crossJoin(F.broadcast(ends))  # one row each
 
 
 _BALANCE = """SELECT feature, round(cm, 6) case_mean, round(tm, 6) control_mean, round((cm - tm) / sqrt((cv + tv) / 2), 6) smd FROM (
@@ -858,9 +877,15 @@ def _(s, d):
     return inf.adjusted(tests).select("test", r6("p_bh"))
 
 
-@add("STAT17", "SELECT abs(median(l_discount - l_tax)) < 5 AND false adopt FROM lineitem")
+_GAPS = "SELECT '{kind}' kind, median(abs({a} - {b}) / {sd}) < 0.02 AND quantile_cont(abs({a} - {b}) / {sd}, 0.95) < 0.05 AND corr({a}, {b}) > 0.99 adopt FROM lineitem"
+
+
+@add("STAT17", _GAPS.format(kind="apart", a="l_discount", b="l_tax", sd="0.02") + " UNION ALL " + _GAPS.format(kind="near", a="l_extendedprice", b="round(l_extendedprice, -2)", sd="20000") + " UNION ALL " + _GAPS.format(kind="coarse", a="l_extendedprice", b="round(l_extendedprice, -4)", sd="20000"))
 def _(s, d):
-    return inf.convergence(an.table(s, d, "lineitem"), "l_discount", "l_tax", F.lit(0.02)).select("adopt")
+    """A cheaper score that is adopted, one whose gaps are too wide, and one that has nothing to do with the other."""
+    rows = an.table(s, d, "lineitem").withColumns({"hundreds": F.round("l_extendedprice", -2), "thousands": F.round("l_extendedprice", -4)})
+    made = [inf.convergence(rows, a, b, F.lit(sd)).select(F.lit(kind).alias("kind"), "adopt") for kind, a, b, sd in (("apart", "l_discount", "l_tax", 0.02), ("near", "l_extendedprice", "hundreds", 20000.0), ("coarse", "l_extendedprice", "thousands", 20000.0))]
+    return made[0].unionAll(made[1]).unionAll(made[2])
 
 
 @add("DDP2", "SELECT p_name, min(p_partkey) p_partkey FROM part GROUP BY 1")
@@ -1007,16 +1032,26 @@ def _(s, d):
     return inf.ordered_contrasts(_contrasts(s, d)).select("case_accession", F.round("contrast", 4).alias("contrast"))
 
 
-_MAGS = "x AS (SELECT c_nationkey, round(c_acctbal - 4500, -2) v FROM customer), r AS (SELECT *, rank() OVER (PARTITION BY c_nationkey ORDER BY abs(v)) + (count(*) OVER (PARTITION BY c_nationkey, abs(v)) - 1) / 2.0 rk, count(*) OVER (PARTITION BY c_nationkey, abs(v)) k FROM x WHERE v <> 0)"
-
-
 def _centred(s: SparkSession, d: str) -> DataFrame:
     return an.table(s, d, "customer").select("c_nationkey", F.round(F.col("c_acctbal") - 4500, -2).alias("v"))
 
 
-@add("STAT10", f"WITH {_MAGS}, t AS (SELECT c_nationkey, count(*) n, sum(rk) FILTER (v > 0) w_plus, sum(rk) FILTER (v < 0) w_minus, sum(k * k - 1) ties FROM r GROUP BY 1) SELECT c_nationkey, n, w_plus, w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) z FROM t")
+_WILCOXON = """x AS (SELECT 'n' || c_nationkey AS class, round(c_acctbal - 4500, -2) v FROM customer UNION ALL SELECT c_nationkey || '-' || c_mktsegment, c_acctbal - 4500 FROM customer),
+r AS (SELECT *, rank() OVER (PARTITION BY class ORDER BY abs(v)) + (count(*) OVER (PARTITION BY class, abs(v)) - 1) / 2.0 rk, count(*) OVER (PARTITION BY class, abs(v)) k FROM x WHERE v <> 0),
+t AS (SELECT class, count(*) n, coalesce(sum(rk) FILTER (v > 0), 0) w_plus, coalesce(sum(rk) FILTER (v < 0), 0) w_minus, sum(k * k - 1) ties FROM r GROUP BY 1),
+zeros AS (SELECT class, count(*) FILTER (v = 0) zeros FROM x GROUP BY 1),
+ways AS (SELECT CAST(0 AS BIGINT) m, [CAST(1 AS DOUBLE)] w UNION ALL SELECT m + 1, [coalesce(w[i], 0) + CASE WHEN i > m + 1 THEN w[i - m - 1] ELSE 0 END for i in range(1, len(w) + m + 2)] FROM ways WHERE m < 50),
+z AS (SELECT *, least(w_plus, w_minus) least_w, CASE WHEN n > 0 AND n * (n + 1) * (2 * n + 1) / 24 - ties / 48 > 0 THEN (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) END z FROM t JOIN zeros USING (class)),
+tails AS (SELECT *, CASE WHEN ties = 0 AND zeros = 0 AND n <= 50 THEN 2 * list_sum(w[1:CAST(floor(least_w) AS BIGINT) + 1]) / pow(2, n)
+  ELSE 1 - 2 / sqrt(pi()) * list_sum([exp(2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2) + (2 * k + 1) * ln(greatest(abs(z), 1e-9) / sqrt(2)) - z * z / 2) for k in range(0, 200)]) END tail FROM z LEFT JOIN ways ON m = n)"""
+
+
+@add("STAT10", f"WITH RECURSIVE {_WILCOXON} SELECT class, n, w_plus, w_minus, round(z, 6) z, round(least(1, tail), 6) p FROM tails")
 def _(s, d):
-    return inf.signed_rank_tests(_centred(s, d), "c_nationkey", "v").select("c_nationkey", "n", "w_plus", "w_minus", r6("z"))
+    """Nations with rounded, tied values (normal) and their segments with values as they are (exact up to 50)."""
+    segments = an.table(s, d, "customer").select(F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("class"), (F.col("c_acctbal") - 4500).alias("v"))
+    nations = _centred(s, d).select(F.concat(F.lit("n"), "c_nationkey").alias("class"), "v")
+    return inf.signed_rank_tests(nations.unionAll(segments), "class", "v").select("class", "n", "w_plus", "w_minus", r6("z"), r6("p"))
 
 
 @add("STAT11", "WITH c AS (SELECT c_nationkey, count(*) FILTER (round(c_acctbal - 4500, -2) > 0) k, count(*) FILTER (round(c_acctbal - 4500, -2) <> 0) n FROM customer GROUP BY 1) SELECT c_nationkey, k, n, round(CASE WHEN 2 * k = n THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END, 6) p FROM c")
