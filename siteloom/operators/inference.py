@@ -145,19 +145,19 @@ def bootstrap_by(rows: DataFrame, by: list[str], unit: str, value: str, n_draws:
     and a class's units go as arrays to the rows of its draws. A class of more than HELD_UNITS units has its picks
     joined instead.
     """
-    known = rows.where(F.col(unit).isNotNull() & F.col(value).isNotNull())
-    sums = known.groupBy(*by, unit).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    every = cut(numbered(sums, [*by, unit], "at"))
-    start = every.groupBy(*by).agg(F.min("at").alias("start"), F.count("*").alias("u"))
+    known = rows.select(*by, F.col(unit).alias("unit_name"), F.col(value).alias("unit_value")).where("unit_name is not null and unit_value is not null")
+    sums = known.groupBy(*by, "unit_name").agg(F.sum("unit_value").alias("s"), F.count("*").alias("n"))
+    every = cut(numbered(sums, [*by, "unit_name"], "at"))
+    start = every.groupBy(*by).agg(F.min("at").alias("start"), F.count("*").alias("n_units"))
     units = every.join(start, by).withColumn("unit_at", F.col("at") - F.col("start"))
-    slots, key = F.sequence(F.lit(0).cast("long"), F.col("u") - 1), F.concat_ws("-", F.lit(salt), *(F.col(c).cast("string") for c in by))
-    choose = lambda slot: F.conv(F.substring(F.md5(F.concat_ws("-", "key", F.col("draw").cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("long") % F.col("u")
+    slots, key = F.sequence(F.lit(0).cast("long"), F.col("n_units") - 1), F.concat_ws("-", F.lit(salt), *(F.col(c).cast("string") for c in by))
+    choose = lambda slot: F.conv(F.substring(F.md5(F.concat_ws("-", "key", F.col("draw").cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n_units")
     draws = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_draws - 1).cast("long")))
-    listed = units.where(F.col("u") <= HELD_UNITS).groupBy(*by, "u").agg(F.array_sort(F.collect_list(F.struct("unit_at", "s", "n"))).alias("l"))
-    held = listed.select(*by, "u", F.transform("l", lambda x: x["s"]).alias("sums"), F.transform("l", lambda x: x["n"]).alias("sizes"), key.alias("key"), draws.alias("draw"))
+    listed = units.where(F.col("n_units") <= HELD_UNITS).groupBy(*by, "n_units").agg(F.array_sort(F.collect_list(F.struct("unit_at", "s", "n"))).alias("l"))
+    held = listed.select(*by, "n_units", F.transform("l", lambda x: x["s"]).alias("sums"), F.transform("l", lambda x: x["n"]).alias("sizes"), key.alias("key"), draws.alias("draw"))
     both = F.aggregate(F.transform(slots, lambda slot: choose(slot).cast("int")), F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct((a["s"] + F.get("sums", i)).alias("s"), (a["n"] + F.get("sizes", i)).alias("n")))
     means = held.select(*by, "draw", both.alias("t")).select(*by, "draw", (F.col("t.s") / F.col("t.n")).alias("mean"))
-    big = start.where(F.col("u") > HELD_UNITS).select(*by, "u", key.alias("key"), draws.alias("draw")).withColumn("slot", F.explode(slots))
+    big = start.where(F.col("n_units") > HELD_UNITS).select(*by, "n_units", key.alias("key"), draws.alias("draw")).withColumn("slot", F.explode(slots))
     picked = big.select(*by, "draw", choose(F.col("slot")).alias("unit_at")).join(units, [*by, "unit_at"]).groupBy(*by, "draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
     return means.unionByName(picked)
 
@@ -311,9 +311,15 @@ def quintiles(rows: DataFrame, by: str, value: str, parts: int = 5) -> DataFrame
     return rows.crossJoin(F.broadcast(edges)).withColumn("bin", at).groupBy("bin").agg(F.count("*").alias("n"), F.avg(by).alias(f"mean_{by}"), F.avg(value).alias(f"mean_{value}"))
 
 
-def class_summary(rows: DataFrame, by: list[str], value: str, unit: str) -> DataFrame:
-    """AGG21 without its interval: sites, units, mean and share of zeros of each class."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n_sites"), F.countDistinct(unit).alias("n_proteins"), F.avg(value).alias("mean"), F.avg((F.col(value) == 0).cast("double")).alias("share_zero"))
+def class_summary(rows: DataFrame, by: list[str], value: str, unit: str, n_draws: int = 0, salt: str = "class") -> DataFrame:
+    """AGG21: sites, units, mean and share of zeros of each class and, with draws, the interval of its mean over resampled units.
+
+    Classes are resampled together; one without a known unit and value has no interval.
+    """
+    out = rows.groupBy(*by).agg(F.count("*").alias("n_sites"), F.countDistinct(unit).alias("n_proteins"), F.avg(value).alias("mean"), F.avg((F.col(value) == 0).cast("double")).alias("share_zero"))
+    if not n_draws:
+        return out
+    return out.join(interval(bootstrap_by(rows, by, unit, value, n_draws, salt), by=tuple(by)), by, "left")
 
 
 def against_baseline(summary: DataFrame, by: str, baseline: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.functions import exprs as x
 from siteloom.operators import checks as ck
+from siteloom.operators import controls as co
 from siteloom.operators import evidence as ev
 from siteloom.operators import graph
 from siteloom.operators import inference as inf
@@ -282,15 +285,17 @@ def _(s, d):
 
 @add("AGG9", f"WITH {an.PROTEINS}, letters AS (SELECT unnest(string_split(sequence, '')) letter FROM proteins WHERE sequence <> '') SELECT letter, round(count(*) / sum(count(*)) OVER (), 5) AS share FROM letters GROUP BY 1")
 def _(s, d):
-    each = F.array(*(F.struct(F.lit(c).alias("letter"), (F.length("sequence") - F.length(F.replace("sequence", F.lit(c)))).alias("k")) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    sums = an.proteins(s, d).select(F.explode(each).alias("e")).groupBy("e.letter").agg(F.sum("e.k").alias("k")).where("k > 0")
-    return sums.select("letter", F.round(F.col("k") / F.sum("k").over(Window.partitionBy()), 5).alias("share"))  # 26 rows
+    return co.composition(an.proteins(s, d)).select("letter", F.round("share", 5).alias("share"))
+
 
+_LETTERS = ",".join(f"sum(length(sequence) - length(replace(sequence, '{c}', '')))" for c in co.LETTERS)
 
-@add("AGG10", f"WITH {_MOTIFS}, n AS (SELECT control_set, count(*) proteins, sum(length(sequence)) residues FROM proteins GROUP BY 1), m AS (SELECT control_set, count(*) sequons FROM motifs GROUP BY 1) SELECT control_set, proteins, coalesce(sequons, 0) sequons, round(coalesce(sequons, 0) / proteins, 3) per_protein FROM n LEFT JOIN m USING (control_set)")
+
+@add("AGG10", f"""WITH {_MOTIFS}, m AS (SELECT accession, count(*) k FROM motifs GROUP BY 1), p AS (SELECT * FROM proteins LEFT JOIN m USING (accession))
+SELECT control_set, count(*) proteins, CAST(sum(coalesce(k, 0)) AS BIGINT) sequons, round(sum(coalesce(k, 0)) / count(*), 3) per_protein, CASE WHEN sum(length(sequence)) > 0 THEN round(1000 * sum(coalesce(k, 0)) / sum(length(sequence)), 3) END per_1000_residues, count(k) proteins_with_motif,
+count(*) FILTER (k > 0 AND len(list_filter(string_split(coalesce(pdb_ids, ''), ';'), lambda e: trim(e) <> '')) > 0) proteins_with_structure, concat_ws(',', {_LETTERS}) letters FROM p GROUP BY 1""")
 def _(s, d):
-    rows = an.proteins(s, d).withColumn("k", x.sequon_count(F.col("sequence")).cast("long"))
-    return rows.groupBy("control_set").agg(F.count("*").alias("proteins"), F.sum("k").alias("sequons")).withColumn("per_protein", F.round(F.col("sequons") / F.col("proteins"), 3))
+    return co.control_summary(an.proteins(s, d))
 
 
 @add("FN31", "SELECT p_partkey, list_sort(list_distinct(string_split(upper(p_name), ' '))) tokens FROM part")
@@ -506,9 +511,13 @@ def _classes(s: SparkSession, d: str) -> DataFrame:
     return an.table(s, d, "documents").join(an.table(s, d, "labels"), "doc_id", "left").select(F.concat(text("quality"), text("toxic")).alias("class"), "n_chars", "source")
 
 
-@add("AGG21", f"SELECT class, count(*) n_sites, count(DISTINCT source) n_proteins, round(avg(n_chars), 4) mean, round(avg(CAST(n_chars = 0 AS INTEGER)), 6) share_zero FROM ({_CLASSES}) GROUP BY 1")
+@add("AGG21", f"""WITH c AS ({_CLASSES}), units AS (SELECT class, s, n, row_number() OVER (PARTITION BY class ORDER BY source) - 1 unit_at, count(*) OVER (PARTITION BY class) u FROM (SELECT class, source, sum(n_chars) s, count(*) n FROM c GROUP BY 1, 2)),
+means AS (SELECT p.class, draw, sum(s) / sum(n) m FROM (SELECT class, draw, CAST(('0x' || substr(md5('class-' || class || '-' || draw || '-' || unit_at), 1, 8)) AS BIGINT) % u unit_at FROM units, (SELECT unnest(range(100)) draw)) p JOIN units USING (class, unit_at) GROUP BY 1, 2),
+ends AS (SELECT class, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high FROM means GROUP BY 1)
+SELECT class, count(*) n_sites, count(DISTINCT source) n_proteins, round(avg(n_chars), 4) mean, round(avg(CAST(n_chars = 0 AS INTEGER)), 6) share_zero, round(any_value(ci_low), 4) ci_low, round(any_value(ci_high), 4) ci_high FROM c JOIN ends USING (class) GROUP BY 1""")
 def _(s, d):
-    return inf.class_summary(_classes(s, d), ["class"], "n_chars", "source").select("class", "n_sites", "n_proteins", F.round("mean", 4).alias("mean"), r6("share_zero"))
+    rows = inf.class_summary(_classes(s, d), ["class"], "n_chars", "source", 100)
+    return rows.select("class", "n_sites", "n_proteins", F.round("mean", 4).alias("mean"), r6("share_zero"), F.round("ci_low", 4).alias("ci_low"), F.round("ci_high", 4).alias("ci_high"))
 
 
 @add("AGG22", f"WITH c AS (SELECT class, avg(n_chars) m FROM ({_CLASSES}) GROUP BY 1) SELECT c.class, round(b.m - c.m, 4) difference FROM c, (SELECT m FROM c WHERE class = '10') b")
@@ -934,10 +943,29 @@ draws AS (SELECT draw, sum(s) / sum(n) mean FROM (SELECT draw, {_PICK.format(sal
 ends AS (SELECT quantile_cont(mean, 0.025) ci_low, quantile_cont(mean, 0.975) ci_high, (SELECT 0.2 * stddev_samp(score) FROM scores) m FROM draws)"""
 
 
-@add("CMP10", f"WITH RECURSIVE {_UNITED} SELECT round(ci_low, 3) ci_low, round(ci_high, 3) ci_high, CASE WHEN ci_low >= -m AND ci_high <= m THEN 'equivalent' WHEN ci_low > m OR ci_high < -m THEN 'beyond_margin' WHEN ci_low > 0 OR ci_high < 0 THEN 'directional' ELSE 'inconclusive' END verdict FROM ends")
-def _(s, d):
-    rows = runs.primary(ma.nearest(_edges(s, d), 3), an.scores(s, d), None, 200)["verdict"]
-    return rows.select(F.round("ci_low", 3).alias("ci_low"), F.round("ci_high", 3).alias("ci_high"), "verdict")
+_ONE = f"""{_UNITED}, v AS (SELECT case_score - control_mean_score c, case_accession FROM contrasts), o AS (SELECT c, row_number() OVER (ORDER BY c) i, count(*) OVER () n, sum(c) OVER () t FROM v),
+l AS (SELECT max(n) n, avg(c) mean, median(c) median, avg(c) FILTER (i > floor(n * 0.1) AND i <= n - floor(n * 0.1)) trimmed_mean, count(*) FILTER (c > 0) n_positive, (max(t) - max(c)) / (max(n) - 1) loo_min, (max(t) - min(c)) / (max(n) - 1) loo_max FROM o)"""
+_PARTS = [
+    "SELECT 'contrast' part, case_accession AS name, round(c, 4) AS value, u AS label FROM v JOIN u USING (case_accession)",
+    "SELECT 'interval', 'low', round(ci_low, 3), CASE WHEN ci_low >= -m AND ci_high <= m THEN 'equivalent' WHEN ci_low > m OR ci_high < -m THEN 'beyond_margin' WHEN ci_low > 0 OR ci_high < 0 THEN 'directional' ELSE 'inconclusive' END FROM ends",
+    "SELECT 'interval', 'high', round(ci_high, 3), '' FROM ends",
+    *(f"SELECT 'location', '{c}', round({c}, 3), '' FROM l" for c in ("n", "mean", "median", "trimmed_mean", "n_positive", "loo_min", "loo_max")),
+    "SELECT 'reuse', 'most', CAST(max(k) AS DOUBLE), '' FROM (SELECT count(*) k FROM e GROUP BY b)",
+    "SELECT 'subtype', p_brand, round(avg(c), 3), CAST(count(*) AS VARCHAR) FROM v JOIN part ON case_accession = CAST(p_partkey AS VARCHAR) GROUP BY 2",
+]
+
+
+@add("CMP10", f"WITH RECURSIVE {_ONE} " + " UNION ALL ".join(_PARTS))
+def _(s, d):
+    """Every output of the primary analysis: contrasts with their units, interval and verdict, location, reuse, subtypes."""
+    kinds = an.side(s, d, "PROMO").select("accession", "position", F.col("brand").alias("subtype"))
+    made = runs.primary(ma.nearest(_edges(s, d), 3), an.scores(s, d), None, 200, subtypes=kinds)
+    row = lambda rows, part, name, value, digits, label="": rows.select(F.lit(part).alias("part"), name.alias("name"), F.round(F.col(value).cast("double"), digits).alias("value"), (label if isinstance(label, Column) else F.lit(label)).alias("label"))
+    parts = [row(made["contrasts"], "contrast", F.col("case_accession"), "contrast", 4, F.col("resample_unit"))]
+    parts += [row(made["verdict"], "interval", F.lit("low"), "ci_low", 3, F.col("verdict")), row(made["verdict"], "interval", F.lit("high"), "ci_high", 3)]
+    parts += [row(made["location"], "location", F.lit(c), c, 3) for c in ("n", "mean", "median", "trimmed_mean", "n_positive", "loo_min", "loo_max")]
+    parts += [row(made["control_reuse"], "reuse", F.lit("most"), "most_used_control", 3), row(made["subtypes"], "subtype", F.col("subtype"), "mean", 3, F.col("n").cast("string"))]
+    return reduce(DataFrame.unionAll, parts)
 
 
 # -- filters, joins and statistics on their own -----------------------------------------------------

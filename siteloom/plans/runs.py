@@ -11,6 +11,7 @@ from siteloom.operators import evidence as ev
 from siteloom.operators import inference as inf
 from siteloom.operators import sites as st
 from siteloom.operators import structures as sr
+from siteloom.operators.graph import cut
 
 
 def baseline(pairs: DataFrame, homology: DataFrame, features: DataFrame, absent: DataFrame, policy: ev.Policy, order: list) -> dict[str, DataFrame]:
@@ -38,14 +39,21 @@ def full(base: dict[str, DataFrame], layers: list[DataFrame], policy: ev.Policy)
     return {"combined": combined, **parts, "layer_support": ev.layer_support(combined)}
 
 
-def primary(pairs: DataFrame, scores: DataFrame, clusters: DataFrame | None, n_draws: int, margin_sd: float = 0.2) -> dict[str, DataFrame]:
-    """CMP10: contrasts, units, interval, verdict, robustness and subtypes of one comparison."""
-    rows = inf.resample_units(inf.contrasts(pairs, scores, clusters))
-    sd = inf.reference_sd(scores).first()[0] or 0.0
+def primary(pairs: DataFrame, scores: DataFrame, clusters: DataFrame | None, n_draws: int, margin_sd: float = 0.2, subtypes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """CMP10: contrasts and their units, interval, verdict, robustness and subtypes of one comparison.
+
+    subtypes (accession, position, subtype) are those of the cases; without them that table is left out.
+    """
+    rows = cut(inf.resample_units(inf.contrasts(pairs, scores, clusters)))
+    sd = inf.reference_sd(scores).select(F.coalesce("reference_sd", F.lit(0.0)).alias("reference_sd"))
     draws = inf.interval(inf.bootstrap_draws(rows, "resample_unit", "contrast", n_draws))
-    verdict = draws.withColumn("verdict", x.verdict(F.col("ci_low"), F.col("ci_high"), F.lit(margin_sd * sd)))
+    verdict = draws.crossJoin(F.broadcast(sd)).withColumn("verdict", x.verdict(F.col("ci_low"), F.col("ci_high"), margin_sd * F.col("reference_sd"))).drop("reference_sd")  # one row each
     reuse = inf.control_reuse(rows).agg(F.max("count").alias("most_used_control"))
-    return {"contrasts": rows, "verdict": verdict, "location": inf.robust_location(rows), "control_reuse": reuse}
+    made = {"contrasts": rows, "verdict": verdict, "location": inf.robust_location(rows), "control_reuse": reuse}
+    if subtypes is not None:
+        own = subtypes.select(F.col("accession").alias("case_accession"), F.col("position").alias("case_position"), "subtype")
+        made["subtypes"] = inf.subtypes(rows.join(own, ["case_accession", "case_position"]), "subtype", "contrast")
+    return made
 
 
 def candidate_manifest(features: DataFrame, links: DataFrame, sequences: DataFrame, chain_rows: DataFrame, index: DataFrame, status: tuple[str, ...] = (v.OCCUPIED, v.UNMODIFIED)) -> tuple[DataFrame, DataFrame]:
