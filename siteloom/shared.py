@@ -41,3 +41,38 @@ def exists(spark: SparkSession, path: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     files, place = _place(spark, path)
     files.delete(place, True)
+
+
+def joined(spark: SparkSession, parts: str, target: str, head: bytes) -> list[dict]:
+    """One file of a head and a folder's part files, in order of their names: (name, start, bytes) of each.
+
+    Bytes are copied from stream to stream, a megabyte at a time. The file takes its name once it is whole.
+    """
+    files, folder = _place(spark, parts)
+    path, streams = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils
+    found = sorted((s.getPath().getName(), s.getLen()) for s in files.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    out, start, listed = files.create(path(target + ".partial"), True), len(head), []
+    try:
+        out.write(bytearray(head))
+        for name, size in found:
+            part = files.open(path(f"{parts}/{name}"))
+            try:
+                streams.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+            listed.append({"name": name, "start": start, "bytes": size})
+            start += size
+    finally:
+        out.close()
+    if not files.rename(path(target + ".partial"), path(target)):
+        raise OSError(f"{target} can't be written")
+    return listed
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    files, place = _place(spark, path)
+    out = files.create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import datetime
+import gzip
 import hashlib
+import io
 import json
 import subprocess
 from functools import reduce
@@ -13,14 +16,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.operators.sites import KEY, MODEL_KEY, keep_first, most_common
-from siteloom.shared import exists
+from siteloom.shared import exists, joined, remove, write_text
 
 
 def write_csv(rows: DataFrame, path: str, compression: str | None = None) -> None:
-    """SNK1, SNK5: a headed file in site order, nulls last. One file: an export for people, not a table."""
-    keys = [F.col(c).asc_nulls_last() for c in KEY if c in rows.columns]
-    out = rows.orderBy(*keys) if keys else rows
-    out.coalesce(1).write.mode("overwrite").option("header", True).option("compression", compression or "none").csv(path)
+    """SNK1, SNK5: one headed file in site order, nulls last, ties by the other columns, so that equal rows give equal bytes.
+
+    Ranges of the order are sorted and written by as many tasks as there are; their files are then joined byte by
+    byte (members of a gzip file may follow each other), so that no task ever sees all rows. ``_manifest.json``
+    beside the file has the bytes of each range.
+    """
+    spark, zipped = rows.sparkSession, compression == "gzip"
+    if compression not in (None, "none", "gzip"):
+        raise ValueError(f"files of {compression} can't be joined")
+    order = [*(c for c in KEY if c in rows.columns), *(c for c in rows.columns if c not in KEY)]
+    remove(spark, path)
+    rows.orderBy(*(F.col(c).asc_nulls_last() for c in order)).write.option("header", False).option("compression", "gzip" if zipped else "none").csv(f"{path}/_parts")
+    line = io.StringIO()
+    csv.writer(line, lineterminator="\n").writerow(rows.columns)
+    head = line.getvalue().encode()
+    name = "part-00000.csv" + ".gz" * zipped
+    listed = joined(spark, f"{path}/_parts", f"{path}/{name}", gzip.compress(head, mtime=0) if zipped else head)
+    remove(spark, f"{path}/_parts")
+    write_text(spark, f"{path}/_manifest.json", json.dumps({"file": name, "columns": rows.columns, "parts": listed}, indent=1))
 
 
 def append_new(rows: DataFrame, path: str, keys: tuple[str, ...] = MODEL_KEY) -> None:
