@@ -61,18 +61,3 @@ def test_verdict_is_by_exact_shingles(spark):
         rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:36] + ["x"] * (i % 2)))]
     want = kept(rows)
     assert got(spark, rows) == want and len(want) == 225
-
-
-def test_crossing_pairs_of_any_batching():
-    import pyarrow as pa
-
-    r = random.Random(4)
-    rows = sorted((r.randrange(12), r.randrange(4), i, 10, 0) for i in range(400))
-    want = {(max(a[2], b[2]), min(a[2], b[2])) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1]}
-    for size in (1, 7, 400):
-        parts = [rows[i : i + size] for i in range(0, 400, size)]
-        out = s._crossing(0.8)(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*p)], names=list("tcrnp")) for p in parts)
-        pairs = [p for b in out for p in zip(*(c.to_pylist() for c in b.columns))]
-        assert set(pairs) == want and len(pairs) == len(want)
-        first = s._shared(pa.RecordBatch.from_arrays([pa.array([x[j] for x in p], pa.int64()) for j in (0, 2, 3, 4)], names=list("trnp")) for p in parts)
-        assert sum(b.num_rows for b in first) == 400

@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from siteloom.llm import simhash as s
+from siteloom.llm.jaccard import Shingles
 
 
 def similarity(a, b, k=5):
@@ -38,9 +39,10 @@ def test_near_copies_go_and_clean_documents_stay(spark):
 
 
 def test_fingerprints_of_sets():
-    none = s.shingle_set(" \n")
-    assert s.set_fingerprint(none) == 0 == s.set_fingerprint(s.shingle_set(None))
-    a, b = (s.set_fingerprint(s.shingle_set(" ".join("q%d" % i for i in range(n)))) for n in (900, 899))
+    shingles = Shingles(5)
+    none = shingles(" \n")
+    assert s.set_fingerprint(none) == 0 == s.set_fingerprint(shingles(None))
+    a, b = (s.set_fingerprint(shingles(" ".join("q%d" % i for i in range(n)))) for n in (900, 899))
     assert np.bitwise_count(np.uint64(a & (2**64 - 1)) ^ np.uint64(b & (2**64 - 1))) <= 2
 
 
