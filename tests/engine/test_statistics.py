@@ -89,7 +89,7 @@ def test_sweep_equals_seed_by_seed(spark):
 
 def test_signed_rank_of_classes(spark):
     r = random.Random(4)
-    values = {"few": [1.0, 2, 3, 4, 5], "exact": [r.gauss(0.3, 1) for _ in range(30)], "fifty": [r.gauss(0.2, 1) for _ in range(50)], "many": [r.gauss(0.1, 1) for _ in range(51)], "ties": [float(r.choice((-2, -1, 1, 2, 3))) for _ in range(20)], "zero": [0.0, *(r.gauss(0, 1) for _ in range(12))], "zeros": [0.0, 0.0], "one": [-3.0]}
+    values = {"few": [1.0, 2.0, 3.0, 4.0, 5.0], "exact": [r.gauss(0.3, 1) for _ in range(30)], "fifty": [r.gauss(0.2, 1) for _ in range(50)], "many": [r.gauss(0.1, 1) for _ in range(51)], "ties": [float(r.choice((-2, -1, 1, 2, 3))) for _ in range(20)], "zero": [0.0, *(r.gauss(0, 1) for _ in range(12))], "zeros": [0.0, 0.0], "one": [-3.0]}
     frame = spark.createDataFrame([(c, v) for c, own in values.items() for v in (*own, None, float("nan"))], "c string, v double")
     got = {x.c: x for x in inf.signed_rank_tests(frame, "c", "v").collect()}
     assert got.keys() == values.keys()
