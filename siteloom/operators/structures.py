@@ -385,35 +385,49 @@ def sphere(n: int) -> np.ndarray:
     return np.stack((r * np.cos(turn), r * np.sin(turn), z), axis=1)
 
 
-def accessible_areas(xyz: np.ndarray, radii: np.ndarray, points: int = 100) -> np.ndarray:
-    """FN20: Shrake-Rupley area of each atom; only atoms in adjacent cells can cover each other."""
-    reach = radii + PROBE
-    dots, out = sphere(points), np.zeros(len(xyz))
-    width = 2 * reach.max() if len(xyz) else 1.0
-    cells: dict[tuple[int, ...], list[int]] = {}
-    for i, c in enumerate(np.floor(xyz / width).astype(int)):
-        cells.setdefault(tuple(c), []).append(i)
-    for c, own in cells.items():
-        near = np.array([j for a in (-1, 0, 1) for b in (-1, 0, 1) for d in (-1, 0, 1) for j in cells.get((c[0] + a, c[1] + b, c[2] + d), [])])
-        for i in own:
-            others = near[(near != i) & (((xyz[near] - xyz[i]) ** 2).sum(axis=1) < (reach[near] + reach[i]) ** 2)]
-            surface = xyz[i] + dots * reach[i]
-            covered = (((surface[:, None] - xyz[others][None]) ** 2).sum(axis=2) < reach[others] ** 2).any(axis=1) if len(others) else np.zeros(points, bool)
-            out[i] = 4 * math.pi * reach[i] ** 2 * (~covered).mean()
-    return out
+def _covered(points: int):
+    """dx, dy, dz, reach, other -> which points of an atom's sphere lie within the sphere at that offset, a bit a point, 62 a word."""
+    dots, starts = sphere(points), range(0, points, 62)
+    powers = 1 << np.arange(62, dtype=np.int64)
+
+    @F.pandas_udf(", ".join(f"w{i} long" for i in range(len(starts))))
+    def run(dx: pd.Series, dy: pd.Series, dz: pd.Series, reach: pd.Series, other: pd.Series) -> pd.DataFrame:
+        d = np.stack((dx, dy, dz), axis=1)
+        least = (reach**2 + (d**2).sum(axis=1) - other**2) / (2 * reach)
+        hit = d @ dots.T > least.to_numpy()[:, None]
+        return pd.DataFrame({f"w{i}": hit[:, s : s + 62] @ powers[: min(62, points - s)] for i, s in enumerate(starts)})
 
+    return run
 
-def residue_areas(atom_rows: DataFrame) -> DataFrame:
-    """FN19, FN20: accessible area, relative area and bin of each residue; one structure a task."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        area = accessible_areas(pdf[["x", "y", "z"]].to_numpy(float), np.array([RADII.get(e.upper(), 1.7) for e in pdf["element"]]))
-        return pdf.assign(sasa=area).groupby(["path", "chain_id", "resseq", "icode", "resname"], as_index=False)["sasa"].sum()
+def residue_areas(atom_rows: DataFrame, points: int = 100) -> DataFrame:
+    """FN19, FN20: Shrake-Rupley area, relative area and bin of each residue.
 
-    protein = atom_rows.where(F.col("resname").isin(list(v.THREE_TO_ONE)) & (F.col("element") != "H"))
-    areas = protein.select("path", "chain_id", "resseq", "icode", "resname", "element", "x", "y", "z").groupBy("path").applyInPandas(run, "path string, chain_id string, resseq int, icode string, resname string, sasa double")
+    Space is cut into cells. An atom stays in its own cell and is also sent to all cells that its sphere could
+    reach; pairs that meet and overlap say which points of the one sphere the other covers, as bits, and the bits
+    of all partners are or-ed. So a huge structure is spread over tasks, and nothing of it is gathered. An atom
+    meets itself, which covers nothing. Rows without coordinates have no area, repeated rows count once, and of
+    equal spheres at one place neither covers the other.
+    """
+    farthest = max(RADII.values()) + PROBE
+    width = 3 * farthest
+    key = ["path", "chain_id", "resseq", "icode", "resname"]
+    protein = atom_rows.where(F.col("resname").isin(list(v.THREE_TO_ONE)) & (F.col("element") != "H") & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    radius = F.coalesce(F.try_element_at(F.create_map(*(F.lit(c) for pair in RADII.items() for c in pair)), F.upper("element")), F.lit(1.7))
+    own = protein.select(*key, "atom", "x", "y", "z", (radius + PROBE).alias("reach"))
+    cell = lambda c: F.floor(c / width)
+    other = own.select("path", *(F.col(c).alias(f"o{c}") for c in "xyz"), F.col("reach").alias("other"))
+    for c in "xyz":
+        far = F.col("other") + farthest
+        other = other.withColumn(f"c{c}", F.explode(F.sequence(cell(F.col(f"o{c}") - far), cell(F.col(f"o{c}") + far))))
+    gap = [F.col(f"o{c}") - F.col(c) for c in "xyz"]
+    near = own.withColumns({f"c{c}": cell(F.col(c)) for c in "xyz"}).join(other, ["path", "cx", "cy", "cz"]).where(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] < (F.col("reach") + F.col("other")) ** 2)
+    words = [f"w{i}" for i in range(-(-points // 62))]
+    bits = near.select(*own.columns, _covered(points)(*gap, "reach", "other").alias("w")).select(*own.columns, "w.*")
+    free = points - sum((F.bit_count(w) for w in words), F.lit(0))
+    each = bits.groupBy(*own.columns).agg(*(F.bit_or(w).alias(w) for w in words)).withColumn("sasa", 4 * math.pi * F.col("reach") ** 2 * free / points)
     relative = x.rsa(F.col("sasa"), x.residue_code(F.col("resname")))
-    return areas.withColumn("rsa", relative).withColumn("rsa_bin", x.rsa_bin(F.col("rsa"))).drop("resname")
+    return each.groupBy(*key).agg(F.sum("sasa").alias("sasa")).withColumn("rsa", relative).withColumn("rsa_bin", x.rsa_bin(F.col("rsa"))).drop("resname")
 
 
 def site_features(sites: DataFrame, environment_rows: DataFrame, area_rows: DataFrame) -> DataFrame:

@@ -131,11 +131,12 @@ def nation_sequence(n: str) -> str:
     return f"array_join(transform(sequence(1, 40), i -> {_letter(n, 'i')}), '')"
 
 
-def structures(spark: SparkSession, sf: str, spacing: float = 3.8) -> DataFrame:
+def structures(spark: SparkSession, sf: str, spacing: float | str = 3.8) -> DataFrame:
     """path, length, content, stem, kind: every fourth supplier is an mmCIF file, the others are PDB files.
 
     A glycan hangs on residue 10 of every third and on 20 of every fifth; residue 30 is bound to a metal and
-    20 to a glycine, which mean nothing. Hosts of even nations can glycosylate.
+    20 to a glycine, which mean nothing. Hosts of even nations can glycosylate. Alpha carbons lie in a line,
+    ``spacing`` apart: a number, or an expression over supplier.
     """
     from siteloom.functions import vocab as v
 

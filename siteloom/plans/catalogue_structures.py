@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,6 +203,23 @@ def _(s, d):
     return areas.select("path", "resseq", F.round("sasa", 4).alias("sasa"), r6("rsa"), "rsa_bin")
 
 
+_DOTS = """dots AS (SELECT k, sqrt(1 - pow(1 - (2 * k + 1) / 100, 2)) * cos(pi() * (1 + sqrt(5)) * (k + 0.5)) px FROM (SELECT unnest(range(100)) k)),
+line AS (SELECT *, 2.5 + k % 5 * 0.6 step FROM residues),
+covered AS (SELECT DISTINCT a.path, a.i, dots.k FROM line a JOIN line b ON a.path = b.path AND a.i <> b.i AND abs(a.i - b.i) * a.step < 6.2, dots WHERE px * (b.i - a.i) * a.step > pow((b.i - a.i) * a.step, 2) / 6.2),
+open AS (SELECT a.path, a.i, a.aa, a.step, 4 * pi() * 3.1 * 3.1 * (100 - count(c.k)) / 100 sasa FROM line a LEFT JOIN covered c USING (path, i) GROUP BY 1, 2, 3, 4)"""
+
+
+@add("FN20_overlap", f"""WITH {an.RESIDUES}, {_DOTS} SELECT path, i resseq, round(sasa, 4) sasa, round(least(sasa / {_MAX}, 1.5), 6) rsa,
+  abs(sasa - CASE WHEN i IN (1, 40) THEN 2 * pi() * 3.1 * (3.1 + step / 2) ELSE 2 * pi() * 3.1 * step END) < 0.04 * 4 * pi() * 3.1 * 3.1 near_caps FROM open""")
+def _(s, d):
+    """Spheres in a line that cover up to four others; in closed form what stays is the sphere less one or two caps."""
+    step = F.lit(2.5) + F.regexp_extract("path", "S([0-9]+)", 1).cast("int") % 5 * 0.6
+    areas = sr.residue_areas(sr.atoms(an.structures(s, d, "(2.5 + s_suppkey % 5 * 0.6)")))
+    whole = F.lit(2 * math.pi * 3.1)
+    caps = F.when(F.col("resseq").isin(1, 40), whole * (3.1 + step / 2)).otherwise(whole * step)
+    return areas.select("path", "resseq", F.round("sasa", 4).alias("sasa"), r6("rsa"), (F.abs(F.col("sasa") - caps) < 0.04 * 4 * math.pi * 3.1 * 3.1).alias("near_caps"))
+
+
 def _featured(s: SparkSession, d: str) -> DataFrame:
     """CMP5 over the first structure of each nation; site 60 has no residue."""
     files = an.structures(s, d, 10.0)

@@ -115,9 +115,32 @@ def test_environment(spark, tmp_path):
     assert math.isclose(got[10].hydrophobic_fraction_8a, sum(a in "ACFILMVWY" for a in near) / 4)
 
 
-def test_accessible_area():
-    one = sr.accessible_areas(np.zeros((1, 3)), np.array([1.7]))
-    assert math.isclose(one[0], 4 * math.pi * 3.1**2)
-    two = sr.accessible_areas(np.array([[0.0, 0, 0], [3.0, 0, 0]]), np.array([1.7, 1.7]), 2000)
-    cap = 4 * math.pi * 3.1**2 * (1 + 1.5 / 3.1) / 2
-    assert abs(two[0] - cap) < 0.01 * cap
+AREA_ROWS = "path string, chain_id string, resseq int, icode string, resname string, atom string, element string, x double, y double, z double"
+
+
+def test_accessible_area(spark):
+    at = lambda i, x, path="s", atom="CA": (path, "A", i, "", "ALA", atom, "C", x, 0.0, 0.0)
+    rows = spark.createDataFrame([at(1, 0.0), at(2, 3.0), at(2, 3.0), at(1, 0.0, "alone"), at(1, None, "void"), at(1, 5.0, "same"), at(2, 5.0, "same")], AREA_ROWS)
+    got = {(r.path, r.resseq): r.sasa for r in sr.residue_areas(rows, 2000).collect()}
+    whole = 4 * math.pi * 3.1**2
+    cap = whole * (1 + 1.5 / 3.1) / 2
+    assert math.isclose(got[("alone", 1)], whole) and math.isclose(got[("same", 1)], whole) and math.isclose(got[("same", 2)], whole)
+    assert abs(got[("s", 1)] - cap) < 0.01 * cap and abs(got[("s", 2)] - cap) < 0.01 * cap and len(got) == 5
+    assert sr.residue_areas(rows.limit(0)).count() == 0
+
+
+def test_areas_of_a_crowd_against_all_pairs(spark):
+    """Random atoms of five elements over many cells, on both sides of zero, in two structures that don't touch."""
+    r = random.Random(5)
+    kinds = ("C", "N", "O", "S", "X")
+    rows = [(f"s{k % 2}", "AB"[k % 3 == 0], k // 4, "", "ALA", f"A{k}", kinds[k % 5], *(round(r.uniform(-14, 14), 3) for _ in range(3))) for k in range(600)]
+    got = {(a.path, a.chain_id, a.resseq): a.sasa for a in sr.residue_areas(spark.createDataFrame(rows, AREA_ROWS)).collect()}
+    dots, want = sr.sphere(100), {}
+    for own in rows:
+        reach, centre = sr.RADII.get(own[6], 1.7) + 1.4, np.array(own[7:])
+        free = np.ones(100, bool)
+        for other in rows:
+            if other is not own and other[0] == own[0]:
+                free &= ((centre + dots * reach - np.array(other[7:])) ** 2).sum(axis=1) >= (sr.RADII.get(other[6], 1.7) + 1.4) ** 2
+        want[own[:3]] = want.get(own[:3], 0.0) + 4 * math.pi * reach**2 * free.mean()
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
