@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -33,6 +34,11 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.mkdirs(place)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     files, place = _place(spark, path)
     return files.exists(place)
@@ -76,3 +82,33 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, sorted; nothing if there is no folder."""
+    files, place = _place(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
+
+
+def moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames unless the target is there already: of several that try, one succeeds, where the file system's rename is atomic."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path
+    where = place(target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(place(source), where, spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0))
+    except Py4JJavaError as e:
+        if exists(spark, target):  # what was to be moved may be gone by then
+            return False
+        raise e
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, place = _place(spark, path)
+    stream = files.open(place)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()

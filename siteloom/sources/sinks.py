@@ -9,6 +9,7 @@ import hashlib
 import io
 import json
 import subprocess
+import uuid
 from functools import reduce
 from pathlib import Path
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.operators.sites import KEY, MODEL_KEY, keep_first, most_common
-from siteloom.shared import exists, joined, remove, write_text
+from siteloom.shared import joined, make_folder, moved, names, read_text, remove, write_text
 
 
 def write_csv(rows: DataFrame, path: str, compression: str | None = None) -> None:
@@ -41,17 +42,54 @@ def write_csv(rows: DataFrame, path: str, compression: str | None = None) -> Non
     write_text(spark, f"{path}/_manifest.json", json.dumps({"file": name, "columns": rows.columns, "parts": listed}, indent=1))
 
 
+def _published(spark: SparkSession, path: str) -> int:
+    """Moves the rows of claimed commits, whose run may have died meanwhile, to their places; the number of commits."""
+    claims = names(spark, f"{path}/_log")
+    done = set(names(spark, path))
+    for claim in claims:
+        if f"commit={claim}" not in done:
+            moved(spark, f"{path}/_staged/{read_text(spark, f'{path}/_log/{claim}')}", f"{path}/commit={claim}")
+    return len(claims)
+
+
 def append_new(rows: DataFrame, path: str, keys: tuple[str, ...] = MODEL_KEY) -> None:
-    """SNK2: adds the rows whose key the table lacks; a rerun after a failure adds what is missing."""
+    """SNK2: adds the rows whose key the table lacks; a rerun after a failure adds what is missing.
+
+    A run writes its rows aside, then claims the next commit number by a rename that only one run can win. The
+    loser leaves out the keys that were added meanwhile and tries the number after. A run that dies before its
+    claim has added nothing; one that dies after it has added all, as whoever comes next moves its rows. So
+    a key comes from one run only. Dead runs leave files in ``_staged``, which nothing reads. Rows of one run that
+    share a key all stay; those with a null key part are never found in the table and are added each time.
+    """
     spark = rows.sparkSession
-    if exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
-    rows.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
+    rows, seen, staged = rows.withColumn("written_at", F.current_timestamp()), 0, None
+    while True:
+        n = _published(spark, path)
+        if n > seen:
+            there = spark.read.parquet(path).where(F.col("commit").between(seen + 1, n)).select(*keys)
+            rows = rows.join(there, list(keys), "left_anti")
+        before, own = staged, uuid.uuid4().hex
+        staged = f"{path}/_staged/{own}"
+        rows.write.parquet(staged)
+        if before:
+            remove(spark, before)
+        rows, seen = spark.read.parquet(staged), n
+        if rows.isEmpty():
+            remove(spark, staged)
+            return
+        write_text(spark, f"{staged}.claim", own)
+        make_folder(spark, f"{path}/_log")
+        if moved(spark, f"{staged}.claim", f"{path}/_log/{n + 1:012d}"):
+            _published(spark, path)
+            return
+        remove(spark, f"{staged}.claim")
 
 
 def settled(spark: SparkSession, path: str, keys: tuple[str, ...] = MODEL_KEY) -> DataFrame:
-    """SNK2: the first written row of each key."""
-    return keep_first(spark.read.parquet(path), list(keys), ["written_at"]).drop("written_at")
+    """SNK2: one row of each key, of the commit that added it."""
+    _published(spark, path)
+    rows = spark.read.parquet(path)
+    return keep_first(rows, list(keys), ["commit", "written_at"]).drop("written_at", "commit")
 
 
 def report(rows: DataFrame) -> dict:

@@ -72,6 +72,45 @@ def test_append_resumes_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).select(*MODEL_KEY).distinct().count() == spark.read.parquet(str(tmp_path / "s")).count() == 2
 
 
+def test_interleaved_and_killed_appends(spark, tmp_path, monkeypatch):
+    """Run B adds its rows between the check and the claim of run A; run C dies before its claim, run D after it."""
+    out, keys, real = str(tmp_path / "t"), ("accession",), sk.moved
+    rows = lambda run, *keys: spark.createDataFrame([(k, run) for k in keys], "accession string, run string")
+
+    def at_claim(do):
+        def move(session, source, target):
+            if "/_log/" in target:
+                monkeypatch.setattr(sk, "moved", real)
+                do()
+            return real(session, source, target)
+
+        monkeypatch.setattr(sk, "moved", move)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    held = lambda: sorted((r.accession, r.run) for r in spark.read.parquet(out).collect())
+    at_claim(lambda: sk.append_new(rows("B", "q", "r"), out, keys))
+    sk.append_new(rows("A", "p", "q"), out, keys)
+    assert held() == [("p", "A"), ("q", "B"), ("r", "B")]
+    at_claim(killed)
+    with pytest.raises(KeyboardInterrupt):
+        sk.append_new(rows("C", "s", "t"), out, keys)
+    assert len(held()) == 3
+    published = sk._published
+    monkeypatch.setattr(sk, "_published", lambda session, path: killed() if len(sk.names(session, f"{path}/_log")) > 2 else published(session, path))
+    with pytest.raises(KeyboardInterrupt):
+        sk.append_new(rows("D", "t", "u", "p"), out, keys)
+    monkeypatch.setattr(sk, "_published", published)
+    assert len(held()) == 3 and sk.names(spark, f"{out}/_log")[-1] == f"{3:012d}"
+    for _ in range(2):
+        sk.append_new(rows("E", "p", "s", "t", "u", "v"), out, keys)
+    want = [("p", "A"), ("q", "B"), ("r", "B"), ("s", "E"), ("t", "D"), ("u", "D"), ("v", "E")]
+    assert held() == want == sorted((r.accession, r.run) for r in sk.settled(spark, out, keys).collect())
+    sk.append_new(rows("F", "w").limit(0), out, keys)
+    assert held() == want
+
+
 def test_csv_sink_reports_and_config(spark, tmp_path):
     sk.write_csv(spark.createDataFrame([("P2", 1), ("P1", 5), ("P1", 2), (None, 1)], "accession string, position int"), str(tmp_path / "o"))
     (f,) = (tmp_path / "o").glob("part*.csv")
