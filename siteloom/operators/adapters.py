@@ -33,7 +33,8 @@ class Backend(Protocol):
     """One pass of a network over a chain.
 
     ``letters`` names its columns. ``predict`` gives a row a place, each a distribution, as the network
-    sees the chain with the places in ``hidden`` out of its sight. ``usable`` needs no pass.
+    sees the chain with the places in ``hidden`` out of its sight. ``usable`` needs no pass. A backend that can
+    take several chains in a pass may have ``predict_many``, with a list of predict's arguments.
     """
 
     letters: str
@@ -82,6 +83,18 @@ class EchoNetwork:
         return [sequence] * n
 
 
+class StepNetwork(EchoNetwork):
+    """A backend without weights whose answer depends on the place, the order, how much is hidden, and the next residue if it is seen."""
+
+    letters = v.ALPHABET[::-1]
+
+    def predict(self, sequence: str, places: list[int], hidden: list[int], order: int) -> np.ndarray:
+        at = np.array([v.ALPHABET.index(c) for c in self.letters])
+        seen = np.array([v.ALPHABET.index(sequence[p + 1]) if p + 1 < len(sequence) and p + 1 not in hidden else len(at) for p in places])
+        weights = 1.0 + (7 * at + 3 * np.array(places)[:, None] + 5 * order + 11 * len(hidden) + 17 * seen[:, None]) % 13
+        return weights / weights.sum(axis=1, keepdims=True)
+
+
 class WeightedModel:
     """UDF5-UDF7: scorer, and designer where the model can write, around a backend.
 
@@ -123,19 +136,31 @@ class WeightedModel:
 
     def probabilities(self, sequence: str, places: list[int]) -> np.ndarray:
         """(orders, places, alphabet); a place that the backend can't evaluate raises before any pass."""
-        usable = self.decodable(sequence)
-        bad = [p for p in places if not 0 <= p < len(usable) or not usable[p]]
-        if bad:
-            raise IncompleteBackboneError(f"incomplete_backbone_at_model_index_{bad}")
+        return self.probabilities_many([sequence], [places])[0]
+
+    def probabilities_many(self, sequences: list[str], places: list[list[int]]) -> list[np.ndarray]:
+        """probabilities() of several chains; each pass of the network takes all of them once."""
+        for sequence, asked in zip(sequences, places):
+            usable = self.decodable(sequence)
+            bad = [p for p in asked if not 0 <= p < len(usable) or not usable[p]]
+            if bad:
+                raise IncompleteBackboneError(f"incomplete_backbone_at_model_index_{bad}")
+        together = getattr(self.backend, "predict_many", lambda asks: [self.backend.predict(*ask) for ask in asks])
         letters = [self.backend.letters.index(c) for c in v.ALPHABET if c in self.backend.letters]
         columns = [i for i, c in enumerate(v.ALPHABET) if c in self.backend.letters]
-        out = np.zeros((self.n_orders, len(places), len(v.ALPHABET)))
+        out = [np.zeros((self.n_orders, len(asked), len(v.ALPHABET))) for asked in places]
         for order in range(self.n_orders):
             if self.mask_mode == "single":
-                rows = self.backend.predict(sequence, places, [], self.seed + order)
+                rows = together([(s, asked, [], self.seed + order) for s, asked in zip(sequences, places)])
             else:
-                rows = np.concatenate([self.backend.predict(sequence, [p], [q for q in places if q != p], self.seed + order) for p in places])
-            out[order][:, columns] = np.asarray(rows)[:, letters]
+                parts: list[list] = [[] for _ in places]
+                for k in range(max(map(len, places), default=0)):
+                    some = [i for i, asked in enumerate(places) if k < len(asked)]
+                    for i, row in zip(some, together([(sequences[i], [places[i][k]], [q for q in places[i] if q != places[i][k]], self.seed + order) for i in some])):
+                        parts[i].append(row)
+                rows = [np.concatenate(p) for p in parts]
+            for own, row in zip(out, rows):
+                own[order][:, columns] = np.asarray(row)[:, letters]
         return out
 
     def design(self, sequence: str, n_designs: int, temperature: float, seed: int) -> list[str]:

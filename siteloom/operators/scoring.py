@@ -21,7 +21,8 @@ from siteloom.operators.structures import aligned
 class SequonScorer(Protocol):
     """UDF1: a model that gives each place of a chain a distribution over the alphabet, in several orders.
 
-    ``probabilities`` must raise for a place that it didn't evaluate; it must never invent a score.
+    ``probabilities`` must raise for a place that it didn't evaluate; it must never invent a score. A model that
+    takes several chains at once has ``probabilities_many`` too, with lists of both arguments.
     """
 
     def describe(self) -> dict[str, object]: ...
@@ -93,16 +94,31 @@ def load(name: str, **options):
     return _MODELS[name](**{k: o for k, o in options.items() if o is not None})
 
 
+def packed(lengths: list[int], slots: int = v.DESIGN_SLOTS) -> list[list[int]]:
+    """FN33: which of the chains go together: by length, as many as keep within the slots when each takes as many as the longest of them.
+
+    A chain that is longer than the slots goes alone.
+    """
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if out and (len(out[-1]) + 1) * lengths[i] <= slots:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 CHAIN = ("structure_pdb_id", "structure_chain_id")
 SCORED = "n_decoding_orders int, conditional_sequon_score double, conditional_sequon_score_sd double, probs_n array<double>, probs_plus1 array<double>, probs_plus2 array<double>, error string"
 
 
-def score_chains(manifest: DataFrame, sequences: DataFrame, model: str, **options) -> DataFrame:
+def score_chains(manifest: DataFrame, sequences: DataFrame, model: str, slots: int = v.DESIGN_SLOTS, **options) -> DataFrame:
     """UDF1, SNK3, AGG31: manifest rows scored chain by chain; what raised has an error and no score.
 
     manifest has MODEL_KEY and the three model indices; sequences (structure_pdb_id, structure_chain_id,
-    sequence). A chain is one group, its places computed once; order-averaged vectors go out, never whole
-    tensors.
+    sequence). Order-averaged vectors go out, never whole tensors. The sites of the chains in an Arrow batch go
+    to the model in packs of like length within ``slots`` residues, if it takes several; if a pack raises, its
+    sites are tried one by one, so that only what is at fault fails.
     """
     factory = _MODELS[model] if model in _MODELS else load(model)
     chosen = {k: o for k, o in options.items() if o is not None}
@@ -115,27 +131,39 @@ def score_chains(manifest: DataFrame, sequences: DataFrame, model: str, **option
         p = np.clip(p, 1e-6, 1 - 1e-6)
         return np.log(p / (1 - p))
 
-    def one(own, sequence: str | None, places: list) -> list:
-        if sequence is None:
-            raise ValueError("chain_not_found")
-        p = own.probabilities(sequence, [int(i) for i in places])
+    def checked(p: np.ndarray) -> list:
         if (np.abs(p.sum(axis=2) - 1) > 1e-3).any() or p.min() < 0 or p.max() > 1 + 1e-3:
             raise ValueError("not_a_distribution")
         each = (odds(p[:, 0, at("N")]) + odds(p[:, 2, at("S")] + p[:, 2, at("T")])) / 2
         return [len(p), each.mean(), each.std(ddof=1) if len(each) > 1 else 0.0, *(m.tolist() for m in p.mean(axis=0)), None]
 
+    def one(own, sequence: str | None, places: list) -> list:
+        try:
+            if sequence is None:
+                raise ValueError("chain_not_found")
+            return checked(own.probabilities(sequence, [int(i) for i in places]))
+        except Exception as e:  # a failure is a row of its own
+            return [*[None] * 6, f"{type(e).__name__}: {str(e)[:120]}"]
+
+    def several(own, asked: list[tuple[str | None, list]]) -> list[list]:
+        found = [None] * len(asked)
+        if hasattr(own, "probabilities_many"):
+            whole = [i for i, (sequence, places) in enumerate(asked) if sequence is not None and None not in places]
+            for pack in packed([len(asked[i][0]) for i in whole], slots):
+                mine = [whole[k] for k in pack]
+                try:
+                    for i, p in zip(mine, own.probabilities_many([asked[i][0] for i in mine], [[int(k) for k in asked[i][1]] for i in mine]), strict=True):
+                        found[i] = checked(p)
+                except Exception:  # whose fault it is shows below
+                    for i in mine:
+                        found[i] = None
+        return [f if f is not None else one(own, *a) for f, a in zip(found, asked)]
+
     def run(batches):
         own = factory(**chosen)
         for pdf in batches:
-            out = []
-            for pdb_id, chain_id, sequence, sites in zip(pdf["structure_pdb_id"], pdf["structure_chain_id"], pdf["sequence"], pdf["sites"]):
-                for s in sites:
-                    base = [s["accession"], s["position"], pdb_id, chain_id]
-                    try:
-                        out.append([*base, *one(own, sequence, [s[c] for c in index])])
-                    except Exception as e:  # a failure is a row of its own
-                        out.append([*base, *[None] * 6, f"{type(e).__name__}: {str(e)[:120]}"])
-            yield pd.DataFrame(out, columns=names)
+            rows = [((s["accession"], s["position"], pdb_id, chain_id), (sequence, [s[c] for c in index])) for pdb_id, chain_id, sequence, sites in zip(pdf["structure_pdb_id"], pdf["structure_chain_id"], pdf["sequence"], pdf["sites"]) for s in sites]
+            yield pd.DataFrame([[*base, *got] for (base, _), got in zip(rows, several(own, [asked for _, asked in rows]))], columns=names)
 
     # a chain's sequence goes out once, with all its places
     rows = manifest.groupBy(*CHAIN).agg(F.collect_list(F.struct(*site, *index)).alias("sites")).join(sequences.select(*CHAIN, "sequence"), list(CHAIN), "left")

@@ -380,12 +380,12 @@ def _(s, d):
     return s.createDataFrame([(m,) for m in sc.available()], "model string")
 
 
-def _weighted(name: str, mask: str):
+def _weighted(name: str, mask: str, network: type = ad.EchoNetwork):
     """A query that scores every supplier's two motifs by the model's own steps around that network."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
         def factory():
-            ad.register_backend(name, ad.EchoNetwork)
+            ad.register_backend(name, network)
             return ad.WeightedModel(name, mask_mode=mask)
 
         sc.register(f"{name}-{mask}-echo", factory)
@@ -411,6 +411,21 @@ add("UDF6", _weighted_sql("esm_if", "single", 1, _RIGHT))(_weighted("esm_if", "s
 add("UDF7", _weighted_sql("esmc", "single", 1, _RIGHT))(_weighted("esmc", "single"))
 
 
+def _stepped_sql(model: str, mask: str, orders: int) -> str:
+    """What StepNetwork gives at the first and third residue of a motif; with joint masks it can't see the second beside the first."""
+    hidden, beside = (2, "21") if mask == "joint" else (0, f"(instr('{v.ALPHABET}', sequence[position + 1]) - 1)")
+    weight = lambda k, place, seen: f"(1 + (7 * {k} + 3 * ({place}) + 5 * o + {11 * hidden} + 17 * {seen}) % 13)"
+    share = lambda letters, place, seen: "(" + " + ".join(weight(v.ALPHABET.index(c), place, seen) for c in letters) + f") / list_sum(list_transform(range(21), lambda k: {weight('k', place, seen)}))"
+    last = f"(instr('{v.ALPHABET}', sequence[position + 3]) - 1)"
+    return f"""WITH {_ASKED}, q AS (SELECT accession, position, structure_pdb_id, {share("N", "position - 1", beside)} n, {share("ST", "position + 1", last)} st FROM asked, (SELECT unnest(range({orders})) o) WHERE position < 39 AND k % 11 <> 0)
+SELECT accession, position, structure_pdb_id, CAST(count(*) AS INTEGER) n_decoding_orders, '{ad.MODELS[model]["checkpoint"]}' model, '{ad.MODELS[model]["masks"][mask]}' conditioning, round(avg((ln(n / (1 - n)) + ln(st / (1 - st))) / 2), 6) score FROM q GROUP BY 1, 2, 3"""
+
+
+add("UDF5_network", _stepped_sql("proteinmpnn", "joint", 8))(_weighted("proteinmpnn", "joint", ad.StepNetwork))
+add("UDF6_network", _stepped_sql("esm_if", "single", 1))(_weighted("esm_if", "single", ad.StepNetwork))
+add("UDF7_network", _stepped_sql("esmc", "joint", 1))(_weighted("esmc", "joint", ad.StepNetwork))
+
+
 @add("UDF10", "SELECT 'cpu' AS device, true AS refused")
 def _(s, d):
     """Where no accelerator is there, and no folder holds the weights."""

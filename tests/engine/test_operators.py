@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import itertools
 import math
@@ -149,6 +150,44 @@ def test_scoring_failures_are_rows(spark):
         sc.load("unknown")
 
 
+def test_chains_in_packs(spark, tmp_path):
+    """Packs keep within the slots, results are those of one chain at a time, a pack that fails fails nobody."""
+
+    class Packing(sc.HashModel):
+        """Writes down what it is given at once; fails as a whole if any chain has a W."""
+
+        def __init__(self, log, **options):
+            super().__init__(**options)
+            self.log = log
+
+        def probabilities_many(self, sequences, places):
+            with open(self.log, "a") as f:
+                f.write(" ".join(str(len(s)) for s in sequences) + "\n")
+            if any("W" in s for s in sequences):
+                raise RuntimeError("out of memory")
+            return [self.probabilities(s, p) for s, p in zip(sequences, places)]
+
+    assert sc.packed([5, 3, 9, 3, 20], 10) == [[1, 3], [0], [2], [4]] and sc.packed([], 10) == [] and sc.packed([0, 0, 1], 1) == [[0, 1], [2]]
+    r = random.Random(1)
+    letters = [("".join(r.choice("ACDNSTX") for _ in range(r.randint(4, 60)))) for _ in range(80)] + ["NASW" * 3, None, ""]
+    chains = spark.createDataFrame([(f"s{k}", "A", c) for k, c in enumerate(letters)], "structure_pdb_id string, structure_chain_id string, sequence string")
+    asked = [("P", k, f"s{k}", "A", i, i + 1, i + 2) for k in range(len(letters)) for i in (0, 1)] + [("P", 0, "s0", "A", None, 1, 2)]
+    manifest = spark.createDataFrame(asked, "accession string, position int, structure_pdb_id string, structure_chain_id string, n_model_index int, plus1_model_index int, plus2_model_index int")
+    log = str(tmp_path / "packs")
+    sc.register("packing", functools.partial(Packing, log))
+    try:
+        key = lambda row: str(row)
+        want = sorted((tuple(x) for x in sc.score_chains(manifest, chains, "hash", n_orders=2).collect()), key=key)
+        for slots in (100, 7, 6000):
+            open(log, "w").close()
+            rows = sc.score_chains(manifest.orderBy(F.rand(slots)), chains, "packing", slots=slots, n_orders=2)
+            assert sorted((tuple(x) for x in rows.collect()), key=key) == want
+            packs = [[int(n) for n in line.split()] for line in open(log) if line.strip()]
+            assert all(len(p) == 1 or len(p) * max(p) <= slots for p in packs) and (slots < 100 or max(map(len, packs)) > 2)
+    finally:
+        sc.unregister("packing")
+
+
 def test_segments(spark):
     rows = spark.createDataFrame([(0, 2.0), (0, 3.0), (2, 5.0)], "index long, src double")
     got = {r["index"]: (r["sum"], r["mean"], r["mul"]) for r in sc.segment_reduce(rows, 4).collect()}
