@@ -9,6 +9,7 @@ from itertools import product
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from siteloom.functions.exprs import half_even
 from siteloom.operators.graph import components, cut
@@ -69,27 +70,70 @@ def greedy_pairs(edges: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     The order is the md5 of seed and key, the same for any partitioning and in other engines. Taking turns
     gives the one stable matching of cases that like near controls and controls that like early cases, so
     it is found in rounds: every case asks for the k nearest it may still get, and where an earlier case
-    asks for a control, later ones lose it. A round is two grouped passes over the edges that are left, and
-    no task ever holds a component of the graph.
+    asks for a control, later ones lose it. A round is two grouped passes over the edges that are left.
+    Cases that like the same controls in the same order settle one a round, so after PATIENCE rounds the
+    components of at most SMALL edges are finished in turn, many in a task; only larger ones go on.
     """
     return _rounds(edges.withColumn("seed", F.lit(seed)), k).drop("seed")
 
 
+#: rounds between looks at the components, and the most edges of one that a task finishes
+PATIENCE, SMALL = 8, 100_000
+
+
+def _finished(left: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of the components with SMALL edges or fewer, and the edges of the others.
+
+    Edges that earlier rounds took away can't be missed: somebody earlier has their control. A group of
+    components holds about SMALL edges.
+    """
+    key = ["seed", "case_accession", "case_position", "control_accession", "control_position"]
+    name = lambda side: F.concat_ws("\x1f", F.col("seed").cast("string"), F.lit(side), f"{side}_accession", f"{side}_position")
+    found = components(left.select(name("case").alias("a"), name("control").alias("b")))
+    rows = cut(left.withColumn("node", name("case")).join(found, "node").drop("node"))
+    rows = rows.join(rows.groupBy("component").agg(F.count("*").alias("n_edges")), "component")
+    small = cut(rows.where(F.col("n_edges") <= SMALL).select(*key, "distance", F.col("turn.turn").alias("turn"), "component"))
+    groups = max(1, -(-small.count() // SMALL))
+    columns = [*key, "distance"]
+
+    def turns(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, had, out = set(), {}, []
+        order = pdf.sort_values(["seed", "turn", "case_accession", "case_position", "distance", "control_accession", "control_position"])
+        for row in order[columns].itertuples(index=False, name=None):
+            case, control = row[:3], (row[0], *row[3:5])
+            if had.get(case, 0) < k and control not in taken:
+                taken.add(control)
+                had[case] = had.get(case, 0) + 1
+                out.append((*row, had[case]))
+        return pd.DataFrame(out, columns=[*columns, "match_rank"])
+
+    schema = StructType([*small.select(*columns).schema.fields, StructField("match_rank", IntegerType())])
+    pairs = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(groups))).applyInPandas(turns, schema)
+    return cut(pairs), cut(rows.where(F.col("n_edges") > SMALL).select(*left.columns))
+
+
 def _rounds(edges: DataFrame, k: int) -> DataFrame:
     """Greedy pairs for each value of the column seed."""
     turn = F.md5(F.concat_ws("-", *(F.col(c).cast("string") for c in ("seed", "case_accession", "case_position"))))
     case, control = ["seed", "case_accession", "case_position"], ["seed", "control_accession", "control_position"]
-    left = cut(edges.select(*case, *control[1:], "distance", F.struct(turn, "case_accession", "case_position").alias("turn")))
+    left = cut(edges.select(*case, *control[1:], "distance", F.struct(turn.alias("turn"), "case_accession", "case_position").alias("turn")))
     near = Window.partitionBy(*case).orderBy("distance", "control_accession", "control_position")
-    n = left.count()
+    n, rounds, done = left.count(), 0, []
     while True:
         asked = left.withColumn("match_rank", F.row_number().over(near))
         first = F.min(F.when(F.col("match_rank") <= k, F.col("turn"))).over(Window.partitionBy(*control))
         after = cut(asked.withColumn("first", first).where(F.col("first").isNull() | (F.col("turn") <= F.col("first"))).drop("first"))
         n, before = after.count(), n
         if n == before:
-            return after.where(F.col("match_rank") <= k).select(*case, *control[1:], half_even(F.col("distance"), 4).alias("distance"), F.col("match_rank").cast("int").alias("match_rank"))
-        left = after.drop("match_rank")
+            done.append(after.where(F.col("match_rank") <= k))
+            break
+        left, rounds = after.drop("match_rank"), rounds + 1
+        if rounds % PATIENCE == 0:
+            pairs, left = _finished(left, k)
+            done.append(pairs)
+            n = left.count()
+    found = [d.select(*case, *control[1:], half_even(F.col("distance"), 4).alias("distance"), F.col("match_rank").cast("int").alias("match_rank")) for d in done]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def optimal_pairs(edges: DataFrame) -> DataFrame:

@@ -209,6 +209,45 @@ def test_greedy_equals_taking_turns(spark):
     assert {r.seed: r["count"] for r in both} == {s: ma.greedy_pairs(edges, 1, s).count() for s in (0, 7)}
 
 
+def _in_turn(rows, k, seed):
+    turn = lambda a: hashlib.md5(f"{seed}-{a}-1".encode()).hexdigest()
+    taken, want, by_case = set(), {}, {}
+    for case, control, d in rows:
+        by_case.setdefault(case, []).append((d, control))
+    for case in sorted(by_case, key=lambda a: (turn(a), a)):
+        near = [e for e in sorted(by_case[case]) if e[1] not in taken][:k]
+        taken |= {c for _, c in near}
+        want |= {(case, c): i + 1 for i, (_, c) in enumerate(near)}
+    return want
+
+
+def test_greedy_chains_and_crowds_take_few_rounds(spark, monkeypatch):
+    """A chain of 1,000 cases, each of which waits for the one before it, and cases that all like the same controls."""
+    calls, real = [], ma.cut
+    monkeypatch.setattr(ma, "cut", lambda df: calls.append(1) or real(df))
+    chain = sorted((f"c{i}" for i in range(1000)), key=lambda a: hashlib.md5(f"3-{a}-1".encode()).hexdigest())
+    rows = [(c, f"t{i + j}", 0.1 * (j + 1)) for i, c in enumerate(chain) for j in (-1, 0) if i + j >= 0]
+    rows = [(c, t, 0.1 if int(t[1:]) < i else 0.2) for i, c in enumerate(chain) for _, t, _ in rows[max(0, 2 * i - 1) : 2 * i + 1]]
+    rows += [(f"d{i}", f"u{j}", 0.01 * j) for i in range(40) for j in range(30)]
+    schema = "case_accession string, control_accession string, distance double, case_position int, control_position int"
+    edges = spark.createDataFrame([(*r, 1, 1) for r in rows], schema)
+    got = {(r.case_accession, r.control_accession): r.match_rank for r in ma.greedy_pairs(edges, 1, 3).collect()}
+    assert got == _in_turn(rows, 1, 3) and len(got) == 1030 and len(calls) < 20
+    assert [got[c, f"t{i}"] for i, c in enumerate(chain)] == [1] * 1000
+
+
+def test_greedy_finishes_small_components_only(spark, monkeypatch):
+    """With a low bound some components are finished in tasks and others in rounds; several seeds at once."""
+    monkeypatch.setattr(ma, "PATIENCE", 1)
+    r = random.Random(2)
+    rows = [(f"{g}-{i}", f"{g}-{j}", round(r.random(), 1)) for g in range(6) for i in range(3 + g) for j in range(2 + g)]
+    edges = spark.createDataFrame([(*x, 1, 1) for x in rows], "case_accession string, control_accession string, distance double, case_position int, control_position int")
+    for small in (25,):
+        monkeypatch.setattr(ma, "SMALL", small)
+        got = {(x.seed, x.case_accession, x.control_accession): x.match_rank for x in ma.seed_sweep(edges, [1, 2], 2).collect()}
+        assert got == {(s, *key): n for s in (1, 2) for key, n in _in_turn(rows, 2, s).items()}
+
+
 def test_subtypes_of_pairs_are_checked(spark):
     pairs = spark.createDataFrame([("a", 1, "b", 1)], "case_accession string, case_position int, control_accession string, control_position int")
     one = lambda a, s: spark.createDataFrame([(a, 1, s)], "accession string, position int, subtype string")
