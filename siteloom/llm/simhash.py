@@ -102,7 +102,8 @@ def _sent(fps: DataFrame, threshold: int, name: str) -> DataFrame:
 def links(fps: DataFrame, threshold: int) -> DataFrame:
     """Distinct fingerprints (fp) -> every pair (a, b), a < b, at threshold or fewer differing bits, once."""
     home, visit = _sent(fps, 0, "a"), _sent(fps, threshold, "b")
-    return home.join(visit, (home.anchor == visit.anchor) & (home.a < visit.b) & (F.bit_count(home.a.bitwiseXOR(visit.b)) <= threshold)).select("a", "b")
+    # visitors are many times the fingerprints, which Spark's estimate can't know: neither side may be sent to all tasks
+    return home.hint("merge").join(visit, (home.anchor == visit.anchor) & (home.a < visit.b) & (F.bit_count(home.a.bitwiseXOR(visit.b)) <= threshold)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> DataFrame:

@@ -61,3 +61,10 @@ def test_repeated_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (0, "a b c d")], "doc_id long, text string")
     assert sorted((x.doc_id, x.component_id) for x in s.near_duplicates(docs).collect()) == [(0, 0), (1, 0), (1, 0)]
     assert s.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_visitors_are_never_broadcast(spark):
+    """A table of fingerprints is small by its files, what it sends to the anchors is not."""
+    fps = spark.createDataFrame([(i * 7919,) for i in range(2000)], "fp long").repartition(2)
+    plan = s.links(fps, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
