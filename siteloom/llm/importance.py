@@ -1,7 +1,9 @@
 """Importance resampling towards a target distribution, over a sparse document-by-bucket count matrix.
 
-Features (runs of words) are hashed into buckets. The counts are persisted as CSR blocks, each of some
-documents: where a document's entries begin, their buckets, their counts. Column sums of the matrix give
+Features (runs of words) are hashed into buckets. The counts are made as CSR blocks, each of some
+documents: where a document's entries begin, their buckets, their counts. They are persisted with a row a
+document, so that a reader holds some thousand documents and not some thousand blocks; the lists of a
+batch that is read are a CSR block again, their offsets being where documents begin. Column sums of the matrix give
 the corpus's distribution, those of the target's matrix the other; the logarithm of their ratio is a
 bucket's gain, and the product of the matrix with the gains gives the documents' weights. Gumbel noise
 that depends on doc_id alone makes the highest scores a draw without replacement.
@@ -12,20 +14,22 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import Scratch, parallelism
 
 #: Documents of a block, and about how many entries it may have before it is closed.
-ROWS, ENTRIES = 2000, 2_000_000
+ROWS, ENTRIES = 2000, 1 << 18
 #: Buckets of words that a task remembers.
 KNOWN = 1 << 18
 BLOCK = "doc_id array<long>, n_words array<long>, n_features array<long>, starts array<long>, bucket array<int>, times array<int>"
+ROW = "doc_id long, n_words long, n_features long, bucket array<int>, times array<int>"
 #: Letters A-Z become small, digits, small letters and all bytes beyond ASCII stay, all else parts words.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -49,17 +53,15 @@ class Buckets(dict):
         return found
 
 
-def count_blocks(texts: DataFrame, key: str, longest: int, buckets: int) -> DataFrame:
-    """CSR blocks of a table of texts: in each, document i has the entries from starts[i] to starts[i + 1]."""
+def _counted(texts: DataFrame, key: str, longest: int, buckets: int, made: Callable, schema: str) -> DataFrame:
+    """What ``made`` makes of each CSR block: (doc_id, n_words, n_features, starts, bucket, times)."""
 
     def block(keys: list, words: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(x) for x in found], np.int64)
         row = np.repeat(np.arange(len(found)), sizes)
         cell, times = np.unique(row * buckets + np.concatenate(found), return_counts=True)
         starts = np.searchsorted(cell, np.arange(len(found) + 1) * buckets)
-        columns = (keys, words, sizes, starts, (cell % buckets).astype(np.int32), times.astype(np.int32))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(k)) for x, k in zip(columns, kinds)], names=["doc_id", "n_words", "n_features", "starts", "bucket", "times"])
+        return made(keys, words, sizes, starts, (cell % buckets).astype(np.int32), times.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Buckets(buckets)
@@ -78,11 +80,28 @@ def count_blocks(texts: DataFrame, key: str, longest: int, buckets: int) -> Data
         if keys:
             yield block(keys, words, found)
 
-    return texts.select(F.col(key).cast("long"), "text").mapInArrow(run, BLOCK)
+    return texts.select(F.col(key).cast("long"), "text").mapInArrow(run, schema)
+
+
+def count_blocks(texts: DataFrame, key: str, longest: int, buckets: int) -> DataFrame:
+    """CSR blocks of a table of texts: in each, document i has the entries from starts[i] to starts[i + 1]."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    names = ["doc_id", "n_words", "n_features", "starts", "bucket", "times"]
+    return _counted(texts, key, longest, buckets, lambda *own: pa.RecordBatch.from_arrays([pa.array([x], pa.list_(k)) for x, k in zip(own, kinds)], names=names), BLOCK)
+
+
+def count_rows(texts: DataFrame, key: str, longest: int, buckets: int) -> DataFrame:
+    """The same with a row a document."""
+
+    def rows(keys: list, words: list[int], sizes: np.ndarray, starts: np.ndarray, bucket: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        entries = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x)) for x in (bucket, times)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.int64()), pa.array(sizes), *entries], names=["doc_id", "n_words", "n_features", "bucket", "times"])
+
+    return _counted(texts, key, longest, buckets, rows, ROW)
 
 
 def column_sums(blocks: DataFrame, buckets: int) -> np.ndarray:
-    """How often each bucket occurs. Each task adds up its blocks; at most ``buckets`` numbers reach the driver."""
+    """How often each bucket occurs, from blocks or rows. Each task adds up its own; at most ``buckets`` numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
@@ -110,21 +129,21 @@ def noise(doc_id: int, seed: int) -> int:
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-def weights(blocks: DataFrame, gain: np.ndarray, seed: int) -> DataFrame:
-    """(doc_id, n_words, n_features, weight, score): each block times the gains, over the number of features."""
-    sent = blocks.sparkSession.sparkContext.broadcast(gain)
+def weights(counts: DataFrame, gain: np.ndarray, seed: int) -> DataFrame:
+    """(doc_id, n_words, n_features, weight, score): the rows of counts, a batch at a time, times the gains, over the number of features."""
+    sent = counts.sparkSession.sparkContext.broadcast(gain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, words, n, starts, at, times = (batch.column(c)[i].values for c in range(6))
-                n, starts = n.to_numpy(), starts.to_numpy()
-                upto = np.concatenate(([0], np.cumsum(sent.value[at.to_numpy()] * times.to_numpy())))
-                weight = np.where(n > 0, (upto[starts[1:]] - upto[starts[:-1]]) // np.maximum(n, 1), 0)
-                score = [None if k is None else w + noise(k, seed) for k, w in zip(ids.to_pylist(), weight.tolist())]
-                yield pa.RecordBatch.from_arrays([ids, words, pa.array(n), pa.array(weight), pa.array(score, pa.int64())], names=["doc_id", "n_words", "n_features", "weight", "score"])
+            ids, words, n = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+            at, times = (batch.column(c).flatten().to_numpy() for c in (3, 4))
+            starts = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column(3)).to_numpy())))
+            upto = np.concatenate(([0], np.cumsum(sent.value[at] * times)))
+            weight = np.where(n > 0, (upto[starts[1:]] - upto[starts[:-1]]) // np.maximum(n, 1), 0)
+            score = [None if k is None else w + noise(k, seed) for k, w in zip(ids.to_pylist(), weight.tolist())]
+            yield pa.RecordBatch.from_arrays([ids, words, pa.array(n), pa.array(weight), pa.array(score, pa.int64())], names=["doc_id", "n_words", "n_features", "weight", "score"])
 
-    return blocks.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long, score long")
+    return counts.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long, score long")
 
 
 def with_rank(scored: DataFrame, able: str, percent: int, scratch: Scratch) -> DataFrame:
@@ -153,10 +172,10 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, least_words:
     are smoothed evenly; an empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "importance")
-    blocks = scratch.write(count_blocks(docs, "doc_id", longest, buckets), "counts")
+    counts = scratch.write(count_rows(docs, "doc_id", longest, buckets), "counts")
     wanted = count_blocks(target.select(F.lit(0).alias("doc_id"), "text"), "doc_id", longest, buckets)
-    gain = gains(column_sums(blocks, buckets), column_sums(wanted, buckets))
-    scored = scratch.write(weights(blocks, gain, seed), "scored")
+    gain = gains(column_sums(counts, buckets), column_sums(wanted, buckets))
+    scored = scratch.write(weights(counts, gain, seed), "scored")
     return with_rank(scored, f"doc_id is not null and n_words >= {least_words}", percent, scratch).drop("n_words")
 
 

@@ -81,3 +81,13 @@ def test_blocks_are_csr(spark):
     assert dict(zip(b.bucket[:2], b.times[:2])) == {bucket["a"]: 2, bucket["b"]: 1} and b.bucket[2] == bucket["b"]
     total = m.column_sums(m.count_blocks(docs, "doc_id", 1, 10_000), 10_000)
     assert total[bucket["a"]] == 2 == total[bucket["b"]] and int(np.sum(total)) == 4
+
+
+def test_counts_are_kept_by_document(spark):
+    """A reader holds thousands of rows at once, so a row must not be a block of thousands of documents."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (None, None), (3, "b")], "doc_id long, text string").coalesce(1)
+    rows = m.count_rows(docs, "doc_id", 1, 10_000).collect()
+    bucket = {w: zlib.crc32(w.encode()) % 10_000 for w in "ab"}
+    assert [(r.doc_id, r.n_features, dict(zip(r.bucket, r.times))) for r in rows] == [(1, 3, {bucket["a"]: 2, bucket["b"]: 1}), (2, 0, {}), (None, 0, {}), (3, 1, {bucket["b"]: 1})]
+    blocks, kept = (m.column_sums(f(docs, "doc_id", 1, 10_000), 10_000) for f in (m.count_blocks, m.count_rows))
+    assert (blocks == kept).all()
