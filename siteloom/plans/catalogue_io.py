@@ -6,7 +6,7 @@ import json
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom import config
@@ -144,7 +144,11 @@ def _sites(s: SparkSession, d: str) -> DataFrame:
 def _(s, d):
     path = f"{own_folder(s, 'snk1')}/sites"
     sk.write_csv(_sites(s, d), path)
-    lines = s.read.text(path).withColumn("line", F.monotonically_increasing_id()).where("line > 0")  # one file, whose first line is the head
+    # one file, whose first line is the head; it may be read in several blocks, and not in their order
+    lines = s.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    blocks = blocks.select("block", "first", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a block
+    lines = lines.join(F.broadcast(blocks), "block").withColumn("line", F.col("at") - F.col("first") + F.col("before")).where("line > 0")
     parts = F.split("value", ",")
     return lines.select(parts[0].alias("accession"), parts[1].cast("int").alias("position"), "line")
 

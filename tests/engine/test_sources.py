@@ -155,3 +155,20 @@ def test_ordered_file_of_many_parts(spark, tmp_path):
     sk.write_csv(spark.createDataFrame([], "b string"), str(tmp_path / "e"))
     assert (tmp_path / "e" / "part-00000.csv").read_text() == "b\n"
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_line_numbers_of_a_file_read_in_blocks(spark):
+    """A written file is read in several blocks, the largest first: lines still count from its start."""
+    from siteloom.plans import catalogue
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = catalogue.queries()["SNK1"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    by_line = sorted((r.line, r.accession, r.position) for r in rows)
+    assert [x[0] for x in by_line] == list(range(1, len(rows) + 1)) and len(rows) > 700
+    assert [x[1:] for x in by_line] == sorted(x[1:] for x in by_line)
