@@ -286,3 +286,77 @@ def test_one_to_one_and_missing_scores(spark):
         st.one_to_one(a, a.unionAll(a).withColumnRenamed("v", "w"), ["k"])
     scores = spark.createDataFrame([(1, float("nan")), (2, 3.0)], "k int, score double")
     assert [tuple(r) for r in inf.with_scores(a, scores, ["k"]).collect()] == [(2, "y", 3.0)]
+
+
+def crowd(spark, seed, n):
+    """Points of a coarse grid, so that many are equal, many distances tie, and many keys share a point."""
+    r = random.Random(seed)
+    return spark.createDataFrame([(f"{seed}-{i}", 1, r.choice("ab"), r.randrange(12), round(900 + r.randrange(40) / 10, 1)) for i in range(n)], "accession string, position int, kind string, f int, g double")
+
+
+def by_hand(a, b, caliper):
+    """(case, control) -> distance as SQL has it: differences are scaled, not values."""
+    x, y = a.collect(), b.collect()
+    s, t = (float(np.std([r[c] for r in (*x, *y)], ddof=1)) for c in "fg")
+    every = {(p.accession, q.accession): math.sqrt(((p.f - q.f) / s) ** 2 + ((p.g - q.g) / t) ** 2) for p in x for q in y if p.kind == q.kind}
+    return {k: d for k, d in every.items() if d <= caliper}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_controls_of_a_crowd(spark, k):
+    a, b = crowd(spark, 1, 150), crowd(spark, 2, 900)
+    near = by_hand(a, b, 0.5)
+    want = {(p, q): i + 1 for p in {p for p, _ in near} for i, (_, q) in enumerate(sorted((round(d, 12), q) for (c, q), d in near.items() if c == p)[:k])}
+    got = {(r.case_accession, r.control_accession): r.match_rank for r in ma.nearest_controls(a, b, ["f", "g"], 0.5, ("kind",), k).collect()}
+    edges = {(r.case_accession, r.control_accession): r.match_rank for r in ma.nearest(ma.caliper_edges(a, b, ["f", "g"], 0.5, ("kind",)), k).collect()}
+    assert got == edges and len(got) > 300 * k / 3
+    ranks = lambda rows: {(c, n): round(near[c, q], 9) for (c, q), n in rows.items()}
+    assert ranks(got) == ranks(want)
+
+
+def test_equal_differences_are_equal_distances(spark):
+    """30 and 32 are both one from 31: the tie goes to the lesser key, whatever the quotients' last digits."""
+    sizes = list(range(1, 51))
+    a = spark.createDataFrame([(f"p{i}", 1, s) for i, s in enumerate(sizes)], "accession string, position int, f int")
+    b = spark.createDataFrame([(f"z{s:02d}" if s % 2 else f"a{s:02d}", 1, s + d) for s in sizes for d in (0,)], "accession string, position int, f int")
+    edges = ma.caliper_edges(a, b, ["f"], 0.2).collect()
+    own = {r.case_accession: {} for r in edges}
+    for r in edges:
+        own[r.case_accession].setdefault(abs(sizes[int(r.case_accession[1:])] - int(r.control_accession[1:])), set()).add(r.distance)
+    assert own and all(len(d) == 1 for each in own.values() for d in each.values())
+
+
+@pytest.mark.parametrize("area", [200_000, 0])
+def test_greedy_controls_equal_the_rounds(spark, monkeypatch, area):
+    monkeypatch.setattr(ma, "AREA", area)
+    a, b = crowd(spark, 3, 120), crowd(spark, 4, 200)
+    edges = ma.caliper_edges(a, b, ["f", "g"], 0.5, ("kind",))
+    key = lambda rows: {(r.seed, r.case_accession, r.control_accession): (r.match_rank, r.distance) for r in rows.collect()}
+    got = key(ma.greedy_controls(a, b, ["f", "g"], 0.5, ("kind",), 2, (0, 7)))
+    rows = [(r.case_accession, r.control_accession, r.distance) for r in edges.collect()]
+    assert {k: n for k, (n, _) in got.items()} == {(s, *p): n for s in (0, 7) for p, n in _in_turn(rows, 2, s).items()}
+    assert got == key(ma.seed_sweep(edges, [0, 7], 2)) and len(got) > 200
+
+
+def test_assignment_equals_augmenting_paths():
+    r = random.Random(8)
+    for _ in range(300):
+        n, m = r.randrange(1, 9), r.randrange(1, 9)
+        costs = {(i, j): r.choice((0.0, 0.1, 0.25, r.random())) for i in range(n) for j in range(m) if r.random() < 0.5}
+        table = np.full((n, m), np.inf)
+        for e, c in costs.items():
+            table[e] = c
+        got, want = ma.assigned(table), ma.min_cost_matching(costs, n, m)
+        assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got) == len(want)
+        assert math.isclose(sum(costs[e] for e in got), sum(costs[e] for e in want.items()), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("most", [25_000_000, 0])
+def test_optimal_controls_equal_optimal_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(ma, "COSTS", most)
+    a, b = crowd(spark, 5, 60), crowd(spark, 6, 50)
+    edges = ma.caliper_edges(a, b, ["f", "g"], 0.4, ("kind",))
+    want = ma.optimal_pairs(edges).join(edges.select("case_accession", "control_accession", F.col("distance").alias("d")), ["case_accession", "control_accession"]).collect()
+    got = ma.optimal_controls(a, b, ["f", "g"], 0.4, ("kind",)).collect()
+    assert len({r.case_accession for r in got}) == len({r.control_accession for r in got}) == len(got) == len(want) > 20
+    assert math.isclose(sum(r.distance for r in got), sum(r.d for r in want), abs_tol=1e-9)
