@@ -97,3 +97,13 @@ def test_signed_rank_of_classes(spark):
         assert math.isclose(got[c].p, inf.signed_rank_p(np.array(own)), rel_tol=1e-9), c
         assert got[c].n == sum(v != 0 for v in own)
     assert math.isclose(got["few"].p, 2 / 32) and got["zeros"].p == 1.0 and got["zeros"].z is None
+
+
+def test_brackets_go_to_the_values(spark):
+    """A table of values is small by its file; it must never be sent to all tasks."""
+    from siteloom.operators import order_statistics as os_
+
+    x = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, x double")
+    brackets = spark.range(10_000_000).selectExpr("cast(id as string) k", "id place", "cast(null as double) lo", "cast(null as double) hi")
+    plan = os_._inside(x, brackets, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
