@@ -2,8 +2,10 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from siteloom.functions import vocab as v
 from siteloom.operators import structures as sr
 
 SEQ = "MNKTALWDGYSPVHCEQFIRGSTVLIPFYHQEDKMWNACR"
@@ -144,3 +146,37 @@ def test_areas_of_a_crowd_against_all_pairs(spark):
                 free &= ((centre + dots * reach - np.array(other[7:])) ** 2).sum(axis=1) >= (sr.RADII.get(other[6], 1.7) + 1.4) ** 2
         want[own[:3]] = want.get(own[:3], 0.0) + 4 * math.pi * reach**2 * free.mean()
     assert set(got) == set(want) and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
+def test_pairs_of_sites_are_made_once(spark):
+    """Sites of several structures, of none, and repeated rows: the pairs of the plain join, each once."""
+    r = random.Random(4)
+    rows = [(f"P{r.randrange(4)}", r.randrange(3), r.choice(["s1", "s2", "s3", None]), r.choice([v.OCCUPIED, v.UNMODIFIED])) for _ in range(60)]
+    rows += rows[:10]
+    a, b = ({x[:3] for x in rows if x[3] == s} for s in (v.OCCUPIED, v.UNMODIFIED))
+    same = lambda p, q: None if p is None or q is None else p == q
+    want = {(x[0], *x[:2], *y[:2], same(x[2], y[2])) for x in a for y in b if x[0] == y[0]}
+    want |= {(f"{x[0]}|{y[0]}", *x[:2], *y[:2], True) for x in a for y in b if x[0] != y[0] and same(x[2], y[2])}
+    found = sr.within_structure_pairs(spark.createDataFrame(rows, "accession string, position int, structure_pdb_id string, occupancy_status string"))
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({x[5] for x in got}) == 3
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_and_known_pairs_are_aligned_once(monkeypatch):
+    calls, real = [], sr.align
+    monkeypatch.setattr(sr, "align", lambda s, t: calls.append(1) or real(s, t))
+    sr._known_pair.cache_clear()
+    r = random.Random(3)
+    words = ["".join(r.choice("ACDN") for _ in range(30)) for _ in range(5)]
+    a, b = pd.Series([w for w in words for _ in range(20)] + [None, ""]), pd.Series([w for w in words for _ in range(10) for w in (w, w[:7] + "#" + w[8:])] + ["A", None])
+    got = sr._aligned(a, b)
+    assert len(calls) <= 7
+    for s, t, pairs in zip(a, b, got["pairs"]):
+        assert pairs == dict(real(s or "", t or ""))
+
+
+def test_neighbours_and_spheres_are_never_broadcast(spark):
+    atoms = spark.createDataFrame([("f", 1, "A", i, "", "ASN", "CA", "C", False, 3.8 * i, 0.0, 0.0) for i in range(5)], sr.ATOM)
+    for rows in (sr.environment(sr.residues(atoms)), sr.residue_areas(atoms)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
