@@ -180,3 +180,30 @@ def test_neighbours_and_spheres_are_never_broadcast(spark):
     atoms = spark.createDataFrame([("f", 1, "A", i, "", "ASN", "CA", "C", False, 3.8 * i, 0.0, 0.0) for i in range(5)], sr.ATOM)
     for rows in (sr.environment(sr.residues(atoms)), sr.residue_areas(atoms)):
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def counted(spark, column):
+    """The column through a function that counts its calls, and the count."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(value):
+        calls.add(1)
+        return value
+
+    return F.udf(same, dict(FILES_SCHEMA)[column])(column), calls
+
+
+FILES_SCHEMA = [("path", "string"), ("length", "long"), ("content", "binary"), ("stem", "string"), ("kind", "string"), ("x", "double")]
+
+
+def test_environment_reads_its_residues_once_and_misses_none(spark):
+    """Points at random and on the borders of cells, on both sides of zero, against all pairs."""
+    places = random.Random(3)
+    points = [tuple(places.uniform(-20, 20) for _ in "xyz") for _ in range(60)] + [(8.0 * i, 8.0 * j, -16.0) for i in range(-2, 3) for j in (-1, 0, 1)]
+    rows = spark.createDataFrame([("f", "A", i, "", "LDG"[i % 3], *p) for i, p in enumerate(points)], "path string, chain_id string, resseq int, icode string, aa string, x double, y double, z double")
+    column, calls = counted(spark, "x")
+    got = {r.resseq: r for r in sr.environment(rows.withColumn("x", column)).collect()}
+    near = [[j for j, q in enumerate(points) if j != i and math.sqrt(sum((a - b) ** 2 for a, b in zip(p, q))) <= 8.0] for i, p in enumerate(points)]
+    assert [got[i].n_neighbours_8a for i in range(len(points))] == [len(js) for js in near]
+    assert [got[i].hydrophobic_fraction_8a for i in range(len(points))] == [sum("LDG"[j % 3] in v.HYDROPHOBIC for j in js) / len(js) if js else None for js in near]
+    assert calls.value == len(points)
