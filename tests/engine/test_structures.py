@@ -182,7 +182,7 @@ def test_neighbours_and_spheres_are_never_broadcast(spark):
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
-def counted(spark, column):
+def counted(spark, column, kind="double"):
     """The column through a function that counts its calls, and the count."""
     calls = spark.sparkContext.accumulator(0)
 
@@ -190,10 +190,7 @@ def counted(spark, column):
         calls.add(1)
         return value
 
-    return F.udf(same, dict(FILES_SCHEMA)[column])(column), calls
-
-
-FILES_SCHEMA = [("path", "string"), ("length", "long"), ("content", "binary"), ("stem", "string"), ("kind", "string"), ("x", "double")]
+    return F.udf(same, kind)(column), calls
 
 
 def test_environment_reads_its_residues_once_and_misses_none(spark):
@@ -207,3 +204,10 @@ def test_environment_reads_its_residues_once_and_misses_none(spark):
     assert [got[i].n_neighbours_8a for i in range(len(points))] == [len(js) for js in near]
     assert [got[i].hydrophobic_fraction_8a for i in range(len(points))] == [sum("LDG"[j % 3] in v.HYDROPHOBIC for j in js) / len(js) if js else None for js in near]
     assert calls.value == len(points)
+
+
+def test_bonds_of_a_loop_with_few_columns():
+    """Blank where a column isn't there; the label's name goes before the author's."""
+    head = "data_x\nloop_\n_struct_conn.conn_type_id\n_struct_conn.ptnr1_label_comp_id\n_struct_conn.ptnr1_auth_comp_id\n_struct_conn.ptnr1_auth_seq_id\n"
+    assert list(sr.cif_bonds(head + "COVALE ASN XXX 5\nmetalc ASN XXX 6\n#\n")) == [(("ASN", "", "5", ""), ("", "", "", ""))]
+    assert list(sr.cif_bonds("data_x\n")) == []
