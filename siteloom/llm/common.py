@@ -18,14 +18,26 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of rows that go to a Python worker at once. Spark's 64 MB of texts are held several times over, by the JVM and by Python.
+BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python BATCH bytes at a time, unless the session has a limit of its own. The setting stays, as plans run after the call."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH))
+
+
 class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
     A written table cuts lineage and survives lost executors. ``drop`` removes a table that no later
-    plan reads; the rest goes when the application ends.
+    plan reads; the rest goes when the application ends. Operators that have one also send bounded batches.
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = own_folder(spark, name)
 
