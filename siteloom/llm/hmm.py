@@ -218,6 +218,27 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd"), "<i4")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in their order, dealt anew: as many at once as hold about SLAB tokens of six bytes, one at least, whatever Spark's batches are."""
+    kept, total = [], 0
+    for batch in batches:
+        start = 0
+        size = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+        while start < batch.num_rows:
+            done = int(size[start - 1]) if start else 0
+            stop = int(np.searchsorted(size, done + 6 * SLAB - total))
+            stop = min(batch.num_rows, stop if kept else max(stop, start + 1))
+            if stop > start:
+                kept.append(batch.slice(start, stop - start))
+                total += int(size[stop - 1]) - done
+            start = stop
+            if start < batch.num_rows:
+                yield pa.concat_batches(kept)
+                kept, total = [], 0
+    if kept:
+        yield pa.concat_batches(kept)
+
+
 def slabs(docs: DataFrame) -> DataFrame:
     """docs (doc_id, held_out, text) -> slabs of about SLAB tokens.
 
@@ -228,20 +249,13 @@ def slabs(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            start = 0
-            while start < batch.num_rows:
-                # as many rows as hold about SLAB tokens of six bytes; one row at least
-                size = pc.binary_length(batch.column(2).slice(start)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-                rows = max(1, int(np.searchsorted(size, 6 * SLAB)))
-                part = batch.slice(start, rows)
-                start += rows
-                flat, counts = tokens(part.column(2))
-                coded = flat.dictionary_encode()
-                codes, held = coded.indices.to_numpy(), np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), counts)
-                times = np.bincount(codes[~held], minlength=len(coded.dictionary))
-                yield _row(_SLAB, number, part.column(0), part.column(1), counts, _packed(codes), coded.dictionary.cast(pa.binary()), times)
-                number += 1
+        for part in _gathered(batches):
+            flat, counts = tokens(part.column(2))
+            coded = flat.dictionary_encode()
+            codes, held = coded.indices.to_numpy(), np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), counts)
+            times = np.bincount(codes[~held], minlength=len(coded.dictionary))
+            yield _row(_SLAB, number, part.column(0), part.column(1), counts, _packed(codes), coded.dictionary.cast(pa.binary()), times)
+            number += 1
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _SLAB)
 
@@ -270,36 +284,39 @@ def _array(table: pa.Table, name: str) -> np.ndarray:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """slabs -> (slab, at, c, word): of each token of each slab its place and training count; word in one row a token.
+    """slabs -> (slab, at, c, word, alone): of each token of each slab its place and training count; word in one row a token.
+
+    alone: the count is that of the slab's own training texts, as for all tokens that no other slab trains on.
 
     A token has one row a slab at most, so no token has many.
     """
     each = rows.select("slab", F.posexplode(F.arrays_zip("words", "times")).alias("at", "t")).select("slab", "at", F.col("t.words").alias("w"), F.col("t.times").alias("times"))
     same = Window.partitionBy("w")
-    placed = each.select("slab", "at", "w", F.sum("times").over(same).alias("c"), F.row_number().over(same.orderBy("slab")).alias("nth"))
-    return placed.select("slab", "at", "c", F.when(F.col("nth") == 1, F.col("w")).alias("word"))
+    placed = each.select("slab", "at", "w", "times", F.sum("times").over(same).alias("c"), F.row_number().over(same.orderBy("slab")).alias("nth"))
+    return placed.select("slab", "at", "c", F.when(F.col("nth") == 1, F.col("w")).alias("word"), (F.col("c") == F.col("times")).alias("alone"))
 
 
-def settle(rows: DataFrame, counts: DataFrame, top: list[bytes], mass: np.ndarray, scale: float, own: int) -> DataFrame:
+def settle(rows: DataFrame, counts: DataFrame, top: list[bytes], often: np.ndarray, mass: np.ndarray, scale: float, own: int) -> DataFrame:
     """Slabs with symbols in place of codes, and by document what depends on counts only.
 
-    counts (slab, at, c): as counted() gives them. Symbols: top tokens by rank, then classes, then the slab's other tokens of ``own`` or more
+    counts (slab, at, c): training counts of the tokens that are neither top, whose counts are ``often``, nor alone. Symbols: top tokens by rank, then classes, then the slab's other tokens of ``own`` or more
     occurrences, whose texts are the list ``middle`` and whose classes are ``kinds``. known: tokens seen in
     training; base: the base score; choice: log10 of the choices within classes; all by document.
     """
     rare, n_top = len(mass), len(top)
-    sent = rows.sparkSession.sparkContext.broadcast(pa.array(top, pa.binary()))  # the top tokens
+    sent = rows.sparkSession.sparkContext.broadcast((pa.array(top, pa.binary()), often))  # the top tokens
 
     def run(slab: pa.Table, found: pa.Table) -> pa.Table:
-        at = found.column("at").to_numpy()
-        count = np.empty(len(at), dtype=np.int64)
-        count[at] = found.column("c").to_numpy()
-        rank = pc.index_in(slab.column("words")[0].values, sent.value).fill_null(-1).to_numpy().astype(np.int64)
+        tops, of_tops = sent.value
+        rank = pc.index_in(slab.column("words")[0].values, tops).fill_null(-1).to_numpy().astype(np.int64)
+        count = _array(slab, "times").astype(np.int64)
+        count[found.column("at").to_numpy()] = found.column("c").to_numpy()
+        count[rank >= 0] = of_tops[rank[rank >= 0]]
         middle, loose = np.flatnonzero((rank < 0) & (count >= own)), np.flatnonzero((rank < 0) & (count < own))
         strange = np.flatnonzero(rank < 0)
-        kind = np.zeros(len(at), dtype=np.int64)
+        kind = np.zeros(len(count), dtype=np.int64)
         kind[strange] = [crc32(w) % rare for w in slab.column("words")[0].values.take(pa.array(strange)).to_pylist()]
-        symbol, choice = rank.copy(), np.zeros(len(at))
+        symbol, choice = rank.copy(), np.zeros(len(count))
         symbol[middle] = n_top + rare + np.arange(len(middle))
         symbol[loose] = n_top + kind[loose]
         choice[loose] = np.log10((count[loose] + 1) / mass[kind[loose]])
@@ -314,7 +331,7 @@ def settle(rows: DataFrame, counts: DataFrame, top: list[bytes], mass: np.ndarra
         )
         return pa.Table.from_batches([row])
 
-    return rows.drop("times").groupBy("slab").cogroup(counts.groupBy("slab")).applyInArrow(run, _CODED)
+    return rows.groupBy("slab").cogroup(counts.groupBy("slab")).applyInArrow(run, _CODED)
 
 
 def _texts(sizes: np.ndarray, symbols: bytes) -> list[np.ndarray]:
@@ -392,7 +409,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, top: int
     known = (first["c"].to_numpy(np.float64) + 1) / total  # of the top tokens
     tied, free = (np.concatenate((known, x / total)) for x in (every, rest))
 
-    coded = scratch.write(settle(rows, counts.select("slab", "at", "c"), first_words, rest, math.log10(total), own), "coded")
+    apart = counts.where(~F.col("alone") & ((F.col("c") <= int(last["c"])) if len(first) else F.lit(True))).select("slab", "at", "c")
+    coded = scratch.write(settle(rows, apart, first_words, first["c"].to_numpy(np.int64), rest, math.log10(total), own), "coded")
     scratch.drop("slabs", "counted")
     release(spark)
 

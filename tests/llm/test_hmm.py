@@ -142,3 +142,17 @@ def test_slabs_of_any_size(spark, monkeypatch):
     want = sorted((str(r.doc_id), round(r.score, 6)) for r in h.score(docs, 2, 2, 10, 4, 3).collect())
     monkeypatch.setattr(h, "SLAB", 5)
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in h.score(docs, 2, 2, 10, 4, 3).collect()) == want
+
+
+def test_slabs_outgrow_the_batches(spark):
+    """A slab holds SLAB tokens however few rows Spark sends at once, and only counts that slabs can't know are sent."""
+    docs = spark.createDataFrame([(i, f"common own{i}") for i in range(50)], "doc_id long, text string").withColumn("held_out", h.held_out())
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        assert [len(r.doc_id) for r in h.slabs(docs.coalesce(1)).collect()] == [50]
+        apart = h.counted(h.slabs(docs.repartition(2, "doc_id"))).where("not alone").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(apart) == 4  # the common word and the end, in each of two slabs
