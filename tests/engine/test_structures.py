@@ -163,6 +163,14 @@ def test_pairs_of_sites_are_made_once(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_of_many_structures_are_made_by_many_tasks(spark):
+    """Sites take few bytes and their pairs many, so structures aren't put together by their bytes."""
+    rows = [(f"P{i}", 1, f"s{i % 40}", v.OCCUPIED if i // 40 % 2 else v.UNMODIFIED) for i in range(800)]
+    found = sr.within_structure_pairs(spark.createDataFrame(rows, "accession string, position int, structure_pdb_id string, occupancy_status string"))
+    parts = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 40 * 10 * 10 and len(parts) > 1
+
+
 def test_equal_and_known_pairs_are_aligned_once(monkeypatch):
     calls, real = [], sr.align
     monkeypatch.setattr(sr, "align", lambda s, t: calls.append(1) or real(s, t))
