@@ -39,3 +39,12 @@ def test_equals_sql(spark, peer, name):
     assert sorted(names) == columns
     want = sorted((plain([r[names.index(c)] for c in columns]) for r in found.fetchall()), key=repr)
     assert sorted((plain([r[c] for c in columns]) for r in rows.collect()), key=repr) == want
+
+
+def test_the_sweep_is_whole(spark, peer):
+    """STAT15 takes the reference's 200 seeds and 2,000 draws of each, and ends in their verdicts."""
+    test_equals_sql(spark, peer, "STAT15")
+    (row,) = catalogue.queries()["STAT15"](spark, FOLDER).collect()
+    sql = catalogue.oracle_sql()["STAT15"]
+    assert "range(2000)" in sql and str(list(range(200))) in sql
+    assert row.n_seeds == 200 == row.n_equivalent + row.n_beyond_margin + row.n_directional + row.n_inconclusive
