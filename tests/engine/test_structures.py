@@ -219,3 +219,19 @@ def test_bonds_of_a_loop_with_few_columns():
     head = "data_x\nloop_\n_struct_conn.conn_type_id\n_struct_conn.ptnr1_label_comp_id\n_struct_conn.ptnr1_auth_comp_id\n_struct_conn.ptnr1_auth_seq_id\n"
     assert list(sr.cif_bonds(head + "COVALE ASN XXX 5\nmetalc ASN XXX 6\n#\n")) == [(("ASN", "", "5", ""), ("", "", "", ""))]
     assert list(sr.cif_bonds("data_x\n")) == []
+
+
+def test_pairs_of_a_structure_repeat_their_sites_soon(spark):
+    """A site comes again within ROW rows, and a pair of proteins in runs, so that a column's pages stay small however many sites there are."""
+    rows = [(f"{s}{i}", n, "1abc", status) for s, status in (("a", v.OCCUPIED), ("b", v.UNMODIFIED)) for i in range(3) for n in range(64)]
+    found = sr.within_structure_pairs(spark.createDataFrame(rows, "accession string, position int, structure_pdb_id string, occupancy_status string"))
+    placed = found.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).orderBy("at").collect()
+    assert len({(x.group_id, x.position_occ, x.position_unm) for x in placed}) == len(placed) == 192 * 192
+    last, gaps = {}, []
+    for n, x in enumerate(placed):
+        site = (x.part, x.accession_unm, x.position_unm)
+        gaps.append(n - last[site] if site in last else None)
+        last[site] = n
+    known = [g for g in gaps if g is not None]
+    assert sum(g <= sr.ROW for g in known) > 0.9 * len(known)
+    assert sum(x.group_id != y.group_id for x, y in zip(placed, placed[1:])) < len(placed) / 50
